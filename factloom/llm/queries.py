@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .piece_codec import op3_sentencepiece_codec
 from .secret_scan import op8_secret_scan
 from .sharding import op10_hilbert_sharding
 
 QUERIES = {
+    "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op10_hilbert_sharding": op10_hilbert_sharding,
