@@ -6,14 +6,17 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .piece_codec import op3_sentencepiece_codec
 from .secret_scan import op8_secret_scan
 from .sharding import op10_hilbert_sharding
+from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_warc": op7_warc,
     "op8_secret_scan": op8_secret_scan,
     "op10_hilbert_sharding": op10_hilbert_sharding,
 }
 
 SQL = {
     "op5_exact_dedup": OP5_SQL,
+    "op7_warc": OP7_SQL,
 }
