@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .piece_codec import op3_sentencepiece_codec
+from .quality import op2_quality_classifier
 from .secret_scan import op8_secret_scan
 from .sharding import op10_hilbert_sharding
 from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_warc": op7_warc,
