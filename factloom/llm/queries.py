@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .language import op4_language_id
 from .piece_codec import op3_sentencepiece_codec
 from .quality import op2_quality_classifier
 from .secret_scan import op8_secret_scan
@@ -12,6 +13,7 @@ from .warc import OP7_SQL, op7_warc
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
+    "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_warc": op7_warc,
     "op8_secret_scan": op8_secret_scan,
