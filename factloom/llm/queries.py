@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language import op4_language_id
+from .ngram_join import op9_ngram_jaccard_join
 from .piece_codec import op3_sentencepiece_codec
 from .quality import op2_quality_classifier
 from .secret_scan import op8_secret_scan
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_warc": op7_warc,
     "op8_secret_scan": op8_secret_scan,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_hilbert_sharding": op10_hilbert_sharding,
 }
 
