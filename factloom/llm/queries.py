@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language import op4_language_id
 from .ngram_join import op9_ngram_jaccard_join
@@ -12,6 +13,7 @@ from .sharding import op10_hilbert_sharding
 from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op4_language_id": op4_language_id,
