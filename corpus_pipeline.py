@@ -1,9 +1,60 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline over ``documents``, counted as part of the subpackage ``llm``.
 
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
+Parquet and read again as the next stage's ``docs``.  All but the last return the columns
+of ``docs`` and only drop rows:
+
+1. quality classifier: rows that the factorisation machine rejects go;
+2. exact dedup: of equal texts (A-Z lowered) the row with the largest id stays;
+3. n-gram Jaccard join: of each component of near copies the smallest id stays;
+4. benchmark decontamination: documents that hold or paraphrase a benchmark item go;
+5. SentencePiece: digests of ids, decoded text and source offsets of what is left.
+
+Stage 1 learns from the rows of ``labels`` that op2 may learn from.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from factloom.llm import common, decontaminate, exact_dedup, ngram_join, piece_codec, quality
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = quality.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, quality.train(docs, labels))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.drop_near_copies(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_digests(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_leaks),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
+
+#: SQL can't express the trained, latent and merged stages.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
