@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +71,29 @@ def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFr
     """Rows of ``docs`` whose id is in ``ids(_keep_id)``, with the columns of ``docs`` only."""
     out = docs.join(ids.hint("shuffle_hash"), id_in(docs[id_col]) == ids["_keep_id"], "left_semi")
     return out.select(*[docs[c] for c in docs.columns])
+
+
+#: Bits of the map that marks wanted keys; beyond its capacity only more rows pass.
+MARK_BITS = 24
+
+
+def marker(wanted: DataFrame, keys: list[str], bits: int = MARK_BITS):
+    """A filter for rows whose keys may be in ``wanted``: a bit map of 2**bits bits, whatever the number of keys.
+
+    It only thins rows out before an exact join, so false positives don't matter.
+    Call the result with the columns that hold the keys.
+    """
+    spot = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(1 << bits))
+    at = spot(keys)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))
+    table = wanted.groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 5), np.uint32)
+    words[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
+    shared = wanted.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        a = at.to_numpy()
+        return pd.Series((shared.value[a >> 5] >> (a & 31).astype(np.uint32)) & np.uint32(1) == 1)
+
+    return lambda *cols: marked(spot(cols))

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batch, documents, id_in, id_out, keep_rows, shuffle_width, stage, text_bytes
+from .common import NULL_ID, batch, documents, id_in, id_out, keep_rows, marker, shuffle_width, stage, text_bytes
 from .components import connected_components
 
 WIDTH = 5
@@ -351,23 +351,8 @@ def _link(rows: DataFrame) -> DataFrame:
 
 # --- candidates with their sets ----------------------------------------------------
 
-#: Bits of the map that marks wanted documents; beyond its capacity only more rows pass.
-MARK_BITS = 24
-
-
-def _marks(ids: DataFrame) -> bytes:
-    """Bit map of hashed ids: 2 MB, whatever the number of ids."""
-    at = F.pmod(F.xxhash64("rep"), F.lit(1 << MARK_BITS))
-    words = ids.groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
-    out = np.zeros(1 << (MARK_BITS - 5), np.uint32)
-    table = words.toArrow()
-    out[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
-    return out.tobytes()
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """cls, comp, n, tokens for each class in ``wanted(rep, cls, comp, n)``; texts aren't shuffled."""
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
     schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,12 +366,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     sets.append(t.tobytes())
             yield batch(schema, {"doc_id": ids, "own": own, "tokens": sets})
 
-    @F.pandas_udf("boolean")
-    def marked(at: pd.Series) -> pd.Series:
-        a = at.to_numpy()
-        return pd.Series((np.frombuffer(marks.value, np.uint32)[a >> 5] >> (a & 31)) & 1 == 1)
-
-    may = docs.filter(marked(F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))))
+    may = docs.filter(marker(wanted, ["rep"])("doc_id"))
     rows = may.mapInArrow(run, "doc_id long, own long, tokens binary")
     return rows.join(wanted.hint("shuffle_hash"), (rows["doc_id"] == wanted["rep"]) & (rows["own"] == wanted["cls"])).select("cls", "comp", "n", "tokens")
 

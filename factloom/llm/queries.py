@@ -8,6 +8,7 @@ from .language import op4_language_id
 from .ngram_join import op9_ngram_jaccard_join
 from .piece_codec import op3_sentencepiece_codec
 from .quality import op2_quality_classifier
+from .repeats import op6_suffix_dedup
 from .secret_scan import op8_secret_scan
 from .sharding import op10_hilbert_sharding
 from .warc import OP7_SQL, op7_warc
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_warc": op7_warc,
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
