@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_scalars  # noqa: F401  registers its queries
+from . import q_graph, q_scalars  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["b01_split_typed_id"](spark, sf_dir)
+    """Journeys, unwired chains and behaviours of the flow graph."""
+    return QUERIES["h08_journeys"](spark, sf_dir)
