@@ -213,3 +213,35 @@ def e35(v):
 @query("e38_typed_counts", "SELECT CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'other' END AS type, count(*) AS n FROM events GROUP BY 1")
 def e38(v):
     return Q.typed_counts(v("events").groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n")), ("view", "click"))
+
+
+@query("a11_upsert", "SELECT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN arg_max('new' || o_orderkey, o_orderkey) ELSE arg_max('old' || o_orderkey, o_orderkey) END AS value FROM orders GROUP BY o_custkey")
+def a11(v):
+    from ..sources.sinks import upsert
+
+    o = v("orders")
+    old = o.selectExpr("o_custkey", "o_orderkey", "concat('old', o_orderkey) AS value")
+    new = o.filter("o_custkey % 2 = 0").selectExpr("o_custkey", "o_orderkey", "concat('new', o_orderkey) AS value")
+    return upsert(old, new, ["o_custkey"], "o_orderkey").select("o_custkey", "value")
+
+
+@query("a16_ingest_report", "SELECT user_id AS file, count(*) FILTER (event_type <> 'signup') AS records, count(*) FILTER (event_type = 'error') AS quarantined, CASE WHEN bool_or(event_type = 'signup' AND value > 50) THEN 'failed' ELSE 'succeeded' END AS status FROM events GROUP BY user_id")
+def a16(v):
+    from ..sources.readers import ingest_report
+
+    r = v("events").selectExpr("user_id AS file", "CASE WHEN event_type = 'signup' THEN 'file' ELSE 'fact' END AS kind", "CASE WHEN event_type = 'error' OR (event_type = 'signup' AND value > 50) THEN 'bad' END AS error")
+    return ingest_report(r)
+
+
+@query("a17_parse_manifest", "SELECT event_type AS category, count(*) AS found, count(*) FILTER (value > 20) AS parsed, count(*) FILTER (NOT value > 20) AS unparseable FROM events GROUP BY 1")
+def a17(v):
+    from ..sources.readers import parse_manifest
+
+    return parse_manifest(v("events").selectExpr("event_type AS category", "value > 20 AS parsed"))
+
+
+@query("a18_prefer", "SELECT p_brand, p_type, min(p_size) AS p_size FROM part GROUP BY ALL")
+def a18(v):
+    from ..sources.readers import prefer
+
+    return prefer(v("part").select("p_brand", "p_type", "p_size"), ["p_brand", "p_type"], "p_size")

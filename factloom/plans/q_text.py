@@ -39,9 +39,9 @@ def i04(v):
     return X.shall_items(s).select("file", "label", "text")
 
 
-@query("i05_table_items", "SELECT doc_id AS file, string_split(line, ' | ') [1] AS first, len(string_split(line, ' | ')) AS n FROM doc_lines WHERE contains(line, ' | ') AND NOT contains(line, ' |  ') AND NOT contains(line, '  | ')")
+@query("i05_table_items", "SELECT doc_id AS file, string_split(line, ' | ') [1] AS first, len(string_split(line, ' | ')) AS n FROM doc_lines WHERE contains(line, ' | ') AND NOT contains(line, ' |  ') AND NOT contains(line, '  | ') AND NOT line LIKE '%|'")
 def i05(v):
-    rows = v("doc_lines").filter("contains(line, ' | ') AND NOT contains(line, ' |  ') AND NOT contains(line, '  | ')").select("doc_id", "pos", F.concat(F.lit("| "), "line", F.lit(" |")).alias("line"))
+    rows = v("doc_lines").filter("contains(line, ' | ') AND NOT contains(line, ' |  ') AND NOT contains(line, '  | ') AND NOT line LIKE '%|'").select("doc_id", "pos", F.concat(F.lit("| "), "line", F.lit(" |")).alias("line"))
     s = rows.groupBy(F.col("doc_id").alias("file")).agg(F.concat(F.lit("|---|\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("body")).withColumn("section", F.lit("t"))
     return X.table_items(s).select("file", F.col("cells")[0].alias("first"), F.size("cells").cast("long").alias("n"))
 
