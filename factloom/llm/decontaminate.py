@@ -5,9 +5,9 @@
    randomised SVD (subspace iteration: tasks return their share of A'(A X), the driver
    orthonormalises a vocabulary-by-rank matrix of fixed size) gives the latent space.
 3. One pass over all documents slides overlapping windows over each whole text and takes
-   the cosine of every window with every passage in the latent space.  Windows whose
-   energy within the benchmark's vocabulary already rules out the threshold are skipped
-   before they are projected; that bound is exact.
+   the cosine of every window with every passage in the latent space.  Each word adds at
+   most a known amount to any passage's cosine; windows whose words can't reach a
+   threshold together are skipped before they are projected, which loses nothing.
 4. A candidate's surroundings are compared with the whole item by longest common
    subsequence of words.  ``SURE`` of the item's words in order make a hit; from ``MAYBE``
    on, a paraphrase, the item's answer (a column, or else its last sentence) must be
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batch, documents, id_in
+from .common import NULL_ID, batch, documents, id_in, own_cache, small_batches
 
 BITS = 16
 TERMS = 1 << BITS
@@ -54,7 +54,7 @@ def words_of(text: str) -> list[bytes]:
 
 class _Terms(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = k = zlib.crc32(word) & (TERMS - 1)
         return k
@@ -72,6 +72,7 @@ def inverse_frequency(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("decontaminate", _terms)
         counts = np.zeros(TERMS + 1, np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -91,13 +92,14 @@ def inverse_frequency(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 class Index:
     """What the search needs; its size depends on ``ITEMS`` and ``RANK`` alone."""
 
-    items: list[tuple[int, list[bytes], list[bytes]]]  # id, words, words of the answer
+    items: list[tuple]  # id, words, words of the answer, and the places of both
     idf2: np.ndarray
     vocabulary: np.ndarray  # term -> row of basis, or -1
     basis: np.ndarray  # weighted by idf
     passages: np.ndarray  # latent, length 1 before projection
     owner: np.ndarray
     need: np.ndarray
+    most: np.ndarray  # row of basis -> the largest share of any passage's threshold that one such word gives
 
 
 def _last_sentence(text: str) -> str:
@@ -148,10 +150,10 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], i
     if not kept:
         return None
     vocabulary = np.full(TERMS, -1, np.int32)
-    used = np.unique(np.concatenate([terms_of(w) for _, w, _ in kept]))
+    used = np.unique(np.concatenate([terms_of(x[1]) for x in kept]))
     vocabulary[used] = np.arange(len(used))
     rows, owner, sparse = [], [], []
-    for at, (_, words, _) in enumerate(kept):
+    for at, words in enumerate(x[1] for x in kept):
         terms = terms_of(words)
         for s, e in _passages(words):
             own, tf = np.unique(terms[s:e], return_counts=True)
@@ -163,20 +165,27 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], i
     basis = latent_basis(spark, rows, len(used))
     passages = np.stack([x @ basis[ids] for ids, x in sparse]).astype(np.float32)
     held = np.sqrt((passages**2).sum(axis=1))
-    return Index(kept, idf**2, vocabulary, np.vstack([basis * idf[used][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32), passages, np.array(owner), (NEAR * held**2).astype(np.float32))
+    need = (NEAR * held**2).astype(np.float32)
+    weighted = np.vstack([basis * idf[used][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
+    most = np.concatenate([np.maximum(weighted[a : a + 4096] @ (passages / need[:, None]).T, 0).max(axis=1) for a in range(0, len(weighted), 4096)])
+    return Index([(i, w, a, places(w), places(a)) for i, w, a in kept], idf**2, vocabulary, weighted, passages, np.array(owner), need, most)
 
 
-def common_words(item: list[bytes], text: list[bytes]) -> int:
-    """Length of the longest common subsequence, bit-parallel over the item."""
-    place: dict[bytes, int] = {}
+def places(item: list[bytes]) -> dict[bytes, int]:
+    """Bit mask of each word's places."""
+    out: dict[bytes, int] = {}
     for k, w in enumerate(item):
-        place[w] = place.get(w, 0) | 1 << k
-    full = (1 << len(item)) - 1
-    v = full
-    for w in text:
-        u = v & place.get(w, 0)
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
+def common_words(place: dict[bytes, int], size: int, text: list[bytes]) -> int:
+    """Length of the longest common subsequence with an item of ``size`` words, bit-parallel over the item."""
+    full = v = (1 << size) - 1
+    for m in [place[w] for w in text if w in place]:  # other words change nothing
+        u = v & m
         v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
+    return size - v.bit_count()
 
 
 def candidates(index: Index, terms: np.ndarray) -> Iterator[tuple[int, int, float]]:
@@ -187,12 +196,12 @@ def candidates(index: Index, terms: np.ndarray) -> Iterator[tuple[int, int, floa
     row = index.vocabulary[terms]
     energy = index.idf2[terms].astype(np.float64)
     whole = np.concatenate(([0.0], np.cumsum(energy)))
-    inside = np.concatenate(([0.0], np.cumsum(np.where(row >= 0, energy, 0.0))))
+    most = np.concatenate(([0.0], np.cumsum(index.most[row], dtype=np.float64)))
     last = max(0, n - WINDOW)
     starts = np.unique(np.concatenate((np.arange(0, last, STEP), [last])))
     ends = np.minimum(starts + WINDOW, n)
     size2 = whole[ends] - whole[starts]
-    keep = (inside[ends] - inside[starts]) >= (float(index.need.min()) ** 2) * size2
+    keep = most[ends] - most[starts] >= 0.999 * np.sqrt(size2)
     starts, ends, size2 = starts[keep], ends[keep], size2[keep]
     for at in range(0, len(starts), 256):
         s, e = starts[at : at + 256], ends[at : at + 256]
@@ -211,12 +220,15 @@ def hits_of(index: Index, words: list[bytes]) -> list[tuple[int, float, int, int
     for start, item, cosine in candidates(index, terms_of(words)):
         seen[item, start] = max(cosine, seen.get((item, start), 0.0))
     for (item, start), cosine in seen.items():
-        _, own, answer = index.items[item]
+        _, own, answer, place, answer_place = index.items[item]
         region = words[max(0, start - len(own)) : start + WINDOW + len(own)]
-        both = common_words(own, region)
+        there = set(region)
+        if sum([w in there for w in own]) < MAYBE * len(own):  # a bound of what is common, in any order
+            continue
+        both = common_words(place, len(own), region)
         if both < MAYBE * len(own) or item in best and both <= best[item][2]:
             continue
-        found = common_words(answer, region) >= ANSWER * len(answer) if answer else False
+        found = common_words(answer_place, len(answer), region) >= ANSWER * len(answer) if answer else False
         if both >= SURE * len(own) or found:
             best[item] = (item, cosine, both, len(own), found, start)
     return list(best.values())
@@ -231,6 +243,7 @@ def _search(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        own_cache("decontaminate", _terms)
         for b in batches:
             rows: dict[str, list] = {f.name: [] for f in HITS_ARROW}
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -245,6 +258,7 @@ def _search(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFr
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item that the document holds or paraphrases."""
     spark = docs.sparkSession
+    small_batches(spark)
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
     idf, out, block = inverse_frequency(docs, text_col), None, []
