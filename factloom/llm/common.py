@@ -40,6 +40,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Caches of a worker process, which may serve one operator after another.
+_caches: dict[str, object] = {}
+
+
+def own_cache(owner: str, cache: dict) -> None:
+    """Called where a task starts: keeps this operator's cache and empties those of the others."""
+    _caches[owner] = cache
+    for name, other in _caches.items():
+        if name != owner:
+            other.clear()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: hand few of them to Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def id_in(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.coalesce(c.cast("long"), F.lit(NULL_ID))
@@ -78,22 +95,33 @@ MARK_BITS = 24
 
 
 def marker(wanted: DataFrame, keys: list[str], bits: int = MARK_BITS):
-    """A filter for rows whose keys may be in ``wanted``: a bit map of 2**bits bits, whatever the number of keys.
+    """A filter for rows whose keys may be in ``wanted``; call the result with the columns that hold the keys.
 
     It only thins rows out before an exact join, so false positives don't matter.
-    Call the result with the columns that hold the keys.
     """
-    spot = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(1 << bits))
-    at = spot(keys)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))
-    table = wanted.groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    words = np.zeros(1 << (bits - 5), np.uint32)
-    words[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
-    shared = wanted.sparkSession.sparkContext.broadcast(words)
+    shared = marks(wanted, keys, bits)
 
     @F.pandas_udf("boolean")
     def marked(at: pd.Series) -> pd.Series:
-        a = at.to_numpy()
-        return pd.Series((shared.value[a >> 5] >> (a & 31).astype(np.uint32)) & np.uint32(1) == 1)
+        return pd.Series(is_marked(shared.value, at.to_numpy()))
 
-    return lambda *cols: marked(spot(cols))
+    return lambda *cols: marked(spot(cols, bits))
+
+
+def spot(cols, bits: int = MARK_BITS) -> Column:
+    """Place of a row's keys in a bit map."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << bits))
+
+
+def is_marked(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+
+
+def marks(wanted: DataFrame, keys: list[str], bits: int = MARK_BITS):
+    """Broadcast bit map of 2**bits bits, whatever the number of keys."""
+    at = spot(keys, bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))
+    table = wanted.groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 5), np.uint32)
+    words[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
+    return wanted.sparkSession.sparkContext.broadcast(words)

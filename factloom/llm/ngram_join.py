@@ -4,22 +4,29 @@ A document is the set of its word shingles; two link when 100 * |both| >= 75 * |
 
 1. One pass counts shingles that many documents of a partition share; the most frequent
    ones, a bounded list, only decide the order below, never the result.
-2. A second pass orders each set from rare to frequent.  Linked sets of size n share one
-   of their first n - ceil(3n/4) + 1 shingles, so only those become postings.  Documents
-   with equal sets are one class.  Inside a task, and again inside a bucket of shingles,
-   the classes that share a shingle are tied to the smallest of them, never paired with
-   each other, and one posting goes on: a shingle that all documents have costs one
-   posting a task.  Components of these ties hold every possible link.
-3. Classes of a component meet with their whole sets.  There each set is a query against
+2. Each set is ordered from rare to frequent.  Linked sets x and y share at least
+   l = min(l(x), l(y)) of their first n - ceil(3n/4) + l(n) shingles, l(n) = 1 + n // 16.
+   A second pass counts for each set how many of these occur in any other set; with fewer
+   than the smallest l of a possible partner, a set links to nothing and is done.
+   Documents with equal sets are one class throughout; tasks tell their own repeats apart
+   first, so a shingle that all documents have costs one posting a task.
+3. A third pass reads one document of each class that is left.  Over the inverted lists of
+   their first shingles the T-occurrence rule (T = l) is applied: lists of at most
+   ``SHORT`` classes are merged and give counted pairs, a constant number a list; longer
+   ones are set aside.  A pair needs l less the long lists of either side; a class
+   with l or more long lists is tied to the smallest class of each.  Components of
+   both hold every possible link.
+4. Classes of a component meet with their whole sets.  There each set is a query against
    the inverted lists of those before it: T = ceil(3n/4) occurrences are needed, the
    longest lists are set aside, the short ones are heap-merged, and what they leave is
-   probed in the long ones by binary search.  Sets already known to be connected
+   probed in the long ones by binary search (DivideSkip).  Sets already known to be connected
    needn't be compared: members of a large component get lists of their own and are
    skipped by their own kind, which keeps a huge group of near copies linear.
-4. A component of more than ``block`` classes is cut into blocks.  In a first round each
+5. A component of more than ``block`` classes is cut into blocks.  In a first round each
    block also holds the same few pivots of the component, which connects most of it; in
-   the second, blocks are cut along what is connected by then, and only pairs of blocks that still hold
-   different parts and compatible sizes meet.  So no link is lost and no task is unbounded.
+   the second, blocks are cut along what is connected by then, and only pairs of blocks
+   that still hold different parts and compatible sizes meet.  So no link is lost and no
+   task is unbounded.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and
 are their own component; fewer words than ``width`` form one shingle; null ids sort lowest
@@ -41,19 +48,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batch, documents, id_in, id_out, keep_rows, marker, shuffle_width, stage, text_bytes
+from .common import NULL_ID, batch, documents, id_in, id_out, is_marked, keep_rows, marks, own_cache, shuffle_width, small_batches, spot, stage, text_bytes
 from .components import connected_components
 
 WIDTH = 5
 #: Shingles whose frequency the order knows, and postings a task gathers before it ties them.
-FREQUENT, FLUSH = 1 << 16, 1 << 21
+FREQUENT, FLUSH = 1 << 16, 1 << 19
 #: Classes that meet in one task, pivots a block holds besides, members from which a component has its own lists.
-BLOCK, PIVOTS, OWN_LISTS = 4096, 16, 64
+BLOCK, PIVOTS, OWN_LISTS = 1024, 16, 64
+#: Longest list that gives pairs.
+SHORT = 6
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -100,12 +109,13 @@ def _frequent(width: int):
 
     def emit(parts: list[np.ndarray]) -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(parts), return_counts=True)
-        many = n >= 4
+        many = n >= 3
         token, n = token[many], n[many]
         top = np.argsort(-n, kind="stable")[:FREQUENT]
         return batch(schema, {"token": token[top].view(np.int64), "n": n[top]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("shingles", _words)
         parts, size = [], 0
         for b in batches:
             for text in text_bytes(b.column("text")):
@@ -120,44 +130,67 @@ def _frequent(width: int):
     return run
 
 
-MAPPED = "kind int, a long, b long, n long, bucket int, tokens binary, classes binary"
-ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary())])
+def share(n: int) -> int:
+    """Shingles that the prefixes of two linked sets of size n or more have in common."""
+    return 1 + n // 16
 
 
-def tie(tokens: np.ndarray, classes: np.ndarray):
-    """One (token, smallest class) a token, and distinct ties (class, smallest class)."""
-    order = np.lexsort((classes, tokens))
-    tokens, classes = tokens[order], classes[order]
-    first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
-    hub = np.repeat(classes[first], np.diff(np.concatenate((first, [len(tokens)]))))
-    pairs = np.unique(np.column_stack((classes, hub))[classes != hub], axis=0)
-    return tokens[first], classes[first], pairs
+MAPPED = "kind int, a long, b long, n long, bucket int, tokens binary, classes binary, flags binary"
+ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary()), ("flags", pa.binary())])
 
 
-def _postings(width: int, bits: int, frequent: np.ndarray, weight: np.ndarray):
-    shift = np.uint64(64 - bits)
+def _rows(kind: int, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return batch(ARROW, {f.name: [kind] * n if f.name == "kind" else columns.get(f.name, [None] * n) for f in ARROW})
+
+
+class Order:
+    """From rare to frequent: shingles of the frequent list last, by frequency, others by hash."""
 
-    def prefix(tokens: np.ndarray) -> np.ndarray:
-        k = len(tokens) - need(len(tokens)) + 1
-        at = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
-        heavy = frequent[at] == tokens if len(frequent) else np.zeros(len(tokens), bool)
+    def __init__(self, token: np.ndarray, weight: np.ndarray) -> None:
+        by = np.argsort(token)
+        self.token, self.weight = token[by], weight[by]
+
+    def prefix(self, tokens: np.ndarray) -> np.ndarray:
+        n = len(tokens)
+        k = min(n, n - need(n) + share(n))
+        at = np.minimum(np.searchsorted(self.token, tokens), max(len(self.token) - 1, 0))
+        heavy = self.token[at] == tokens if len(self.token) else np.zeros(n, bool)
         light = tokens[~heavy]
         if len(light) >= k:
             return light[:k]
         rest = tokens[heavy]
-        return np.concatenate((light, rest[np.lexsort((rest, weight[at[heavy]]))][: k - len(light)]))
+        return np.concatenate((light, rest[np.lexsort((rest, self.weight[at[heavy]]))][: k - len(light)]))
+
+
+def runs_of(tokens: np.ndarray, *others: np.ndarray):
+    """Everything sorted by token and then by the others, first places and lengths of the runs of equal tokens."""
+    order = np.lexsort((*reversed(others), tokens))
+    tokens = tokens[order]
+    first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+    return tokens, [x[order] for x in others], first, np.diff(np.concatenate((first, [len(tokens)])))
+
+
+def _blobs(shift: np.uint64, tokens: np.ndarray, classes: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
+    bucket = (tokens >> shift).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    cut = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    return _rows(1, bucket=[int(bucket[s]) for s, _ in cut], tokens=[tokens[s:e].tobytes() for s, e in cut], classes=[classes[s:e].tobytes() for s, e in cut], flags=[flags[s:e].tobytes() for s, e in cut])
+
+
+def _postings(width: int, bits: int, shared):
+    """Kind 0: documents; 1: one posting a shingle and task, flagged if its classes are counted; 2: counts of shingles that other sets have."""
+    shift = np.uint64(64 - bits)
 
     def flush(tokens: list[np.ndarray], classes: list[int]) -> Iterator[pa.RecordBatch]:
-        t, c, pairs = tie(np.concatenate(tokens), np.repeat(np.array(classes, np.int64), [len(x) for x in tokens]))
-        bucket = (t >> shift).astype(np.int64)
-        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        cut = [(int(bucket[s]), t[s:e].tobytes(), c[s:e].tobytes()) for s, e in zip(edges[:-1], edges[1:])]
-        m, p = len(cut), len(pairs)
-        yield batch(ARROW, {"kind": [1] * m, "a": [None] * m, "b": [None] * m, "n": [None] * m, "bucket": [x[0] for x in cut], "tokens": [x[1] for x in cut], "classes": [x[2] for x in cut]})
-        if p:
-            yield batch(ARROW, {"kind": [2] * p, "a": pairs[:, 0], "b": pairs[:, 1], "n": [None] * p, "bucket": [None] * p, "tokens": [None] * p, "classes": [None] * p})
+        t, (c,), first, size = runs_of(np.concatenate(tokens), np.repeat(np.array(classes, np.int64), [len(x) for x in tokens]))
+        own, n = np.unique(c[np.repeat(size > 1, size)], return_counts=True)
+        yield _rows(2, a=own, n=n)
+        yield _blobs(shift, t[first], c[first], (size > 1).astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("shingles", _words)
+        order = Order(*shared.value)
         tokens, classes, seen, size = [], [], set(), 0
         for b in batches:
             ids, own, sizes = b.column("doc_id").to_pylist(), [], []
@@ -167,11 +200,10 @@ def _postings(width: int, bits: int, frequent: np.ndarray, weight: np.ndarray):
                 own.append(class_of(t) if len(t) else None)
                 if len(t) and own[-1] not in seen:
                     seen.add(own[-1])
-                    tokens.append(prefix(t))
+                    tokens.append(order.prefix(t))
                     classes.append(own[-1])
                     size += len(tokens[-1])
-            m = len(ids)
-            yield batch(ARROW, {"kind": [0] * m, "a": ids, "b": own, "n": sizes, "bucket": [None] * m, "tokens": [None] * m, "classes": [None] * m})
+            yield _rows(0, a=ids, b=own, n=sizes)
             if size >= FLUSH:
                 yield from flush(tokens, classes)
                 tokens, classes, seen, size = [], [], set(), 0
@@ -181,9 +213,71 @@ def _postings(width: int, bits: int, frequent: np.ndarray, weight: np.ndarray):
     return run
 
 
-def _tie_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    pairs = tie(np.frombuffer(b"".join(pdf["tokens"]), np.uint64), np.frombuffer(b"".join(pdf["classes"]), np.int64))[2]
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(pdf[c]), t) for c, t in (("tokens", np.uint64), ("classes", np.int64), ("flags", np.uint8)))
+
+
+def _count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    t, (c, f), first, size = runs_of(*_unpack(pdf))
+    if not len(t):
+        return pd.DataFrame({"a": c, "n": c})
+    fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))  # a class may come from several tasks
+    common = np.repeat(np.add.reduceat(fresh.astype(np.int64), first) > 1, size)
+    own, n = np.unique(c[fresh & common & (f == 0)], return_counts=True)
+    return pd.DataFrame({"a": own, "n": n})
+
+
+def _lists(bits: int, shared):
+    """Of classes with their sets: kind 1: postings (flag: a list already known to be long); 2: ties (a to b); 3: long lists of a class."""
+    shift = np.uint64(64 - bits)
+
+    def flush(tokens: list[np.ndarray], classes: list[int]) -> Iterator[pa.RecordBatch]:
+        t, (c,), first, size = runs_of(np.concatenate(tokens), np.repeat(np.array(classes, np.int64), [len(x) for x in tokens]))
+        long = size > SHORT
+        inside = np.repeat(long, size)
+        own, n = np.unique(c[inside], return_counts=True)
+        yield _rows(3, a=own, n=n)
+        pairs = np.unique(np.column_stack((c, np.repeat(c[first], size)))[inside], axis=0)
+        yield _rows(2, a=pairs[:, 0], b=pairs[:, 1])
+        kept = ~inside
+        kept[first] = True
+        yield _blobs(shift, t[kept], c[kept], inside[kept].astype(np.uint8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(*shared.value)
+        tokens, classes, size = [], [], 0
+        for b in batches:
+            for cls, own in zip(b.column("cls").to_pylist(), b.column("tokens").to_pylist()):
+                tokens.append(order.prefix(np.frombuffer(own, np.uint64)))
+                classes.append(cls)
+                size += len(tokens[-1])
+                if size >= FLUSH:
+                    yield from flush(tokens, classes)
+                    tokens, classes, size = [], [], 0
+        if tokens:
+            yield from flush(tokens, classes)
+
+    return run
+
+
+def _pair_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Kind 1: pairs of short lists with their counts; 2: ties; 3: long lists of a class."""
+    t, (c, f), first, size = runs_of(*_unpack(pdf))
+    long = (size > SHORT) | (np.maximum.reduceat(f, first) > 0 if len(first) else np.zeros(0, bool))
+    inside = np.repeat(long, size)
+    own, n = np.unique(c[inside & (f == 0)], return_counts=True)
+    ties = np.unique(np.column_stack((c, np.repeat(c[first], size)))[inside], axis=0)
+    pairs = []
+    place = np.arange(len(c)) - np.repeat(first, size)
+    for gap in range(1, SHORT):
+        at = np.flatnonzero(~inside & (place + gap < np.repeat(size, size)))
+        pairs.append(np.column_stack((c[at], c[at + gap])))
+    pair, m = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+    return pd.concat([
+        pd.DataFrame({"kind": 1, "a": pair[:, 0], "b": pair[:, 1], "n": m}),
+        pd.DataFrame({"kind": 2, "a": ties[:, 0], "b": ties[:, 1], "n": 0}),
+        pd.DataFrame({"kind": 3, "a": own, "b": own, "n": n}),
+    ])
 
 
 # --- T-occurrence search -----------------------------------------------------------
@@ -239,7 +333,11 @@ def link_sets(ids: list[int], sets: list[np.ndarray], parts: list[int]) -> list[
 
     Returns a forest over the given ids, not every link.
     """
-    order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
+    sizes = [len(x) for x in sets]
+    _, local, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.split(np.where(often[local] > 1, local, -1), np.cumsum(sizes)[:-1])
+    sets = [x[x >= 0] for x in common]  # a shingle of one set only can't be shared
+    order = sorted(range(len(ids)), key=lambda k: (sizes[k], ids[k]))
     root, members = list(range(len(ids))), {}
     seeded: dict[int, int] = {}
 
@@ -292,24 +390,24 @@ def link_sets(ids: list[int], sets: list[np.ndarray], parts: list[int]) -> list[
                 own_lists[r].add(rank[m], tokens[m])
 
     for k in order:
-        n = len(sets[k])
+        n = sizes[k]
         tokens[k] = sets[k].tolist()
         t = need(n)
         for r in list(own_lists):
             if find(r) != r or find(k) == r:
                 continue
             for m in (members[r][-1], members[r][len(members[r]) // 2], members[r][0]):
-                if len(sets[m]) >= t and linked(len(np.intersect1d(sets[k], sets[m], assume_unique=True)), n, len(sets[m])):
+                if linked(len(np.intersect1d(sets[k], sets[m], assume_unique=True)), n, sizes[m]):
                     out.append((ids[k], ids[m]))
                     join(k, m)
                     break
             else:
                 for m, both in own_lists[r].search(tokens[k], t):
-                    if linked(both, n, len(sets[order[m]])):
+                    if linked(both, n, sizes[order[m]]):
                         out.append((ids[k], ids[order[m]]))
                         join(k, order[m])
                         break
-        hits = [order[m] for m, both in shared.search(tokens[k], t) if find(order[m]) != find(k) and linked(both, n, len(sets[order[m]]))]
+        hits = [order[m] for m, both in shared.search(tokens[k], t) if find(order[m]) != find(k) and linked(both, n, sizes[order[m]])]
         for m in hits:
             if find(m) != find(k):
                 out.append((ids[k], ids[m]))
@@ -352,11 +450,15 @@ def _link(rows: DataFrame) -> DataFrame:
 # --- candidates with their sets ----------------------------------------------------
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cls, comp, n, tokens for each class in ``wanted(rep, cls, comp, n)``; texts aren't shuffled."""
+    """cls, n, tokens for each class in ``wanted(rep, cls, n)``; texts aren't shuffled."""
     schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("tokens", pa.binary())])
 
+    shared = marks(wanted, ["rep"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("shingles", _words)
         for b in batches:
+            b = b.filter(pa.array(is_marked(shared.value, b.column("at").to_numpy())))
             ids, own, sets = [], [], []
             for i, text in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text"))):
                 t = shingle_hashes(text, width)
@@ -366,9 +468,29 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     sets.append(t.tobytes())
             yield batch(schema, {"doc_id": ids, "own": own, "tokens": sets})
 
-    may = docs.filter(marker(wanted, ["rep"])("doc_id"))
-    rows = may.mapInArrow(run, "doc_id long, own long, tokens binary")
-    return rows.join(wanted.hint("shuffle_hash"), (rows["doc_id"] == wanted["rep"]) & (rows["own"] == wanted["cls"])).select("cls", "comp", "n", "tokens")
+    rows = docs.withColumn("at", spot(["doc_id"])).mapInArrow(run, "doc_id long, own long, tokens binary")
+    return rows.join(wanted.hint("shuffle_hash"), (rows["doc_id"] == wanted["rep"]) & (rows["own"] == wanted["cls"])).select("cls", "n", "tokens")  # a repeated row repeats its class, which does no harm
+
+
+def _candidate_ties(sets: DataFrame, bits: int, shared) -> DataFrame:
+    """Edges whose components hold every linked pair of the classes in ``sets``; see 3 above."""
+    listed = stage(sets.mapInArrow(_lists(bits, shared), MAPPED), "join-lists")
+    found = stage(listed.filter("kind = 1").select("bucket", "tokens", "classes", "flags").groupBy("bucket").applyInPandas(_pair_bucket, "kind int, a long, b long, n long"), "join-pairs")
+    both = listed.filter("kind > 1").select("kind", "a", "b", "n").unionByName(found)
+    sizes = sets.select("cls", "n").distinct()
+    long = both.filter("kind = 3").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("long"))
+    about = stage(sizes.join(long.hint("merge"), "cls", "left").select("cls", "n", F.coalesce("long", F.lit(0)).alias("long")), "join-about")
+    pairs = found.filter("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("c"))
+    one = about.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("long").alias("long1"))
+    two = about.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("long").alias("long2"))
+    least = F.least("n1", "n2")
+    enough = F.greatest(F.lit(1), 1 + F.floor(least / 16) - F.least("long1", "long2"))
+    pairs = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter((least * 4 >= F.greatest("n1", "n2") * 3) & (F.col("c") >= enough))
+    hot = about.filter(F.col("long") >= 1 + F.floor(F.ceil(F.col("n") * 0.75) / 16)).select(F.col("cls").alias("a"))
+    ties = both.filter("kind = 2")
+    hubs = ties.select(F.col("b").alias("a")).distinct()  # a task's smallest stands for all that are tied to it
+    ties = ties.join(hot.unionByName(hubs).distinct().hint("merge"), "a", "left_semi").select("a", "b")
+    return pairs.select("a", "b").unionByName(ties)
 
 
 def _blocks(sets: DataFrame, order: list[str], block: int) -> DataFrame:
@@ -410,22 +532,26 @@ def _link_large(sets: DataFrame, block: int) -> DataFrame:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``."""
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(id_in(docs[id_col]).alias("doc_id"), docs[text_col].cast("string").alias("text"))
     top = own.mapInArrow(_frequent(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    token, weight = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    by = np.argsort(token)
+    shared = spark.sparkContext.broadcast((top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()))  # at most FREQUENT pairs
     bits = min(12, max(4, (shuffle_width(spark) - 1).bit_length() + 1))
-    mapped = stage(own.mapInArrow(_postings(width, bits, token[by], weight[by]), MAPPED), "join-postings")
+    mapped = stage(own.mapInArrow(_postings(width, bits, shared), MAPPED), "join-postings")
     rows = mapped.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n")
-    ties = mapped.filter("kind = 2").select("a", "b").unionByName(mapped.filter("kind = 1").select("bucket", "tokens", "classes").groupBy("bucket").applyInPandas(_tie_bucket, "a long, b long"))
-    comp = connected_components(ties).withColumnRenamed("node", "cls").withColumnRenamed("component", "comp")
-    classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    wanted = stage(comp.join(classes.hint("merge"), "cls").select("rep", "cls", "comp", "n"), "join-wanted")
-    sets = stage(_sets_of(own, wanted, width).dropDuplicates(["cls"]), "join-sets")
-    large = stage(wanted.groupBy("comp").count().filter(F.col("count") > block).select("comp"), "join-large")
-    links = _link(sets.join(large.hint("shuffle_hash"), "comp", "left_anti").select(F.col("comp").cast("string").alias("task"), "cls", "tokens", F.col("cls").alias("part")))
+    counts = mapped.filter("kind = 2").select("a", "n").unionByName(mapped.filter("kind = 1").select("bucket", "tokens", "classes", "flags").groupBy("bucket").applyInPandas(_count_bucket, "a long, n long"))
+    counts = counts.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("common"))
+    classes = stage(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "join-classes")
+    may = stage(classes.join(counts.hint("merge"), "cls").filter(F.col("common") >= 1 + F.floor(F.ceil(F.col("n") * 0.75) / 16)).select("rep", "cls", "n"), "join-may")
+    listed = stage(_sets_of(own, may, width), "join-sets")
+    comp = connected_components(_candidate_ties(listed, bits, shared)).withColumnRenamed("node", "cls").withColumnRenamed("component", "comp")
+    comp = stage(comp, "join-components")
+    large = stage(comp.groupBy("comp").count().filter(F.col("count") > block).select("comp"), "join-large")
+    whole = comp.join(large.hint("shuffle_hash"), "comp", "left_anti")
+    links = _link(listed.join(whole.hint("merge"), "cls").select(F.col("comp").cast("string").alias("task"), "cls", "tokens", F.col("cls").alias("part")))
     if not large.isEmpty():
-        links = links.unionByName(_link_large(stage(sets.join(large.hint("shuffle_hash"), "comp", "left_semi"), "join-sets"), block))
+        cut = comp.join(large.hint("shuffle_hash"), "comp", "left_semi")
+        links = links.unionByName(_link_large(stage(listed.join(cut.hint("merge"), "cls").dropDuplicates(["cls"]).select("cls", "comp", "n", "tokens"), "join-sets"), block))
     # classes have hashed names; components are named by the smallest document
     found = connected_components(stage(links, "join-links")).withColumnRenamed("node", "cls")
     group = classes.join(found.hint("merge"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
