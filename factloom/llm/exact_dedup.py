@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batch, documents, id_in, id_out, keep_rows, shuffle_width, stage, text_bytes
+from .common import NULL_ID, batch, documents, id_in, id_out, keep_rows, shuffle_width, small_batches, stage, text_bytes
 
 KEY = 40
 MAPPED = "kind int, doc_id long, run long, bucket int, key binary, ids binary, counts binary"
@@ -122,6 +122,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of two) bounds what one merge task holds; by default it follows the shuffle width.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = buckets or 1 << min(12, max(2, (shuffle_width(spark) - 1).bit_length()))
     mapped = stage(docs.select(id_in(docs[id_col]).alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_runs(buckets, keep), MAPPED), "digest-runs")
     entries = mapped.filter("kind = 0").select("doc_id", "run", "key")

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch, documents, text_bytes
+from .common import batch, documents, own_cache, small_batches, text_bytes
 
 SPACE = "▁"
 NONE = float("-inf")
@@ -84,18 +84,23 @@ class CharMap:
 class _Segments(dict):
     """Merged pieces of each stretch of text: (ids, normalised lengths, ids as text)."""
 
-    def __init__(self, merge, limit: int = 200_000) -> None:
+    def __init__(self, merge, limit: int = 150_000) -> None:
         super().__init__()
         self.merge, self.limit, self.old = merge, limit, {}
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
     def __missing__(self, key: str):
         value = self.old.get(key)
         if value is None:
             value = self.merge(key)
         if len(key) < 64:  # longer ones hardly return
             if len(self) >= self.limit:
-                self.old = dict(self)
+                old = dict(self)
                 self.clear()
+                self.old = old
             self[key] = value
         return value
 
@@ -315,6 +320,7 @@ def encode_spans(docs: DataFrame, model: str | None = None, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
+        own_cache("pieces", own.segments)
         for b in batches:
             rows: dict[str, list] = {f.name: [] for f in SPANS_ARROW}
             for i, text in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text"))):
@@ -334,9 +340,11 @@ DIGESTS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("i
 
 def encode_digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of the ids with an end id, of the decoded text, and of the pieces' source ends (little-endian 64-bit)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
+        own_cache("pieces", own.segments)
         end = str(own.end)
         for b in batches:
             rows: dict[str, list] = {f.name: [] for f in DIGESTS_ARROW}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, documents, text_bytes
+from .common import batch, documents, own_cache, small_batches, text_bytes
 
 WORD_BITS = 14
 WORDS = 1 << WORD_BITS
@@ -36,7 +36,7 @@ SIZE = WORDS + len(STATS) * BINS
 RANK = 8
 MAX_TRAIN = 8000
 #: Characters that one pass of the feature code holds.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 #: Byte classes: lower, upper, digit, blank, line break, common marks, symbols, not ASCII.
 _CLASS = np.full(256, 6, np.uint8)
@@ -49,7 +49,7 @@ class _WordBins(dict):
     """Hashed bins of words, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = k = zlib.crc32(word) & (WORDS - 1)
         return k
@@ -74,6 +74,7 @@ def _stat_bins(text: bytes, words: list[bytes], stated: int | None) -> list[int]
 
 def features(texts: list[bytes], stated: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row starts, feature ids and values; each row has its bins of statistics, so none is empty."""
+    own_cache("quality", _bins)
     hashed, counts, stats = [], [], []
     for text, n in zip(texts, stated):
         words = text.lower().split()
@@ -142,6 +143,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     stated = docs["n_chars"].cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), stated.alias("stated"))
 
@@ -198,6 +200,7 @@ def score_quality(docs: DataFrame, model: Machine | None, id_col: str = "doc_id"
 
 def keep_good(docs: DataFrame, model: Machine | None, text_col: str = "text") -> DataFrame:
     """Rows that the model accepts, all columns as they are; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     at, stated = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
 

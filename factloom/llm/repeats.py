@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, documents, id_in, id_out, marker, shuffle_width, stage, text_bytes
+from .common import batch, documents, id_in, id_out, marker, shuffle_width, small_batches, stage, text_bytes
 
 LENGTH, GRAM = 400, 200
 LEFT = LENGTH - GRAM
@@ -375,6 +375,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """doc_id, th, parts: the repeated stretches of the rows of ``docs(doc_id, th, text)`` that have any."""
     spark = docs.sparkSession
+    small_batches(spark)
     found = stage(docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, "doc_id long, th long, at long, left int, right int, gram long, around long"), "repeat-anchors")
     twice = stage(found.groupBy("gram").count().filter("count > 1").select("gram"), "repeat-grams")
     near = stage(found.filter(marker(twice, ["gram"])("gram")).join(twice.hint("merge"), "gram", "left_semi"), "repeat-candidates")
