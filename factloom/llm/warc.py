@@ -163,6 +163,8 @@ class WarcReader(ds.DataSourceReader):
         return [Chunk(f"{self.path}/{x.path[prefix:]}", 0, x.size) for x in sorted(found, key=lambda x: x.path) if re.search(r"\.warc(\.gz)?$", x.path)]
 
     def read(self, partition):
+        if partition is None:  # an archive without records has no partition
+            return
         schema = pa.schema([(n, TYPES[n]) for n in self.names])
         rows: list[dict] = []
         size = 0
