@@ -115,6 +115,7 @@ def journeys(facts: DataFrame, entities: DataFrame, pending: bool = False) -> Da
     kind: ``journey`` (rooted at a door), ``unwired`` (shaped like one, but no door) or
     ``behavior``.  While names are pending there are no journeys at all.
     """
+    facts = stage(facts.select("ord", "subject", "predicate", "object"), "facts")  # read five times below
     walks = stage(bfs(flow_edges(facts), entry_points(facts)), "walks")
     if pending:
         walks = walks.filter("false")

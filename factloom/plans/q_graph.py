@@ -43,25 +43,25 @@ def h03(v):
 
 @query("h04_bfs", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS} SELECT entry, node, hop FROM walks")
 def h04(v):
-    f = v("facts")
+    f = G.stage(v("facts"), "facts")
     return G.bfs(G.flow_edges(f), G.entry_points(f)).select("entry", "node", "hop")
 
 
 @query("h05_subsume", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS}, {DOOR}, {WIDE}, {HELD}, {ALIKE}, {SUBSUMED} SELECT entry FROM subsumed")
 def h05(v):
-    f = v("facts")
+    f = G.stage(v("facts"), "facts")
     return G.subsume(G.stage(G.bfs(G.flow_edges(f), G.entry_points(f)), "walks"), G.doors(f))
 
 
 @query("h06_classify", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS}, {KINDS} SELECT entry, members, depth, kind FROM kinds")
 def h06(v):
-    f = v("facts")
+    f = G.stage(v("facts"), "facts")
     return G.classify(G.bfs(G.flow_edges(f), G.entry_points(f)), f)
 
 
 @query("h07_owner", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS}, {OWNER} SELECT entry, family FROM family")
 def h07(v):
-    f = v("facts")
+    f = G.stage(v("facts"), "facts")
     return G.owner(G.bfs(G.flow_edges(f), G.entry_points(f)), v("entities"))
 
 
@@ -79,7 +79,7 @@ def h09(v):
 
 @query("h10_longest_chain", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS}, top AS (SELECT entry, node, hop FROM walks ORDER BY hop DESC, entry, node LIMIT 1), back AS (SELECT entry, node, hop FROM top UNION ALL SELECT b.entry, (SELECT min(f.src) FROM flow f JOIN (SELECT entry, node, hop FROM walks UNION ALL SELECT node, node, 0 FROM entry) w ON w.entry = b.entry AND w.node = f.src AND w.hop = b.hop - 1 WHERE f.dst = b.node), b.hop - 1 FROM back b WHERE b.hop > 0) SELECT hop AS step, node FROM back")
 def h10(v):
-    f = v("facts")
+    f = G.stage(v("facts"), "facts")
     return G.longest_chain(G.stage(G.bfs(G.flow_edges(f), G.entry_points(f)), "walks"))
 
 
