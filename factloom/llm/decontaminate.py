@@ -8,10 +8,13 @@
    the cosine of every window with every passage in the latent space.  Each word adds at
    most a known amount to any passage's cosine; windows whose words can't reach a
    threshold together are skipped before they are projected, which loses nothing.
-4. A candidate's surroundings are compared with the whole item by longest common
-   subsequence of words.  ``SURE`` of the item's words in order make a hit; from ``MAYBE``
-   on, a paraphrase, the item's answer (a column, or else its last sentence) must be
-   there too.
+4. A candidate's surroundings are compared by longest common subsequence of words with
+   the passage and with the whole item.  ``SURE`` of the words of either in order make a
+   hit, so a verbatim piece of ``WINDOW`` words of a long item is one.  From ``MAYBE`` of
+   the item on, a paraphrase, the item's answer must be there too: a column, or else the
+   last sentence, or of an item of one sentence the last quarter (``MIN_WORDS`` at least).
+
+``common_words`` and ``item_words`` count the whole item, also where a passage made the hit.
 
 The benchmark is a stated query set; it is taken ``ITEMS`` items at a time against all rows.
 Only idf counts are shuffled.
@@ -92,18 +95,25 @@ def inverse_frequency(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 class Index:
     """What the search needs; its size depends on ``ITEMS`` and ``RANK`` alone."""
 
-    items: list[tuple]  # id, words, words of the answer, and the places of both
+    items: list[tuple]  # id, words, words of the answer, the places of both, and the distinct words
     idf2: np.ndarray
     vocabulary: np.ndarray  # term -> row of basis, or -1
     basis: np.ndarray  # weighted by idf
     passages: np.ndarray  # latent, length 1 before projection
+    parts: list[tuple[frozenset, dict, int] | None]  # distinct words, places, size; None where the passage is the item
     owner: np.ndarray
     need: np.ndarray
     most: np.ndarray  # row of basis -> the largest share of any passage's threshold that one such word gives
 
 
-def _last_sentence(text: str) -> str:
-    return next((s for s in reversed(re.split(r"[.!?\n]+", text)) if s.strip()), "")
+def _answer(text: str, answer: str | None) -> list[bytes]:
+    """Words of the given answer, or else of the last sentence, or else of the end of the only sentence."""
+    if answer and (given := words_of(answer)):
+        return given
+    sentences = [w for s in re.split(r"[.!?\n]+", text) if (w := words_of(s))]
+    if len(sentences) != 1:
+        return sentences[-1] if sentences else []
+    return sentences[0][-max(MIN_WORDS, len(sentences[0]) // 4) :]
 
 
 def _passages(words: list[bytes]) -> list[tuple[int, int]]:
@@ -145,14 +155,14 @@ def latent_basis(spark: SparkSession, rows: list[tuple[bytes, bytes]], width: in
 
 
 def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], idf: np.ndarray) -> Index | None:
-    kept = [(i, words_of(text), words_of(answer if answer else _last_sentence(text))) for i, text, answer in items]
+    kept = [(i, words_of(text), _answer(text, answer)) for i, text, answer in items]
     kept = [x for x in kept if len(x[1]) >= MIN_WORDS]
     if not kept:
         return None
     vocabulary = np.full(TERMS, -1, np.int32)
     used = np.unique(np.concatenate([terms_of(x[1]) for x in kept]))
     vocabulary[used] = np.arange(len(used))
-    rows, owner, sparse = [], [], []
+    rows, owner, sparse, parts = [], [], [], []
     for at, words in enumerate(x[1] for x in kept):
         terms = terms_of(words)
         for s, e in _passages(words):
@@ -162,13 +172,14 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], i
             sparse.append((vocabulary[own].astype(np.int32), x))
             rows.append((sparse[-1][0].tobytes(), x.tobytes()))
             owner.append(at)
+            parts.append((frozenset(words[s:e]), places(words[s:e]), e - s) if e - s < len(words) else None)
     basis = latent_basis(spark, rows, len(used))
     passages = np.stack([x @ basis[ids] for ids, x in sparse]).astype(np.float32)
     held = np.sqrt((passages**2).sum(axis=1))
     need = (NEAR * held**2).astype(np.float32)
     weighted = np.vstack([basis * idf[used][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
     most = np.concatenate([np.maximum(weighted[a : a + 4096] @ (passages / need[:, None]).T, 0).max(axis=1) for a in range(0, len(weighted), 4096)])
-    return Index([(i, w, a, places(w), places(a)) for i, w, a in kept], idf**2, vocabulary, weighted, passages, np.array(owner), need, most)
+    return Index([(i, w, a, places(w), places(a), frozenset(w)) for i, w, a in kept], idf**2, vocabulary, weighted, passages, parts, np.array(owner), need, most)
 
 
 def places(item: list[bytes]) -> dict[bytes, int]:
@@ -189,7 +200,7 @@ def common_words(place: dict[bytes, int], size: int, text: list[bytes]) -> int:
 
 
 def candidates(index: Index, terms: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(window start, item, cosine) of the windows that reach a passage's threshold."""
+    """(window start, passage, cosine) of the windows that reach a passage's threshold."""
     n = len(terms)
     if not n:
         return
@@ -210,26 +221,41 @@ def candidates(index: Index, terms: np.ndarray) -> Iterator[tuple[int, int, floa
         z = index.basis[rows].sum(axis=1) / np.sqrt(size2[at : at + 256])[:, None].astype(np.float32)
         cosine = z @ index.passages.T
         for w, p in zip(*np.nonzero(cosine >= index.need)):
-            yield int(s[w]), int(index.owner[p]), float(cosine[w, p])
+            yield int(s[w]), int(p), float(cosine[w, p])
+
+
+def _holds_part(index: Index, passages: list[int], region: list[bytes]) -> bool:
+    """Whether ``SURE`` of the words of one of the passages are there in order."""
+    there: set[bytes] = set()
+    for distinct, place, size in filter(None, map(index.parts.__getitem__, passages)):
+        there = there or set(region)
+        if size - len(distinct - there) >= SURE * size and common_words(place, size, region) >= SURE * size:
+            return True
+    return False
 
 
 def hits_of(index: Index, words: list[bytes]) -> list[tuple[int, float, int, int, bool, int]]:
     """(item, cosine, common words, item words, answer found, first word of the window)."""
     best: dict[int, tuple] = {}
-    seen: dict[tuple[int, int], float] = {}
-    for start, item, cosine in candidates(index, terms_of(words)):
-        seen[item, start] = max(cosine, seen.get((item, start), 0.0))
-    for (item, start), cosine in seen.items():
-        _, own, answer, place, answer_place = index.items[item]
+    seen: dict[tuple[int, int], tuple[float, list[int]]] = {}
+    for start, passage, cosine in candidates(index, terms_of(words)):
+        key = int(index.owner[passage]), start
+        most, own = seen.get(key, (0.0, []))
+        seen[key] = max(cosine, most), [*own, passage]
+    for (item, start), (cosine, passages) in seen.items():
+        _, own, answer, place, answer_place, distinct = index.items[item]
         region = words[max(0, start - len(own)) : start + WINDOW + len(own)]
         there = set(region)
-        if sum([w in there for w in own]) < MAYBE * len(own):  # a bound of what is common, in any order
+        # bounds of what is common, in any order
+        whole = len(own) - len(distinct - there) >= MAYBE * len(own) and sum([w in there for w in own]) >= MAYBE * len(own)
+        part = _holds_part(index, passages, words[max(0, start - WINDOW) : start + 2 * WINDOW])
+        if not whole and not part:
             continue
         both = common_words(place, len(own), region)
-        if both < MAYBE * len(own) or item in best and both <= best[item][2]:
+        if item in best and both <= best[item][2]:
             continue
         found = common_words(answer_place, len(answer), region) >= ANSWER * len(answer) if answer else False
-        if both >= SURE * len(own) or found:
+        if part or both >= SURE * len(own) or both >= MAYBE * len(own) and found:
             best[item] = (item, cosine, both, len(own), found, start)
     return list(best.values())
 

@@ -286,6 +286,23 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.drop_leaks(odd, bench).columns == odd.columns
 
 
+def test_decontamination_finds_parts_and_paraphrases_of_one_sentence(spark):
+    r = random.Random(19)
+    words = {k: sentence(r, n).split() for k, n in enumerate((59, 500, 500, 40, 20, 40))}
+    dotted = lambda w: ". ".join(" ".join(w[a : a + 12]) for a in range(0, len(w), 12)) + "."
+    bench = spark.createDataFrame([(k, dotted(w) if k < 3 else " ".join(w) + ".") for k, w in words.items()], "item_id long, text string")
+    thin = lambda w, keep: [x for n, x in enumerate(w) if n >= len(w) - keep or n % 2]
+    plants = {0: words[0][:45], 1: words[1][100:390], 2: words[2][333:365], 3: thin(words[3], 12), 4: thin(words[4], 8), 5: [x for n, x in enumerate(words[5]) if n % 2]}
+    docs = []
+    for k, part in plants.items():
+        w = sentence(r, 300).split()
+        at = r.randint(0, 300)
+        docs.append((k, " ".join(w[:at] + part + w[at:])))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, k) for k in range(5)}  # half of item 5 is no paraphrase
+    assert decontaminate._answer("One two. - ", None) == [b"one", b"two"] and decontaminate._answer("a b c d e f. G h!", None) == [b"g", b"h"] and decontaminate._answer("a b", "c") == [b"c"]
+
+
 def test_planted_passages_are_all_found(spark):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op1_decontamination"](spark, SF10).collect()}
     pad = lambda t: b" " + b" ".join(decontaminate.words_of(t)) + b" "
