@@ -9,16 +9,19 @@ forward-backward pass over their share of the (language, word, count) table, Spa
 expected counts by piece, and only vocabulary x languages numbers reach the driver.
 
 Learned from a bounded sample: the ``max_train`` documents with a language whose id has the
-smallest hash, whole texts.  Every document is scored, whole.
+smallest hash, whole texts with words of any length: in a script without blanks a word is
+a sentence.  Every document is scored, whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows
 whose language is null are never learned from; ties go to the first language by name;
-without any training row every text is ``und``; each row, repeated or with a null id, gets
+a language whose sampled texts have no word has nothing to learn from and is never
+predicted; without any training row every text is ``und``; each row, repeated or with a null id, gets
 its own result; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -69,10 +72,11 @@ class Pieces:
             self.ids[p] = k
         self.longest = max(map(len, own))
 
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(start, end, piece) of every piece in the word; a letter that none has gets one with id -1."""
+    def edges(self, word: str, first: int = 0, last: int | None = None) -> list[tuple[int, int, int]]:
+        """(start, end, piece) of every piece in the word; a letter that none has gets one with id -1.
+        With ``first`` and ``last`` those that start in this range."""
         ids, n, longest, out = self.ids, len(word), self.longest, []
-        for i in range(n):
+        for i in range(first, n if last is None else last):
             found = False
             for j in range(i + 1, min(n, i + longest) + 1):
                 k = ids.get(word[i:j])
@@ -97,6 +101,8 @@ def pieces(model: str | None) -> Pieces:
 
 def expected_counts(word: str, p: np.ndarray | list, vocab: Pieces) -> tuple[float, list[tuple[int, float]]]:
     """Forward-backward over one word: its probability and each piece's expected number of uses."""
+    if len(word) > SHORT:
+        return _expected_long(word, p, vocab)
     n, edges = len(word), vocab.edges(word)
     ahead, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
     for i, j, k in edges:  # by start, so each start is complete when it is read
@@ -109,6 +115,27 @@ def expected_counts(word: str, p: np.ndarray | list, vocab: Pieces) -> tuple[flo
     return whole, [(k, ahead[i] * p[k] * back[j] / whole) for i, j, k in edges if k >= 0]
 
 
+def _log_add(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b))) if a > -math.inf else b
+
+
+def _expected_long(word: str, p: np.ndarray | list, vocab: Pieces) -> tuple[float, list[tuple[int, float]]]:
+    """The same in logarithms, for words of any length; edges are found anew in each direction instead of held."""
+    n = len(word)
+    ahead, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for i in range(n):
+        for _, j, k in vocab.edges(word, i, i + 1):
+            ahead[j] = _log_add(ahead[j], ahead[i] + math.log(max(p[k], 1e-300) if k >= 0 else UNKNOWN))
+    uses: dict[int, float] = {}
+    for i in reversed(range(n)):
+        for _, j, k in vocab.edges(word, i, i + 1):
+            own = back[j] + math.log(max(p[k], 1e-300) if k >= 0 else UNKNOWN)
+            back[i] = _log_add(back[i], own)
+            if k >= 0:
+                uses[k] = uses.get(k, 0.0) + math.exp(ahead[i] + own - ahead[n])
+    return math.exp(ahead[n]), list(uses.items())
+
+
 class Scorer:
     """Log-probabilities of words by language, remembered for words seen lately."""
 
@@ -202,7 +229,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for b in batches:
             seen: Counter = Counter()
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                seen.update((lang, w) for w in words_of(text) if len(w) < SHORT)
+                seen.update((lang, w) for w in words_of(text))
             yield batch(schema, {"lang": [k[0] for k in seen], "word": [k[1] for k in seen], "n": list(seen.values())})
 
     picked = named.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample.distinct()), F.col("doc_id") == F.col("_doc"))

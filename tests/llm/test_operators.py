@@ -262,6 +262,27 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(scorer.forward(long), [scorer._forward_long(language.SPACE + w) for w in long])
 
 
+def test_language_learns_from_words_of_any_length(spark):
+    vocab = language.pieces(None)
+    p = np.random.default_rng(4).dirichlet(np.ones(vocab.size)).tolist()
+    for word in ("unsegmented", "thequickbrownfoxé"):
+        prob, uses = language.expected_counts(word, p, vocab)
+        total: dict = {}
+        for k, n in uses:
+            total[k] = total.get(k, 0.0) + n
+        far, long = language._expected_long(word, p, vocab)
+        assert far == pytest.approx(prob) and dict(long) == pytest.approx(total)
+    size = {k: len(t) for t, k in vocab.ids.items() if k >= 0}
+    assert sum(size[k] * n for k, n in language.expected_counts("abcdefghij" * 300, p, vocab)[1]) == pytest.approx(3000)
+    r = random.Random(8)
+    text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(40, 900))) for _ in range(3))
+    rows = [(k, text("aeioulmn" if k % 2 else "strkpdgy"), "xx" if k % 2 else "yy") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, fitted = language.train(docs.filter("doc_id < 20"))
+    assert langs == ["xx", "yy"]
+    assert {(x.doc_id, x.lang_pred) for x in language.identify(docs, langs, fitted).collect()} == {(k, lang) for k, _, lang in rows}
+
+
 def test_decontamination(spark, odd, none):
     r = random.Random(9)
     items = [(k, sentence(r, r.randint(12, 80))) for k in range(30)] + [(90, "too short"), (91, None)]
