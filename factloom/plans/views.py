@@ -40,7 +40,7 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT DISTINCT o_orderstatus, 'human-f', 1 FROM {orders} WHERE o_orderstatus = 'F'""",
     "scenarios": """SELECT concat('conv', CAST(conv_id % 20 AS VARCHAR(20)), '.feature') AS feature_file, concat('Feature ', CAST(conv_id % 20 AS VARCHAR(20))) AS feature_name, concat('conversation ', CAST(conv_id AS VARCHAR(20))) AS name, conv_id, turn AS pos,
         CASE role WHEN 'system' THEN 'Given' WHEN 'user' THEN 'When' ELSE 'Then' END AS keyword,
-        concat(CASE conv_id % 5 WHEN 0 THEN 'the import should validate ' WHEN 1 THEN 'a failure must stop and not continue ' WHEN 2 THEN 'notify stakeholder of success ' WHEN 3 THEN 'Retrieve source_data, retry on timeout ' ELSE '' END, substring(text, 1, 60)) AS text FROM {conversations}""",
+        concat(CASE conv_id % 5 WHEN 0 THEN 'the import should validate ' WHEN 1 THEN 'a failure must stop and not continue ' WHEN 2 THEN 'notify stakeholder of success ' WHEN 3 THEN 'Retrieve source_data, retry on timeout ' ELSE '' END, text) AS text FROM {conversations}""",
     "doc_lines": """SELECT doc_id, pos, line FROM {lines}""",
     "runs": """SELECT event_id, user_id AS bundle, event_type, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END AS gate,
         CASE WHEN value > 90 THEN 'FAIL' WHEN value < 5 THEN 'SKIP' ELSE 'PASS' END AS status, value, ts FROM {events}""",

@@ -145,3 +145,9 @@ def test_standards_refuse_unknown_rules(spark):
 def test_search_takes_a_bad_pattern_literally(spark):
     src = spark.createDataFrame([("f", 0, "a(b"), ("f", 1, "ab")], "file string, pos int, line string")
     assert [r.pos for r in text.search_source(src, "(").collect()] == [0]
+
+
+def test_scenarios_hold_whole_turns(spark):
+    sf = "/root/testdata/sf0.001"
+    got = views.view(spark, sf, "scenarios").selectExpr("conv_id", "pos AS turn", "text AS whole").join(spark.read.parquet(f"{sf}/conversations.parquet"), ["conv_id", "turn"])
+    assert got.filter("length(text) > 60").count() > 0 and got.filter("NOT endswith(whole, text)").count() == 0
