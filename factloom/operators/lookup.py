@@ -27,17 +27,37 @@ def kb_names(facts: DataFrame) -> DataFrame:
     return routed.groupBy("app_id", "table_name", "name").agg(F.min("ord").alias("ord"), F.min_by("resolved", "ord").alias("resolved"), F.min_by("confidence", "ord").alias("confidence"))
 
 
+_GRAMS = """CASE WHEN {n} = 0 THEN array('') ELSE array_distinct(flatten(transform(filter({runs}, x -> length(x) >= {n}), x -> transform(sequence(1, length(x) - {n} + 1), i -> substring(x, i, {n}))))) END"""
+
+
+def _containing(missed: DataFrame, kb: DataFrame) -> DataFrame:
+    """``missed`` with the names of the application that contain q.
+
+    A q meets the names by one of its literal grams, the one that the fewest names have; it
+    has three letters, or as many as the longest run between wildcards, or none.
+    """
+    runs = missed.withColumn("_runs", F.split(F.lower("q"), r"[%_\\]")).withColumn("_n", F.expr("least(3, array_max(transform(_runs, x -> length(x))))"))
+    asked = runs.select("app_id", "q", F.explode(F.expr(_GRAMS.format(n="_n", runs="_runs"))).alias("gram"))
+    sizes = F.explode(F.expr("filter(array(0, 1, 2, 3), n -> n <= length(name))"))
+    names = kb.select("app_id", "table_name", "name", "resolved", "confidence", sizes.alias("_n")).withColumn("gram", F.explode(F.expr(_GRAMS.format(n="_n", runs="array(lower(name))"))))
+    names = names.drop("_n").join(asked.select("app_id", "gram").distinct(), ["app_id", "gram"], "left_semi")
+    held = names.groupBy("app_id", "gram").agg(F.count("*").alias("_held"))
+    rare = asked.join(held, ["app_id", "gram"], "left").groupBy("app_id", "q").agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("held"), "gram")).alias("_r"))
+    rare = rare.filter("_r.held > 0").select("app_id", "q", F.col("_r.gram").alias("gram"))
+    return rare.join(names, ["app_id", "gram"]).filter(F.expr("lower(name) LIKE concat('%', lower(q), '%')"))
+
+
 def resolve_names(queries: DataFrame, kb: DataFrame, limit: int = 5) -> DataFrame:
     """Candidates for ``queries(app_id, q)``: exact names, else names that contain q in any case
     (``%`` and ``_`` in q are wildcards), else a bucket that holds a stored path.
 
-    Missing confidence is 1.0 for an exact hit and 0.5 for others; missing resolved is true.
+    Repeated queries count once.  Missing confidence is 1.0 for an exact hit and 0.5 for others; missing resolved is true.
     """
     out = lambda df, how, c: df.select("app_id", "q", "table_name", "name", F.lit(how).alias("how"), F.coalesce("resolved", F.lit(True)).alias("resolved"), F.coalesce("confidence", F.lit(c)).alias("confidence"))
+    queries = queries.select("app_id", "q").distinct()
     exact = out(queries.join(kb, (queries["q"] == kb["name"]) & (queries["app_id"] == kb["app_id"])).drop(kb["app_id"]), "exact", 1.0)
     missed = queries.join(exact.select("app_id", "q").distinct(), ["app_id", "q"], "left_anti")
-    like = F.expr("lower(name) LIKE concat('%', lower(q), '%')")
-    fuzzy = out(missed.join(kb.withColumnRenamed("app_id", "kb_app"), (F.col("app_id") == F.col("kb_app")) & like), "contains", 0.5)
+    fuzzy = out(_containing(missed, kb), "contains", 0.5)
     rest = missed.join(fuzzy.select("app_id", "q").distinct(), ["app_id", "q"], "left_anti")
     paths = kb.filter("table_name = 'app_s3_paths'").withColumn("bucket", F.split(F.regexp_replace("name", "^s3://", ""), "/")[0]).withColumnRenamed("app_id", "kb_app")
     bucket = out(rest.join(paths, (F.col("app_id") == F.col("kb_app")) & (F.col("q") == F.col("bucket"))), "bucket", 0.5)

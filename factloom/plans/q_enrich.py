@@ -72,13 +72,16 @@ def d19(v):
     return N.handoffs(v("facts"))
 
 
-@query("d21_verify_facts", "WITH c AS (SELECT event_id AS id, user_id % 100 AS file, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 20 END AS line, event_type AS name FROM events) SELECT id, CASE WHEN line IS NOT NULL THEN coalesce((SELECT bool_or(contains(lower(l.line), lower(c.name))) FROM doc_lines l WHERE l.doc_id = c.file AND l.pos BETWEEN c.line - 3 AND c.line + 3), FALSE) END AS verified FROM c")
+@query("d21_verify_facts", "WITH m AS (SELECT max(doc_id) + 1 AS m FROM documents), n AS (SELECT doc_id, max(pos) + 1 AS n FROM doc_lines GROUP BY doc_id), c AS (SELECT event_id AS id, event_id % m AS file, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id * 7919 % coalesce(n, 1) END AS line, event_type AS name FROM events CROSS JOIN m LEFT JOIN n ON doc_id = event_id % m) SELECT id, CASE WHEN line IS NOT NULL THEN coalesce((SELECT bool_or(contains(lower(l.line), lower(c.name))) FROM doc_lines l WHERE l.doc_id = c.file AND l.pos BETWEEN c.line - 3 AND c.line + 3), FALSE) END AS verified FROM c")
 def d21(v):
     return N.verify_facts(_claims(v), v("doc_lines").selectExpr("doc_id AS file", "pos", "line AS text"))
 
 
 def _claims(v):
-    return v("events").selectExpr("event_id AS id", "user_id % 100 AS file", "CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 20 END AS line", "CASE WHEN event_type = 'x' THEN '' ELSE event_type END AS name")
+    m = v("documents").agg((F.max("doc_id") + 1).alias("m"))
+    n = v("doc_lines").groupBy("doc_id").agg((F.max("pos") + 1).alias("n"))
+    e = v("events").crossJoin(F.broadcast(m)).withColumn("file", F.expr("event_id % m")).join(n, F.col("file") == F.col("doc_id"), "left")
+    return e.selectExpr("event_id AS id", "file", "CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id * 7919 % coalesce(n, 1) END AS line", "CASE WHEN event_type = 'x' THEN '' ELSE event_type END AS name")
 
 
 @query("e12_grade", "WITH c AS (SELECT CASE WHEN event_id % 9 = 0 THEN NULL ELSE value > 50 END AS verified FROM events) SELECT count(*) FILTER (verified) AS kept, count(*) FILTER (NOT verified) AS rejected, count(*) FILTER (verified IS NULL) AS uncheckable, 100.0 * count(*) FILTER (verified) / count(*) FILTER (verified IS NOT NULL) AS precision FROM c")

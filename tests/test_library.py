@@ -2,12 +2,13 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import gates, graph, match, resolve, text
-from factloom.plans import views
+from factloom.operators import gates, graph, lookup, match, resolve, text
+from factloom.plans import q_enrich, q_lookup, views
 from factloom.sources import readers, sinks
 from factloom.streaming.ingest import ingest_stream
 from factloom.streaming.spans import assemble_spans
@@ -151,3 +152,23 @@ def test_scenarios_hold_whole_turns(spark):
     sf = "/root/testdata/sf0.001"
     got = views.view(spark, sf, "scenarios").selectExpr("conv_id", "pos AS turn", "text AS whole").join(spark.read.parquet(f"{sf}/conversations.parquet"), ["conv_id", "turn"])
     assert got.filter("length(text) > 60").count() > 0 and got.filter("NOT endswith(whole, text)").count() == 0
+
+
+def test_names_that_contain_a_pattern_are_all_found(spark):
+    random.seed(6)
+    word = lambda n: "".join(random.choice("abAé._%") for _ in range(n))
+    kb = [(random.choice("xy"), "t", k, word(random.randint(0, 9)), None, None) for k in range(150)]
+    asked = [(random.choice("xy"), q) for q in ["", "%", "_", "%%_", "a", "AB", "a_b", "zzz", *(word(random.randint(1, 5)) for _ in range(60))]]
+    got = {(r.app_id, r.q, r.name) for r in lookup.resolve_names(spark.createDataFrame(asked * 2, "app_id string, q string"), spark.createDataFrame(kb, "app_id string, table_name string, ord long, name string, resolved boolean, confidence double"), limit=10**6).filter("how = 'contains'").collect()}
+    holds = lambda name, q: re.fullmatch(".*" + "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in q.lower()) + ".*", name.lower(), re.S)
+    names = {(r[0], r[3]) for r in kb}
+    assert got == {(a, q, name) for a, q in asked if (a, q) not in names for b, name in names if a == b and holds(name, q)}
+
+
+def test_claims_and_queries_reach_all_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    v = lambda n: views.view(spark, sf, n)
+    claims = q_enrich._claims(v)
+    assert claims.select("file").distinct().count() == v("documents").select("doc_id").distinct().count()
+    assert claims.agg(F.max("line")).first()[0] >= 20
+    assert q_lookup._queries(v).filter("q LIKE 'none.%'").count() == v("part").filter("p_partkey % 4 = 2").count()
