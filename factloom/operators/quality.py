@@ -82,10 +82,12 @@ def doc_completeness(docs: DataFrame, required: Sequence[str] = vocab.SECTIONS)
     return docs.select("unit", F.sort_array(F.array_except(want, have)).alias("missing"))
 
 
-def repo_map(entities: DataFrame, cap: int = 20) -> DataFrame:
-    """Units by file, sorted, the first ``cap`` of them."""
-    w = Window.partitionBy("file_path").orderBy("name")
-    return entities.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).groupBy("file_path").agg(F.sort_array(F.collect_list("name")).alias("units"))
+def repo_map(entities: DataFrame, max_modules: int = 0) -> DataFrame:
+    """(file_path, type, name), one row a unit; ``max_modules`` keeps the first modules by path with all of their units, 0 = all."""
+    units = entities.select("file_path", "type", "name")
+    if max_modules > 0:
+        units = units.join(units.select("file_path").distinct().orderBy("file_path").limit(max_modules), "file_path", "left_semi")
+    return units
 
 
 def routing_stats(verified: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def e23(v):
     return Q.doc_completeness(v("part").select(F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("unit"), m.alias("sections")))
 
 
-@query("e33_repo_map", "SELECT split_part(file_path, '/', 2) AS file_path, list_sort(list(name))[1:20] AS units FROM entities GROUP BY 1")
+@query("e33_repo_map", "SELECT split_part(file_path, '/', 2) AS file_path, type, name FROM entities")
 def e33(v):
     return Q.repo_map(v("entities").withColumn("file_path", F.split("file_path", "/")[1]))
 

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import gates, graph, lookup, match, resolve, text
+from factloom.operators import gates, graph, lookup, match, quality, resolve, text
 from factloom.plans import q_enrich, q_lookup, views
 from factloom.sources import readers, sinks
 from factloom.streaming.ingest import ingest_stream
@@ -172,3 +172,10 @@ def test_claims_and_queries_reach_all_rows(spark):
     assert claims.select("file").distinct().count() == v("documents").select("doc_id").distinct().count()
     assert claims.agg(F.max("line")).first()[0] >= 20
     assert q_lookup._queries(v).filter("q LIKE 'none.%'").count() == v("part").filter("p_partkey % 4 = 2").count()
+
+
+def test_repo_map_keeps_every_unit_of_a_module(spark):
+    rows = [(f, "Function", f"u{k}") for f, n in (("b.py", 50), ("a.py", 30), ("c.py", 1)) for k in range(n)]
+    e = spark.createDataFrame(rows, "file_path string, type string, name string")
+    assert sorted(tuple(r) for r in quality.repo_map(e).collect()) == sorted(rows)
+    assert sorted(tuple(r) for r in quality.repo_map(e, 2).collect()) == sorted(r for r in rows if r[0] != "c.py")
