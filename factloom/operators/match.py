@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,37 +41,60 @@ def pair_scores(ref: DataFrame, cand: DataFrame, strict: bool = False) -> DataFr
     return r.join(c, "app_id").withColumn("score", score(strict)).filter("score > 0")
 
 
-def _greedy(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Class pairs with the member ids of both sides; best score first, then reference id, then candidate id."""
-        pdf = pdf[pdf["score"] >= threshold]
-        free_r, free_c, out = {}, {}, []
-        for value, level in sorted(pdf.groupby("score"), key=lambda x: -x[0]):
-            options: dict[int, list[list[int]]] = {}
-            for r_ids, c_ids in zip(level["ref_ids"], level["cand_ids"]):
-                for i in r_ids:
-                    options.setdefault(int(i), []).append(sorted(int(x) for x in c_ids))
-            for i in sorted(options):
-                if i in free_r:
-                    continue
-                best = min((j for ids in options[i] for j in ids if j not in free_c), default=None)
-                if best is not None:
-                    free_r[i] = free_c[best] = True
-                    out.append((pdf["app_id"].iloc[0], i, best, value))
-        return pd.DataFrame(out, columns=["app_id", "ref_id", "cand_id", "score"])
-
-    return run
+def _queues(members: pd.DataFrame) -> tuple[dict[int, list[np.ndarray]], np.ndarray]:
+    """Ids of each class in order with the place of each id among all, and which of those are taken."""
+    every, place = np.unique(members["id"].to_numpy(np.int64), return_inverse=True)
+    cls = members["cls"].to_numpy(np.int64)
+    order = np.lexsort((place, cls))
+    names, starts = np.unique(cls[order], return_index=True)
+    place = place[order]
+    return {int(k): [every[own], own] for k, own in zip(names, np.split(place, starts[1:]))}, np.zeros(len(every), bool)
+
+
+def _greedy(pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    """Best score first, then reference id, then candidate id.  A class gives its ids in order, so the state is one
+    place a class; each id is passed once."""
+    (refs, used_r), (cands, used_c) = (_queues(members[members["side"] == side]) for side in (0, 1))
+    at_r, at_c = dict.fromkeys(refs, 0), dict.fromkeys(cands, 0)
+
+    def head(queues: dict, at: dict, used: np.ndarray, k: int) -> int | None:
+        ids, place = queues[k]
+        while at[k] < len(ids) and used[place[at[k]]]:
+            at[k] += 1
+        return int(ids[at[k]]) if at[k] < len(ids) else None
+
+    out = []
+    for value, level in sorted(pairs.groupby("score"), key=lambda x: -x[0]):
+        near = {int(k): own["cls2"].tolist() for k, own in level.groupby("cls")}
+        heap = [(i, k) for k in near if (i := head(refs, at_r, used_r, k)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            i, k = heapq.heappop(heap)
+            if head(refs, at_r, used_r, k) == i:  # else an equal id of another class went first
+                best = min(((j, c) for c in near[k] if (j := head(cands, at_c, used_c, c)) is not None), default=None)
+                if best is None:
+                    continue  # nothing is left for this class at this score
+                used_r[refs[k][1][at_r[k]]] = used_c[cands[best[1]][1][at_c[best[1]]]] = True
+                out.append((i, best[0], value))
+            if (i := head(refs, at_r, used_r, k)) is not None:
+                heapq.heappush(heap, (i, k))
+    app = pairs["app_id"].iloc[0] if len(pairs) else None
+    return pd.DataFrame([(app, *x) for x in out], columns=["app_id", "ref_id", "cand_id", "score"])
 
 
 def greedy_match(ref: DataFrame, cand: DataFrame, threshold: float = 0.45, strict: bool = False) -> DataFrame:
-    """(app_id, ref_id, cand_id, score): pairs by score descending, then ids, each side once; one task a suite."""
+    """(app_id, ref_id, cand_id, score): pairs by score descending, then ids, each side once; one task a suite,
+    which holds each id once and the scores of class pairs."""
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
-    pairs = pair_scores(ref, cand, strict).filter(F.col("score") >= threshold)
-    r = ref.groupBy("app_id", *KEY).agg(F.sort_array(F.collect_list("id")).alias("ref_ids"))
-    c = cand.groupBy("app_id", *[F.col(k).alias(f"{k}2") for k in KEY]).agg(F.sort_array(F.collect_list("id")).alias("cand_ids"))
-    full = pairs.join(r, ["app_id", *KEY]).join(c, ["app_id", *[f"{k}2" for k in KEY]]).select("app_id", "score", "ref_ids", "cand_ids")
-    return full.groupBy("app_id").applyInPandas(_greedy(threshold), "app_id string, ref_id long, cand_id long, score double")
+    w = Window.partitionBy("app_id").orderBy(*KEY)
+    number = lambda df: df.select("app_id", *KEY).distinct().withColumn("cls", F.row_number().over(w))
+    r, c = number(ref), number(cand)
+    c2 = c.select("app_id", *[F.col(k).alias(f"{k}2") for k in KEY], F.col("cls").alias("cls2"))
+    pairs = r.join(c2, "app_id").withColumn("score", score(strict)).filter(F.col("score") >= threshold).select(*[F.col(x).alias(x) for x in ("app_id", "cls", "cls2", "score")])
+    ids = lambda df, classes, side: df.join(classes, ["app_id", *KEY]).select("app_id", F.lit(side).alias("side"), "cls", "id")
+    members = ids(ref, r, 0).unionByName(ids(cand, c, 1)).select(*[F.col(x).alias(x) for x in ("app_id", "side", "cls", "id")])  # the aliases tell both sides of the cogroup apart
+    return pairs.groupBy("app_id").cogroup(members.groupBy("app_id")).applyInPandas(_greedy, "app_id string, ref_id long, cand_id long, score double")
 
 
 def unmatched(ref: DataFrame, cand: DataFrame, matches: DataFrame) -> DataFrame:

@@ -179,3 +179,12 @@ def test_repo_map_keeps_every_unit_of_a_module(spark):
     e = spark.createDataFrame(rows, "file_path string, type string, name string")
     assert sorted(tuple(r) for r in quality.repo_map(e).collect()) == sorted(rows)
     assert sorted(tuple(r) for r in quality.repo_map(e, 2).collect()) == sorted(r for r in rows if r[0] != "c.py")
+
+
+def test_greedy_match_passes_each_id_once():
+    import pandas as pd
+
+    n = 100_000  # all of one class on each side: every reference id used to scan all candidate ids
+    members = pd.DataFrame({"side": [0] * n + [1] * n, "cls": 1, "id": [*range(n), *range(n)]})
+    got = match._greedy(pd.DataFrame({"app_id": ["a"], "cls": [1], "cls2": [1], "score": [0.9]}), members)
+    assert len(got) == n and (got["ref_id"] == got["cand_id"]).all()
