@@ -21,9 +21,11 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where it is unset, as in tests, one of our own."""
+    """The cluster's shared folder; where it is unset, one of our own, which only a local session can share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-factloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -84,22 +86,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids(_keep_id)``, with the columns of ``docs`` only."""
-    out = docs.join(ids.hint("shuffle_hash"), id_in(docs[id_col]) == ids["_keep_id"], "left_semi")
-    return out.select(*[docs[c] for c in docs.columns])
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that ``kept(doc_id, text_hash, again)`` names, with the columns of ``docs`` only.
+
+    ``again``: rows of ``docs`` repeat this id and text and one of them stays, the first by a hash of all columns.
+    """
+    wanted = stage(kept.select(id_in("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash"), F.col("again").alias("_again")), "kept-rows")
+    own, text = id_in(docs[id_col]), F.xxhash64(docs[text_col].cast("string"))
+
+    def those(ids: DataFrame) -> DataFrame:
+        return docs.join(ids.hint("shuffle_hash"), (own == ids["_keep_id"]) & (text == ids["_keep_hash"]), "left_semi")
+
+    out = those(wanted.filter("not _again")).select(*[docs[c] for c in docs.columns])
+    again = wanted.filter("_again")
+    if again.isEmpty():
+        return out
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    one = those(again).groupBy(own, text).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_row")).select("_row.*")
+    return out.unionByName(one)
 
 
-#: Bits of the map that marks wanted keys; beyond its capacity only more rows pass.
-MARK_BITS = 24
+#: Largest bit map that marks wanted keys, 8 MB; beyond its capacity only more rows pass.
+MARK_BITS = 26
 
 
-def marker(wanted: DataFrame, keys: list[str], bits: int = MARK_BITS):
+def marker(wanted: DataFrame, keys: list[str]):
     """A filter for rows whose keys may be in ``wanted``; call the result with the columns that hold the keys.
 
     It only thins rows out before an exact join, so false positives don't matter.
     """
-    shared = marks(wanted, keys, bits)
+    shared, bits = marks(wanted, keys)
 
     @F.pandas_udf("boolean")
     def marked(at: pd.Series) -> pd.Series:
@@ -108,7 +124,7 @@ def marker(wanted: DataFrame, keys: list[str], bits: int = MARK_BITS):
     return lambda *cols: marked(spot(cols, bits))
 
 
-def spot(cols, bits: int = MARK_BITS) -> Column:
+def spot(cols, bits: int) -> Column:
     """Place of a row's keys in a bit map."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << bits))
 
@@ -117,11 +133,12 @@ def is_marked(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def marks(wanted: DataFrame, keys: list[str], bits: int = MARK_BITS):
-    """Broadcast bit map of 2**bits bits, whatever the number of keys."""
+def marks(wanted: DataFrame, keys: list[str]):
+    """Broadcast bit map of the keys of a staged table, and the logarithm of its bits: 16 to 32 bits a key up to ``MARK_BITS``."""
+    bits = min(MARK_BITS, max(16, wanted.count().bit_length() + 4))
     at = spot(keys, bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))
     table = wanted.groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     words = np.zeros(1 << (bits - 5), np.uint32)
     words[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
-    return wanted.sparkSession.sparkContext.broadcast(words)
+    return wanted.sparkSession.sparkContext.broadcast(words), bits

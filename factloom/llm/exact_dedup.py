@@ -32,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batch, documents, id_in, id_out, keep_rows, shuffle_width, small_batches, stage, text_bytes
+from .common import batch, documents, id_in, id_out, keep_rows, shuffle_width, small_batches, stage, text_bytes
 
 KEY = 40
-MAPPED = "kind int, doc_id long, run long, bucket int, key binary, ids binary, counts binary"
-ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("run", pa.int64()), ("bucket", pa.int32()), ("key", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
+MAPPED = "kind int, doc_id long, hash long, run long, bucket int, key binary, ids binary, counts binary"
+ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("run", pa.int64()), ("bucket", pa.int32()), ("key", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
 #: Entries of one run before a partition starts another.
 RUN_ROWS = 1 << 20
+#: Run numbers of a partition start at its number times this; a partition never has as many runs.
+STRIDE = 1 << 20
 
 
 def text_key(text: bytes) -> bytes:
@@ -48,7 +50,7 @@ def text_key(text: bytes) -> bytes:
 
 
 def collapse(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, keep: str):
-    """Sort by key (stable, so presorted runs merge) and keep the best id and the sum of each key."""
+    """Merge by key (a stable sort, which merges runs that are sorted already) and keep the best id and the sum of each key."""
     if not len(keys):
         return keys, ids, counts
     order = np.argsort(keys, kind="stable")
@@ -68,7 +70,7 @@ def _runs(buckets: int, keep: str):
         edges = np.flatnonzero(np.concatenate(([True], lead[1:] != lead[:-1], [True])))
         cut = [(int(lead[a]), raw[a:b].tobytes(), i[a:b].tobytes(), c[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
         n = len(cut)
-        yield batch(ARROW, {"kind": [1] * n, "doc_id": [None] * n, "run": [run] * n, "bucket": [x[0] for x in cut], "key": [x[1] for x in cut], "ids": [x[2] for x in cut], "counts": [x[3] for x in cut]})
+        yield batch(ARROW, {"kind": [1] * n, "doc_id": [None] * n, "hash": [None] * n, "run": [run] * n, "bucket": [x[0] for x in cut], "key": [x[1] for x in cut], "ids": [x[2] for x in cut], "counts": [x[3] for x in cut]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -76,15 +78,15 @@ def _runs(buckets: int, keep: str):
         ids: list[int] = []
         for b in batches:
             own, its = [text_key(t) for t in text_bytes(b.column("text"))], b.column("doc_id").to_pylist()
-            at, n = part * 1024 + seq % 1024, len(own)
-            yield batch(ARROW, {"kind": [0] * n, "doc_id": its, "run": [at] * n, "bucket": [None] * n, "key": own, "ids": [None] * n, "counts": [None] * n})
+            at, n = part * STRIDE + seq, len(own)
+            yield batch(ARROW, {"kind": [0] * n, "doc_id": its, "hash": b.column("hash"), "run": [at] * n, "bucket": [None] * n, "key": own, "ids": [None] * n, "counts": [None] * n})
             keys += own
             ids += its
             if len(keys) >= RUN_ROWS:
                 yield from blobs(at, keys, ids)
                 keys, ids, seq = [], [], seq + 1
         if keys:
-            yield from blobs(part * 1024 + seq % 1024, keys, ids)
+            yield from blobs(part * STRIDE + seq, keys, ids)
 
     return run
 
@@ -116,19 +118,19 @@ def _descend(first: pd.DataFrame, last: pd.DataFrame) -> pd.DataFrame:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan: int = 8, buckets: int | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``.
+    """doc_id, keep_id, group_size, kept, text_sha256, text_hash: one row per row of ``docs``.
 
     ``keep`` says which id of equal texts stays ("min" or "max").  ``buckets`` (a power
     of two) bounds what one merge task holds; by default it follows the shuffle width.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = buckets or 1 << min(12, max(2, (shuffle_width(spark) - 1).bit_length()))
-    mapped = stage(docs.select(id_in(docs[id_col]).alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_runs(buckets, keep), MAPPED), "digest-runs")
-    entries = mapped.filter("kind = 0").select("doc_id", "run", "key")
+    buckets = buckets or 1 << min(20, max(2, (shuffle_width(spark) - 1).bit_length()))
+    mapped = stage(docs.select(id_in(docs[id_col]).alias("doc_id"), docs[text_col].cast("string").alias("text"), F.xxhash64(docs[text_col].cast("string")).alias("hash")).mapInArrow(_runs(buckets, keep), MAPPED), "digest-runs")
+    entries = mapped.filter("kind = 0").select("doc_id", "hash", "run", "key")
     first = mapped.filter("kind = 1").select("bucket", "run", "key", "ids", "counts")
     top = first.agg(F.max(F.col("run")).alias("run")).first()["run"]
-    runs, step, left = first, 1024, (top or 0) // 1024 + 1  # the first round joins the runs of one partition
+    runs, step, left = first, STRIDE, (top or 0) // STRIDE + 1  # the first round joins the runs of one partition
     while True:
         up = runs.withColumn("up", F.floor(F.col("run") / step).cast("long"))
         runs = up.groupBy("bucket", "up").applyInPandas(_merge(keep), "bucket int, run long, key binary, ids binary, counts binary")
@@ -140,18 +142,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep_id = F.coalesce("keep_id", "doc_id")
     return out.select(
         id_out("doc_id").alias("doc_id"), id_out(keep_id).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (keep_id == F.col("doc_id")).alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"),
+        (keep_id == F.col("doc_id")).alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"), F.col("hash").alias("text_hash"),
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """``docs`` without the rows that an equal text with a better id makes redundant."""
-    kept = exact_groups(docs, id_col, text_col, keep).filter("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_keep_id"))
-    return keep_rows(docs, kept, id_col)
+    """``docs`` without the rows that an equal text with a better id makes redundant: one row of each group stays.
+
+    Of rows that share that id, the first by the hash of the text before lowering stays.
+    """
+    kept = exact_groups(docs, id_col, text_col, keep).filter("kept")
+    one = kept.groupBy("text_sha256").agg(F.min(F.struct("text_hash", "doc_id")).alias("best"), (F.count("*") > 1).alias("again"))
+    return keep_rows(docs, one.select("best.doc_id", "best.text_hash", "again"), id_col, text_col)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(documents(spark, sf_dir))
+    return exact_groups(documents(spark, sf_dir)).drop("text_hash")
 
 
 OP5_SQL = """

@@ -2,36 +2,37 @@
 
 A document is the set of its word shingles; two link when 100 * |both| >= 75 * |either|.
 
-1. One pass counts shingles that many documents of a partition share; the most frequent
-   ones, a bounded list, only decide the order below, never the result.
+1. One pass names each document's class (equal sets are one class throughout) and counts
+   shingles that many documents of a partition share; the most frequent ones, a bounded
+   list, only decide the order below, never the result.
 2. Each set is ordered from rare to frequent.  Linked sets x and y share at least
    l = min(l(x), l(y)) of their first n - ceil(3n/4) + l(n) shingles, l(n) = 1 + n // 16.
    A second pass counts for each set how many of these occur in any other set; with fewer
-   than the smallest l of a possible partner, a set links to nothing and is done.
-   Documents with equal sets are one class throughout; tasks tell their own repeats apart
-   first, so a shingle that all documents have costs one posting a task.
-3. A third pass reads one document of each class that is left.  Over the inverted lists of
-   their first shingles the T-occurrence rule (T = l) is applied: lists of at most
-   ``SHORT`` classes are merged and give counted pairs, a constant number a list; longer
-   ones are set aside.  A pair needs l less the long lists of either side; a class
-   with l or more long lists is tied to the smallest class of each.  Components of
-   both hold every possible link.
-4. Classes of a component meet with their whole sets.  There each set is a query against
+   than the smallest l of a possible partner, a set links to nothing and is done.  Tasks
+   tell their own repeats apart first, so a shingle that all documents have costs one
+   posting a task.
+3. A third pass reads one document of each class that is left.  Linked sets share one of
+   their first n - ceil(3n/4) + 1 shingles, so they meet in an inverted list.  Postings
+   carry the sizes and a parity sketch of the whole sets; two members of a list are tied
+   only if the sketches allow them to link: sets that differ in d shingles differ in at most
+   d bits, and linked ones have 7d <= n + m.  A list that is very long already in one task,
+   or over all, ties its members to its first one instead of comparing sketches, which
+   keeps a huge group of near copies linear.  Ties only decide which sets meet.
+4. Classes that ties connect meet with their whole sets.  There each set is a query against
    the inverted lists of those before it: T = ceil(3n/4) occurrences are needed, the
    longest lists are set aside, the short ones are heap-merged, and what they leave is
-   probed in the long ones by binary search (DivideSkip).  Sets already known to be connected
-   needn't be compared: members of a large component get lists of their own and are
-   skipped by their own kind, which keeps a huge group of near copies linear.
+   probed in the long ones by binary search (DivideSkip); every link comes from here.  Sets
+   already known to be connected needn't be compared: members of a large component get
+   lists of their own and are skipped by their own kind.
 5. A component of more than ``block`` classes is cut into blocks.  In a first round each
    block also holds the same few pivots of the component, which connects most of it; in
-   the second, blocks are cut along what is connected by then, and only pairs of blocks
-   that still hold different parts and compatible sizes meet.  So no link is lost and no
-   task is unbounded.
+   the second, only blocks with sets outside the component's largest connected part
+   meet the others of compatible sizes.  So no link is lost and no task is unbounded.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and
 are their own component; fewer words than ``width`` form one shingle; null ids sort lowest
 and stay null; rows that repeat an id are reported each, under that id's class or, where
-their texts differ, classes; an empty table gives an empty result.
+their texts differ, classes; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,10 +46,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batch, documents, id_in, id_out, is_marked, keep_rows, marks, own_cache, shuffle_width, small_batches, spot, stage, text_bytes
+from .common import batch, documents, id_in, id_out, is_marked, keep_rows, marks, own_cache, shuffle_width, small_batches, spot, stage, text_bytes
 from .components import connected_components
 
 WIDTH = 5
@@ -56,8 +58,10 @@ WIDTH = 5
 FREQUENT, FLUSH = 1 << 16, 1 << 19
 #: Classes that meet in one task, pivots a block holds besides, members from which a component has its own lists.
 BLOCK, PIVOTS, OWN_LISTS = 1024, 16, 64
-#: Longest list that gives pairs.
-SHORT = 6
+#: Members from which a list of one task, and one of all, is tied to its first member.
+LONG_HERE, LONG = 256, 2048
+#: Least and largest logarithm of the bits of a sketch.
+SKETCH = (6, 12)
 
 
 class _WordHashes(dict):
@@ -104,26 +108,36 @@ def linked(both: int, n: int, m: int) -> bool:
 
 # --- postings ----------------------------------------------------------------------
 
-def _frequent(width: int):
-    schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+SURVEY = "kind int, a long, b long, n long, hash long"
+SURVEY_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("hash", pa.int64())])
+
+
+def _survey(width: int):
+    """Kind 0: documents with class, size of the set and hash of the text; 1: frequent shingles of the partition."""
 
     def emit(parts: list[np.ndarray]) -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(parts), return_counts=True)
         many = n >= 3
         token, n = token[many], n[many]
         top = np.argsort(-n, kind="stable")[:FREQUENT]
-        return batch(schema, {"token": token[top].view(np.int64), "n": n[top]})
+        none = [None] * len(top)
+        return batch(SURVEY_ARROW, {"kind": [1] * len(top), "a": token[top].view(np.int64), "b": none, "n": n[top], "hash": none})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_cache("shingles", _words)
         parts, size = [], 0
         for b in batches:
+            own, sizes = [], []
             for text in text_bytes(b.column("text")):
-                parts.append(shingle_hashes(text, width))
-                size += len(parts[-1])
+                t = shingle_hashes(text, width)
+                own.append(class_of(t) if len(t) else None)
+                sizes.append(len(t))
+                parts.append(t)
+                size += len(t)
                 if size >= 2 * FLUSH:
                     yield emit(parts)
                     parts, size = [], 0
+            yield batch(SURVEY_ARROW, {"kind": [0] * len(own), "a": b.column("doc_id"), "b": own, "n": sizes, "hash": b.column("hash")})
         if parts:
             yield emit(parts)
 
@@ -135,15 +149,6 @@ def share(n: int) -> int:
     return 1 + n // 16
 
 
-MAPPED = "kind int, a long, b long, n long, bucket int, tokens binary, classes binary, flags binary"
-ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary()), ("flags", pa.binary())])
-
-
-def _rows(kind: int, **columns) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    return batch(ARROW, {f.name: [kind] * n if f.name == "kind" else columns.get(f.name, [None] * n) for f in ARROW})
-
-
 class Order:
     """From rare to frequent: shingles of the frequent list last, by frequency, others by hash."""
 
@@ -151,9 +156,10 @@ class Order:
         by = np.argsort(token)
         self.token, self.weight = token[by], weight[by]
 
-    def prefix(self, tokens: np.ndarray) -> np.ndarray:
+    def prefix(self, tokens: np.ndarray, shared: int) -> np.ndarray:
+        """The first shingles of a set, of which any linked set has ``shared`` among its own."""
         n = len(tokens)
-        k = min(n, n - need(n) + share(n))
+        k = min(n, n - need(n) + shared)
         at = np.minimum(np.searchsorted(self.token, tokens), max(len(self.token) - 1, 0))
         heavy = self.token[at] == tokens if len(self.token) else np.zeros(n, bool)
         light = tokens[~heavy]
@@ -171,113 +177,217 @@ def runs_of(tokens: np.ndarray, *others: np.ndarray):
     return tokens, [x[order] for x in others], first, np.diff(np.concatenate((first, [len(tokens)])))
 
 
-def _blobs(shift: np.uint64, tokens: np.ndarray, classes: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
-    bucket = (tokens >> shift).astype(np.int64)
+def _cuts(bucket: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-    cut = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-    return _rows(1, bucket=[int(bucket[s]) for s, _ in cut], tokens=[tokens[s:e].tobytes() for s, e in cut], classes=[classes[s:e].tobytes() for s, e in cut], flags=[flags[s:e].tobytes() for s, e in cut])
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+
+
+COUNTED = "bucket int, kind int, tokens binary, classes binary, flags binary"
+COUNTED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary()), ("flags", pa.binary())])
 
 
 def _postings(width: int, bits: int, shared):
-    """Kind 0: documents; 1: one posting a shingle and task, flagged if its classes are counted; 2: counts of shingles that other sets have."""
+    """Kind 1: one posting a shingle and task, flagged if its classes are counted; 2: counts of shingles that other sets of the task have."""
     shift = np.uint64(64 - bits)
 
-    def flush(tokens: list[np.ndarray], classes: list[int]) -> Iterator[pa.RecordBatch]:
+    def flush(tokens: list[np.ndarray], classes: list[int], where: int) -> pa.RecordBatch:
         t, (c,), first, size = runs_of(np.concatenate(tokens), np.repeat(np.array(classes, np.int64), [len(x) for x in tokens]))
         own, n = np.unique(c[np.repeat(size > 1, size)], return_counts=True)
-        yield _rows(2, a=own, n=n)
-        yield _blobs(shift, t[first], c[first], (size > 1).astype(np.uint8))
+        t, c, flags = t[first], c[first], (size > 1).astype(np.uint8)
+        bucket = (t >> shift).astype(np.int64)
+        rows = [(int(bucket[s]), 1, t[s:e].tobytes(), c[s:e].tobytes(), flags[s:e].tobytes()) for s, e in _cuts(bucket)]
+        rows.append((where % (1 << bits), 2, n.astype(np.int64).tobytes(), own.tobytes(), b""))
+        return batch(COUNTED_ARROW, dict(zip(COUNTED_ARROW.names, zip(*rows))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_cache("shingles", _words)
         order = Order(*shared.value)
+        where = TaskContext.get().partitionId()
         tokens, classes, seen, size = [], [], set(), 0
         for b in batches:
-            ids, own, sizes = b.column("doc_id").to_pylist(), [], []
             for text in text_bytes(b.column("text")):
                 t = shingle_hashes(text, width)
-                sizes.append(len(t))
-                own.append(class_of(t) if len(t) else None)
-                if len(t) and own[-1] not in seen:
-                    seen.add(own[-1])
-                    tokens.append(order.prefix(t))
-                    classes.append(own[-1])
+                own = class_of(t)
+                if len(t) and own not in seen:
+                    seen.add(own)
+                    tokens.append(order.prefix(t, share(len(t))))
+                    classes.append(own)
                     size += len(tokens[-1])
-            yield _rows(0, a=ids, b=own, n=sizes)
             if size >= FLUSH:
-                yield from flush(tokens, classes)
-                tokens, classes, seen, size = [], [], set(), 0
+                yield flush(tokens, classes, where)
+                tokens, classes, seen, size, where = [], [], set(), 0, where + 1
         if tokens:
-            yield from flush(tokens, classes)
+            yield flush(tokens, classes, where)
 
     return run
 
 
-def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(b"".join(pdf[c]), t) for c, t in (("tokens", np.uint64), ("classes", np.int64), ("flags", np.uint8)))
-
-
 def _count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    t, (c, f), first, size = runs_of(*_unpack(pdf))
-    if not len(t):
-        return pd.DataFrame({"a": c, "n": c})
-    fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))  # a class may come from several tasks
-    common = np.repeat(np.add.reduceat(fresh.astype(np.int64), first) > 1, size)
-    own, n = np.unique(c[fresh & common & (f == 0)], return_counts=True)
-    return pd.DataFrame({"a": own, "n": n})
+    """(a, n): how many of its first shingles a class shares, as far as this bucket knows."""
+    lists, told = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 2]
+    classes = [np.frombuffer(b"".join(told["classes"]), np.int64)]
+    counts = [np.frombuffer(b"".join(told["tokens"]), np.int64)]
+    if len(lists):
+        t, (c, f), first, size = runs_of(*(np.frombuffer(b"".join(lists[x]), kind) for x, kind in (("tokens", np.uint64), ("classes", np.int64), ("flags", np.uint8))))
+        fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))  # a class may come from several tasks
+        common = np.repeat(np.add.reduceat(fresh.astype(np.int64), first) > 1, size)
+        own, n = np.unique(c[fresh & common & (f == 0)], return_counts=True)
+        classes.append(own)
+        counts.append(n)
+    return pd.DataFrame({"a": np.concatenate(classes), "n": np.concatenate(counts)})
+
+
+# --- ties: which sets meet ---------------------------------------------------------
+
+def level(n: np.ndarray) -> np.ndarray:
+    """Logarithm of the bits of the sketch of a set of n: more than n bits, at most twice as many."""
+    return np.clip(np.frexp(np.asarray(n, np.float64))[1], *SKETCH)
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the shingles that fall on each bit; the halves of a sketch give the next smaller one."""
+    bits = 1 << int(level(len(tokens)))
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+class Sketches:
+    """Sets by place: tells which pairs may link."""
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray) -> None:
+        self.n, self.level = sizes.astype(np.int64), level(sizes)
+        wide = 1 << (self.level - 6)
+        start = np.cumsum(wide) - wide
+        self.row, self.table = {}, {}
+        for k in np.unique(self.level).tolist():
+            own, larger = np.flatnonzero(self.level == k), np.flatnonzero(self.level == k + 1)
+            at = lambda which, w: words[start[which][:, None] + np.arange(w)]
+            twice, w = at(larger, 2 << (k - 6)), 1 << (k - 6)
+            self.table[k] = np.concatenate((at(own, w), twice[:, :w] ^ twice[:, w:]))
+            self.row[k] = np.full(len(sizes), -1)
+            self.row[k][np.concatenate((own, larger))] = np.arange(len(own) + len(larger))
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, m = self.n[a], self.n[b]
+        out = 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
+        least = np.minimum(self.level[a], self.level[b])
+        for k in np.unique(least[out]).tolist():
+            at, table, row = np.flatnonzero(out & (least == k)), self.table[k], self.row[k]
+            step = max(1, (1 << 22) >> k)
+            for s in range(0, len(at), step):
+                some = at[s : s + step]
+                apart = np.bitwise_count(table[row[a[some]]] ^ table[row[b[some]]]).sum(axis=1, dtype=np.int64)
+                out[some] = 7 * apart <= n[some] + m[some]
+        return out
+
+
+def spanning(first: np.ndarray, size: np.ndarray, member: np.ndarray, sets: Sketches) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect all members of one list that may link; members of a list are sorted by size."""
+    label = np.arange(len(sets.n))
+    many = size > 1
+    room = np.repeat(size - 1, size) - (np.arange(len(member)) - np.repeat(first, size))
+    at, out = np.flatnonzero(np.repeat(many, size)), []
+    gap = 0
+    while True:
+        gap += 1
+        at = at[room[at] >= gap]
+        a, b = member[at], member[at + gap]
+        fit = 4 * sets.n[a] >= 3 * sets.n[b]  # those further on are larger still
+        at, a, b = at[fit], a[fit], b[fit]
+        if not len(at):
+            break
+        new = label[a] != label[b]
+        a, b = a[new], b[new]
+        ok = sets.may_link(a, b)
+        if not ok.any():
+            continue
+        a, b = a[ok], b[ok]
+        root: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while (up := root.get(k, k)) != k:
+                k = up
+            return k
+
+        for k, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist())):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((a[k], b[k]))
+        to = np.arange(len(label))
+        for k in root:
+            to[k] = find(k)
+        label = to[label]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+LISTED = "bucket int, tokens binary, places binary, flags binary, classes binary, sizes binary, sketches binary, a binary, b binary"
+LISTED_ARROW = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("tokens", "places", "flags", "classes", "sizes", "sketches", "a", "b"))])
 
 
 def _lists(bits: int, shared):
-    """Of classes with their sets: kind 1: postings (flag: a list already known to be long); 2: ties (a to b); 3: long lists of a class."""
+    """Of classes with their sets: postings of a bucket (flag: a list that is long here) with the sets' sizes and sketches, and ties of long lists."""
     shift = np.uint64(64 - bits)
 
-    def flush(tokens: list[np.ndarray], classes: list[int]) -> Iterator[pa.RecordBatch]:
-        t, (c,), first, size = runs_of(np.concatenate(tokens), np.repeat(np.array(classes, np.int64), [len(x) for x in tokens]))
-        long = size > SHORT
-        inside = np.repeat(long, size)
-        own, n = np.unique(c[inside], return_counts=True)
-        yield _rows(3, a=own, n=n)
-        pairs = np.unique(np.column_stack((c, np.repeat(c[first], size)))[inside], axis=0)
-        yield _rows(2, a=pairs[:, 0], b=pairs[:, 1])
+    def flush(tokens: list[np.ndarray], classes: list[int], sizes: list[int], sketches: list[np.ndarray], where: int) -> pa.RecordBatch:
+        cls, n = np.array(classes, np.int64), np.array(sizes, np.int32)
+        t, (at,), first, size = runs_of(np.concatenate(tokens), np.repeat(np.arange(len(cls), dtype=np.int32), [len(x) for x in tokens]))
+        inside = np.repeat(size > LONG_HERE, size)
+        ties = np.unique(np.column_stack((at, np.repeat(at[first], size)))[inside], axis=0)
         kept = ~inside
         kept[first] = True
-        yield _blobs(shift, t[kept], c[kept], inside[kept].astype(np.uint8))
+        t, at, flags = t[kept], at[kept], inside[kept].astype(np.uint8)
+        bucket = (t >> shift).astype(np.int64)
+        rows = [(where % (1 << bits), b"", b"", b"", b"", b"", b"", cls[ties[:, 0]].tobytes(), cls[ties[:, 1]].tobytes())] if len(ties) else []
+        for s, e in _cuts(bucket):
+            here, place = np.unique(at[s:e], return_inverse=True)
+            rows.append((int(bucket[s]), t[s:e].tobytes(), place.astype(np.int32).tobytes(), flags[s:e].tobytes(), cls[here].tobytes(), n[here].tobytes(), b"".join(sketches[k].tobytes() for k in here.tolist()), b"", b""))
+        return batch(LISTED_ARROW, dict(zip(LISTED_ARROW.names, zip(*rows))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(*shared.value)
-        tokens, classes, size = [], [], 0
+        where = TaskContext.get().partitionId()
+        tokens, classes, sizes, sketches, size = [], [], [], [], 0
         for b in batches:
             for cls, own in zip(b.column("cls").to_pylist(), b.column("tokens").to_pylist()):
-                tokens.append(order.prefix(np.frombuffer(own, np.uint64)))
+                t = np.frombuffer(own, np.uint64)
+                tokens.append(order.prefix(t, 1))
                 classes.append(cls)
+                sizes.append(len(t))
+                sketches.append(sketch(t))
                 size += len(tokens[-1])
                 if size >= FLUSH:
-                    yield from flush(tokens, classes)
-                    tokens, classes, size = [], [], 0
+                    yield flush(tokens, classes, sizes, sketches, where)
+                    tokens, classes, sizes, sketches, size, where = [], [], [], [], 0, where + 1
         if tokens:
-            yield from flush(tokens, classes)
+            yield flush(tokens, classes, sizes, sketches, where)
 
     return run
 
 
-def _pair_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Kind 1: pairs of short lists with their counts; 2: ties; 3: long lists of a class."""
-    t, (c, f), first, size = runs_of(*_unpack(pdf))
-    long = (size > SHORT) | (np.maximum.reduceat(f, first) > 0 if len(first) else np.zeros(0, bool))
-    inside = np.repeat(long, size)
-    own, n = np.unique(c[inside & (f == 0)], return_counts=True)
-    ties = np.unique(np.column_stack((c, np.repeat(c[first], size)))[inside], axis=0)
-    pairs = []
-    place = np.arange(len(c)) - np.repeat(first, size)
-    for gap in range(1, SHORT):
-        at = np.flatnonzero(~inside & (place + gap < np.repeat(size, size)))
-        pairs.append(np.column_stack((c[at], c[at + gap])))
-    pair, m = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-    return pd.concat([
-        pd.DataFrame({"kind": 1, "a": pair[:, 0], "b": pair[:, 1], "n": m}),
-        pd.DataFrame({"kind": 2, "a": ties[:, 0], "b": ties[:, 1], "n": 0}),
-        pd.DataFrame({"kind": 3, "a": own, "b": own, "n": n}),
-    ])
+def _tie_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ties (a, b) of one bucket of shingles."""
+    joined = {c: b"".join(pdf[c]) for c in pdf.columns if c != "bucket"}
+    out = [np.column_stack([np.frombuffer(joined[c], np.int64) for c in "ab"])]
+    classes, sizes = np.frombuffer(joined["classes"], np.int64), np.frombuffer(joined["sizes"], np.int32)
+    if len(classes):
+        held = np.array([len(x) // 8 for x in pdf["classes"]])
+        place = np.frombuffer(joined["places"], np.int32) + np.repeat(np.cumsum(held) - held, [len(x) // 4 for x in pdf["places"]])
+        cls, where, which = np.unique(classes, return_index=True, return_inverse=True)  # a class may come from several tasks
+        wide = 1 << (level(sizes) - 6)
+        start = np.cumsum(wide) - wide
+        words = np.frombuffer(joined["sketches"], np.uint64)
+        sets = Sketches(sizes[where], np.concatenate([words[start[k] : start[k] + wide[k]] for k in where.tolist()]))
+        t, (_, c, f), first, size = runs_of(np.frombuffer(joined["tokens"], np.uint64), sizes[place], which[place], np.frombuffer(joined["flags"], np.uint8))
+        long = (size > LONG) | (np.maximum.reduceat(f, first) > 0)
+        inside = np.repeat(long, size)
+        tied = np.unique(np.column_stack((c, np.repeat(c[first], size)))[inside], axis=0)
+        out.append(cls[tied[tied[:, 0] != tied[:, 1]]].reshape(-1, 2))
+        short = size[~long]
+        out.append(np.column_stack([cls[x] for x in spanning(np.cumsum(short) - short, short, c[~inside], sets)]))
+    pairs = np.concatenate(out)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 # --- T-occurrence search -----------------------------------------------------------
@@ -453,7 +563,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """cls, n, tokens for each class in ``wanted(rep, cls, n)``; texts aren't shuffled."""
     schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("tokens", pa.binary())])
 
-    shared = marks(wanted, ["rep"])
+    shared, bits = marks(wanted, ["rep"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_cache("shingles", _words)
@@ -468,29 +578,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     sets.append(t.tobytes())
             yield batch(schema, {"doc_id": ids, "own": own, "tokens": sets})
 
-    rows = docs.withColumn("at", spot(["doc_id"])).mapInArrow(run, "doc_id long, own long, tokens binary")
+    rows = docs.withColumn("at", spot(["doc_id"], bits)).mapInArrow(run, "doc_id long, own long, tokens binary")
     return rows.join(wanted.hint("shuffle_hash"), (rows["doc_id"] == wanted["rep"]) & (rows["own"] == wanted["cls"])).select("cls", "n", "tokens")  # a repeated row repeats its class, which does no harm
 
 
-def _candidate_ties(sets: DataFrame, bits: int, shared) -> DataFrame:
+def _ties(sets: DataFrame, bits: int, shared) -> DataFrame:
     """Edges whose components hold every linked pair of the classes in ``sets``; see 3 above."""
-    listed = stage(sets.mapInArrow(_lists(bits, shared), MAPPED), "join-lists")
-    found = stage(listed.filter("kind = 1").select("bucket", "tokens", "classes", "flags").groupBy("bucket").applyInPandas(_pair_bucket, "kind int, a long, b long, n long"), "join-pairs")
-    both = listed.filter("kind > 1").select("kind", "a", "b", "n").unionByName(found)
-    sizes = sets.select("cls", "n").distinct()
-    long = both.filter("kind = 3").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("long"))
-    about = stage(sizes.join(long.hint("merge"), "cls", "left").select("cls", "n", F.coalesce("long", F.lit(0)).alias("long")), "join-about")
-    pairs = found.filter("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("c"))
-    one = about.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("long").alias("long1"))
-    two = about.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("long").alias("long2"))
-    least = F.least("n1", "n2")
-    enough = F.greatest(F.lit(1), 1 + F.floor(least / 16) - F.least("long1", "long2"))
-    pairs = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter((least * 4 >= F.greatest("n1", "n2") * 3) & (F.col("c") >= enough))
-    hot = about.filter(F.col("long") >= 1 + F.floor(F.ceil(F.col("n") * 0.75) / 16)).select(F.col("cls").alias("a"))
-    ties = both.filter("kind = 2")
-    hubs = ties.select(F.col("b").alias("a")).distinct()  # a task's smallest stands for all that are tied to it
-    ties = ties.join(hot.unionByName(hubs).distinct().hint("merge"), "a", "left_semi").select("a", "b")
-    return pairs.select("a", "b").unionByName(ties)
+    return sets.mapInArrow(_lists(bits, shared), LISTED).groupBy("bucket").applyInPandas(_tie_bucket, "a long, b long")
 
 
 def _blocks(sets: DataFrame, order: list[str], block: int) -> DataFrame:
@@ -507,7 +601,7 @@ def _blocks(sets: DataFrame, order: list[str], block: int) -> DataFrame:
 
 
 def _link_large(sets: DataFrame, block: int) -> DataFrame:
-    """Links of the components that don't fit one task; see 4 above."""
+    """Links of the components that don't fit one task; see 5 above."""
     placed = _blocks(sets, ["comp", "n"], block).select("cls", "blk")
     rows = stage(sets.join(placed.hint("merge"), "cls"), "join-sets")
     pivots = rows.withColumn("at", F.row_number().over(Window.partitionBy("comp").orderBy("cls"))).filter(F.col("at") <= PIVOTS).drop("blk", "at")
@@ -516,35 +610,44 @@ def _link_large(sets: DataFrame, block: int) -> DataFrame:
     first = rows.select(task, "cls", "tokens", F.col("cls").alias("part")).unionByName(each.join(pivots.hint("merge"), "comp").select(task, "cls", "tokens", F.col("cls").alias("part")))
     links = stage(_link(first), "join-links")
     parts = connected_components(links).withColumnRenamed("node", "cls").withColumnRenamed("component", "part")
-    known = rows.drop("blk").join(parts.hint("merge"), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-    again = stage(_blocks(known.select("cls", "comp", "part", "n"), ["comp", "part", "n"], block), "join-blocks")
-    about = again.groupBy("comp", "blk").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    other = about.select("comp", *[F.col(c).alias(f"{c}2") for c in ("blk", "low", "high", "least", "most")])
-    open_pair = ~((F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2")))
+    known = stage(rows.select("cls", "comp", "n").join(parts.hint("merge"), "cls", "left").withColumn("part", F.coalesce("part", "cls")), "join-parts")
+    main = known.groupBy("comp", "part").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts"))
+    main = stage(main.filter("parts > 1").select("comp", "main"), "join-main")
+    if main.isEmpty():
+        return links
+    known = known.join(main.hint("merge"), "comp").withColumn("aside", F.col("part") != F.col("main"))
+    again = stage(_blocks(known.select("cls", "comp", "part", "n", "aside"), ["comp", "aside", "part", "n"], block), "join-blocks")
+    about = stage(again.groupBy("comp", "blk").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("aside").alias("aside")), "join-about")
+    other = about.select("comp", *[F.col(c).alias(f"{c}2") for c in ("blk", "low", "high", "least", "most", "aside")])
+    one_part = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
     fits = (F.col("most") * 4 >= F.col("least2") * 3) & (F.col("most2") * 4 >= F.col("least") * 3)
-    pairs = about.join(other.hint("merge"), "comp").filter((F.col("blk") <= F.col("blk2")) & open_pair & fits).select("comp", "blk", "blk2")
+    pairs = about.filter("aside").join(other.hint("merge"), "comp").filter((~F.col("aside2") | (F.col("blk") <= F.col("blk2"))) & ~one_part & fits).select("comp", "blk", "blk2")
     pairs = stage(pairs, "join-pairs")
-    ends = pairs.select("comp", "blk", F.concat_ws("/", "comp", "blk", "blk2").alias("task")).unionByName(pairs.select("comp", F.col("blk2").alias("blk"), F.concat_ws("/", "comp", "blk", "blk2").alias("task"))).distinct()
+    task = F.concat_ws("/", "comp", "blk", "blk2").alias("task")
+    ends = pairs.select("comp", "blk", task).unionByName(pairs.select("comp", F.col("blk2").alias("blk"), task)).distinct()
     second = again.select("cls", "comp", "part", "blk").join(ends.hint("merge"), ["comp", "blk"]).join(sets.select("cls", "tokens").hint("merge"), "cls").select("task", "cls", "tokens", "part")
     return links.unionByName(_link(second))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``docs``."""
+    """doc_id, n_shingles, component_id, text_hash, first_hash: one row per row of ``docs``.
+
+    ``first_hash`` is the text hash of the component's first row, which matters where rows repeat an id.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(id_in(docs[id_col]).alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    top = own.mapInArrow(_frequent(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    shared = spark.sparkContext.broadcast((top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()))  # at most FREQUENT pairs
-    bits = min(12, max(4, (shuffle_width(spark) - 1).bit_length() + 1))
-    mapped = stage(own.mapInArrow(_postings(width, bits, shared), MAPPED), "join-postings")
-    rows = mapped.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n")
-    counts = mapped.filter("kind = 2").select("a", "n").unionByName(mapped.filter("kind = 1").select("bucket", "tokens", "classes", "flags").groupBy("bucket").applyInPandas(_count_bucket, "a long, n long"))
+    survey = stage(own.withColumn("hash", F.xxhash64("text")).mapInArrow(_survey(width), SURVEY), "join-survey")
+    rows = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n", "hash")
+    top = survey.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).toArrow()
+    shared = spark.sparkContext.broadcast((top["a"].to_numpy().view(np.uint64), top["n"].to_numpy()))  # at most FREQUENT pairs
+    bits = min(20, max(4, (shuffle_width(spark) - 1).bit_length() + 1))
+    counts = own.select("text").mapInArrow(_postings(width, bits, shared), COUNTED).groupBy("bucket").applyInPandas(_count_bucket, "a long, n long")
     counts = counts.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("common"))
-    classes = stage(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "join-classes")
-    may = stage(classes.join(counts.hint("merge"), "cls").filter(F.col("common") >= 1 + F.floor(F.ceil(F.col("n") * 0.75) / 16)).select("rep", "cls", "n"), "join-may")
+    classes = stage(rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.max("n").alias("n")), "join-classes")
+    may = stage(classes.join(counts.hint("merge"), "cls").filter(F.col("common") >= 1 + F.floor(F.ceil(F.col("n") * 0.75) / 16)).select(F.col("first.doc_id").alias("rep"), "cls", "n"), "join-may")
     listed = stage(_sets_of(own, may, width), "join-sets")
-    comp = connected_components(_candidate_ties(listed, bits, shared)).withColumnRenamed("node", "cls").withColumnRenamed("component", "comp")
+    comp = connected_components(stage(_ties(listed, max(4, bits - 2), shared), "join-ties")).withColumnRenamed("node", "cls").withColumnRenamed("component", "comp")
     comp = stage(comp, "join-components")
     large = stage(comp.groupBy("comp").count().filter(F.col("count") > block).select("comp"), "join-large")
     whole = comp.join(large.hint("shuffle_hash"), "comp", "left_anti")
@@ -554,18 +657,26 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(_link_large(stage(listed.join(cut.hint("merge"), "cls").dropDuplicates(["cls"]).select("cls", "comp", "n", "tokens"), "join-sets"), block))
     # classes have hashed names; components are named by the smallest document
     found = connected_components(stage(links, "join-links")).withColumnRenamed("node", "cls")
-    group = classes.join(found.hint("merge"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    named = group.groupBy("component").agg(F.min("rep").alias("first"))
-    down = group.join(named.hint("merge"), "component").select("cls", "first")
+    group = stage(classes.join(found.hint("merge"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component")), "join-groups")
+    named = stage(group.groupBy("component").agg(F.min("first").alias("lead")), "join-named")
+    down = stage(group.join(named.hint("merge"), "component").select("cls", "lead"), "join-leads")
     out = rows.join(down.hint("merge"), "cls", "left")
-    return out.select(id_out("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), id_out(F.coalesce("first", "doc_id")).alias("component_id"))
+    return out.select(
+        id_out("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), id_out(F.coalesce("lead.doc_id", "doc_id")).alias("component_id"),
+        F.col("hash").alias("text_hash"), F.coalesce("lead.hash", "hash").alias("first_hash"),
+    )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays: the one with the smallest id."""
-    kept = near_components(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_keep_id"))
-    return keep_rows(docs, kept, id_col)
+    """One row of each component stays: the one with the smallest id, of rows that share it the first by text hash.
+
+    Rows without shingles all stay.
+    """
+    rows = near_components(docs, id_col, text_col)
+    kept = rows.filter("n_shingles = 0 or (doc_id <=> component_id and text_hash = first_hash)")
+    kept = kept.groupBy("doc_id", "text_hash").agg(((F.max("n_shingles") > 0) & (F.count("*") > 1)).alias("again"))
+    return keep_rows(docs, kept, id_col, text_col)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(documents(spark, sf_dir))
+    return near_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
