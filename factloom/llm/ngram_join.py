@@ -222,19 +222,39 @@ def _postings(width: int, bits: int, shared):
     return run
 
 
-def _count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(a, n): how many of its first shingles a class shares, as far as this bucket knows."""
-    lists, told = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 2]
-    classes = [np.frombuffer(b"".join(told["classes"]), np.int64)]
-    counts = [np.frombuffer(b"".join(told["tokens"]), np.int64)]
-    if len(lists):
-        t, (c, f), first, size = runs_of(*(np.frombuffer(b"".join(lists[x]), kind) for x, kind in (("tokens", np.uint64), ("classes", np.int64), ("flags", np.uint8))))
-        fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))  # a class may come from several tasks
-        common = np.repeat(np.add.reduceat(fresh.astype(np.int64), first) > 1, size)
-        own, n = np.unique(c[fresh & common & (f == 0)], return_counts=True)
-        classes.append(own)
-        counts.append(n)
-    return pd.DataFrame({"a": np.concatenate(classes), "n": np.concatenate(counts)})
+def _count_bucket(bits: int):
+    shift = np.uint64(64 - bits)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        """How many of its first shingles a class shares, as far as this bucket knows; packed by the part that a class belongs to."""
+        lists, told = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 2]
+        classes = [np.frombuffer(b"".join(told["classes"]), np.int64)]
+        counts = [np.frombuffer(b"".join(told["tokens"]), np.int64)]
+        if len(lists):
+            t, (c, f), first, size = runs_of(*(np.frombuffer(b"".join(lists[x]), kind) for x, kind in (("tokens", np.uint64), ("classes", np.int64), ("flags", np.uint8))))
+            fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))  # a class may come from several tasks
+            common = np.repeat(np.add.reduceat(fresh.astype(np.int64), first) > 1, size)
+            own, n = np.unique(c[fresh & common & (f == 0)], return_counts=True)
+            classes.append(own)
+            counts.append(n)
+        a, n = _sums(np.concatenate(classes), np.concatenate(counts))
+        part = (a.view(np.uint64) >> shift).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        a, n, part = a[order], n[order], part[order]
+        cut = _cuts(part) if len(part) else []
+        return pd.DataFrame({"part": [int(part[s]) for s, _ in cut], "a": [a[s:e].tobytes() for s, e in cut], "n": [n[s:e].tobytes() for s, e in cut]})
+
+    return count
+
+
+def _sums(a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, at = np.unique(a, return_inverse=True)
+    return a, np.bincount(at, n, minlength=len(a)).astype(np.int64)
+
+
+def _sum_part(pdf: pd.DataFrame) -> pd.DataFrame:
+    a, n = _sums(*(np.frombuffer(b"".join(pdf[c]), np.int64) for c in "an"))
+    return pd.DataFrame({"cls": a, "common": n})
 
 
 # --- ties: which sets meet ---------------------------------------------------------
@@ -282,12 +302,11 @@ class Sketches:
 
 
 def spanning(first: np.ndarray, size: np.ndarray, member: np.ndarray, sets: Sketches) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect all members of one list that may link; members of a list are sorted by size."""
+    """Pairs that connect all members of one list that may link, each with the first of its kind; members of a list are sorted by size."""
     label = np.arange(len(sets.n))
     many = size > 1
     room = np.repeat(size - 1, size) - (np.arange(len(member)) - np.repeat(first, size))
-    at, out = np.flatnonzero(np.repeat(many, size)), []
-    gap = 0
+    at, gap = np.flatnonzero(np.repeat(many, size)), 0
     while True:
         gap += 1
         at = at[room[at] >= gap]
@@ -309,17 +328,16 @@ def spanning(first: np.ndarray, size: np.ndarray, member: np.ndarray, sets: Sket
                 k = up
             return k
 
-        for k, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist())):
+        for x, y in zip(label[a].tolist(), label[b].tolist()):
             x, y = find(x), find(y)
             if x != y:
                 root[max(x, y)] = min(x, y)
-                out.append((a[k], b[k]))
         to = np.arange(len(label))
         for k in root:
             to[k] = find(k)
         label = to[label]
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+    own = np.flatnonzero(label != np.arange(len(label)))
+    return own, label[own]
 
 
 LISTED = "bucket int, tokens binary, places binary, flags binary, classes binary, sizes binary, sketches binary, a binary, b binary"
@@ -386,7 +404,7 @@ def _tie_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         out.append(cls[tied[tied[:, 0] != tied[:, 1]]].reshape(-1, 2))
         short = size[~long]
         out.append(np.column_stack([cls[x] for x in spanning(np.cumsum(short) - short, short, c[~inside], sets)]))
-    pairs = np.concatenate(out)
+    pairs = np.array(stars(np.concatenate(out).tolist()), np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -523,7 +541,22 @@ def link_sets(ids: list[int], sets: list[np.ndarray], parts: list[int]) -> list[
                 out.append((ids[k], ids[m]))
                 join(k, m)
         place(k)
-    return out
+    return stars(out)
+
+
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same components with each member linked to the smallest, so that few rounds join them later."""
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = k = root[up]
+        return k
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [(k, find(k)) for k in list(root) if find(k) != k]
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -642,8 +675,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = survey.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).toArrow()
     shared = spark.sparkContext.broadcast((top["a"].to_numpy().view(np.uint64), top["n"].to_numpy()))  # at most FREQUENT pairs
     bits = min(20, max(4, (shuffle_width(spark) - 1).bit_length() + 1))
-    counts = own.select("text").mapInArrow(_postings(width, bits, shared), COUNTED).groupBy("bucket").applyInPandas(_count_bucket, "a long, n long")
-    counts = counts.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("common"))
+    counts = own.select("text").mapInArrow(_postings(width, bits, shared), COUNTED).groupBy("bucket").applyInPandas(_count_bucket(bits), "part int, a binary, n binary")
+    counts = counts.groupBy("part").applyInPandas(_sum_part, "cls long, common long")
     classes = stage(rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.max("n").alias("n")), "join-classes")
     may = stage(classes.join(counts.hint("merge"), "cls").filter(F.col("common") >= 1 + F.floor(F.ceil(F.col("n") * 0.75) / 16)).select(F.col("first.doc_id").alias("rep"), "cls", "n"), "join-may")
     listed = stage(_sets_of(own, may, width), "join-sets")
