@@ -7,7 +7,8 @@
 3. One pass over all documents slides overlapping windows over each whole text and takes
    the cosine of every window with every passage in the latent space.  Each word adds at
    most a known amount to any passage's cosine; windows whose words can't reach a
-   threshold together are skipped before they are projected, which loses nothing.
+   threshold together, first of any passage and then of a group of them, are skipped
+   before they are projected, which loses nothing.
 4. A candidate's surroundings are compared by longest common subsequence of words with
    the passage and with the whole item.  ``SURE`` of the words of either in order make a
    hit, so a verbatim piece of ``WINDOW`` words of a long item is one.  From ``MAYBE`` of
@@ -28,16 +29,16 @@ benchmark table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batch, documents, id_in, own_cache, small_batches
+from .common import NULL_ID, batch, documents, id_in, small_batches
 
 BITS = 16
 TERMS = 1 << BITS
@@ -48,26 +49,66 @@ NEAR = 0.3
 SURE, MAYBE, ANSWER = 0.8, 0.6, 0.8
 MIN_WORDS, ITEMS = 5, 2048
 
+#: Passages are put into so many groups, each with its own bound of what a word can add.
+GROUPS = 8
+#: Bytes hashed, and words searched, at once.
+PIECE, CHUNK = 1 << 20, 1 << 17
+
 _WORD = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+_random = np.random.default_rng(23)
+_VALUES, _WEIGHTS = _random.integers(1, 1 << 63, 256).astype(np.uint64), _random.integers(1, 1 << 63, 64).astype(np.uint64) | np.uint64(1)
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode().translate(_WORD).split()
+def plain(text: str) -> bytes:
+    """The text with words lowered and everything between them blank."""
+    return text.lower().encode().translate(_WORD)
 
 
-class _Terms(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = k = zlib.crc32(word) & (TERMS - 1)
-        return k
+def words_of(text: str) -> list[bytes]:
+    return plain(text).split()
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    letters = np.frombuffer(raw, np.uint8)
+    inside = letters != 32
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    starts = edges[::2]
+    if not len(starts):
+        return starts, np.zeros(0, np.int32)
+    size = edges[1::2] - starts
+    first = np.cumsum(size) - size
+    letters = letters[inside]
+    place = np.arange(len(letters)) - np.repeat(first, size)
+    h = np.add.reduceat(_VALUES[letters] * _WEIGHTS[place & 63], first)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return starts, (h >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def terms_in(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of a plain text."""
+    starts, terms, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
+    while at < len(raw):
+        end = len(raw) if len(raw) - at <= PIECE else raw.rfind(b" ", at, at + PIECE)
+        if end < 0:
+            end = raw.find(b" ", at)
+            end = len(raw) if end < 0 else end
+        s, t = _hashed(raw[at:end])
+        starts.append(s + at)
+        terms.append(t)
+        at = end + 1
+    return np.concatenate(starts), np.concatenate(terms)
 
 
-_terms = _Terms()
+def terms_of(words: list[bytes]) -> np.ndarray:
+    return terms_in(b" ".join(words))[1]
 
 
-def terms_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_terms.__getitem__, words), np.int32, len(words))
+def terms_by_text(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words of plain texts one after another, and how many each has."""
+    size = np.array([len(r) + 1 for r in raws], np.int64)
+    starts, terms = terms_in(b" ".join(raws))
+    ends = np.searchsorted(starts, np.cumsum(size))
+    return terms, np.diff(ends, prepend=0)
 
 
 def inverse_frequency(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -75,13 +116,12 @@ def inverse_frequency(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_cache("decontaminate", _terms)
         counts = np.zeros(TERMS + 1, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                counts[TERMS] += 1
-                if text:
-                    counts[np.unique(terms_of(words_of(text)))] += 1
+            raws = [plain(t or "") for t in b.column(0).to_pylist()]
+            counts[TERMS] += len(raws)
+            terms, n = terms_by_text(raws)
+            counts[:TERMS] += np.bincount(np.unique((np.repeat(np.arange(len(n)), n) << BITS) | terms) & (TERMS - 1), minlength=TERMS)
         used = np.flatnonzero(counts)
         yield batch(schema, {"term": used, "n": counts[used]})
 
@@ -104,6 +144,7 @@ class Index:
     owner: np.ndarray
     need: np.ndarray
     most: np.ndarray  # row of basis -> the largest share of any passage's threshold that one such word gives
+    by_group: np.ndarray  # the same, for each group of passages and with its sign
 
 
 def _answer(text: str, answer: str | None) -> list[bytes]:
@@ -178,8 +219,25 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], i
     held = np.sqrt((passages**2).sum(axis=1))
     need = (NEAR * held**2).astype(np.float32)
     weighted = np.vstack([basis * idf[used][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    most = np.concatenate([np.maximum(weighted[a : a + 4096] @ (passages / need[:, None]).T, 0).max(axis=1) for a in range(0, len(weighted), 4096)])
-    return Index([(i, w, a, places(w), places(a), frozenset(w)) for i, w, a in kept], idf**2, vocabulary, weighted, passages, parts, np.array(owner), need, most)
+    group = _groups(passages)
+    by_group = np.zeros((len(weighted), group.max() + 1), np.float32)
+    for a in range(0, len(weighted), 4096):
+        share = weighted[a : a + 4096] @ (passages / need[:, None]).T
+        for g in range(by_group.shape[1]):
+            by_group[a : a + 4096, g] = share[:, group == g].max(axis=1)
+    most = np.maximum(by_group, 0).max(axis=1)
+    return Index([(i, w, a, places(w), places(a), frozenset(w)) for i, w, a in kept], idf**2, vocabulary, weighted, passages, parts, np.array(owner), need, most, by_group)
+
+
+def _groups(passages: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Group of each passage: a few rounds of spherical k-means."""
+    n = min(GROUPS, len(passages))
+    centre = passages[np.random.default_rng(seed).choice(len(passages), n, replace=False)]
+    for _ in range(8):
+        group = (passages @ centre.T).argmax(axis=1)
+        centre = np.stack([passages[group == g].mean(axis=0) if (group == g).any() else centre[g] for g in range(n)])
+        centre /= np.sqrt((centre**2).sum(axis=1, keepdims=True)) + 1e-9
+    return np.unique(group, return_inverse=True)[1]
 
 
 def places(item: list[bytes]) -> dict[bytes, int]:
@@ -199,29 +257,35 @@ def common_words(place: dict[bytes, int], size: int, text: list[bytes]) -> int:
     return size - v.bit_count()
 
 
-def candidates(index: Index, terms: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(window start, passage, cosine) of the windows that reach a passage's threshold."""
-    n = len(terms)
-    if not n:
+def candidates(index: Index, terms: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """(text, window start, passage, cosine) of the windows that reach a passage's threshold, by text."""
+    own = np.flatnonzero(counts)
+    if not len(own):
         return
     row = index.vocabulary[terms]
-    energy = index.idf2[terms].astype(np.float64)
-    whole = np.concatenate(([0.0], np.cumsum(energy)))
+    whole = np.concatenate(([0.0], np.cumsum(index.idf2[terms], dtype=np.float64)))
     most = np.concatenate(([0.0], np.cumsum(index.most[row], dtype=np.float64)))
-    last = max(0, n - WINDOW)
-    starts = np.unique(np.concatenate((np.arange(0, last, STEP), [last])))
-    ends = np.minimum(starts + WINDOW, n)
-    size2 = whole[ends] - whole[starts]
-    keep = most[ends] - most[starts] >= 0.999 * np.sqrt(size2)
-    starts, ends, size2 = starts[keep], ends[keep], size2[keep]
-    for at in range(0, len(starts), 256):
-        s, e = starts[at : at + 256], ends[at : at + 256]
-        place = s[:, None] + np.arange(WINDOW)
-        rows = np.where(place < e[:, None], row[np.minimum(place, n - 1)], -1)
-        z = index.basis[rows].sum(axis=1) / np.sqrt(size2[at : at + 256])[:, None].astype(np.float32)
-        cosine = z @ index.passages.T
-        for w, p in zip(*np.nonzero(cosine >= index.need)):
-            yield int(s[w]), int(p), float(cosine[w, p])
+    n = counts[own]
+    last = np.maximum(0, n - WINDOW)
+    windows = -(-last // STEP) + 1
+    text = np.repeat(np.arange(len(own)), windows)
+    begin = (np.cumsum(counts) - counts)[own][text]
+    at = np.minimum((np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)) * STEP, last[text])
+    starts, ends = begin + at, begin + np.minimum(at + WINDOW, n[text])
+    least = 0.999 * np.sqrt(np.maximum(whole[ends] - whole[starts], 1e-12))
+    keep = np.flatnonzero(most[ends] - most[starts] >= least)
+    for k in range(0, len(keep), 1024):
+        some = keep[k : k + 1024]
+        place = starts[some][:, None] + np.arange(WINDOW)
+        rows = np.where(place < ends[some][:, None], row[np.minimum(place, len(row) - 1)], -1)
+        near = np.flatnonzero(index.by_group[rows].sum(axis=1).max(axis=1) >= least[some])
+        for j in range(0, len(near), 256):
+            part = near[j : j + 256]
+            z = index.basis[rows[part]].sum(axis=1) * (0.999 / least[some[part]])[:, None].astype(np.float32)
+            cosine = z @ index.passages.T
+            for w, p in zip(*(x.tolist() for x in np.nonzero(cosine >= index.need))):
+                i = some[part[w]]
+                yield int(own[text[i]]), int(at[i]), p, float(cosine[w, p])
 
 
 def _holds_part(index: Index, passages: list[int], region: list[bytes]) -> bool:
@@ -234,11 +298,11 @@ def _holds_part(index: Index, passages: list[int], region: list[bytes]) -> bool:
     return False
 
 
-def hits_of(index: Index, words: list[bytes]) -> list[tuple[int, float, int, int, bool, int]]:
-    """(item, cosine, common words, item words, answer found, first word of the window)."""
+def hits_of(index: Index, words: list[bytes], near: list[tuple[int, int, float]]) -> list[tuple[int, float, int, int, bool, int]]:
+    """(item, cosine, common words, item words, answer found, first word of the window) from a text's candidates."""
     best: dict[int, tuple] = {}
     seen: dict[tuple[int, int], tuple[float, list[int]]] = {}
-    for start, passage, cosine in candidates(index, terms_of(words)):
+    for start, passage, cosine in near:
         key = int(index.owner[passage]), start
         most, own = seen.get(key, (0.0, []))
         seen[key] = max(cosine, most), [*own, passage]
@@ -267,15 +331,25 @@ HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosin
 def _search(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
+    def chunks(raws: list[bytes]) -> Iterator[tuple[int, int]]:
+        first, size = 0, 0
+        for k, raw in enumerate(raws):
+            if k > first and size + len(raw) > 8 * CHUNK:
+                yield first, k
+                first, size = k, 0
+            size += len(raw)
+        yield first, len(raws)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        own_cache("decontaminate", _terms)
         for b in batches:
             rows: dict[str, list] = {f.name: [] for f in HITS_ARROW}
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for item, cosine, both, size, found, start in hits_of(own, words_of(text)) if text else ():
-                    for name, v in zip(HITS_ARROW.names, (i, own.items[item][0], cosine, both, size, found, start)):
-                        rows[name].append(v)
+            ids, raws = b.column("doc_id").to_pylist(), [plain(t or "") for t in b.column("text").to_pylist()]
+            for s, e in chunks(raws):
+                for k, near in groupby(candidates(own, *terms_by_text(raws[s:e])), key=lambda x: x[0]):
+                    for item, cosine, both, size, found, start in hits_of(own, raws[s + k].split(), [x[1:] for x in near]):
+                        for name, v in zip(HITS_ARROW.names, (ids[s + k], own.items[item][0], cosine, both, size, found, start)):
+                            rows[name].append(v)
             yield batch(HITS_ARROW, rows)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, HITS)
