@@ -3,10 +3,11 @@
 Writing: one gzip member a record; each member's header carries its own compressed and
 full length (the ``sl`` extra field), so that a reader can step over a record without
 inflating it.  A task starts a new file after ``file_bytes`` and notes a record-aligned
-offset every ``chunk_bytes``; commit writes these into ``_manifest.json``, so files of
-failed or repeated tasks are never read.
+offset every ``chunk_bytes``; each commit writes these into a manifest of its own, so files
+of failed or repeated tasks are never read.  An append adds a manifest; an overwrite
+then drops the earlier ones and their files.
 
-Reading: partitions are the manifest's chunks (without one, whole files).  Equality, set,
+Reading: partitions are the chunks of all manifests, and whole files of other writers.  Equality, set,
 prefix and length predicates on the record type and headers are pushed down: of each
 record only the header is inflated and parsed first, and a record that the predicates
 refuse is skipped by its length.  Payloads are inflated only if the requested schema has
@@ -128,6 +129,15 @@ def as_predicate(f: ds.Filter) -> Predicate | None:
 
 # --- reading -----------------------------------------------------------------------
 
+#: Each commit leaves a manifest of its files; files of ours have these names.
+MANIFEST, OWN_FILE = re.compile(r"_manifest-[0-9a-f]{32}\.json"), re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
+
+
+def _manifest(files, path: str) -> list[dict]:
+    with files.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class Chunk(ds.InputPartition):
     path: str
@@ -153,14 +163,15 @@ class WarcReader(ds.DataSourceReader):
         from pyarrow import fs
 
         files, root = _fs(self.path)
-        manifest = f"{root}/_manifest.json"
-        if files.get_file_info(manifest).type == fs.FileType.File:
-            with files.open_input_stream(manifest) as f:
-                entries = json.loads(f.read())
-            return [Chunk(f"{self.path}/{e['file']}", a, b) for e in entries for a, b in zip(e["offsets"], [*e["offsets"][1:], e["size"]])]
         found = files.get_file_info(fs.FileSelector(root, recursive=True))
-        prefix = len(root) + 1
-        return [Chunk(f"{self.path}/{x.path[prefix:]}", 0, x.size) for x in sorted(found, key=lambda x: x.path) if re.search(r"\.warc(\.gz)?$", x.path)]
+        names = sorted(x.path[len(root) + 1 :] for x in found if x.type == fs.FileType.File)
+        sizes = {x.path[len(root) + 1 :]: x.size for x in found}
+        manifests = [n for n in names if MANIFEST.fullmatch(n)]
+        own = [e for n in manifests for e in _manifest(files, f"{root}/{n}")]
+        # with a manifest, files of ours that none lists were never committed
+        other = [n for n in names if re.search(r"\.warc(\.gz)?$", n) and not (manifests and OWN_FILE.fullmatch(n))]
+        chunks = [Chunk(f"{self.path}/{e['file']}", a, b) for e in own for a, b in zip(e["offsets"], [*e["offsets"][1:], e["size"]])]
+        return chunks + [Chunk(f"{self.path}/{n}", 0, sizes[n]) for n in other]
 
     def read(self, partition):
         if partition is None:  # an archive without records has no partition
@@ -277,8 +288,8 @@ class Written(ds.WriterCommitMessage):
 
 
 class WarcWriter(ds.DataSourceArrowWriter):
-    def __init__(self, options) -> None:
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options, overwrite: bool = False) -> None:
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.date = options.get("date", "1970-01-01T00:00:00Z")
         self.level = int(options.get("level", "6"))
         self.file_bytes, self.chunk_bytes = int(options.get("file_bytes", 1 << 30)), int(options.get("chunk_bytes", 16 << 20))
@@ -307,10 +318,17 @@ class WarcWriter(ds.DataSourceArrowWriter):
         return Written(done)
 
     def commit(self, messages):
+        """Adds a manifest of this write's files; an overwrite then drops the manifests before it and their files."""
+        from pyarrow import fs
+
         files, root = _fs(self.path)
         files.create_dir(root, recursive=True)
-        with files.open_output_stream(f"{root}/_manifest.json") as f:
+        before = [x.path for x in files.get_file_info(fs.FileSelector(root)) if MANIFEST.fullmatch(x.base_name)] if self.overwrite else []
+        gone = [f"{root}/{e['file']}" for m in before for e in _manifest(files, m)]
+        with files.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
+        for path in before + gone:
+            files.delete_file(path)
 
     def abort(self, messages):
         files, root = _fs(self.path)
@@ -330,7 +348,7 @@ class WarcDataSource(ds.DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
