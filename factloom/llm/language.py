@@ -232,8 +232,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 seen.update((lang, w) for w in words_of(text))
             yield batch(schema, {"lang": [k[0] for k in seen], "word": [k[1] for k in seen], "n": list(seen.values())})
 
-    picked = named.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample.distinct()), F.col("doc_id") == F.col("_doc"))
-    table = stage(picked.select(F.col("_lang").alias("lang"), "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
+    own = named.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    picked = own.join(F.broadcast(sample.distinct()), (F.col("doc_id") == F.col("_doc")) & (F.col("lang") == F.col("_lang")))  # an id may occur with several languages
+    table = stage(picked.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
     size = pieces(model).size
     p = np.full((size, len(langs)), 1.0 / size)
