@@ -27,9 +27,9 @@ def assign_components(entities: DataFrame, components: DataFrame) -> DataFrame:
     lengths that occur, so nothing is compared with everything.
     """
     lengths = components.groupBy("app_id").agg(F.collect_set(F.length("prefix")).alias("ns"))
-    begins = entities.join(lengths, "app_id").withColumn("prefix", F.explode(F.transform("ns", lambda n: F.left(F.col("file_path"), n))))
-    hit = begins.join(components.select("app_id", "prefix", "component"), ["app_id", "prefix"]).groupBy("app_id", "id").agg(F.min("component").alias("component"))
-    return entities.join(hit, ["app_id", "id"], "left").withColumn("component", F.coalesce("component", F.lit("_unassigned")))
+    begins = entities.join(lengths.hint("shuffle_hash"), "app_id").withColumn("prefix", F.explode(F.transform("ns", lambda n: F.left(F.col("file_path"), n))))
+    hit = begins.select("app_id", "id", "prefix").join(components.select("app_id", "prefix", "component").hint("shuffle_hash"), ["app_id", "prefix"]).groupBy("app_id", "id").agg(F.min("component").alias("component"))
+    return entities.join(hit.hint("merge"), ["app_id", "id"], "left").withColumn("component", F.coalesce("component", F.lit("_unassigned")))
 
 
 def bucket_edges(facts: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -48,17 +48,17 @@ def link_handlers(handlers: DataFrame, functions: DataFrame, hints: DataFrame) -
     f = functions.select("name").distinct()
     parts = F.split("name", r"\.")
     suffix = f.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))).alias("handler"))
-    hits = handlers.join(suffix, "handler")
+    hits = handlers.join(suffix.hint("merge"), "handler")
     exact = hits.filter("handler = name").select("lambda", F.lit(True).alias("exact")).distinct()
-    rows = hits.join(exact, "lambda", "left").filter("exact IS NULL OR handler = name")
+    rows = hits.join(exact.hint("merge"), "lambda", "left").filter("exact IS NULL OR handler = name")
     per = Window.partitionBy("lambda")
     rows = rows.withColumn("n", F.count("*").over(per))
     words = rows.select("lambda", "name", "n", F.explode(F.array_distinct(F.split("name", r"\."))).alias("part"))
     own = words.withColumn("shared", F.count("*").over(Window.partitionBy("lambda", "part"))).filter("shared < n")
-    hinted = own.join(hints, "lambda").filter(F.contains(F.col("hint"), F.col("part"))).select("lambda", "name").distinct()
+    hinted = own.join(hints.hint("merge"), "lambda").filter(F.contains(F.col("hint"), F.col("part"))).select("lambda", "name").distinct()
     hinted = hinted.withColumn("h", F.count("*").over(per)).filter("h = 1").select("lambda", F.col("name").alias("pick"))
     got = rows.groupBy("lambda").agg(F.first("n").alias("n"), F.min("name").alias("only"), F.sort_array(F.collect_set("name")).alias("candidates"))
-    out = handlers.join(got, "lambda", "left").join(hinted, "lambda", "left")
+    out = handlers.join(got.hint("merge"), "lambda", "left").join(hinted.hint("merge"), "lambda", "left")
     return out.select("lambda", "handler", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("pick")).alias("function"), F.when(F.col("n") == 1, 1.0).when(F.col("pick").isNotNull(), 0.9).alias("confidence"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
 
 
@@ -97,7 +97,7 @@ def step_lineage(steps: DataFrame) -> DataFrame:
 
     ``steps(file, pos, step, role, df)`` with role ``out`` or ``in``; one window, one shuffle.
     """
-    w = Window.partitionBy("file", "df").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("file", "df").orderBy("pos", "role").rowsBetween(Window.unboundedPreceding, -1)  # a step reads before it makes
     made = F.last(F.when(F.col("role") == "out", F.col("step")), ignorenulls=True).over(w)
     rows = steps.withColumn("producer", made).filter("role = 'in'")
     source = F.coalesce("producer", F.concat(F.lit("Dataframe:"), "df"))
@@ -143,8 +143,8 @@ def verify_facts(claims: DataFrame, lines: DataFrame, window: int = 3) -> DataFr
     The window is spread over the claims, so the range join is an equi join on (file, line).
     """
     wide = claims.filter("line IS NOT NULL").withColumn("pos", F.explode(F.sequence(F.col("line") - window, F.col("line") + window)))
-    hit = wide.join(lines, ["file", "pos"]).groupBy("id").agg(F.max(F.contains(F.lower("text"), F.lower("name"))).alias("found"))
-    return claims.join(hit, "id", "left").select("id", F.when(F.col("line").isNotNull(), F.coalesce("found", F.lit(False))).alias("verified"))
+    hit = wide.join(lines.hint("merge"), ["file", "pos"]).groupBy("id").agg(F.max(F.contains(F.lower("text"), F.lower("name"))).alias("found"))
+    return claims.join(hit.hint("merge"), "id", "left").select("id", F.when(F.col("line").isNotNull(), F.coalesce("found", F.lit(False))).alias("verified"))
 
 
 def grade(verified: DataFrame) -> DataFrame:
@@ -153,6 +153,16 @@ def grade(verified: DataFrame) -> DataFrame:
     return verified.agg(kept.alias("kept"), no.alias("rejected"), F.count_if(F.col("verified").isNull()).alias("uncheckable"), F.when(kept + no > 0, 100.0 * kept / (kept + no)).alias("precision"))
 
 
+def rejects(verified: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` rejected claims by id."""
+    return verified.filter(~F.col("verified")).orderBy("id").limit(n)
+
+
+def stranded(facts: DataFrame, preds: Sequence[str] = (*vocab.WRITES, *vocab.READS)) -> DataFrame:
+    """Resources read or written under a name that is still open."""
+    return facts.filter(F.col("predicate").isin(*preds) & F.contains("object", F.lit("${"))).select("object").distinct()
+
+
 def handoffs(facts: DataFrame, writes: Sequence[str] = vocab.WRITES, reads: Sequence[str] = vocab.READS) -> DataFrame:
     """Resources both written and read."""
     w = facts.filter(F.col("predicate").isin(*writes)).select("object")

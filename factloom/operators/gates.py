@@ -58,8 +58,8 @@ def action_coverage(ref: DataFrame, matched: DataFrame) -> DataFrame:
     """By application: share of reference actions that matched candidates have too; no actions = 100."""
     acts = ref.select("app_id", F.explode("actions").alias("a")).distinct()
     hit = matched.select("app_id", F.explode(F.array_intersect("actions", "actions2")).alias("a")).distinct()
-    n = acts.groupBy("app_id").agg(F.count("*").alias("n")).join(acts.join(hit, ["app_id", "a"], "left_semi").groupBy("app_id").agg(F.count("*").alias("k")), "app_id", "left")
-    return ref.select("app_id").distinct().join(n, "app_id", "left").select("app_id", F.when(F.col("n") > 0, 100.0 * F.coalesce("k", F.lit(0)) / F.col("n")).otherwise(100.0).alias("action_coverage"))
+    n = acts.groupBy("app_id").agg(F.count("*").alias("n")).hint("merge").join(acts.join(hit.hint("merge"), ["app_id", "a"], "left_semi").groupBy("app_id").agg(F.count("*").alias("k")), "app_id", "left")
+    return ref.select("app_id").distinct().join(n.hint("merge"), "app_id", "left").select("app_id", F.when(F.col("n") > 0, 100.0 * F.coalesce("k", F.lit(0)) / F.col("n")).otherwise(100.0).alias("action_coverage"))
 
 
 def path_coverage(ref: DataFrame, matched_ids: DataFrame) -> DataFrame:
@@ -95,31 +95,63 @@ def overall(metrics: DataFrame, weights: dict[str, float] | None = None) -> Data
     return metrics.withColumn("overall", total)
 
 
-def integrity(steps: DataFrame) -> DataFrame:
-    """Files, scenarios, steps and characters of the input."""
-    return steps.agg(F.count_distinct("feature_file").alias("files"), F.count_distinct(F.struct("feature_file", "name")).alias("scenarios"), F.count("*").alias("steps"), F.sum(F.length("text")).alias("characters"))
+def integrity(steps: DataFrame, outlines: DataFrame, sections: DataFrame, items: DataFrame, reported: dict[str, int] | None = None) -> DataFrame:
+    """Files, scenarios, steps, bytes of text, outlines, requirement sections and items of the input, one row.
 
+    ``notes`` names each of ``reported`` counts that differs from what is there.
+    """
+    one = steps.agg(F.count_distinct("feature_file").alias("files"), F.count_distinct(F.struct("feature_file", "name")).alias("scenarios"), F.count("*").alias("steps"), F.sum(F.octet_length("text")).alias("bytes"))
+    for name, df in (("outlines", outlines), ("sections", sections), ("items", items)):
+        one = one.crossJoin(df.agg(F.count("*").alias(name)))  # one row each
+    notes = [F.when(F.col(k) != n, F.concat(F.lit(f"{k}: "), F.col(k).cast("string"), F.lit(f" parsed, {n} reported"))) for k, n in (reported or {}).items()]
+    return one.withColumn("notes", F.array_sort(F.array_compact(F.array(*notes).cast("array<string>"))))
 
-def unit_traceability(items: DataFrame, matches: DataFrame) -> DataFrame:
-    """By unit: criteria, covered ones, their percent, sorted generated names."""
-    j = items.join(matches.select("id", "generated"), "id", "left")
-    return j.groupBy("unit").agg(F.count_distinct("id").alias("criteria"), F.count_distinct(F.when(F.col("generated").isNotNull(), F.col("id"))).alias("covered"), F.sort_array(F.collect_set("generated")).alias("generated")).withColumn("pct", 100.0 * F.col("covered") / F.col("criteria"))
+
+def requirement_paths(items: DataFrame, matched_ids: DataFrame) -> DataFrame:
+    """E15 for requirements: percent of the positive and of the negative criteria matched; none = 100."""
+    return path_coverage(items.withColumn("intent", F.when(F.col("is_negative"), "negative").otherwise("positive")), matched_ids)
 
 
-def check_standards(steps: DataFrame, config: dict) -> DataFrame:
-    """Files that break a team rule: ``max_scenarios``, ``name_marker``, ``required_keyword``; other keys are an error."""
-    known = {"max_scenarios", "name_marker", "required_keyword"}
-    if set(config) - known:
-        raise ValueError(f"unknown rules: {sorted(set(config) - known)}")
-    g = steps.groupBy("feature_file").agg(F.count_distinct("name").alias("n"), F.bool_and(F.contains(F.lower("name"), F.lit(config.get("name_marker", "")))).alias("named"), F.bool_or(F.col("keyword") == config.get("required_keyword", "")).alias("has"))
-    rules = []
-    if "max_scenarios" in config:
-        rules.append(F.when(F.col("n") > config["max_scenarios"], "max_scenarios"))
-    if "name_marker" in config:
-        rules.append(F.when(~F.col("named"), "name_marker"))
-    if "required_keyword" in config:
-        rules.append(F.when(~F.col("has"), "required_keyword"))
-    return g.select("feature_file", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+def unit_traceability(items: DataFrame, matches: DataFrame, nearby: DataFrame) -> DataFrame:
+    """By unit: criteria, covered ones, their percent, sorted generated names, and the same counts of ``nearby(unit, manual, covered)`` manual scenarios."""
+    j = items.join(matches.select("id", "generated"), "id", "left")
+    out = j.groupBy("unit").agg(F.count_distinct("id").alias("criteria"), F.count_distinct(F.when(F.col("generated").isNotNull(), F.col("id"))).alias("covered"), F.sort_array(F.collect_set("generated")).alias("generated")).withColumn("pct", 100.0 * F.col("covered") / F.col("criteria"))
+    near = nearby.groupBy("unit").agg(F.count_distinct("manual").alias("nearby"), F.count_distinct(F.when(F.col("covered"), F.col("manual"))).alias("nearby_covered"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    out = out.join(near.hint("merge"), "unit", "left").select(*out.columns, zero("nearby"), zero("nearby_covered"))
+    return out.withColumn("nearby_pct", F.when(F.col("nearby") > 0, 100.0 * F.col("nearby_covered") / F.col("nearby")).otherwise(0.0))
+
+
+STANDARDS = ("max_scenarios", "name_marker", "required_keyword", "required_tags", "forbidden_tags", "require_description")
+
+
+def check_standards(scenarios: DataFrame, config: dict, features: DataFrame | None = None) -> DataFrame:
+    """(feature_file, name, rule, symbol): what breaks a team rule, ``name`` NULL for a whole file; other keys are an error.
+
+    ``scenarios(feature_file, name, keywords, tags)`` has a row a scenario; ``features(feature_file, tags,
+    description)`` a row a file, without it a file has no tags and no description.  Tags of the file count for
+    its scenarios.  Without any file there is one row of rule ``nothing_to_check``.
+    """
+    if set(config) - set(STANDARDS):
+        raise ValueError(f"unknown rules: {sorted(set(config) - set(STANDARDS))}")
+    none = F.array().cast("array<string>")
+    words = lambda key: F.array(*[F.lit(x) for x in config.get(key, [])]).cast("array<string>")
+    if features is None:
+        features = scenarios.select("feature_file").distinct().select("feature_file", none.alias("tags"), F.lit("").alias("description"))
+    f = features.select("feature_file", F.coalesce("tags", none).alias("file_tags"), F.coalesce("description", F.lit("")).alias("description"))
+    n = scenarios.groupBy("feature_file").agg(F.count_distinct("name").alias("n"), F.bool_or(F.array_contains("keywords", config.get("required_keyword", ""))).alias("has"))
+    files = f.join(n.hint("merge"), "feature_file", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "has": F.coalesce("has", F.lit(False))})
+    rule = lambda key, broken, symbol=F.lit(None).cast("string"): F.when(broken, F.struct(F.lit(key).alias("rule"), symbol.alias("symbol"))) if key in config else None
+    of_file = [x for x in (rule("max_scenarios", F.col("n") > config.get("max_scenarios", 0)), rule("required_keyword", ~F.col("has")), rule("require_description", (F.trim("description") == "") & F.lit(bool(config.get("require_description"))))) if x is not None]
+    tagged = lambda c: F.transform(F.array_sort(F.array_intersect(words("forbidden_tags"), c)), lambda t: F.struct(F.lit("forbidden_tags").alias("rule"), t.alias("symbol")))
+    out = files.select("feature_file", F.lit(None).cast("string").alias("name"), F.explode(F.concat(F.array_compact(F.array(*of_file)).cast("array<struct<rule:string,symbol:string>>"), tagged(F.col("file_tags")))).alias("r"))
+    s = scenarios.join(f.hint("merge"), "feature_file", "left").withColumns({"file_tags": F.coalesce("file_tags", none), "own": F.coalesce("tags", none)})
+    missing = F.array_except(words("required_tags"), F.concat("own", "file_tags"))
+    of_row = [x for x in (rule("required_tags", F.size(missing) > 0, F.try_element_at(missing, F.lit(1))), rule("name_marker", ~F.contains(F.lower("name"), F.lit(config.get("name_marker", ""))))) if x is not None]
+    rows = s.select("feature_file", "name", F.explode(F.concat(F.array_compact(F.array(*of_row)).cast("array<struct<rule:string,symbol:string>>"), tagged(F.array_except("own", "file_tags")))).alias("r"))
+    out = out.unionByName(rows).select("feature_file", "name", "r.rule", "r.symbol")
+    empty = f.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(None).cast("string").alias("feature_file"), F.lit(None).cast("string").alias("name"), F.lit("nothing_to_check").alias("rule"), F.lit(None).cast("string").alias("symbol"))
+    return out.unionByName(empty) if config else out.filter("false")
 
 
 def spec_checklist(spec: DataFrame) -> DataFrame:
@@ -127,6 +159,20 @@ def spec_checklist(spec: DataFrame) -> DataFrame:
     return spec.groupBy("section").agg(F.count("entry").alias("n")).withColumn("status", F.when(F.col("n") > 0, "present").otherwise("missing"))
 
 
+def merge_facts(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """G1: one row a key over all sources: the first source that has it and how many rows say so."""
+    rows = None
+    for n, df in enumerate(sources):
+        own = df.select(*keys, F.lit(n).alias("source"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy(*keys).agg(F.min("source").alias("source"), F.count("*").alias("n"))
+
+
+def requirement_only(requirement: DataFrame, manual: DataFrame) -> DataFrame:
+    """Generated scenarios that requirements match and manual scenarios don't."""
+    return requirement.select("generated").distinct().join(manual.select("generated").distinct(), "generated", "left_anti")
+
+
 def id_diff(expected: DataFrame, got: DataFrame) -> DataFrame:
     """(id, side) missing or unexpected."""
     a, b = expected.select("id").distinct(), got.select("id").distinct()

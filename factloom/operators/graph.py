@@ -40,28 +40,29 @@ def entry_points(facts: DataFrame) -> DataFrame:
     return out.join(acting.union(buttons).distinct(), "node", "left_semi").join(fed, "node", "left_anti")
 
 
-def doors(facts: DataFrame) -> DataFrame:
-    return facts.filter(F.col("predicate").isin(*vocab.ENTRIES)).select(F.col("object").alias("entry")).distinct()
+def doors(facts: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """What the outside world presses: objects of exposures and events, and defined state machines and workflows."""
+    pressed = facts.filter(F.col("predicate").isin(*vocab.ENTRIES)).select(F.col("object").alias("entry"))
+    if entities is not None:
+        pressed = pressed.unionByName(entities.filter(F.col("type").isin("StateMachine", "WorkflowFile")).select(F.col("id").alias("entry")))
+    return pressed.distinct()
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """H4: (entry, node, hop, via) of every node that each seed ``node`` reaches, itself excluded; ``via`` is the smallest predecessor."""
     edges = stage(edges.select("src", "dst"), "bfs-edges")
-    frontier = seeds.select(F.col("node").alias("entry"), "node")
-    seen = frontier
-    walks, hop = None, 0
+    seen = stage(seeds.select(F.col("node").alias("entry"), "node", F.lit(0).alias("hop"), F.lit("").alias("via")), "bfs-seeds")
+    frontier, hop = seen, 0
     while max_depth is None or hop < max_depth:
         hop += 1
-        reached = frontier.join(edges, F.col("node") == F.col("src")).groupBy("entry", F.col("dst").alias("next")).agg(F.min("src").alias("via")).withColumnRenamed("next", "node")
-        new = stage(reached.join(seen, ["entry", "node"], "left_anti").select("entry", "node", F.lit(hop).alias("hop"), "via"), "bfs-frontier")
+        reached = frontier.select("entry", "node").join(edges, F.col("node") == F.col("src")).groupBy("entry", F.col("dst").alias("next")).agg(F.min("src").alias("via")).withColumnRenamed("next", "node")
+        new = stage(reached.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").select("entry", "node", F.lit(hop).alias("hop"), "via"), "bfs-frontier")
         if new.isEmpty():
             break
-        walks = new if walks is None else walks.unionByName(new)
-        frontier = new.select("entry", "node")
-        seen = seen.select("entry", "node").unionByName(frontier)
-    if walks is None:
-        return frontier.select("entry", "node", F.lit(0).alias("hop"), F.lit("").alias("via")).filter("false")
-    return walks
+        seen, frontier = seen.unionByName(new), new
+        if hop % 8 == 0:  # long walks: one table again
+            seen = stage(seen, "bfs-seen")
+    return seen.filter("hop > 0")
 
 
 def subsume(walks: DataFrame, door_ids: DataFrame) -> DataFrame:
@@ -109,25 +110,46 @@ def owner(walks: DataFrame, entities: DataFrame) -> DataFrame:
     return walks.select("entry").distinct().join(first, "entry", "left").select("entry", F.when(F.col("brick").isNull(), F.col("entry")).otherwise(F.regexp_replace(S.name_of("brick"), r"\.[^.]*$", "")).alias("family"))
 
 
-def journeys(facts: DataFrame, entities: DataFrame, pending: bool = False) -> DataFrame:
-    """H8: (entry, kind, members, depth, family) of each entry that isn't part of another.
-
-    kind: ``journey`` (rooted at a door), ``unwired`` (shaped like one, but no door) or
-    ``behavior``.  While names are pending there are no journeys at all.
-    """
+def _journeys(facts: DataFrame, entities: DataFrame, pending: bool) -> tuple[DataFrame, DataFrame]:
+    """Walks of the entries that aren't part of another, and what each of them is."""
     facts = stage(facts.select("ord", "subject", "predicate", "object"), "facts")  # read five times below
     walks = stage(bfs(flow_edges(facts), entry_points(facts)), "walks")
     if pending:
         walks = walks.filter("false")
-    gate = doors(facts)
-    kept = walks.join(subsume(walks, gate), "entry", "left_anti")
+    gate = stage(doors(facts, entities), "doors")
+    kept = stage(walks.join(subsume(walks, gate), "entry", "left_anti"), "kept-walks")
     kinds = classify(kept, facts).join(gate.withColumn("door", F.lit(True)), "entry", "left")
     kinds = kinds.withColumn("kind", F.when((F.col("kind") == "journey") & F.col("door").isNull(), "unwired").otherwise(F.col("kind")))
-    return kinds.join(owner(kept, entities), "entry").select("entry", "kind", "members", "depth", "family")
+    return kept, kinds.join(owner(kept, entities), "entry").select("entry", "kind", "members", "depth", "family")
+
+
+def journeys(facts: DataFrame, entities: DataFrame, pending: bool = False) -> DataFrame:
+    """H8: (entry, kind, members, depth, family) of each entry that isn't part of another.
 
+    kind: ``journey`` (rooted at a door), ``unwired`` (shaped like one, but no door) or
+    ``behavior``.  While names are pending there are no journeys at all.
+    """
+    return _journeys(facts, entities, pending)[1]
+
+
+def journey_facts(facts: DataFrame, entities: DataFrame, pending: bool = False) -> DataFrame:
+    """H8: facts (subject, predicate, object, line, resolved, confidence) of journeys and behaviour groups.
 
-def walk(facts: DataFrame, seeds: DataFrame, relations: Sequence[str] | None = None, hops: int = 2, direction: str = "out", limit: int = 50) -> DataFrame:
-    """H9: edges within ``hops`` of seed names, distinct, first ``limit`` by (hop, src, relation, dst)."""
+    ``Journey:<entry>`` STARTS_AT its entry and HAS_MEMBER what it reaches; a group
+    ``BehaviorGroup:<family>`` HAS_MEMBER its entries and what they reach.  ``line`` is the
+    hop.  A member with an open name is unresolved and half as sure.
+    """
+    kept, kinds = _journeys(facts, entities, pending)
+    kinds = stage(kinds.filter("kind <> 'unwired'").withColumn("subject", F.when(F.col("kind") == "journey", F.concat(F.lit("Journey:"), "entry")).otherwise(F.concat(F.lit("BehaviorGroup:"), "family"))), "journey-kinds")
+    journey = F.col("kind") == "journey"
+    roots = kinds.select("subject", F.when(journey, "STARTS_AT").otherwise("HAS_MEMBER").alias("predicate"), F.col("entry").alias("object"), F.when(~journey, 0).alias("line"), F.lit(True).alias("resolved"))
+    members = kept.join(kinds.select("entry", "subject"), "entry").select("subject", F.lit("HAS_MEMBER").alias("predicate"), F.col("node").alias("object"), F.col("hop").alias("line"), (~F.contains("node", F.lit("${"))).alias("resolved"))
+    return roots.unionByName(members).withColumn("confidence", F.when(F.col("resolved"), 1.0).otherwise(0.5))
+
+
+def walk(facts: DataFrame, seeds: DataFrame, relations: Sequence[str] | None = None, hops: int = 2, direction: str = "out", limit: int = 50, app: str | None = None) -> DataFrame:
+    """H9: edges within ``hops`` of seed names, distinct, first ``limit`` by (hop, src, relation, dst); of one application if named."""
+    facts = facts if app is None else facts.filter(F.col("app_id") == app)
     edges = facts.select(F.col("subject").alias("src"), F.col("predicate").alias("relation"), F.col("object").alias("dst")).distinct()
     if relations:
         edges = edges.filter(F.col("relation").isin(*relations))
@@ -144,19 +166,22 @@ def walk(facts: DataFrame, seeds: DataFrame, relations: Sequence[str] | None = N
 
 
 def longest_chain(walks: DataFrame) -> DataFrame:
-    """(step, node) of the path to the deepest node; ties by entry, then node."""
-    top = walks.orderBy(F.desc("hop"), "entry", "node").limit(1)
-    path, row = [], top.first()
-    if row is None:
-        return walks.select(F.lit(0).alias("step"), "node").filter("false")
-    steps = [(row["hop"], row["node"])]
-    own = walks.filter(F.col("entry") == row["entry"])
-    for hop in range(row["hop"] - 1, 0, -1):  # as many single-row lookups as the chain is long
-        row = own.filter((F.col("hop") == hop + 1) & (F.col("node") == steps[-1][1])).first()
-        steps.append((hop, row["via"]))
-    steps.append((0, row["entry"]))
-    path = sorted(steps)
-    return walks.sparkSession.createDataFrame(path, "step int, node string")
+    """(step, node) of the path to the deepest node; ties by entry, then node.
+
+    The chain doubles in each round: a node's way of 2k hops back is two ways of k, so a
+    chain of n nodes takes log n joins over the walks of its entry.
+    """
+    top = stage(walks.orderBy(F.desc("hop"), "entry", "node").limit(1), "chain-top")
+    own = walks.join(F.broadcast(top.select("entry")), "entry", "left_semi").select("node", "via", "hop")  # one row
+    back = stage(own.unionByName(top.select(F.col("entry").alias("node"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("hop"))), "chain-back")
+    depth = top.agg(F.max("hop")).first()[0] or 0
+    path, jump, reach = stage(top.select("node", "hop"), "chain-path"), back.select("node", F.col("via").alias("to")), 1
+    while reach <= depth:
+        more = path.join(jump.hint("shuffle_hash"), "node").filter("to is not null").select(F.col("to").alias("node"), (F.col("hop") - reach).alias("hop"))
+        path = stage(path.unionByName(more), "chain-path")
+        further = jump.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        jump, reach = stage(jump.join(further.hint("shuffle_hash"), "to").select("node", F.col("next").alias("to")), "chain-jump"), 2 * reach
+    return path.select(F.col("hop").alias("step"), "node")
 
 
 def dead_ends(facts: DataFrame, predicates: Sequence[str] = ("CALLS",)) -> DataFrame:

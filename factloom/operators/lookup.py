@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import scalars as S
+from ..sources.staged import stage
 from .graph import latest
 
 
@@ -47,21 +48,24 @@ def _containing(missed: DataFrame, kb: DataFrame) -> DataFrame:
     return rare.join(names, ["app_id", "gram"]).filter(F.expr("lower(name) LIKE concat('%', lower(q), '%')"))
 
 
-def resolve_names(queries: DataFrame, kb: DataFrame, limit: int = 5) -> DataFrame:
-    """Candidates for ``queries(app_id, q)``: exact names, else names that contain q in any case
-    (``%`` and ``_`` in q are wildcards), else a bucket that holds a stored path.
+def resolve_names(queries: DataFrame, kb: DataFrame, limit: int = 5, tables: Sequence[str] | None = None) -> DataFrame:
+    """Candidates for ``queries(app_id, q)``: exact names; else q itself as a bucket that holds stored
+    paths; else names that contain q in any case (``%`` and ``_`` in q are wildcards).
 
-    Repeated queries count once.  Missing confidence is 1.0 for an exact hit and 0.5 for others; missing resolved is true.
+    ``tables`` restricts the kinds asked for.  Repeated queries count once; ``limit`` holds for each query, by
+    table and name.  Missing confidence is 1.0 for an exact hit and 0.5 for others; missing resolved is true.
     """
     out = lambda df, how, c: df.select("app_id", "q", "table_name", "name", F.lit(how).alias("how"), F.coalesce("resolved", F.lit(True)).alias("resolved"), F.coalesce("confidence", F.lit(c)).alias("confidence"))
-    queries = queries.select("app_id", "q").distinct()
+    queries = stage(queries.select("app_id", "q").distinct(), "names-asked")
+    kb = stage(kb if tables is None else kb.filter(F.col("table_name").isin(*tables)), "names-known")
+    left = lambda df, found: df.join(found.select("app_id", "q").distinct(), ["app_id", "q"], "left_anti")
     exact = out(queries.join(kb, (queries["q"] == kb["name"]) & (queries["app_id"] == kb["app_id"])).drop(kb["app_id"]), "exact", 1.0)
-    missed = queries.join(exact.select("app_id", "q").distinct(), ["app_id", "q"], "left_anti")
-    fuzzy = out(_containing(missed, kb), "contains", 0.5)
-    rest = missed.join(fuzzy.select("app_id", "q").distinct(), ["app_id", "q"], "left_anti")
-    paths = kb.filter("table_name = 'app_s3_paths'").withColumn("bucket", F.split(F.regexp_replace("name", "^s3://", ""), "/")[0]).withColumnRenamed("app_id", "kb_app")
-    bucket = out(rest.join(paths, (F.col("app_id") == F.col("kb_app")) & (F.col("q") == F.col("bucket"))), "bucket", 0.5)
-    found = exact.unionByName(fuzzy).unionByName(bucket)
+    missed = stage(left(queries, exact), "names-missed")
+    buckets = kb.filter("table_name = 'app_s3_paths'").select("app_id", F.regexp_replace("name", "^s3://", "").alias("path")).filter(F.contains("path", F.lit("/"))).select("app_id", F.split("path", "/")[0].alias("q")).distinct()
+    held = missed.join(buckets.hint("shuffle_hash"), ["app_id", "q"], "left_semi")
+    bucket = held.select("app_id", "q", F.lit("app_s3_paths").alias("table_name"), F.col("q").alias("name"), F.lit("bucket").alias("how"), F.lit(True).alias("resolved"), F.lit(1.0).alias("confidence"))
+    fuzzy = out(_containing(stage(left(missed, bucket), "names-open"), kb), "contains", 0.5)
+    found = exact.unionByName(bucket).unionByName(fuzzy)
     w = Window.partitionBy("app_id", "q").orderBy("table_name", "name")
     return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
 
@@ -147,7 +151,7 @@ def coverage_gap(inventory: DataFrame, accounted: DataFrame, skipped_types: Sequ
 def feedback_gate(feedback: DataFrame, entries: DataFrame) -> DataFrame:
     """Ids of rejects and comments that no entry lists as addressed."""
     addressed = entries.select(F.explode("feedback_ids").alias("id")).distinct()
-    return feedback.filter(F.col("action").isin("reject", "comment")).select("id").join(addressed, "id", "left_anti")
+    return feedback.filter(F.col("action").isin("reject", "comment")).select("id").join(addressed.hint("merge"), "id", "left_anti")
 
 
 def story_gate(docs: DataFrame, facts: DataFrame, observable: Sequence[str] = vocab.OBSERVABLE) -> DataFrame:

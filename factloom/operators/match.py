@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import scalars as S
+from ..sources.staged import stage
 
 KEY = ("stage", "intent", "actions", "outcomes")
 
@@ -104,16 +107,35 @@ def unmatched(ref: DataFrame, cand: DataFrame, matches: DataFrame) -> DataFrame:
     return left.join(best, ["app_id", *KEY], "left").select("app_id", "id", F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
+def match_requirements(items: DataFrame, generated: DataFrame, threshold: float = 0.45) -> DataFrame:
+    """(app_id, item, generated, score, unit, negative): criteria matched as in D16, with their own attributes."""
+    found = greedy_match(items, generated, threshold).select(F.col("ref_id").alias("item"), F.col("cand_id").alias("generated"), "score")
+    own = items.select("app_id", F.col("id").alias("item"), "unit", (F.col("intent") == "negative").alias("negative"))
+    return own.join(found.hint("merge"), "item")
+
+
 def triangulate(manual: DataFrame, requirement: DataFrame) -> DataFrame:
     """Generated scenarios matched by both sides; of equal names the last row wins."""
     last = lambda df, c: df.groupBy("generated").agg(F.max_by(c, "ord").alias(c))
     return last(manual, "manual").join(last(requirement, "requirement"), "generated")
 
 
+#: Length of the keys on which names and units meet.
+GRAM = 3
+
+
 def near_unit(units: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Units whose id occurs, in any case, in a file or scenario name; units are few and stay whole."""
-    hit = F.contains(F.lower("feature_file"), F.lower("unit")) | F.contains(F.lower("name"), F.lower("unit"))
-    return profiles.join(units, hit).select("unit", "name")
+    """Units whose id occurs, in any case, in a file or scenario name.
+
+    A unit meets the names that hold its first ``GRAM`` letters (all of a shorter one) and is then looked for in full.
+    """
+    u = units.select("unit", F.lower("unit").alias("low")).withColumn("gram", F.substring("low", 1, GRAM))
+    names = profiles.select(F.col("name"), F.lower("feature_file").alias("file"), F.lower("name").alias("low_name"))
+    starts = lambda c: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c)))
+    grams = lambda c: F.flatten(F.transform(starts(c), lambda at: F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.substring(F.col(c), at, n))))
+    keyed = names.withColumn("gram", F.explode(F.array_distinct(F.concat(F.coalesce(grams("file"), F.array()), F.coalesce(grams("low_name"), F.array())))))
+    hit = F.coalesce(F.contains("file", "low"), F.lit(False)) | F.coalesce(F.contains("low_name", "low"), F.lit(False))
+    return keyed.join(u.hint("merge"), "gram").filter(hit).select("unit", "name")
 
 
 def apply_credits(credits: DataFrame, missing: DataFrame, generated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -122,6 +144,18 @@ def apply_credits(credits: DataFrame, missing: DataFrame, generated: DataFrame)
     return kept, missing.join(kept.select("manual"), "manual", "left_anti")
 
 
+def coverage_assist(manual: DataFrame, generated: DataFrame, matches: DataFrame, ask) -> tuple[DataFrame, DataFrame]:
+    """L2: (manual) credited and (id) redundant rows, from what ``ask`` says about the unmatched manual and the generated rows.
+
+    ``ask(missing, generated)`` returns credits(manual, generated, covers) and redundant(id);
+    what names no such row is left out.
+    """
+    missing = stage(manual.join(matches.select(F.col("ref_id").alias("id")), "id", "left_anti"), "assist-missing")
+    credits, redundant = ask(missing, generated)
+    named = apply_credits(credits.filter("covers"), missing.select(F.col("id").alias("manual")), generated.select(F.col("id").alias("generated")))[0]
+    return named.select("manual").distinct(), redundant.select("id").distinct().join(generated.select("id"), "id", "left_semi")
+
+
 def profile_scenarios(steps: DataFrame) -> DataFrame:
     """One profile a scenario from ``steps(feature_file, feature_name, name, pos, keyword, text)``."""
     key = ["feature_file", "feature_name", "name"]
@@ -179,16 +213,68 @@ def approved_examples(examples: DataFrame, unit: str, n: int = 2) -> DataFrame:
     return examples.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, vec_id, rank) by cosine, then id.  ``queries`` is the stated query set.
+#: Queries that meet all vectors at once.
+QUERIES = 4096
+
+
+def _best(k: int, shared):
+    """Each task's ``k`` nearest of every query of the block, by cosine to nine places, then id."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("cosine", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best: list[tuple[np.ndarray, ...]] = []  # (query, vector, cosine) still in the race
+        for b in batches:
+            own = b.column("vec_id").to_numpy()
+            s = np.round(unit_rows(np.array(b.column("e").to_pylist(), np.float64).reshape(len(own), -1)) @ q.T, 9)
+            s[own[:, None] == ids[None, :]] = -np.inf
+            least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(len(ids), -np.inf)
+            at, col = np.nonzero((s >= least) & (s > -np.inf))
+            best.append((col, own[at], s[at, col]))
+            if len(best) > 8:
+                best = [_first(best, k)]
+        if best:
+            col, vec, cosine = _first(best, k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[col]), pa.array(vec), pa.array(cosine)], schema=schema)
+
+    return run
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay and are like nothing."""
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm == 0, 1.0, norm)
+
+
+def _first(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best (query, vector, cosine) of each query."""
+    query, vec, cosine = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((vec, -cosine, query))
+    query, vec, cosine = query[order], vec[order], cosine[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], vec[kept], cosine[kept]
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERIES) -> DataFrame:
+    """(query_id, vec_id, cosine, rank) by cosine to nine places, then id.  ``queries`` is the stated query set.
 
-    Partial top-k runs before the shuffle (a row_number limit), so a query's candidates
-    never meet in one task.
+    ``block`` queries at a time are multiplied with all vectors; each task keeps its ``k`` best
+    of each query before the shuffle.  Vectors without length have cosine 0, null ones are left out.
     """
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")))
-    v = vectors.select("vec_id", F.col("embedding").alias("e"), norm("embedding").alias("ne"))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm("embedding").alias("nq"))
-    dot = F.aggregate(F.zip_with("e", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0).cast("double"), lambda a, x: a + x)
-    s = v.join(q.hint("broadcast"), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", (dot / (F.col("ne") * F.col("nq"))).alias("cosine"))
+    spark = vectors.sparkSession
+    v = vectors.filter("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out, some = None, []
+
+    def ask() -> DataFrame:
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in some], np.int64), unit_rows(np.array([r[1] for r in some], np.float64))))
+        found = v.mapInArrow(_best(k, shared), "query_id long, vec_id long, cosine double")
+        return stage(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "nearest")
+
+    for r in queries.filter("embedding IS NOT NULL").select("vec_id", "embedding").toLocalIterator():
+        some.append(r)
+        if len(some) == block:
+            out, some = ask() if out is None else out.unionByName(ask()), []
+    if some:
+        out = ask() if out is None else out.unionByName(ask())
+    return out if out is not None else spark.createDataFrame([], "query_id long, vec_id long, cosine double, rank int")

@@ -40,7 +40,7 @@ def unresolved(facts: DataFrame) -> DataFrame:
     """Unresolved facts, facts with placeholders, distinct tokens, by application."""
     base = facts.groupBy("app_id").agg(F.count_if(~F.col("resolved")).alias("unresolved"), F.count_if(S.has_token("object")).alias("placeholders"))
     names = facts.select("app_id", F.explode(S.tokens("object")).alias("t")).distinct().groupBy("app_id").agg(F.count("*").alias("tokens"))
-    return base.join(names, "app_id", "left").select("app_id", "unresolved", "placeholders", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    return base.join(names.hint("merge"), "app_id", "left").select("app_id", "unresolved", "placeholders", F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
 def snapshot(facts: DataFrame) -> DataFrame:
@@ -53,6 +53,37 @@ def snapshot(facts: DataFrame) -> DataFrame:
     )
 
 
+def run_measures(facts: DataFrame, entities: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The sixteen comparable numbers of a run, one row an application of ``metadata``.
+
+    ``metadata(app_id, pending_names, unwired, handler_unlinked)`` has arrays and
+    ``human_answers, decisions`` maps; NULL counts as none.
+    """
+    p, o = F.col("predicate"), F.col("object")
+    distinct = lambda *preds: F.count_distinct(F.when(p.isin(*preds), o))
+    of_facts = facts.groupBy("app_id").agg(
+        F.count("*").alias("facts"), F.count_if(~F.coalesce("resolved", F.lit(True))).alias("unresolved_facts"), distinct("CALLS_HTTP_API").alias("web_calls"), distinct("READS_SECRET").alias("secrets"),
+        distinct("READS_SSM_PARAMETER").alias("parameters"), distinct("QUERIES_DATABASE", "WRITES_DATABASE").alias("tables"), F.count_if(p == "HANDLED_BY").alias("lambda_links"),
+    )
+    blank = facts.select("app_id", F.explode(S.tokens("object")).alias("token")).distinct().groupBy("app_id").agg(F.count("*").alias("blank_names"))
+    kinds = entities.groupBy("app_id").agg(F.count("*").alias("entities"), F.count_if(F.col("type") == "Journey").alias("journeys"), F.count_if(F.col("type") == "BehaviorGroup").alias("behavior_groups"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    own = {"questions_open": "pending_names", "human_answers": "human_answers", "decisions": "decisions", "unwired": "unwired", "lambdas_unlinked": "handler_unlinked"}
+    out = metadata.select("app_id", *[size(F.when(F.col(c).isNotNull(), F.col(c))).alias(k) for k, c in own.items()])
+    for df in (of_facts, blank, kinds):
+        out = out.join(df.hint("merge"), "app_id", "left")
+    return out.select("app_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in out.columns if c != "app_id"])
+
+
+def capture_objects(facts: DataFrame, families: dict[str, Sequence[str]]) -> DataFrame:
+    """(family, object, from_config, from_code, readable): each distinct object of a predicate family and where it was named."""
+    family = F.lit(None).cast("string")
+    for name, predicates in families.items():
+        family = F.when(F.col("predicate").isin(*predicates), name).otherwise(family)
+    config = F.startswith("subject", F.lit("ConfigFile:"))
+    return facts.withColumn("family", family).filter("family IS NOT NULL").groupBy("family", "object").agg(F.bool_or(config).alias("from_config"), F.bool_or(~config).alias("from_code"), F.bool_or("resolved").alias("readable"))
+
+
 def snapshot_diff(before: DataFrame, now: DataFrame) -> DataFrame:
     """(app_id, measure, old, new) of the measures that changed."""
     names = [c for c in now.columns if c != "app_id"]

@@ -23,9 +23,10 @@ def substitute(df: DataFrame, col: str, bindings: DataFrame, key: str = "ord") -
     pieces = F.regexp_extract_all(F.col(col), F.lit(r"(\$\{[^}]+\}|[^$]+|\$)"), F.lit(1))
     cut = df.select(key, F.posexplode_outer(pieces).alias("at", "piece"))
     cut = cut.withColumn("token", F.when(F.col("piece").rlike(r"^\$\{[^}]+\}$"), F.regexp_extract("piece", r"^\$\{([^}]+)\}$", 1)))
-    put = cut.join(bind(bindings), "token", "left").withColumn("piece", F.coalesce("value", "piece"))
+    known = cut.filter("token IS NOT NULL").join(bind(bindings).hint("merge"), "token", "left").select(key, "at", F.coalesce("value", "piece").alias("piece"))
+    put = known.unionByName(cut.filter("token IS NULL").select(key, "at", "piece"))  # plain pieces meet nothing
     whole = put.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("text"))
-    return df.join(whole, key).withColumn("fully_resolved", ~S.has_token("text"))
+    return df.join(whole.hint("merge"), key).withColumn("fully_resolved", ~S.has_token("text"))
 
 
 def apply_resolution(df: DataFrame) -> DataFrame:
@@ -50,15 +51,15 @@ def stale_renames(facts: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def token_usages(facts: DataFrame, answered: DataFrame, n: int = 3) -> DataFrame:
     """Unanswered tokens with their number of uses and the first ``n`` of them."""
-    used = facts.select("ord", "subject", "object", F.explode(F.array_distinct(S.tokens("object"))).alias("token")).join(answered.select("token"), "token", "left_anti")
+    used = facts.select("ord", "subject", "object", F.explode(F.array_distinct(S.tokens("object"))).alias("token")).join(answered.select("token").hint("merge"), "token", "left_anti")
     w = Window.partitionBy("token").orderBy("ord")
     some = used.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).groupBy("token").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "subject"))), lambda x: x["subject"]).alias("sample"))
-    return used.groupBy("token").agg(F.count("*").alias("uses")).join(some, "token")
+    return used.groupBy("token").agg(F.count("*").alias("uses")).join(some.hint("merge"), "token")
 
 
 def stale_answers(answers: DataFrame, facts: DataFrame) -> DataFrame:
     """Answered tokens that no fact holds any more."""
-    return answers.select("token").distinct().join(facts.select(F.explode(S.tokens("object")).alias("token")).distinct(), "token", "left_anti")
+    return answers.select("token").distinct().join(facts.select(F.explode(S.tokens("object")).alias("token")).distinct().hint("merge"), "token", "left_anti")
 
 
 def contradictions(answers: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -27,48 +27,98 @@ def md_sections(files: DataFrame) -> DataFrame:
     """(file, section, body) split at ``## `` headings; text before the first drops; of equal headings the last wins."""
     rows = carry_forward(lines(files), F.when(F.startswith("line", F.lit("## ")), F.struct(F.col("pos").alias("at"), F.trim(F.substr("line", F.lit(4))).alias("section"))), "head")
     body = rows.filter("head IS NOT NULL AND pos > head.at").groupBy("file", "head").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    heads = rows.filter("head IS NOT NULL").select("file", "head").distinct().join(body, ["file", "head"], "left")
+    heads = rows.filter("head IS NOT NULL").select("file", "head").distinct().join(body.hint("merge"), ["file", "head"], "left")
     last = heads.groupBy("file", F.col("head.section").alias("section")).agg(F.max_by(F.coalesce("body", F.lit("")), "head.at").alias("body"))
     return last
 
 
+def _body_lines(sections: DataFrame) -> DataFrame:
+    return sections.select("file", "section", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
+
+
 def story_acs(sections: DataFrame, least: int = 10) -> DataFrame:
-    """(file, section, number, text) of numbered given-when-then lines of ``least`` characters or more."""
-    rows = sections.select("file", "section", F.posexplode(F.split("body", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"^\s*\d+[.)]\s"))
-    rows = number_items(rows, ["file", "section"])
-    text = F.trim(F.regexp_replace(F.regexp_replace("line", r"^\s*\d+[.)]\s+", ""), r"\[code-derived\]", ""))
-    return rows.select("file", "section", "number", text.alias("text")).filter((F.length("text") >= least) & F.lower("text").rlike("given.*when.*then"))
+    """(file, section, number, text) of numbered given-when-then lines of ``least`` characters or more; the number is the line's own."""
+    rows = _body_lines(sections).filter(F.col("line").rlike(r"^\s*\d+\.\s+\S"))
+    text = F.trim(F.regexp_replace(F.regexp_replace("line", r"^\s*\d+\.\s+", ""), r"(?i)\[code-derived\]", ""))
+    rows = rows.select("file", "section", "pos", F.regexp_extract("line", r"^\s*(\d+)\.", 1).alias("number"), text.alias("text"))
+    return rows.filter((F.length("text") >= least) & F.col("text").rlike(r"(?i)\bgiven\b.*\bwhen\b.*\bthen\b")).drop("pos")
 
 
-def shall_items(sections: DataFrame) -> DataFrame:
-    """I4: bullets with "The system shall" or "must"; skipped bullets are numbered too."""
-    rows = sections.select("file", "section", F.posexplode(F.split("body", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"^\s*[-*]\s"))
-    rows = number_items(rows, ["file", "section"])
-    text = F.trim(F.regexp_replace("line", r"^\s*[-*]\s+", ""))
-    return rows.select("file", "section", F.concat(F.lit("REQ-"), F.col("number").cast("string")).alias("label"), text.alias("text")).filter(F.lower("text").rlike("the system (shall|must)"))
+_SHALL, _GAP = r"(?i)^\s*[-*]\s+(?:The system shall|The system must)\s+(\S.*)$", r"(?i)^\s*[-*]\s+(?:Not documented:|Missing:|Gap:)\s*(\S.*)$"
 
 
-def table_items(sections: DataFrame) -> DataFrame:
-    """Cells of each table row below its ``|---|`` line: (file, section, pos, cells)."""
-    rows = sections.select("file", "section", F.posexplode(F.split("body", "\n")).alias("pos", "line")).filter(F.startswith(F.trim("line"), F.lit("|")))
-    seen = F.sum(F.col("line").rlike(r"^\s*\|[\s:|-]+\|\s*$").cast("int")).over(Window.partitionBy("file", "section").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
-    return rows.withColumn("below", seen).filter("below > 0").select("file", "section", "pos", cells.alias("cells"))
+def _bullets(sections: DataFrame, pattern: str, label: str) -> DataFrame:
+    rows = number_items(_body_lines(sections).filter(F.col("line").rlike(pattern)), ["file", "section"])
+    return rows.select("file", "section", F.concat(F.lit(label), F.col("number").cast("string")).alias("label"), F.trim(F.regexp_extract("line", pattern, 1)).alias("text"))
+
+
+def shall_items(sections: DataFrame) -> DataFrame:
+    """I4: bullets that begin with "The system shall" or "The system must", numbered as found."""
+    return _bullets(sections, _SHALL, "REQ-").withColumn("text", F.concat(F.lit("The system shall "), "text"))
 
 
 def gap_items(sections: DataFrame) -> DataFrame:
-    """Bullets of the section "Gap Analysis"."""
-    own = sections.filter(S.section_key("section") == "gap analysis")
-    rows = own.select("file", F.posexplode(F.split("body", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"^\s*[-*]\s"))
-    return number_items(rows, ["file"]).select("file", F.concat(F.lit("GAP-"), F.col("number").cast("string")).alias("label"), F.trim(F.regexp_replace("line", r"^\s*[-*]\s+", "")).alias("text"))
+    """Bullets that begin with "Not documented:", "Missing:" or "Gap:", numbered as found."""
+    return _bullets(sections, _GAP, "GAP-")
+
+
+def table_items(sections: DataFrame) -> DataFrame:
+    """(file, section, number, text) of table rows as ``column=value | ...``.
+
+    The first row of a section names the columns; empty cells, n/a and dashes drop out, as do rows that are left empty.
+    """
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x))
+    rows = number_items(_body_lines(sections).filter(F.col("line").rlike(r"^\s*\|(.+)\|\s*$")).withColumn("cells", cells), ["file", "section"])
+    rows = rows.withColumn("names", F.first("cells").over(Window.partitionBy("file", "section").orderBy("pos")))
+    rows = rows.filter((F.col("number") > 1) & ~F.forall("cells", lambda x: x.rlike("^[-:]*$")))
+    pairs = F.zip_with("names", F.slice("cells", F.lit(1), F.size("names")), lambda n, c: F.when(~F.coalesce(c, F.lit("")).isin("", "n/a", "N/A", "—") & n.isNotNull(), F.concat_ws("=", n, c)))
+    rows = rows.withColumn("text", F.array_join(F.array_compact(pairs), " | ")).filter("text <> ''").drop("number")
+    return number_items(rows, ["file", "section"]).select("file", "section", "number", "text")
+
+
+def _tiered(sections: DataFrame) -> DataFrame:
+    """Items of each section by what its name calls for: (file, section, tier, rank, label, text)."""
+    key = S.section_key("section")
+    s = sections.filter(~F.trim("body").isin("", "_(none)_", "(none)")).select("*", S.section_tier("section").alias("_tier"), key.alias("_key"))
+    s = s.filter("_tier <> 'metadata'")
+    named = F.col("_key").isin("user stories", "consolidated requirements", "function specification", "gap analysis")
+    extra = ~named & (F.col("_tier") == "secondary")
+    own = lambda name, more=extra: s.filter((F.col("_key") == name) | more)
+    stories = story_acs(own("user stories")).select("file", "section", F.lit("primary").alias("tier"), F.lit(1).alias("rank"), F.concat(F.lit("AC-"), "number").alias("label"), "text")
+    shall = shall_items(own("consolidated requirements")).select("file", "section", F.lit("primary").alias("tier"), F.lit(2).alias("rank"), "label", "text")
+    calls = table_items(own("function specification", F.lit(False))).filter(F.startswith(F.lower("text"), F.lit("function=")))
+    calls = calls.select("file", "section", F.lit("secondary").alias("tier"), F.lit(3).alias("rank"), F.concat(F.lit("FN-"), F.col("number").cast("string")).alias("label"), "text")
+    gaps = gap_items(own("gap analysis")).select("file", "section", F.lit("secondary").alias("tier"), F.lit(4).alias("rank"), "label", "text")
+    return stories.unionByName(shall).unionByName(calls).unionByName(gaps)
 
 
 def requirement_items(files: DataFrame) -> DataFrame:
-    """Items of all kinds, tier by section; of equal texts in a file the first kind and label stays."""
-    s = md_sections(files)
-    stories = story_acs(s).select("file", F.lit(1).alias("kind"), F.concat(F.lit("AC-"), F.col("number").cast("string")).alias("label"), "text")
-    items = stories.unionByName(shall_items(s).select("file", F.lit(2).alias("kind"), "label", "text")).unionByName(gap_items(s).select("file", F.lit(3).alias("kind"), "label", "text"))
-    return items.withColumn("hash", S.text_hash("text")).groupBy("file", "hash").agg(F.min(F.struct("kind", "label", "text")).alias("x")).select("file", "x.*")
+    """Items of all sections of Markdown ``files(file, text)``."""
+    return section_items(md_sections(files))
+
+
+def section_items(sections: DataFrame) -> DataFrame:
+    """(file, section, tier, label, text) of ``sections(file, section, body)``; of equal texts of a file the first by tier, kind and label stays.
+
+    A file without primary items gives its gaps as ``fallback`` items; where one is there as
+    a secondary item already, that stays.
+    """
+    first = F.min(F.struct("rank", "section", "label", "text", "tier")).alias("x")
+    return _tiered(sections).withColumn("hash", S.text_hash("text")).groupBy("file", "hash").agg(first).select("file", "x.section", "x.tier", "x.label", "x.text")
+
+
+def extraction_report(sections: DataFrame) -> DataFrame:
+    """(file, primary, secondary, fallback, skipped): items found by tier, and sections of metadata passed over.
+
+    Gaps count again as fallback where a file has no primary item.
+    """
+    n = lambda tier: F.count_if(F.col("tier") == tier)
+    gap = F.count_if((F.col("tier") == "secondary") & (S.section_key("section") == "gap analysis"))
+    found = _tiered(sections).groupBy("file").agg(n("primary").alias("primary"), n("secondary").alias("secondary"), gap.alias("gaps"))
+    skipped = sections.filter(~F.trim("body").isin("", "_(none)_", "(none)")).groupBy("file").agg(F.count_if(S.section_tier("section") == "metadata").alias("skipped"))
+    out = sections.select("file").distinct().join(found.hint("merge"), "file", "left").join(skipped.hint("merge"), "file", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return out.select("file", zero("primary").alias("primary"), zero("secondary").alias("secondary"), F.when(zero("primary") == 0, zero("gaps")).otherwise(0).alias("fallback"), zero("skipped").alias("skipped"))
 
 
 def profile_items(items: DataFrame) -> DataFrame:
@@ -81,22 +131,48 @@ def profile_items(items: DataFrame) -> DataFrame:
 
 
 def parse_features(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """scenarios(file, feature, scenario, at) and steps(file, at, pos, keyword, text, background).
+    """scenarios(file, feature, scenario, at, outline, tags, examples) and steps(file, at, pos, keyword, text, background).
 
-    Background steps precede those of every later scenario of the file; comments and
-    docstring fences are skipped; ``*`` is the keyword Step.
+    The steps of the latest Background precede those of every later scenario; comments and
+    docstring fences are skipped; ``*`` is the keyword Step.  Tags are the first of each tag
+    line above the first scenario of a feature or background; ``examples`` are the rows of a
+    scenario's Examples tables, the header first.
     """
-    ln = lines(files).withColumn("t", F.trim("line")).filter((F.col("t") != "") & ~F.startswith("t", F.lit("#")) & ~F.startswith("t", F.lit('"""')))
-    head = F.when(F.col("t").rlike("^(Scenario|Scenario Outline|Background):"), F.struct(F.col("pos").alias("at"), F.regexp_extract("t", "^([^:]+):", 1).alias("kind"), F.trim(F.regexp_replace("t", "^[^:]+:", "")).alias("name")))
-    feature = F.when(F.startswith("t", F.lit("Feature:")), F.trim(F.substr("t", F.lit(9))))
+    t = F.col("t")
+    ln = lines(files).withColumn("t", F.trim("line")).filter((t != "") & ~t.rlike("^(#|\"\"\"|''')"))
+    heading = r"(?i)^(Scenario|Scenario\s+Outline|Background):"
+    kind = F.when(t.rlike("(?i)^Background:"), "Background").otherwise(F.regexp_extract(t, heading, 1))
+    head = F.when(t.rlike(heading), F.struct(F.col("pos").alias("at"), kind.alias("kind"), F.trim(F.regexp_replace(t, "^[^:]+:", "")).alias("name")))
+    feature = F.when(t.rlike("(?i)^Feature:"), F.trim(F.regexp_replace(t, "^[^:]+:", "")))
     rows = carry_forward(carry_forward(ln, feature, "feature"), head, "head")
-    pattern = r"^(Given|When|Then|And|But|\*)\s+(.*)$"
-    steps = rows.filter(F.col("t").rlike(pattern) & F.col("head").isNotNull()).select("file", "pos", "head", F.regexp_replace(F.regexp_extract("t", pattern, 1), r"^\*$", "Step").alias("keyword"), F.regexp_extract("t", pattern, 2).alias("text"))
-    scenarios = rows.filter("head IS NOT NULL AND head.kind <> 'Background'").groupBy("file", "head").agg(F.first("feature").alias("feature")).select("file", "feature", F.col("head.name").alias("scenario"), F.col("head.at").alias("at"), (F.col("head.kind") == "Scenario Outline").alias("outline"))
-    shared = steps.filter("head.kind = 'Background'").select("file", F.col("pos").alias("bpos"), "keyword", "text")
-    own = steps.filter("head.kind <> 'Background'").select("file", F.col("head.at").alias("at"), "pos", "keyword", "text", F.lit(False).alias("background"))
-    before = scenarios.select("file", "at").join(shared, "file").filter("bpos < at").select("file", "at", F.col("bpos").alias("pos"), "keyword", "text", F.lit(True).alias("background"))
-    return scenarios, own.unionByName(before)
+    pattern = r"(?i)^(Given|When|Then|And|But|\*)\s+(.*)$"
+    word = F.regexp_extract(t, pattern, 1)
+    steps = rows.filter(t.rlike(pattern) & F.col("head").isNotNull()).select("file", "pos", "head", F.when(word == "*", "Step").otherwise(F.initcap(word)).alias("keyword"), F.regexp_extract(t, pattern, 2).alias("text"))
+    block = F.when(t.rlike("(?i)^Examples:$"), F.lit(True)).when(~F.startswith(t, F.lit("|")), F.lit(False))
+    shown = carry_forward(rows, block, "in_examples").filter("in_examples AND startswith(t, '|') AND head IS NOT NULL AND head.kind <> 'Background'")
+    cells = F.transform(F.split(F.regexp_replace(t, r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x))
+    shown = shown.select("file", F.col("head.at").alias("at"), "pos", cells.alias("cells")).filter(~F.forall("cells", lambda x: x.rlike("^[-:]*$")))
+    shown = shown.groupBy("file", "at").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "cells"))), lambda x: x["cells"]).alias("examples"))
+    own = Window.partitionBy("file").orderBy("pos")
+    ahead = F.last(F.when(t.rlike(heading) & (kind != "Background"), F.col("pos")), ignorenulls=True).over(Window.partitionBy("file").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
+    # a tag counts if no scenario is open before it and only tags and steps lie between it and the next one
+    scene = t.rlike(heading) & (kind != "Background")
+    opened = F.last(F.when(scene, F.lit(True)).when(t.rlike("(?i)^(Feature|Background):"), F.lit(False)), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    broken = F.last(F.when(~F.startswith(t, F.lit("@")) & ~t.rlike(pattern) & ~scene, F.col("pos")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    marked = rows.withColumns({"ahead": ahead, "broken": broken, "opened": opened})
+    limits = marked.filter(F.col("pos") == F.col("ahead")).select("file", "ahead", F.col("broken").alias("after"))
+    tags = marked.filter(F.startswith(t, F.lit("@")) & ~F.coalesce("opened", F.lit(False))).select("file", "pos", "ahead", F.regexp_extract(t, r"^@([\w-]+)", 1).alias("tag"))
+    tags = tags.join(limits, ["file", "ahead"]).filter("after IS NULL OR pos > after").groupBy("file", F.col("ahead").alias("at")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"]).alias("tags"))
+    scenarios = rows.filter("head IS NOT NULL AND head.kind <> 'Background'").groupBy("file", "head").agg(F.first("feature").alias("feature"))
+    scenarios = scenarios.select("file", "feature", F.coalesce(F.nullif(F.col("head.name"), F.lit("")), F.lit("Unnamed scenario")).alias("scenario"), F.col("head.at").alias("at"), F.col("head.kind").rlike("(?i)outline").alias("outline"))
+    none = F.array().cast("array<string>")
+    scenarios = scenarios.join(tags.hint("merge"), ["file", "at"], "left").join(shown.hint("merge"), ["file", "at"], "left").withColumns({"tags": F.coalesce("tags", none), "examples": F.coalesce("examples", F.array().cast("array<array<string>>"))})
+    shared = steps.filter("head.kind = 'Background'").select("file", F.col("head.at").alias("from"), F.col("pos").alias("bpos"), "keyword", "text")
+    back = rows.filter(t.rlike("(?i)^Background:")).select("file", F.col("pos").alias("from"))
+    latest = scenarios.select("file", "at").join(back.hint("merge"), "file").filter("from < at").groupBy("file", "at").agg(F.max("from").alias("from"))
+    before = latest.join(shared.hint("merge"), ["file", "from"]).select("file", "at", F.col("bpos").alias("pos"), "keyword", "text", F.lit(True).alias("background"))
+    mine = steps.filter("head.kind <> 'Background'").select("file", F.col("head.at").alias("at"), "pos", "keyword", "text", F.lit(False).alias("background"))
+    return scenarios, mine.unionByName(before)
 
 
 def added_lines(files: DataFrame) -> DataFrame:

@@ -72,6 +72,11 @@ def d19(v):
     return N.handoffs(v("facts"))
 
 
+@query("d19_stranded", f"SELECT DISTINCT object FROM templated WHERE predicate IN {_in(vocab.WRITES + vocab.READS)} AND contains(object, '$' || chr(123))")
+def d19b(v):
+    return N.stranded(v("templated"))
+
+
 @query("d21_verify_facts", "WITH m AS (SELECT max(doc_id) + 1 AS m FROM documents), n AS (SELECT doc_id, max(pos) + 1 AS n FROM doc_lines GROUP BY doc_id), c AS (SELECT event_id AS id, event_id % m AS file, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id * 7919 % coalesce(n, 1) END AS line, event_type AS name FROM events CROSS JOIN m LEFT JOIN n ON doc_id = event_id % m) SELECT id, CASE WHEN line IS NOT NULL THEN coalesce((SELECT bool_or(contains(lower(l.line), lower(c.name))) FROM doc_lines l WHERE l.doc_id = c.file AND l.pos BETWEEN c.line - 3 AND c.line + 3), FALSE) END AS verified FROM c")
 def d21(v):
     return N.verify_facts(_claims(v), v("doc_lines").selectExpr("doc_id AS file", "pos", "line AS text"))
@@ -89,6 +94,11 @@ def e12(v):
     return N.grade(v("events").selectExpr("CASE WHEN event_id % 9 = 0 THEN NULL ELSE value > 50 END AS verified"))
 
 
+@query("e12_rejects", "SELECT id FROM (SELECT event_id AS id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value > 50 END AS verified FROM events) x WHERE NOT verified ORDER BY id LIMIT 10")
+def e12b(v):
+    return N.rejects(v("events").selectExpr("event_id AS id", "CASE WHEN event_id % 9 = 0 THEN NULL ELSE value > 50 END AS verified")).select("id")
+
+
 @query("e34_routing_stats", "SELECT CASE WHEN event_id % 9 = 0 THEN 'note' WHEN value > 50 THEN 'verified' ELSE 'rejected' END AS destination, count(*) AS n FROM events GROUP BY ALL")
 def e34(v):
     return Q.routing_stats(v("events").selectExpr("CASE WHEN event_id % 9 = 0 THEN NULL ELSE value > 50 END AS verified"))
@@ -178,6 +188,22 @@ def e08(v):
     return Q.snapshot(v("facts"))
 
 
+@query("e08_run_measures", "WITH f AS (SELECT app_id, count(*) AS facts, count(*) FILTER (NOT resolved) AS unresolved_facts, count(DISTINCT object) FILTER (predicate IN ('QUERIES_DATABASE', 'WRITES_DATABASE')) AS tables FROM (SELECT app_id, predicate, object, resolved FROM facts UNION ALL SELECT app_id, predicate, object, resolved FROM templated) x GROUP BY app_id), b AS (SELECT app_id, count(DISTINCT t) AS blank_names FROM (SELECT app_id, unnest(regexp_extract_all(object, '[$][{]([^}]+)[}]', 1)) AS t FROM templated) x GROUP BY app_id), k AS (SELECT app_id, count(*) AS entities, count(*) FILTER (type = 'Journey') AS journeys, count(*) FILTER (type = 'BehaviorGroup') AS behavior_groups FROM (SELECT app_id, CASE WHEN length(id) % 5 = 0 THEN 'Journey' WHEN length(id) % 7 = 0 THEN 'BehaviorGroup' ELSE type END AS type FROM entities) x GROUP BY app_id), m AS (SELECT app_id, count(*) AS n FROM feedback GROUP BY app_id UNION ALL VALUES ('core', 2), ('events', 0)) SELECT app_id, n AS questions_open, n AS human_answers, 0::BIGINT AS decisions, 1::BIGINT AS unwired, 0::BIGINT AS lambdas_unlinked, coalesce(facts, 0) AS facts, coalesce(unresolved_facts, 0) AS unresolved_facts, 0::BIGINT AS web_calls, 0::BIGINT AS secrets, 0::BIGINT AS parameters, coalesce(tables, 0) AS tables, 0::BIGINT AS lambda_links, coalesce(blank_names, 0) AS blank_names, coalesce(entities, 0) AS entities, coalesce(journeys, 0) AS journeys, coalesce(behavior_groups, 0) AS behavior_groups FROM m LEFT JOIN f USING (app_id) LEFT JOIN b USING (app_id) LEFT JOIN k USING (app_id)")
+def e08b(v):
+    columns = ["app_id", "predicate", "object", "resolved"]
+    n = v("feedback").groupBy("app_id").agg(F.count("*").alias("n")).unionByName(v("facts").select("app_id").distinct().select("app_id", F.when(F.col("app_id") == "core", 2).otherwise(0).cast("long").alias("n")))
+    many = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda x: x.cast("string")))
+    m = n.select("app_id", many.alias("pending_names"), F.map_from_arrays(many, many).alias("human_answers"), F.lit(None).cast("map<string,string>").alias("decisions"), F.array(F.lit("x")).alias("unwired"), F.array().cast("array<string>").alias("handler_unlinked"))
+    kind = F.expr("CASE WHEN length(id) % 5 = 0 THEN 'Journey' WHEN length(id) % 7 = 0 THEN 'BehaviorGroup' ELSE type END")
+    return Q.run_measures(v("facts").select(*columns).unionByName(v("templated").select(*columns)), v("entities").withColumn("type", kind), m)
+
+
+@query("e10_capture_objects", f"SELECT family, object, bool_or(config) AS from_config, bool_or(NOT config) AS from_code, bool_or(resolved) AS readable FROM (SELECT CASE WHEN predicate IN {_in(vocab.WRITES)} THEN 'writes' WHEN predicate IN {_in(vocab.READS)} THEN 'reads' END AS family, object, resolved, ord % 3 = 0 AS config FROM facts) x WHERE family IS NOT NULL GROUP BY family, object")
+def e10b(v):
+    f = v("facts").withColumn("subject", F.expr("CASE WHEN ord % 3 = 0 THEN concat('ConfigFile:', ord) ELSE subject END"))
+    return Q.capture_objects(f, {"writes": vocab.WRITES, "reads": vocab.READS})
+
+
 @query("e09_snapshot_diff", f"WITH a AS (UNPIVOT ({_SNAP} WHERE ord % 3 <> 0 GROUP BY app_id) ON COLUMNS(* EXCLUDE app_id) INTO NAME measure VALUE old), b AS (UNPIVOT ({_SNAP} GROUP BY app_id) ON COLUMNS(* EXCLUDE app_id) INTO NAME measure VALUE new) SELECT app_id, measure, old, new FROM a FULL JOIN b USING (app_id, measure) WHERE old IS DISTINCT FROM new")
 def e09(v):
     f = v("facts")
@@ -218,6 +244,15 @@ def e38(v):
     return Q.typed_counts(v("events").groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n")), ("view", "click"))
 
 
+@query("a11_replace", "SELECT app_id, id, value FROM (SELECT 'app' || (o_custkey % 5) AS app_id, o_orderkey % 1000 AS id, 'old' || max(o_orderkey) AS value FROM orders WHERE o_custkey % 5 <> 2 GROUP BY ALL) a WHERE app_id NOT IN (SELECT 'app' || (c_custkey % 2) FROM customer) UNION ALL SELECT 'app' || (c_custkey % 2), c_custkey % 50, 'new' || max(c_custkey) FROM customer GROUP BY c_custkey % 2, c_custkey % 50")
+def a11b(v):
+    from ..sources.sinks import upsert
+
+    old = v("orders").filter("o_custkey % 5 <> 2").selectExpr("concat('app', o_custkey % 5) AS app_id", "o_orderkey % 1000 AS id", "o_orderkey AS ord", "concat('old', o_orderkey) AS value")
+    new = v("customer").selectExpr("concat('app', c_custkey % 2) AS app_id", "c_custkey % 50 AS id", "c_custkey AS ord", "concat('new', c_custkey) AS value")
+    return upsert(old, new, ["app_id", "id"], "ord", "replace").select("app_id", "id", "value")
+
+
 @query("a11_upsert", "SELECT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN arg_max('new' || o_orderkey, o_orderkey) ELSE arg_max('old' || o_orderkey, o_orderkey) END AS value FROM orders GROUP BY o_custkey")
 def a11(v):
     from ..sources.sinks import upsert

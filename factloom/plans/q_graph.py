@@ -65,11 +65,19 @@ def h07(v):
     return G.owner(G.bfs(G.flow_edges(f), G.entry_points(f)), v("entities"))
 
 
-@query("h08_journeys", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS}, {DOOR}, {WIDE}, {HELD}, {ALIKE}, {SUBSUMED}, {KINDS}, {OWNER} SELECT k.entry, CASE WHEN kind = 'journey' AND k.entry NOT IN (SELECT entry FROM door) THEN 'unwired' ELSE kind END AS kind, members, depth, family FROM kinds k JOIN family USING (entry) WHERE k.entry NOT IN (SELECT entry FROM subsumed)")
+JOURNEYS = f"{FLOW}, {INDEG}, {ENTRY}, {WALKS}, {DOOR}, {WIDE}, {HELD}, {ALIKE}, {SUBSUMED}, {KINDS}, {OWNER}, journeys AS MATERIALIZED (SELECT k.entry, CASE WHEN kind = 'journey' AND k.entry NOT IN (SELECT entry FROM door) THEN 'unwired' ELSE kind END AS kind, members, depth, family FROM kinds k JOIN family USING (entry) WHERE k.entry NOT IN (SELECT entry FROM subsumed))"
+
+
+@query("h08_journeys", f"WITH RECURSIVE {JOURNEYS} SELECT entry, kind, members, depth, family FROM journeys")
 def h08(v):
     return G.journeys(v("facts"), v("entities"))
 
 
+@query("h08_members", f"WITH RECURSIVE {JOURNEYS}, named AS (SELECT *, CASE kind WHEN 'journey' THEN 'Journey:' || entry ELSE 'BehaviorGroup:' || family END AS subject FROM journeys WHERE kind <> 'unwired'), out AS (SELECT subject, CASE kind WHEN 'journey' THEN 'STARTS_AT' ELSE 'HAS_MEMBER' END AS predicate, entry AS object, CASE WHEN kind <> 'journey' THEN 0 END AS line, TRUE AS resolved FROM named UNION ALL SELECT subject, 'HAS_MEMBER', node, hop, NOT contains(node, '$' || chr(123)) FROM walks JOIN named USING (entry)) SELECT *, CASE WHEN resolved THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM out")
+def h08_members(v):
+    return G.journey_facts(v("facts"), v("entities"))
+
+
 @query("h09_walk", "WITH e AS (SELECT DISTINCT subject AS src, predicate AS relation, object AS dst FROM facts WHERE predicate IN ('CALLS', 'WRITES_DATABASE')), one AS (SELECT *, 1 AS hop FROM e WHERE src LIKE 'Function:nation.%'), two AS (SELECT *, 2 AS hop FROM e WHERE src IN (SELECT dst FROM one)), three AS (SELECT *, 3 AS hop FROM e WHERE src IN (SELECT dst FROM two)) SELECT src, relation, dst, min(hop) AS hop FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) x GROUP BY ALL ORDER BY hop, src, relation, dst LIMIT 300")
 def h09(v):
     f = v("facts")
@@ -77,6 +85,12 @@ def h09(v):
     return G.walk(f, seeds, ("CALLS", "WRITES_DATABASE"), 3, "out", 300)
 
 
+@query("h09_walk_in_app", "WITH e AS (SELECT DISTINCT subject AS src, predicate AS relation, object AS dst FROM facts WHERE app_id = 'events'), one AS (SELECT *, 1 AS hop FROM e WHERE dst LIKE 'S3Object:click/%') SELECT src, relation, dst, hop FROM one ORDER BY hop, src, relation, dst LIMIT 100")
+def h09b(v):
+    f = v("facts")
+    return G.walk(f, f.filter("object LIKE 'S3Object:click/%'").select(F.col("object").alias("node")), None, 1, "in", 100, "events")
+
+
 @query("h10_longest_chain", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS}, top AS (SELECT entry, node, hop FROM walks ORDER BY hop DESC, entry, node LIMIT 1), back AS (SELECT entry, node, hop FROM top UNION ALL SELECT b.entry, (SELECT min(f.src) FROM flow f JOIN (SELECT entry, node, hop FROM walks UNION ALL SELECT node, node, 0 FROM entry) w ON w.entry = b.entry AND w.node = f.src AND w.hop = b.hop - 1 WHERE f.dst = b.node), b.hop - 1 FROM back b WHERE b.hop > 0) SELECT hop AS step, node FROM back")
 def h10(v):
     f = G.stage(v("facts"), "facts")

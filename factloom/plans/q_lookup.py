@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import graph as G
+from ..functions import scalars as S
 from ..operators import lookup as L
 from ..operators import resolve as R
 from .q_graph import _in
@@ -21,8 +22,17 @@ def a10(v):
     return L.route_facts(v("facts")).select("ord", "table_name", "kind")
 
 
-@query("a10_insert_ignore", f"WITH {KB} SELECT * FROM kb")
+@query("a10_insert_ignore", f"WITH {KB}, both_ AS (SELECT app_id, table_name, name, ord, 0 AS src FROM kb WHERE ord % 3 = 0 UNION ALL SELECT app_id, table_name, name, ord, 1 FROM (SELECT app_id, {_ROUTE} AS table_name, ord, substring(object, position(':' in object) + 1) AS name FROM facts) x WHERE table_name IS NOT NULL) SELECT app_id, table_name, name, arg_min(ord, (src, ord)) AS ord FROM both_ GROUP BY ALL")
 def a10b(v):
+    from ..sources.sinks import insert_ignore
+
+    columns = ["app_id", "table_name", "name", "ord"]
+    routed = L.route_facts(v("facts")).withColumn("name", S.name_of("object")).select(*columns)
+    return insert_ignore(L.kb_names(v("facts")).filter("ord % 3 = 0").select(*columns), routed, columns[:3], "ord")
+
+
+@query("a10_kb_names", f"WITH {KB} SELECT * FROM kb")
+def a10c(v):
     return L.kb_names(v("facts"))
 
 
@@ -36,8 +46,8 @@ def _queries(v):
 
 
 @query("c01_c04_resolve_names", f"""WITH {KB}, {_QUERIES}, ex AS (SELECT q.app_id, q, table_name, name, 'exact' AS how, coalesce(resolved, TRUE) AS resolved, coalesce(confidence, 1.0) AS confidence FROM q JOIN kb ON q = name AND q.app_id = kb.app_id),
- fz AS (SELECT q.app_id, q, table_name, name, 'contains' AS how, coalesce(resolved, TRUE) AS resolved, coalesce(confidence, 0.5) AS confidence FROM q JOIN kb ON q.app_id = kb.app_id AND name ILIKE '%' || q || '%' WHERE (q.app_id, q) NOT IN (SELECT (app_id, q) FROM ex)),
- bk AS (SELECT q.app_id, q, table_name, name, 'bucket' AS how, coalesce(resolved, TRUE) AS resolved, coalesce(confidence, 0.5) AS confidence FROM q JOIN kb ON q.app_id = kb.app_id AND table_name = 'app_s3_paths' AND (name LIKE q || '/%' OR name LIKE 's3://' || q || '/%') WHERE (q.app_id, q) NOT IN (SELECT (app_id, q) FROM ex) AND (q.app_id, q) NOT IN (SELECT (app_id, q) FROM fz))
+ bk AS (SELECT DISTINCT q.app_id, q, table_name, q AS name, 'bucket' AS how, TRUE AS resolved, 1.0::DOUBLE AS confidence FROM q JOIN kb ON q.app_id = kb.app_id AND table_name = 'app_s3_paths' AND (starts_with(name, q || '/') OR starts_with(name, 's3://' || q || '/')) AND NOT contains(q, '/') WHERE (q.app_id, q) NOT IN (SELECT (app_id, q) FROM ex)),
+ fz AS (SELECT q.app_id, q, table_name, name, 'contains' AS how, coalesce(resolved, TRUE) AS resolved, coalesce(confidence, 0.5) AS confidence FROM q JOIN kb ON q.app_id = kb.app_id AND name ILIKE '%' || q || '%' WHERE (q.app_id, q) NOT IN (SELECT (app_id, q) FROM ex) AND (q.app_id, q) NOT IN (SELECT (app_id, q) FROM bk))
  SELECT app_id, q, table_name, name, how, resolved, confidence FROM (SELECT *, row_number() OVER (PARTITION BY app_id, q ORDER BY table_name, name) AS n FROM (SELECT * FROM ex UNION ALL SELECT * FROM fz UNION ALL SELECT * FROM bk) x) y WHERE n <= 5""")
 def c01(v):
     return L.resolve_names(_queries(v), L.kb_names(v("facts")))

@@ -27,15 +27,19 @@ def d15(v):
     return M.pair_scores(*_sides(v)).groupBy("app_id", "stage", "intent", "actions", "stage2", "intent2", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
 
 
-@query("d16_greedy_match")
+# each step takes the best pair behind the last one whose ends are both free
+GREEDY = f"{PAIRS}, ranked AS MATERIALIZED (SELECT r.app_id, r.id AS ref_id, c.id AS cand_id, round(p.score, 6) AS score, row_number() OVER (PARTITION BY r.app_id ORDER BY p.score DESC, r.id, c.id) AS rk FROM pairs p JOIN profiles r ON r.side = 'ref' AND r.app_id = p.app_id AND r.stage = p.stage AND r.intent = p.intent AND r.actions = p.actions AND r.outcomes = p.outcomes JOIN profiles c ON c.side = 'cand' AND c.app_id = p.app_id AND c.stage = p.stage2 AND c.intent = p.intent2 AND c.actions = p.actions2 AND c.outcomes = p.outcomes2 WHERE p.score >= 0.45), steps AS (SELECT app_id, 0::BIGINT AS rk, []::BIGINT[] AS refs, []::BIGINT[] AS cands FROM (SELECT DISTINCT app_id FROM ranked) a UNION ALL SELECT s.app_id, n.rk, list_append(s.refs, n.ref_id), list_append(s.cands, n.cand_id) FROM steps s JOIN LATERAL (SELECT min(q.rk) AS rk, arg_min(q.ref_id, q.rk) AS ref_id, arg_min(q.cand_id, q.rk) AS cand_id FROM ranked q WHERE q.app_id = s.app_id AND q.rk > s.rk AND NOT list_contains(s.refs, q.ref_id) AND NOT list_contains(s.cands, q.cand_id)) n ON n.rk IS NOT NULL), matched AS (SELECT q.app_id, q.ref_id, q.cand_id, q.score FROM steps s JOIN ranked q USING (app_id, rk))"
+
+
+@query("d16_greedy_match", f"WITH RECURSIVE {GREEDY} SELECT app_id, ref_id, cand_id, score FROM matched")
 def d16(v):
-    return M.greedy_match(*_sides(v))
+    return M.greedy_match(*_sides(v)).withColumn("score", F.round("score", 6))
 
 
-@query("d16_unmatched_best", f"WITH {PAIRS} SELECT p.app_id, p.id, round(coalesce((SELECT max(score) FROM pairs q WHERE q.app_id = p.app_id AND q.stage = p.stage AND q.intent = p.intent AND q.actions = p.actions AND q.outcomes = p.outcomes), 0.0), 6) AS best FROM profiles p WHERE side = 'ref' AND id % 3 <> 0")
+@query("d16_unmatched_best", f"WITH RECURSIVE {GREEDY} SELECT p.app_id, p.id, round(coalesce((SELECT max(score) FROM pairs q WHERE q.app_id = p.app_id AND q.stage = p.stage AND q.intent = p.intent AND q.actions = p.actions AND q.outcomes = p.outcomes), 0.0), 6) AS best FROM profiles p WHERE side = 'ref' AND id NOT IN (SELECT ref_id FROM matched)")
 def d16b(v):
     r, c = _sides(v)
-    return M.unmatched(r, c, r.filter("id % 3 = 0").select(F.col("id").alias("ref_id"))).select("app_id", "id", F.round("best", 6).alias("best"))
+    return M.unmatched(r, c, M.greedy_match(r, c)).select("app_id", "id", F.round("best", 6).alias("best"))
 
 
 @query("d17_triangulate", "WITH m AS (SELECT o_orderpriority || (o_custkey % 50) AS generated, arg_max('m' || o_orderkey, o_orderkey) AS manual FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), r AS (SELECT o_orderpriority || (o_custkey % 50) AS generated, arg_max('r' || o_orderkey, o_orderkey) AS requirement FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) SELECT * FROM m JOIN r USING (generated)")
@@ -49,11 +53,10 @@ def d18(v):
     return M.near_unit(v("region").selectExpr("concat('F', r_regionkey, '.FEATURE') AS unit"), v("profiles"))
 
 
-@query("d26_match_requirements", f"WITH {PAIRS} SELECT app_id, stage, max(round(score, 6)) AS best FROM pairs WHERE score >= 0.45 GROUP BY ALL")
+@query("d26_match_requirements", f"WITH RECURSIVE {GREEDY} SELECT m.app_id, m.ref_id AS item, m.cand_id AS generated, m.score, r.feature_file AS unit, r.intent = 'negative' AS negative FROM matched m JOIN profiles r ON r.side = 'ref' AND r.id = m.ref_id")
 def d26(v):
     r, c = _sides(v)
-    m = M.pair_scores(r, c).filter("score >= 0.45")
-    return m.groupBy("app_id", "stage").agg(F.max(F.round("score", 6)).alias("best"))
+    return M.match_requirements(r.withColumn("unit", F.col("feature_file")), c).withColumn("score", F.round("score", 6))
 
 
 def _credits(v):
@@ -100,7 +103,7 @@ def f07(v):
     return M.top_k(v("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 5)
 
 
-@query("f08_batch")
+@query("f08_batch", "WITH RECURSIVE items AS MATERIALIZED (SELECT doc_id, pos, length(line) AS size FROM doc_lines), b AS (SELECT doc_id, pos, 1 AS n, size AS chars, 0 AS batch FROM items WHERE pos = 0 UNION ALL SELECT i.doc_id, i.pos, CASE WHEN b.n >= 25 OR b.chars + i.size > 12000 THEN 1 ELSE b.n + 1 END, CASE WHEN b.n >= 25 OR b.chars + i.size > 12000 THEN i.size ELSE b.chars + i.size END, b.batch + CASE WHEN b.n >= 25 OR b.chars + i.size > 12000 THEN 1 ELSE 0 END FROM b JOIN items i ON i.doc_id = b.doc_id AND i.pos = b.pos + 1) SELECT doc_id, pos, batch FROM b")
 def f08(v):
     return M.batch(v("doc_lines").withColumn("size", F.length("line")), 25, 12_000)
 
@@ -166,14 +169,30 @@ def e19(v):
     return T.overall(m).select("app_id", F.round("overall", 6).alias("overall"))
 
 
-@query("e20_unit_traceability", "SELECT c_mktsegment AS unit, count(DISTINCT c_custkey) AS criteria, count(DISTINCT c_custkey) FILTER (o_orderkey IS NOT NULL) AS covered, list_sort(list(DISTINCT o_orderpriority) FILTER (o_orderpriority IS NOT NULL)) AS generated, 100.0 * count(DISTINCT c_custkey) FILTER (o_orderkey IS NOT NULL) / count(DISTINCT c_custkey) AS pct FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query("e19_overall_with_requirements", f"SELECT app_id, round(0.28 * precision + 0.10 * efficiency + 0.06 * precision + 0.08 * efficiency + 0.04 * 100.0 + 0.04 * 0.0 + 0.10 * efficiency + 0.10 * precision + 0.12 * efficiency + 0.08 * precision, 6) AS overall FROM ({_PE}) x")
+def e19b(v):
+    m = T.precision_efficiency(_counts(v))
+    p, e = F.col("precision"), F.col("efficiency")
+    m = m.select("app_id", *[c.alias(k) for k, c in {"manual_recall": p, "manual_action": e, "manual_positive": p, "manual_negative": e, "manual_stage": F.lit(100.0), "manual_feature": F.lit(0.0), "coverage_efficiency": e, "suite_precision": p, "requirement_recall": e, "triangulation": p}.items()])
+    return T.overall(m, vocab.WEIGHTS_FULL).select("app_id", F.round("overall", 6).alias("overall"))
+
+
+@query("e15_requirement_paths", f"SELECT app_id, CASE WHEN count(*) FILTER (NOT neg) > 0 THEN 100.0 * count(*) FILTER (NOT neg AND {_HIT}) / count(*) FILTER (NOT neg) ELSE 100.0 END AS positive, CASE WHEN count(*) FILTER (neg) > 0 THEN 100.0 * count(*) FILTER (neg AND {_HIT}) / count(*) FILTER (neg) ELSE 100.0 END AS negative FROM (SELECT *, intent = 'negative' AS neg FROM profiles WHERE side = 'ref') x GROUP BY app_id")
+def e15b(v):
+    r, _ = _sides(v)
+    return T.requirement_paths(r.withColumn("is_negative", F.col("intent") == "negative"), r.filter(_HIT))
+
+
+@query("e20_unit_traceability", "WITH i AS (SELECT c_mktsegment AS unit, count(DISTINCT c_custkey) AS criteria, count(DISTINCT c_custkey) FILTER (o_orderkey IS NOT NULL) AS covered, list_sort(list(DISTINCT o_orderpriority) FILTER (o_orderpriority IS NOT NULL)) AS generated FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1), m AS (SELECT c_mktsegment AS unit, count(*) AS nearby, count(*) FILTER (c_nationkey % 2 = 0) AS nearby_covered FROM customer WHERE c_custkey % 4 = 0 GROUP BY 1) SELECT unit, criteria, covered, generated, 100.0 * covered / criteria AS pct, coalesce(nearby, 0) AS nearby, coalesce(nearby_covered, 0) AS nearby_covered, CASE WHEN nearby > 0 THEN 100.0 * nearby_covered / nearby ELSE 0.0 END AS nearby_pct FROM i LEFT JOIN m USING (unit)")
 def e20(v):
-    return T.unit_traceability(v("customer").selectExpr("c_custkey AS id", "c_mktsegment AS unit"), v("orders").selectExpr("o_custkey AS id", "o_orderpriority AS generated"))
+    near = v("customer").filter("c_custkey % 4 = 0").selectExpr("c_mktsegment AS unit", "c_custkey AS manual", "c_nationkey % 2 = 0 AS covered")
+    return T.unit_traceability(v("customer").selectExpr("c_custkey AS id", "c_mktsegment AS unit"), v("orders").selectExpr("o_custkey AS id", "o_orderpriority AS generated"), near)
 
 
-@query("e21_integrity", "SELECT count(DISTINCT feature_file) AS files, count(DISTINCT (feature_file, name)) AS scenarios, count(*) AS steps, CAST(sum(length(text)) AS BIGINT) AS characters FROM scenarios")
+@query("e21_integrity", "WITH p AS (SELECT feature_file, name, count(*) AS n FROM scenarios GROUP BY ALL) SELECT count(DISTINCT feature_file) AS files, count(DISTINCT (feature_file, name)) AS scenarios, count(*) AS steps, CAST(sum(strlen(text)) AS BIGINT) AS bytes, (SELECT count(*) FROM p WHERE n > 2) AS outlines, (SELECT count(*) FROM region) AS sections, (SELECT count(*) FROM nation) AS items, list_sort([x FOR x IN ['scenarios: ' || count(DISTINCT (feature_file, name)) || ' parsed, 3 reported'] IF count(DISTINCT (feature_file, name)) <> 3]) AS notes FROM scenarios")
 def e21(v):
-    return T.integrity(v("scenarios"))
+    outline = v("scenarios").groupBy("feature_file", "name").count().filter("count > 2").select("feature_file", "name")
+    return T.integrity(v("scenarios"), outline, v("region"), v("nation"), {"scenarios": 3})
 
 
 @query("e27_gate_cascade", "SELECT bundle, count(*) FILTER (status = 'FAIL') = 0 AS delivered, arg_min(gate, CASE gate WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 3 WHEN 3 THEN 4 ELSE 5 END) FILTER (status = 'FAIL') AS failed_gate, count(*) FILTER (status = 'PASS') AS passed FROM runs GROUP BY bundle")
@@ -212,14 +231,29 @@ def e32(v):
     return T.spec_checklist(v("customer").selectExpr("c_mktsegment AS section", "CASE WHEN c_acctbal > 0 THEN 1 END AS entry"))
 
 
-@query("i10_check_standards", "SELECT feature_file, 'max_scenarios' AS rule FROM scenarios GROUP BY 1 HAVING count(DISTINCT name) > 4 UNION ALL SELECT feature_file, 'required_keyword' FROM scenarios GROUP BY 1 HAVING NOT bool_or(keyword = 'Given') UNION ALL SELECT feature_file, 'name_marker' FROM scenarios GROUP BY 1 HAVING NOT bool_and(contains(name, '1'))")
+_RULES = {"max_scenarios": 4, "name_marker": "1", "required_keyword": "Given", "required_tags": ["t1"], "forbidden_tags": ["t2", "bad"], "require_description": True}
+
+
+@query("i10_check_standards", """WITH s AS (SELECT feature_file, name, bool_or(keyword = 'Given') AS given, 't' || (max(conv_id) % 3) AS tag FROM scenarios GROUP BY ALL), f AS (SELECT feature_file, length(feature_file) % 2 = 0 AS bad, count(*) AS n, bool_or(given) AS given FROM s GROUP BY feature_file)
+ SELECT feature_file, NULL::VARCHAR AS name, 'max_scenarios' AS rule, NULL::VARCHAR AS symbol FROM f WHERE n > 4 UNION ALL SELECT feature_file, NULL, 'required_keyword', NULL FROM f WHERE NOT given UNION ALL SELECT feature_file, NULL, 'require_description', NULL FROM f WHERE bad UNION ALL SELECT feature_file, NULL, 'forbidden_tags', 'bad' FROM f WHERE bad
+ UNION ALL SELECT feature_file, name, 'required_tags', 't1' FROM s WHERE tag <> 't1' UNION ALL SELECT feature_file, name, 'name_marker', NULL FROM s WHERE NOT contains(name, '1') UNION ALL SELECT feature_file, name, 'forbidden_tags', 't2' FROM s WHERE tag = 't2'""")
 def i10(v):
-    return T.check_standards(v("scenarios"), {"max_scenarios": 4, "name_marker": "1", "required_keyword": "Given"})
+    s = v("scenarios").groupBy("feature_file", "name").agg(F.collect_set("keyword").alias("keywords"), F.array(F.concat(F.lit("t"), (F.max("conv_id") % 3).cast("string"))).alias("tags"))
+    bad = F.length("feature_file") % 2 == 0
+    f = s.select("feature_file").distinct().select("feature_file", F.when(bad, F.array(F.lit("bad"))).alias("tags"), F.when(~bad, "about it").alias("description"))
+    return T.check_standards(s, _RULES, f)
+
+
+@query("i10_nothing_to_check", "SELECT NULL::VARCHAR AS feature_file, 'nothing_to_check' AS rule FROM (SELECT count(*) AS n FROM scenarios WHERE conv_id < 0) x WHERE n = 0")
+def i10b(v):
+    s = v("scenarios").filter("conv_id < 0").groupBy("feature_file", "name").agg(F.collect_set("keyword").alias("keywords"), F.collect_set("text").alias("tags"))
+    return T.check_standards(s, _RULES).select("feature_file", "rule")
 
 
-@query("g01_merge_facts", "SELECT app_id, count(*) AS n FROM (SELECT app_id FROM facts UNION ALL SELECT app_id FROM templated) x GROUP BY app_id")
+@query("g01_merge_facts", "WITH a AS (SELECT app_id, subject, predicate, object, 0 AS src FROM facts UNION ALL SELECT app_id, subject, predicate, object, 1 FROM templated UNION ALL SELECT app_id, subject, predicate, object, 2 FROM facts WHERE ord % 3 = 0) SELECT app_id, subject, predicate, object, min(src) AS source, count(*) AS n FROM a GROUP BY ALL")
 def g01(v):
-    return v("facts").select("app_id", "subject").unionByName(v("templated").select("app_id", "subject")).groupBy("app_id").agg(F.count("*").alias("n"))
+    f, t = v("facts").select("app_id", "subject", "predicate", "object", "ord"), v("templated").select("app_id", "subject", "predicate", "object", "ord")
+    return T.merge_facts([f, t, f.filter("ord % 3 = 0")], ["app_id", "subject", "predicate", "object"])
 
 
 @query("g04_id_diff", "SELECT c_custkey AS id, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'unexpected' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
@@ -229,8 +263,8 @@ def g04(v):
 
 @query("g05_requirement_only", "SELECT DISTINCT o_custkey AS generated FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
 def g05(v):
-    o = v("orders")
-    return o.filter("o_orderstatus = 'F'").selectExpr("o_custkey AS generated").distinct().join(o.filter("o_orderstatus = 'O'").selectExpr("o_custkey AS generated"), "generated", "left_anti")
+    by = lambda status: v("orders").filter(f"o_orderstatus = '{status}'").selectExpr("o_custkey AS generated")
+    return T.requirement_only(by("F"), by("O"))
 
 
 @query("j01_cosine_topk", "SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id) x WHERE rank <= 5")
@@ -239,11 +273,25 @@ def j01(v):
     return M.cosine_topk(e, e.filter("vec_id % 20 = 0")).select("query_id", "vec_id", "rank")
 
 
-@query("k01_assemble_spans", "SELECT a.event_id AS span_id, min(b.event_id) AS end_id, b.event_id IS NULL AS unclosed FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts > a.ts WHERE a.event_type = 'signup' GROUP BY a.event_id, b.event_id IS NULL")
+@query("k01_assemble_spans", "SELECT a.event_id AS span_id, a.user_id, c.event_id AS end_id, (epoch_us(c.ts) - epoch_us(a.ts)) // 1000 AS duration_ms, CASE WHEN c.event_id IS NULL THEN 'unclosed' WHEN c.event_type = 'error' THEN 'fail' ELSE 'ok' END AS status, lag(a.event_id) OVER (PARTITION BY a.user_id ORDER BY a.ts, a.event_id) AS parent_id FROM events a LEFT JOIN LATERAL (SELECT event_id, ts, event_type FROM events b WHERE b.user_id = a.user_id AND b.ts > a.ts AND b.event_type IN ('purchase', 'error') ORDER BY ts, event_id LIMIT 1) c ON TRUE WHERE a.event_type = 'signup'")
 def k01(v):
     from ..streaming.spans import close_spans
 
-    return close_spans(v("events"))
+    return close_spans(v("events")).drop("start", "end")
+
+
+@query("k02_mark_stale", "SELECT id, CASE WHEN hit THEN 'stale' ELSE status END AS status, hit AS changed FROM (SELECT *, coalesce(status = 'open' AND id % 2 >= 0 AND (app_id, unit) IN (SELECT app_id, unit FROM feedback WHERE id % 40 = 0 AND unit IS NOT NULL), FALSE) AS hit FROM feedback) x")
+def k02b(v):
+    from ..streaming.spans import mark_stale
+
+    return mark_stale(v("feedback"), v("feedback").filter("id % 40 = 0")).select("id", "status", "changed")
+
+
+@query("k02_set_status", "SELECT id, CASE WHEN id % 3 = 0 THEN 'applied' ELSE status END AS status, id % 3 = 0 AND status <> 'applied' AS changed FROM feedback")
+def k02c(v):
+    from ..streaming.spans import set_status
+
+    return set_status(v("feedback"), v("feedback").filter("id % 3 = 0"), "applied").select("id", "status", "changed")
 
 
 @query("k02_feedback_state", "SELECT app_id, unit, arg_max(status, (created_at, id)) AS status, count(*) AS events FROM feedback WHERE unit IS NOT NULL GROUP BY ALL")

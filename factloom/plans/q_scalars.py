@@ -54,16 +54,17 @@ def b04(v):
     return v("templated").select("ord", S.tokens("object").alias("tokens"))
 
 
-@query("b07_arn_name", "SELECT c_custkey, c_name AS name FROM customer")
+@query("b07_arn_name", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'a:b:' || c_name WHEN 2 THEN c_name ELSE 'arn:x:lambda:r:1:' END AS name FROM customer")
 def b07(v):
-    arn = F.concat(F.lit("arn:x:lambda:r:1:function:"), F.col("c_name"))
+    arn = F.expr("CASE c_custkey % 4 WHEN 0 THEN concat('arn:x:lambda:r:1:function:', c_name) WHEN 1 THEN concat('a:b:', c_name) WHEN 2 THEN c_name ELSE 'arn:x:lambda:r:1:' END")
     return v("customer").select("c_custkey", S.arn_name(arn).alias("name"))
 
 
-@query("b08_canonical_id", "SELECT ord, predicate <> 'WRITES_TO_S3' OR TRUE AS canonical, CASE WHEN ord % 2 = 0 THEN 'Symbol:' || object ELSE 'Table:' || object END AS id FROM facts")
+@query("b08_canonical_id", "SELECT ord, ord % 5 NOT IN (1, 2, 3) AS canonical, CASE WHEN ord % 2 = 0 THEN 'Symbol:' || object ELSE 'Table:' || object END AS id FROM facts")
 def b08(v):
     kind = F.when(F.col("ord") % 2 == 0, "Gadget").otherwise("Table")
-    return v("facts").select("ord", S.is_canonical("object").alias("canonical"), S.canonical_id(kind, "object").alias("id"))
+    name = F.expr("CASE ord % 5 WHEN 1 THEN 'no colon' WHEN 2 THEN concat('Gadget:', object) WHEN 3 THEN 'Table:' ELSE object END")
+    return v("facts").select("ord", S.is_canonical(name).alias("canonical"), S.canonical_id(kind, "object").alias("id"))
 
 
 @query("b09_edge_id", "SELECT ord, left(sha256(subject || '|' || predicate || '|' || object), 16) AS edge_id FROM facts")
@@ -124,9 +125,10 @@ def b20(v):
     return v("part").select("p_partkey", S.section_tier(F.expr(_SECTION)).alias("tier"))
 
 
-@query("b21_handler_to_function", "SELECT c_custkey, 'src.jobs.' || lower(c_mktsegment) AS function FROM customer")
+@query("b21_handler_to_function", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'src.jobs.' || lower(c_mktsegment) WHEN 1 THEN 'win.' || lower(c_mktsegment) ELSE lower(c_mktsegment) END AS function FROM customer")
 def b21(v):
-    return v("customer").select("c_custkey", S.handler_to_function(F.concat(F.lit("src/jobs/"), F.lower("c_mktsegment"), F.lit(".py.main"))).alias("function"))
+    handler = F.expr(r"CASE c_custkey % 3 WHEN 0 THEN concat('src/jobs/', lower(c_mktsegment), '.py.main') WHEN 1 THEN concat('win\\', lower(c_mktsegment), '.run') ELSE lower(c_mktsegment) END")
+    return v("customer").select("c_custkey", S.handler_to_function(handler).alias("function"))
 
 
 @query("b22_app_id", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'meta' || s_suppkey ELSE 'app' || s_suppkey END AS app_id FROM supplier")
@@ -159,9 +161,10 @@ def b26(v):
     return g.select("subject", S.grounding_descriptor("n", "source", "open").alias("descriptor"))
 
 
-@query("b27_backbone", "SELECT c_custkey, c_name AS backbone FROM customer")
+@query("b27_backbone", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE '' END AS backbone FROM customer")
 def b27(v):
-    return v("customer").select("c_custkey", S.backbone(F.concat(F.lit("kind=df:name="), F.col("c_name"), F.lit(":mode=rw"))).alias("backbone"))
+    text = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('kind=df:name=', c_name, ':mode=rw') WHEN 1 THEN concat('name=', c_mktsegment) ELSE concat('title=', c_name) END")
+    return v("customer").select("c_custkey", S.backbone(text).alias("backbone"))
 
 
 @query("b28_bucket_of", "SELECT ord, CASE WHEN object LIKE 'S3Object:%' THEN split_part(substring(object, 10), '/', 1) END AS bucket FROM facts")

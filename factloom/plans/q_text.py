@@ -32,18 +32,63 @@ def i02(v):
     return X.md_sections(_marked(v))
 
 
-@query("i04_shall_items", r"WITH d AS (SELECT doc_id AS file, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number, CASE WHEN length(line) % 3 = 0 THEN 'The system shall ' || line ELSE line END AS text FROM doc_lines WHERE trim(line, ' ') <> '') SELECT file, 'REQ-' || number AS label, trim(text) AS text FROM d WHERE regexp_matches(lower(trim(text)), 'the system (shall|must)')")
+# sections by line number: stories, requirements, functions, gaps, metadata and extras
+_SECTION = "CASE doc_id % 4 WHEN 0 THEN CASE pos % 3 WHEN 0 THEN '1. User Stories' WHEN 1 THEN 'Consolidated Requirements' ELSE 'Gap Analysis' END WHEN 1 THEN 'Gap Analysis' WHEN 2 THEN 'Notes' ELSE CASE pos % 2 WHEN 0 THEN 'System Overview' ELSE 'Function Specification' END END"
+_WORD = "regexp_replace(left(line, 40), '[^A-Za-z0-9 ]', '', 'g')"
+_ITEM = "CASE pos % 5 WHEN 0 THEN concat(pos + 1, '. Given {w} when x then y') WHEN 1 THEN concat('- The system shall {w} z') WHEN 2 THEN concat('- Gap: {w} z') WHEN 3 THEN concat('| f', pos % 7, ' | {w} q | n/a |') ELSE '- plain' END"
+
+
+def _sections(v):
+    word = F.regexp_replace(F.left("line", F.lit(40)), "[^A-Za-z0-9 ]", "")
+    pos = F.col("pos").cast("string")
+    item = F.expr("CASE pos % 5 WHEN 0 THEN concat(pos + 1, '. Given ', w, ' when x then y') WHEN 1 THEN concat('- The system shall ', w, ' z') WHEN 2 THEN concat('- Gap: ', w, ' z') WHEN 3 THEN concat('| f', pos % 7, ' | ', w, ' q | n/a |') ELSE '- plain' END")
+    rows = v("doc_lines").select("doc_id", "pos", F.expr(_SECTION).alias("section"), word.alias("w")).withColumn("item", item)
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), "\n")
+    return rows.groupBy(F.col("doc_id").alias("file"), "section").agg(F.concat(F.lit("| Function | Does | Not |\n|---|:--|---|\n"), body).alias("body"))
+
+
+_ITEMS = f"""raw AS (SELECT doc_id AS file, pos, {_SECTION} AS section, {_WORD} AS w FROM doc_lines),
+ it AS (SELECT file, pos, section, 'primary' AS tier, 1 AS rank, 'AC-' || (pos + 1) AS label, trim('Given ' || w || ' when x then y') AS text FROM raw WHERE pos % 5 = 0 AND section IN ('1. User Stories', 'Notes')
+ UNION ALL SELECT file, pos, section, 'primary', 2, 'REQ-' || row_number() OVER (PARTITION BY file, section ORDER BY pos), 'The system shall ' || ltrim(w || ' z') FROM raw WHERE pos % 5 = 1 AND section IN ('Consolidated Requirements', 'Notes')
+ UNION ALL SELECT file, pos, section, 'secondary', 3, 'FN-' || row_number() OVER (PARTITION BY file, section ORDER BY pos), 'Function=f' || (pos % 7) || ' | Does=' || trim(w || ' q') FROM raw WHERE pos % 5 = 3 AND section = 'Function Specification'
+ UNION ALL SELECT file, pos, section, 'secondary', 4, 'GAP-' || row_number() OVER (PARTITION BY file, section ORDER BY pos), trim(w || ' z') FROM raw WHERE pos % 5 = 2 AND section IN ('Gap Analysis', 'Notes'))"""
+
+
+@query("i03_story_acs", f"WITH {_ITEMS} SELECT file, section, label, text FROM it WHERE rank = 1")
+def i03(v):
+    s = _sections(v).filter("section IN ('1. User Stories', 'Notes')")
+    return X.story_acs(s).select("file", "section", F.concat(F.lit("AC-"), "number").alias("label"), "text")
+
+
+@query("i04_shall_items", f"WITH {_ITEMS} SELECT file, section, label, text FROM it WHERE rank = 2")
 def i04(v):
-    rows = v("doc_lines").filter("trim(line) <> ''").select("doc_id", "pos", F.concat(F.lit("- "), F.when(F.length("line") % 3 == 0, F.concat(F.lit("The system shall "), "line")).otherwise(F.col("line"))).alias("line"))
-    s = rows.groupBy(F.col("doc_id").alias("file")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body")).withColumn("section", F.lit("Consolidated Requirements"))
-    return X.shall_items(s).select("file", "label", "text")
+    return X.shall_items(_sections(v).filter("section IN ('Consolidated Requirements', 'Notes')"))
 
 
-@query("i05_table_items", "SELECT doc_id AS file, string_split(line, ' | ') [1] AS first, len(string_split(line, ' | ')) AS n FROM doc_lines WHERE contains(line, ' | ') AND NOT contains(line, ' |  ') AND NOT contains(line, '  | ') AND NOT line LIKE '%|'")
+@query("i05_table_items", f"WITH {_ITEMS} SELECT file, section, label, text FROM it WHERE rank = 3")
 def i05(v):
-    rows = v("doc_lines").filter("contains(line, ' | ') AND NOT contains(line, ' |  ') AND NOT contains(line, '  | ') AND NOT line LIKE '%|'").select("doc_id", "pos", F.concat(F.lit("| "), "line", F.lit(" |")).alias("line"))
-    s = rows.groupBy(F.col("doc_id").alias("file")).agg(F.concat(F.lit("|---|\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("body")).withColumn("section", F.lit("t"))
-    return X.table_items(s).select("file", F.col("cells")[0].alias("first"), F.size("cells").cast("long").alias("n"))
+    return X.table_items(_sections(v).filter("section = 'Function Specification'")).select("file", "section", F.concat(F.lit("FN-"), F.col("number").cast("string")).alias("label"), "text")
+
+
+@query("i06_gap_items", f"WITH {_ITEMS} SELECT file, section, label, text FROM it WHERE rank = 4")
+def i06(v):
+    return X.gap_items(_sections(v).filter("section IN ('Gap Analysis', 'Notes')"))
+
+
+@query("i07_section_items", f"WITH {_ITEMS} SELECT file, x.section AS section, x.tier AS tier, x.label AS label, x.text AS text FROM (SELECT file, min(struct_pack(rank := rank, section := section, label := label, text := text, tier := tier)) AS x FROM it GROUP BY file, left(sha256(trim(text)), 12)) y")
+def i07(v):
+    return X.section_items(_sections(v))
+
+
+@query("i08_profile_items", f"WITH {_ITEMS} SELECT file, label, list_sort(list_distinct(list_filter([CASE WHEN contains(lower(text), '[negative]') OR contains(lower(text), '(negative)') THEN 'negative' END], lambda x: x IS NOT NULL))) AS tags FROM it WHERE rank = 1")
+def i08(v):
+    p = X.profile_items(X.story_acs(_sections(v).filter("section IN ('1. User Stories', 'Notes')")).withColumn("label", F.concat(F.lit("AC-"), "number")))
+    return p.select("file", "label", F.when(F.lower("text").rlike(r"\[negative\]|\(negative\)"), F.array("intent")).otherwise(F.array().cast("array<string>")).alias("tags"))
+
+
+@query("e22_extraction_report", f"WITH {_ITEMS}, s AS (SELECT DISTINCT file, section FROM raw), n AS (SELECT file, count(*) FILTER (tier = 'primary') AS p, count(*) FILTER (tier = 'secondary') AS s, count(*) FILTER (rank = 4 AND section = 'Gap Analysis') AS g FROM it GROUP BY file) SELECT s.file, coalesce(max(p), 0) AS primary, coalesce(max(n.s), 0) AS secondary, CASE WHEN coalesce(max(p), 0) = 0 THEN coalesce(max(g), 0) ELSE 0 END AS fallback, count(*) FILTER (section = 'System Overview') AS skipped FROM s LEFT JOIN n USING (file) GROUP BY s.file")
+def e22(v):
+    return X.extraction_report(_sections(v))
 
 
 _FEATURE = "concat('Feature: f', conv_id % 20, '\nBackground:\n  Given base\n# note\nScenario: s', conv_id, '\n', steps)"
@@ -59,9 +104,13 @@ def i01(v):
     return X.parse_features(_features(v))[1].groupBy("file", "keyword").agg(F.count("*").alias("n"))
 
 
-@query("i01_scenarios", "SELECT DISTINCT conv_id AS file, 'f' || (conv_id % 20) AS feature, 's' || conv_id AS scenario FROM scenarios")
+_TAGGED = "concat('Feature: f', o_custkey % 20, '\n@old\nBackground:\n  Given base\n@p', o_orderkey % 3, ' @rest\n@q\n', CASE WHEN o_orderkey % 2 = 0 THEN 'Scenario Outline: s' ELSE 'Scenario: s' END, o_orderkey, '\n  Given <a>\n', CASE WHEN o_orderkey % 2 = 0 THEN concat('Examples:\n | a | b |\n |---|---|\n | ', o_custkey, ' | x |\n') ELSE '' END, '@lost\n  Then done\nScenario: t', o_orderkey, '\n  * any\n')"
+
+
+@query("i01_scenarios", "SELECT o_orderkey AS file, 'f' || (o_custkey % 20) AS feature, 's' || o_orderkey AS scenario, o_orderkey % 2 = 0 AS outline, 'p' || (o_orderkey % 3) || ',q' AS tags, CASE WHEN o_orderkey % 2 = 0 THEN 'a,b;' || o_custkey || ',x' ELSE '' END AS examples FROM orders UNION ALL SELECT o_orderkey, 'f' || (o_custkey % 20), 't' || o_orderkey, FALSE, '', '' FROM orders")
 def i01b(v):
-    return X.parse_features(_features(v))[0].select("file", "feature", "scenario")
+    s = X.parse_features(v("orders").selectExpr("o_orderkey AS file", f"{_TAGGED} AS text"))[0]
+    return s.select("file", "feature", "scenario", "outline", F.array_join("tags", ",").alias("tags"), F.array_join(F.transform("examples", lambda r: F.array_join(r, ",")), ";").alias("examples"))
 
 
 _DIFF = "concat('--- a/x', o_custkey % 3, '\n+++ b/x', o_custkey % 3, '\n@@ -1,3 +', o_custkey % 50 + 1, ',4 @@\n keep\n-gone\n+new one\n keep\n+new two')"

@@ -5,16 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back; the folder is ``spark.checkpoint.dir``, our own only where it is unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own, which only a local session can share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-factloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/factloom/{spark.sparkContext.applicationId}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write and read back, for as long as the application runs or until ``drop_staged``."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete this application's staged tables; call it once the results that read them are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def close_spans(events: DataFrame, opens: str = "signup", closes: str = "purchase") -> DataFrame:
-    """K1, batch: (span_id, end_id, unclosed): each opening event with the user's first later closing one."""
-    a = events.filter(F.col("event_type") == opens).select(F.col("event_id").alias("span_id"), "user_id", F.col("ts").alias("start"))
-    b = events.filter(F.col("event_type") == closes).select("user_id", "event_id", "ts")
-    j = a.join(b, (a["user_id"] == b["user_id"]) & (b["ts"] > a["start"]), "left")
-    return j.groupBy("span_id").agg(F.min("event_id").alias("end_id")).withColumn("unclosed", F.col("end_id").isNull())
+def close_spans(events: DataFrame, opens: str = "signup", closes: Sequence[str] = ("purchase",), fails: Sequence[str] = ("error",)) -> DataFrame:
+    """K1, batch: (span_id, user_id, start, end_id, end, duration_ms, status, parent_id) of each opening event.
+
+    It ends with the user's first later event, by time and id, that closes or fails it;
+    without one its status is ``unclosed``.  The parent is the user's opening event before
+    it.  One sort by user and time, read backwards.
+    """
+    used = events.filter((F.col("event_type") == opens) | F.col("event_type").isin(*closes, *fails)).withColumn("opening", F.col("event_type") == opens)
+    one = F.struct("event_id", "ts", F.col("event_type").isin(*fails).alias("failed"))
+    back = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("opening"), F.desc("event_id"))
+    ended = used.withColumn("end", F.last(F.when(~F.col("opening"), one), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = ended.filter("opening").withColumn("parent_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    status = F.when(F.col("end").isNull(), "unclosed").when(F.col("end.failed"), "fail").otherwise("ok")
+    return spans.select(F.col("event_id").alias("span_id"), "user_id", F.col("ts").alias("start"), F.col("end.event_id").alias("end_id"), F.col("end.ts").alias("end"), F.floor((F.unix_micros(F.col("end.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000).alias("duration_ms"), status.alias("status"), "parent_id")
 
 
 def assemble_spans(events: DataFrame, timeout: str = "1 hour") -> DataFrame:
@@ -31,3 +41,20 @@ def assemble_spans(events: DataFrame, timeout: str = "1 hour") -> DataFrame:
 def feedback_state(events: DataFrame) -> DataFrame:
     """K2: current status of each (app, unit) and its number of events."""
     return events.groupBy("app_id", "unit").agg(F.max_by("status", F.struct("created_at", "id")).alias("status"), F.count("*").alias("events"))
+
+
+def mark_stale(feedback: DataFrame, changed: DataFrame) -> DataFrame:
+    """K2: ``feedback`` with status ``stale`` for the open rows of units in ``changed(app_id, unit)``, and whether a row changed.
+
+    Content never changes; applied, closed and stale rows stay as they are.
+    """
+    units = changed.select("app_id", "unit").distinct().withColumn("_hit", F.lit(True))
+    out = feedback.join(units.hint("merge"), ["app_id", "unit"], "left").withColumn("changed", F.coalesce(F.col("_hit") & (F.col("status") == "open"), F.lit(False)))
+    return out.withColumn("status", F.when(F.col("changed"), "stale").otherwise(F.col("status"))).select(*feedback.columns, "changed")
+
+
+def set_status(feedback: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+    """K2: the rows named in ``ids(id)`` take the status, and whether a row changed."""
+    named = ids.select("id").distinct().withColumn("_hit", F.lit(True))
+    out = feedback.join(named.hint("merge"), "id", "left").withColumn("changed", F.coalesce(F.col("_hit") & (F.col("status") != status), F.lit(False)))
+    return out.withColumn("status", F.when(F.col("changed"), status).otherwise(F.col("status"))).select(*feedback.columns, "changed")

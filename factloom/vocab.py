@@ -5,7 +5,6 @@ from __future__ import annotations
 # They must equal the published vocabulary for results to agree.
 FORWARD = ("CALLS", "INVOKES_LAMBDA", "INVOKES_STEP_FUNCTION", "PUBLISHES_TO_SNS", "WRITES_TO_S3", "WRITES_DATABASE", "WRITES_DYNAMODB_TABLE", "WRITES_FILE", "RETURNS_RESPONSE", "FEEDS", "CALLS_HTTP_API", "IMPLEMENTED_BY", "HANDLED_BY", "IN_BUCKET")
 REVERSED = ("READS_FROM_S3", "QUERIES_DATABASE", "READS_DYNAMODB_TABLE", "READS_FILE", "READS_CONFIG_FROM_S3", "EXPOSES_ENDPOINT", "RECEIVES_EVENT")
-EXCLUDED = ("DEFINES", "HAS_JPA_RELATIONSHIP", "READS_ENV_VAR", "READS_SSM_PARAMETER", "READS_SECRET", "IMPLEMENTS", "RAISES_ERROR", "STARTS_AT", "HAS_MEMBER")
 WRITES = ("WRITES_TO_S3", "WRITES_DATABASE", "WRITES_DYNAMODB_TABLE", "WRITES_FILE")
 READS = ("READS_FROM_S3", "QUERIES_DATABASE", "READS_DYNAMODB_TABLE", "READS_FILE", "READS_CONFIG_FROM_S3")
 ENTRIES = ("EXPOSES_ENDPOINT", "RECEIVES_EVENT")
@@ -64,6 +63,5 @@ WEIGHTS_MANUAL = {"manual_recall": 0.35, "manual_action": 0.125, "manual_positiv
 SECTIONS = ("System Overview", "Input Specification", "Consolidated Requirements", "Output Specification", "Function Specification", "User Stories", "Traceability Matrix", "Confidence Mapping", "Gap Analysis")
 TIERS = (("user stories", "primary"), ("consolidated requirements", "primary"), ("function specification", "secondary"), ("gap analysis", "secondary"), ("traceability matrix", "metadata"), ("confidence mapping", "metadata"), ("input specification", "metadata"), ("output specification", "metadata"), ("system overview", "metadata"))
 ARTIFACTS, FEEDBACK_ACTIONS, STATUSES = ("spec", "test"), ("approve", "reject", "comment"), ("open", "applied", "closed", "stale")
-TARGETS = ("behavior-scope", "payload", "contract", "data-condition", "assertion", "expected-result", "environment", "naming", "structure")
 GATE_ORDER = (1, 2, 4, 3, 5, 6, 7)
 VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH")
