@@ -127,7 +127,7 @@ def test_repeats(spark, odd, none):
             t += b[a : r.randint(a, len(b))] + bytes(r.choice(b"xyz") for _ in range(r.randint(0, 3)))
         rows.append((i, b"ab" * r.randint(100, 600) if i % 17 == 0 else t))
     df = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string").repartition(5)
-    for large in (repeats.LARGE, 1):
+    for large in (repeats.LARGE, 4, 1):
         got = sorted((tuple(x)[:5] for x in repeats.remove_repeats(df, large=large).collect()), key=key)
         assert got == brute_repeats(rows)
     small = odd.filter("doc_id IS NULL OR doc_id <> 8")
