@@ -21,23 +21,41 @@ from factloom.llm import common, decontaminate, exact_dedup, ngram_join, piece_c
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that op2's model scores below a half go, null and empty texts like any other.
+
+    Without labelled rows every score is a half and all rows stay; repeated rows fare alike;
+    an empty table gives an empty one.
+    """
     labels = quality.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, quality.train(docs, labels))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts stays, that with the largest id; null and empty texts are one group.
+
+    Null ids are the lowest; of rows that repeat the id, one stays; an empty table gives an empty one.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of near copies stays, that with the smallest id; rows without words all stay.
+
+    Of rows that repeat the id, one stays; null ids are the lowest; an empty table gives an empty one.
+    """
     return ngram_join.drop_near_copies(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose id has a hit in ``benchmark`` go, repeated ones alike; null and empty texts have none.
+
+    An empty table, of documents or items, drops nothing.
+    """
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row of digests for each row; null texts count as empty, repeated rows and null ids are reported each."""
     return piece_codec.encode_digests(docs)
 
 

@@ -7,7 +7,6 @@ survive the loss of an executor.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,30 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staged import shared_dir, stage  # noqa: F401  operators take it from here
+
 #: Stands for a null id inside operators; it turns back into null on output.
 NULL_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where it is unset, one of our own, which only a local session can share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-factloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: Caches of a worker process, which may serve one operator after another.

@@ -137,7 +137,11 @@ class Codec:
     # --- normalisation ---------------------------------------------------------
 
     def normalise(self, text: bytes) -> tuple[str, np.ndarray]:
-        """Normalised text, and for each of its bytes and its end the source byte."""
+        """Normalised text, and for each of its bytes and its end the source byte.
+
+        A model whose character map is empty, as that of the query, only turns blanks into
+        another character; that is done here at once, to the same result as by prefixes.
+        """
         if not text:
             return "", np.zeros(1, np.int64)
         if not self.map.units and not self.squeeze and self.escape:

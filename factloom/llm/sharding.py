@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, id_in, id_out, shuffle_width, stage
@@ -95,14 +95,14 @@ def hilbert_column(edges: dict[str, list], bits: int) -> Column:
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, law: str = "rows", strings: tuple[str, ...] = ("lang", "source"), bits: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert; one row per row of ``docs``."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert, text_hash; one row per row of ``docs``."""
     if law not in ("rows", "bytes"):
         raise ValueError("law is rows or bytes")
     spark, text = docs.sparkSession, F.coalesce(docs[text_col].cast("string"), F.lit(""))
     dims = [s for s in strings if s in docs.columns]
-    meta = stage(docs.select(id_in(docs[id_col]).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[docs[s].cast("string").alias(f"s_{s}") for s in dims]), "shard-meta")
+    meta = stage(docs.select(id_in(docs[id_col]).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), *[docs[s].cast("string").alias(f"s_{s}") for s in dims]), "shard-meta")
     edges: dict[str, list] = _number_edges(meta, ["size", "doc_id"], bits) | {f"s_{s}": _string_edges(meta, f"s_{s}", bits) for s in dims}
-    coded = meta.withColumn("hilbert", hilbert_column(edges, bits)).select("doc_id", "size", "text_crc32", "hilbert")
+    coded = meta.withColumn("hilbert", hilbert_column(edges, bits)).select("doc_id", "size", "text_crc32", "text_hash", "hilbert")
     ordered = stage(coded.repartitionByRange(shuffle_width(spark), "hilbert", "doc_id", "text_crc32").sortWithinPartitions("hilbert", "doc_id", "text_crc32").withColumn("at", F.monotonically_increasing_id()), "shard-order")
     part = F.shiftright("at", 33)
     parts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
@@ -120,7 +120,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, law: str = "rows", stri
         out = ranked.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long"))
     else:
         out = _cut_by_bytes(ordered, ranked, rows, shards)
-    return out.select(id_out("doc_id").alias("doc_id"), "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+    return out.select(id_out("doc_id").alias("doc_id"), "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert", "text_hash")
 
 
 def _cut_by_bytes(ordered: DataFrame, ranked: DataFrame, rows: list, shards: int) -> DataFrame:
@@ -150,12 +150,26 @@ def _cut_by_bytes(ordered: DataFrame, ranked: DataFrame, rows: list, shards: int
     return cut.withColumn("slot", F.col("rank") - starts[F.col("shard")])
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id") -> DataFrame:
-    """Write whole documents by shard, sorted by slot; returns the manifest that readers prune by."""
-    own = assign_shards(docs, shards).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "shard", "slot")
-    placed = docs.join(own.hint("shuffle_hash"), id_in(docs[id_col]) == own["_id"]).drop("_id")
-    placed.repartitionByRange(shuffle_width(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return shard_manifest(docs.sparkSession.read.parquet(path))
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write whole documents by shard, sorted by slot; returns the manifest that readers prune by.
+
+    Rows that repeat id and text take their places in the order of a hash of all columns.
+    Columns of ``docs`` named ``shard`` or ``slot`` give way to ours.
+    """
+    spark, columns = docs.sparkSession, [c for c in docs.columns if c not in ("shard", "slot")]
+    key = ["_id", "_hash"]
+    own = assign_shards(docs, shards, id_col=id_col, text_col=text_col).select(id_in("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "shard", "slot")
+    own = stage(own.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot"))), "shard-places")
+    again = own.filter("_n = 2").select(*key)
+    rows = docs.select(*[docs[c] for c in columns], id_in(docs[id_col]).alias("_id"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("_hash"))
+    placed = rows.join(own.join(again.hint("merge"), key, "left_anti").hint("shuffle_hash"), key)
+    if not again.isEmpty():
+        order = Window.partitionBy(*key).orderBy(F.xxhash64(F.to_json(F.struct(*columns))))
+        several = rows.join(again.hint("shuffle_hash"), key, "left_semi").withColumn("_n", F.row_number().over(order))
+        placed = placed.drop("_n").unionByName(several.join(own.hint("merge"), [*key, "_n"]).drop("_n"))
+    placed = placed.select(*columns, "shard", "slot")
+    placed.repartitionByRange(shuffle_width(spark), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return shard_manifest(spark.read.parquet(path))
 
 
 def shard_manifest(written: DataFrame) -> DataFrame:
@@ -165,4 +179,4 @@ def shard_manifest(written: DataFrame) -> DataFrame:
 
 
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(documents(spark, sf_dir))
+    return assign_shards(documents(spark, sf_dir)).drop("text_hash")

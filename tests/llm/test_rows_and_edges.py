@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, exact_dedup, language, ngram_join, quality, repeats, warc
+from factloom.llm import decontaminate, exact_dedup, language, ngram_join, quality, repeats, sharding, warc
 
 from test_operators import SF, SF10, WORDS, brute_repeats, key, none, odd, sentence, texts  # noqa: F401  odd and none are fixtures
 
@@ -207,3 +207,22 @@ def test_filters_keep_columns(spark, odd):
     out = quality.keep_good(odd, quality.train(odd, labels))
     assert out.columns == odd.columns and out.count() <= odd.count()
     assert odd.filter(F.col("text").isNull()).count() == 2
+
+
+def test_shards_prune_by_range_and_keep_repeated_rows(spark, odd, tmp_path):
+    docs = spark.read.parquet(f"{SF10}/documents.parquet")
+    shards = sharding.write_shards(docs, str(tmp_path / "a"), shards=32).collect()
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted(back.select("doc_id").toPandas()["doc_id"]) == sorted(docs.select("doc_id").toPandas()["doc_id"])
+    lang = docs.filter("lang is not null").first().lang
+    holds = [s for s in shards if s.min_lang <= lang <= s.max_lang and s.min_n_chars <= 300]
+    assert len(holds) <= len(shards) // 2  # the same rows dealt by id lie in every shard
+    assert back.filter((F.col("lang") == lang) & (F.col("n_chars") <= 300)).select("shard").distinct().count() <= len(holds)
+    rank = {r.doc_id: (r.shard, r.slot) for r in sharding.assign_shards(docs, 32).collect()}
+    curve = {r.doc_id: r.hilbert for r in sharding.assign_shards(docs, 32).collect()}
+    order = sorted(rank, key=rank.get)
+    assert all(curve[a] <= curve[b] for a, b in zip(order, order[1:]))
+    wide = odd.withColumn("shard", F.lit("x")).withColumn("slot", F.lit("y"))
+    sharding.write_shards(wide, str(tmp_path / "b"), shards=3)
+    again = spark.read.parquet(str(tmp_path / "b"))
+    assert again.count() == odd.count() and again.filter("doc_id = 6").count() == 2 and {len(x) for x in [again.columns]} == {len(odd.columns) + 2}
