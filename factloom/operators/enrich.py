@@ -127,9 +127,16 @@ def resolve_refs(config_rows: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def merge_declarations(declarations: DataFrame) -> DataFrame:
-    """The first declaration of a name wins, hints of all stay, distinct and in order."""
+    """(name, handler, hints, settings) of ``declarations(ord, name, handler, hint, settings)``.
+
+    The first declaration of a name wins; hints of all stay, distinct and in order, and so do
+    settings (a map), of which the first of each key counts.
+    """
     per = declarations.groupBy("name").agg(F.min_by("handler", "ord").alias("handler"), F.sort_array(F.collect_list(F.struct("ord", "hint"))).alias("all"))
-    return per.select("name", "handler", F.array_distinct(F.transform("all", lambda x: x["hint"])).alias("hints"))
+    keys = declarations.select("name", "ord", F.explode("settings").alias("key", "value")).groupBy("name", "key").agg(F.min_by("value", "ord").alias("value"))
+    keys = keys.groupBy("name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("settings"))
+    out = per.join(keys.hint("merge"), "name", "left")
+    return out.select("name", "handler", F.array_distinct(F.transform("all", lambda x: x["hint"])).alias("hints"), F.coalesce("settings", F.create_map().cast("map<string,string>")).alias("settings"))
 
 
 def canonical_order(facts: DataFrame) -> DataFrame:

@@ -18,6 +18,11 @@ def gate_cascade(outcomes: DataFrame, order: Sequence[int] = vocab.GATE_ORDER) -
     return o.groupBy("bundle").agg((F.count_if(F.col("status") == "FAIL") == 0).alias("delivered"), first.alias("failed_gate"), F.count_if(F.col("status") == "PASS").alias("passed"))
 
 
+def gate_evidence(outcomes: DataFrame) -> DataFrame:
+    """(bundle, key, n): sums of the counts in ``outcomes(bundle, data map)``, such as mutants caught or lines covered."""
+    return outcomes.select("bundle", F.explode("data").alias("key", "value")).groupBy("bundle", "key").agg(F.sum("value").alias("n"))
+
+
 def stability(runs: DataFrame) -> DataFrame:
     """Bundles with one distinct verdict over their runs."""
     return runs.groupBy("bundle").agg((F.count_distinct("status") == 1).alias("stable"), F.count("*").alias("runs"))
@@ -42,6 +47,11 @@ def finding_report(findings: DataFrame) -> DataFrame:
     return findings.groupBy("bundle").agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"), (F.count_if(F.col("severity") == "ERROR") == 0).alias("ok"))
 
 
+def finding_counts(findings: DataFrame) -> DataFrame:
+    """(bundle, severity, rule, n)."""
+    return findings.groupBy("bundle", "severity", "rule").agg(F.count("*").alias("n"))
+
+
 def duplicate_steps(defs: DataFrame) -> DataFrame:
     """Definitions of one (type, pattern) at several sites, each with how many others there are."""
     many = defs.groupBy("type", "pattern").agg(F.count("*").alias("n")).filter("n > 1")

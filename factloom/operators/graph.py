@@ -218,6 +218,13 @@ def journeys_from_facts(facts: DataFrame) -> DataFrame:
     return start.join(member, "journey", "left")
 
 
+def verdict_tallies(journeys: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(status, n): how many journeys have each verdict; without one, or deferred, they are ``pending``."""
+    said = verdicts.groupBy("journey").agg(F.max_by("status", "ord").alias("status"))
+    status = F.when(F.coalesce("status", F.lit("")).isin("", "deferred"), "pending").otherwise(F.col("status"))
+    return journeys.select("journey").distinct().join(said.hint("merge"), "journey", "left").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """First row of each key in the given order (F1)."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -195,8 +195,16 @@ def harvest_env(configs: DataFrame) -> DataFrame:
     return configs.select("file", F.explode("environment").alias("token", "value")).filter("value IS NOT NULL").filter(~S.has_token("value"))
 
 
-def search_source(src: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
-    """(file, pos, line cut to 200) that match; an invalid pattern is taken literally."""
+#: Folders that hold other people's code.
+VENDOR = (".git", "node_modules", "venv", ".venv", "__pycache__", "dist", "build")
+
+
+def search_source(src: DataFrame, pattern: str, limit: int = 50, glob: str | None = None, skip: tuple[str, ...] = VENDOR) -> DataFrame:
+    """(file, pos, line cut to 200) that match; an invalid pattern is taken literally.
+
+    ``glob`` is matched against the file's own name; files below a folder in ``skip`` stay out.
+    """
+    import fnmatch
     import re
 
     try:
@@ -204,21 +212,43 @@ def search_source(src: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
         hit = F.col("line").rlike(pattern)
     except re.error:
         hit = F.contains("line", F.lit(pattern))
+    parts = F.split(F.col("file").cast("string"), "/")
+    if glob is not None:
+        hit = hit & F.element_at(parts, -1).rlike(fnmatch.translate(glob).replace("\\Z", "$"))
+    if skip:
+        hit = hit & ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*[F.lit(s) for s in skip]))
     return src.filter(hit).select("file", "pos", F.left("line", F.lit(200)).alias("line")).orderBy("file", "pos").limit(limit)
 
 
-def render_docs(docs: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """(unit, markdown) of ``docs(unit, section, body)``: canonical sections in order, then extras; empty ones say so."""
+def render_docs(docs: DataFrame, order: tuple[str, ...], grounded: DataFrame | None = None) -> DataFrame:
+    """(unit, markdown) of ``docs(unit, section, body)``: canonical sections in order, then extras; empty ones say so.
+
+    With ``grounded(unit, name)`` a footer names the identifiers of the unit that were checked.
+    """
     rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("section"))
     place = F.when(rank > 0, rank).otherwise(F.lit(len(order) + 1))
     part = F.concat(F.lit("## "), "section", F.lit("\n\n"), F.when(F.trim("body") == "", "_(none)_").otherwise(F.col("body")))
-    return docs.groupBy("unit").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), "section", part.alias("t")))), lambda x: x["t"]), "\n\n").alias("markdown"))
+    out = docs.groupBy("unit").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), "section", part.alias("t")))), lambda x: x["t"]), "\n\n").alias("markdown"))
+    if grounded is None:
+        return out
+    names = grounded.groupBy("unit").agg(F.array_join(F.sort_array(F.collect_set(F.concat(F.lit("`"), "name", F.lit("`")))), ", ").alias("names"))
+    footer = F.concat(F.lit("\n\n---\n**Grounded identifiers:** "), F.coalesce("names", F.lit("_(none)_")))
+    return out.join(names.hint("merge"), "unit", "left").select("unit", F.concat("markdown", footer).alias("markdown"))
 
 
-def assemble_docs(emits: DataFrame) -> DataFrame:
-    """(unit, section, body) from ``emits(unit, ord, kind open/text/finish, section, text)``: a re-opened unit starts anew, only finished ones count."""
+def assemble_docs(emits: DataFrame, feedback: DataFrame | None = None) -> DataFrame:
+    """(unit, section, body, confirmed) from ``emits(unit, ord, kind open/text/finish, section, text)``: a re-opened unit starts anew, only finished ones count.
+
+    With ``feedback(id)``, a text whose ``feedback_id`` is none of these is refused, and a
+    section with one that is counts as confirmed by a person.
+    """
+    real = F.lit(None).cast("boolean")
+    if feedback is not None:
+        emits = emits.join(feedback.select(F.col("id").alias("feedback_id"), F.lit(True).alias("_real")).distinct().hint("merge"), "feedback_id", "left")
+        emits, real = emits.filter(F.col("feedback_id").isNull() | F.col("_real")), F.col("_real")
     opened = carry_forward(emits, F.when(F.col("kind") == "open", F.col("ord")), "opened", "unit", "ord")
     last = emits.filter("kind = 'open'").groupBy("unit").agg(F.max("ord").alias("opened"))
     done = opened.filter("kind = 'finish'").select("unit", "opened").distinct()
     own = opened.filter("kind = 'text'").join(last, ["unit", "opened"], "left_semi").join(done, ["unit", "opened"], "left_semi")
-    return own.groupBy("unit", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("body"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "")
+    return own.groupBy("unit", "section").agg(body.alias("body"), F.coalesce(F.bool_or(real), F.lit(False)).alias("confirmed"))

@@ -145,9 +145,11 @@ def d30(v):
     return N.resolve_refs(rows, p.selectExpr("concat('var.', p_brand) AS ref").distinct())
 
 
-@query("e37_merge_declarations", "SELECT p_brand AS name, arg_min(p_name, p_partkey) AS handler, (SELECT list(t ORDER BY o) FROM (SELECT p_type AS t, min(p_partkey) AS o FROM part q WHERE q.p_brand = p.p_brand GROUP BY p_type) z) AS hints FROM part p GROUP BY p_brand")
+@query("e37_merge_declarations", "SELECT p_brand AS name, arg_min(p_name, p_partkey) AS handler, (SELECT list(t ORDER BY o) FROM (SELECT p_type AS t, min(p_partkey) AS o FROM part q WHERE q.p_brand = p.p_brand GROUP BY p_type) z) AS hints, arg_min(p_size::VARCHAR, p_partkey) AS size, arg_min(p_partkey::VARCHAR, p_partkey) FILTER (p_partkey % 2 = 0) AS even FROM part p GROUP BY p_brand")
 def e37(v):
-    return N.merge_declarations(v("part").selectExpr("p_partkey AS ord", "p_brand AS name", "p_name AS handler", "p_type AS hint"))
+    settings = "CASE WHEN p_partkey % 2 = 0 THEN map('size', string(p_size), 'even', string(p_partkey)) ELSE map('size', string(p_size)) END AS settings"
+    out = N.merge_declarations(v("part").selectExpr("p_partkey AS ord", "p_brand AS name", "p_name AS handler", "p_type AS hint", settings))
+    return out.select("name", "handler", "hints", F.col("settings")["size"].alias("size"), F.col("settings")["even"].alias("even"))
 
 
 @query("f09_canonical_order", "SELECT ord, file_path, coalesce(line, 0) AS line FROM facts")

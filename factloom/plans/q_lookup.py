@@ -152,6 +152,14 @@ def e26(v):
     return G.journeys_from_facts(_chains(v))
 
 
+@query("e26_verdict_tallies", f"WITH {_CHAINS}, j AS (SELECT DISTINCT subject AS journey FROM chain) SELECT CASE length(journey) % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status, count(*) AS n FROM j GROUP BY 1")
+def e26b(v):
+    j = _chains(v).select(F.col("subject").alias("journey")).distinct()
+    status = F.expr("CASE length(journey) % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' ELSE 'deferred' END")
+    said = j.filter("length(journey) % 4 <> 3").select("journey", F.lit(2).alias("ord"), status.alias("status"))
+    return G.verdict_tallies(j, said.unionByName(said.select("journey", F.lit(1).alias("ord"), F.lit("rejected").alias("status"))))
+
+
 BOUND = "bound AS (SELECT token, arg_min(value, layer) AS value FROM bindings GROUP BY token)"
 TEXT = f"{BOUND}, s AS (SELECT t.*, CASE WHEN p.value IS NULL THEN u ELSE replace(u, '${{' || p.token || '}}', p.value) END AS text FROM (SELECT t.*, CASE WHEN b.value IS NULL THEN t.object ELSE replace(t.object, '${{' || b.token || '}}', b.value) END AS u, regexp_extract_all(t.object, '\\$\\{{([^}}]+)\\}}', 1) AS toks FROM templated t LEFT JOIN bound b ON b.token = regexp_extract(t.object, '\\$\\{{([^}}]+)\\}}', 1)) t LEFT JOIN bound p ON p.token = t.toks[2])"
 

@@ -27,6 +27,14 @@ def d15(v):
     return M.pair_scores(*_sides(v)).groupBy("app_id", "stage", "intent", "actions", "stage2", "intent2", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
 
 
+_STRICT = f"CASE WHEN a.intent <> b.intent OR a.stage <> b.stage OR (len(list_intersect(a.actions, b.actions)) = 0 AND len(a.actions) + len(b.actions) > 0) THEN 0.0 ELSE {_BASE} END::DOUBLE"
+
+
+@query("d15_strict_scores", f"SELECT app_id, stage, intent, actions, actions2, round(score, 6) AS score, count(*) AS n FROM (SELECT a.app_id, a.stage, a.intent, a.actions, b.actions AS actions2, {_STRICT} AS score FROM (SELECT DISTINCT app_id, stage, intent, actions, outcomes FROM profiles WHERE side = 'ref') a JOIN (SELECT DISTINCT app_id, stage, intent, actions, outcomes FROM profiles WHERE side = 'cand') b ON a.app_id = b.app_id) x WHERE score > 0 GROUP BY ALL")
+def d15b(v):
+    return M.pair_scores(*_sides(v), strict=True).groupBy("app_id", "stage", "intent", "actions", "actions2", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
+
+
 # each step takes the best pair behind the last one whose ends are both free
 GREEDY = f"{PAIRS}, ranked AS MATERIALIZED (SELECT r.app_id, r.id AS ref_id, c.id AS cand_id, round(p.score, 6) AS score, row_number() OVER (PARTITION BY r.app_id ORDER BY p.score DESC, r.id, c.id) AS rk FROM pairs p JOIN profiles r ON r.side = 'ref' AND r.app_id = p.app_id AND r.stage = p.stage AND r.intent = p.intent AND r.actions = p.actions AND r.outcomes = p.outcomes JOIN profiles c ON c.side = 'cand' AND c.app_id = p.app_id AND c.stage = p.stage2 AND c.intent = p.intent2 AND c.actions = p.actions2 AND c.outcomes = p.outcomes2 WHERE p.score >= 0.45), steps AS (SELECT app_id, 0::BIGINT AS rk, []::BIGINT[] AS refs, []::BIGINT[] AS cands FROM (SELECT DISTINCT app_id FROM ranked) a UNION ALL SELECT s.app_id, n.rk, list_append(s.refs, n.ref_id), list_append(s.cands, n.cand_id) FROM steps s JOIN LATERAL (SELECT min(q.rk) AS rk, arg_min(q.ref_id, q.rk) AS ref_id, arg_min(q.cand_id, q.rk) AS cand_id FROM ranked q WHERE q.app_id = s.app_id AND q.rk > s.rk AND NOT list_contains(s.refs, q.ref_id) AND NOT list_contains(s.cands, q.cand_id)) n ON n.rk IS NOT NULL), matched AS (SELECT q.app_id, q.ref_id, q.cand_id, q.score FROM steps s JOIN ranked q USING (app_id, rk))"
 
@@ -200,6 +208,12 @@ def e27(v):
     return T.gate_cascade(v("runs"))
 
 
+@query("e27_gate_evidence", "SELECT bundle, key, sum(n)::BIGINT AS n FROM (SELECT bundle, 'lines' AS key, gate * 2 AS n FROM runs UNION ALL SELECT bundle, 'mutants', gate FROM runs WHERE status = 'PASS') x GROUP BY ALL")
+def e27b(v):
+    data = "CASE WHEN status = 'PASS' THEN map('lines', gate * 2, 'mutants', gate) ELSE map('lines', gate * 2) END AS data"
+    return T.gate_evidence(v("runs").selectExpr("bundle", data))
+
+
 @query("e28_stability", "SELECT bundle, count(DISTINCT status) = 1 AS stable, count(*) AS runs FROM runs GROUP BY bundle")
 def e28(v):
     return T.stability(v("runs"))
@@ -221,6 +235,11 @@ def e30(v):
     return T.finding_report(v("runs").selectExpr("bundle", "CASE status WHEN 'FAIL' THEN 'ERROR' WHEN 'SKIP' THEN 'WARNING' ELSE 'INFO' END AS severity"))
 
 
+@query("e30_finding_counts", "SELECT bundle, status AS severity, event_type AS rule, count(*) AS n FROM runs GROUP BY ALL")
+def e30b(v):
+    return T.finding_counts(v("runs").selectExpr("bundle", "status AS severity", "event_type AS rule"))
+
+
 @query("e31_duplicate_steps", "SELECT type, pattern, site, n - 1 AS others FROM (SELECT p_type AS type, p_brand AS pattern, p_partkey AS site, count(*) OVER (PARTITION BY p_type, p_brand) AS n FROM part) x WHERE n > 1")
 def e31(v):
     return T.duplicate_steps(v("part").selectExpr("p_type AS type", "p_brand AS pattern", "p_partkey AS site"))

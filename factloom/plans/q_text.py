@@ -132,18 +132,26 @@ def i11(v):
     return X.harvest_env(v("customer").select(F.col("c_custkey").alias("file"), m.alias("environment")))
 
 
-@query("a14_search_source", "SELECT doc_id AS file, pos, left(line, 200) AS line FROM doc_lines WHERE regexp_matches(line, 'token|secret') ORDER BY file, pos LIMIT 50")
+@query("a14_search_source", "SELECT 'src/' || CASE doc_id % 3 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'a/' ELSE '' END || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.txt' END AS file, pos, left(line, 200) AS line FROM doc_lines WHERE regexp_matches(line, 'tion|ent') AND doc_id % 2 = 0 AND doc_id % 3 <> 0 ORDER BY file, pos LIMIT 50")
 def a14(v):
-    return X.search_source(v("doc_lines").withColumnRenamed("doc_id", "file"), "token|secret")
+    name = F.expr("concat('src/', CASE doc_id % 3 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'a/' ELSE '' END, doc_id, CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.txt' END)")
+    return X.search_source(v("doc_lines").withColumn("file", name), "tion|ent", glob="*.py")
 
 
-@query("b31_render_docs", "SELECT p_brand AS unit, string_agg('## ' || section || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY place, section, body) AS markdown FROM (SELECT p_brand, CASE WHEN p_size % 2 = 0 THEN 'User Stories' ELSE 'Zeta' END AS section, min(p_name) AS body, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END AS place FROM part GROUP BY ALL) x GROUP BY p_brand")
+@query("e36_confirmed_sections", "WITH e AS (SELECT user_id AS unit, event_id AS ord, event_type AS section, event_id || ';' AS text, CASE WHEN event_id % 3 = 0 THEN event_id END AS fid FROM events), r AS (SELECT * FROM e WHERE fid IS NULL OR fid % 2 = 0) SELECT unit, section, string_agg(text, '' ORDER BY ord) AS body, coalesce(bool_or(fid % 2 = 0), FALSE) AS confirmed FROM r GROUP BY ALL")
+def e36b(v):
+    e = v("events").selectExpr("user_id AS unit", "event_id AS ord", "'text' AS kind", "event_type AS section", "concat(event_id, ';') AS text", "CASE WHEN event_id % 3 = 0 THEN event_id END AS feedback_id")
+    edge = lambda kind, ord_: v("events").select(F.col("user_id").alias("unit")).distinct().select("unit", F.lit(ord_).cast("long").alias("ord"), F.lit(kind).alias("kind"), F.lit("").alias("section"), F.lit("").alias("text"), F.lit(None).cast("long").alias("feedback_id"))
+    return X.assemble_docs(e.unionByName(edge("open", -1)).unionByName(edge("finish", 1 << 60)), v("events").filter("event_id % 2 = 0").selectExpr("event_id AS id"))
+
+
+@query("b31_render_docs", "SELECT unit, string_agg('## ' || section || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY place, section, body) || chr(10) || chr(10) || '---' || chr(10) || '**Grounded identifiers:** ' || coalesce((SELECT string_agg(DISTINCT '`' || p_type || '`', ', ' ORDER BY '`' || p_type || '`') FROM part q WHERE q.p_brand = unit AND p_size % 5 = 0), '_(none)_') AS markdown FROM (SELECT p_brand AS unit, CASE WHEN p_size % 2 = 0 THEN 'User Stories' ELSE 'Zeta' END AS section, min(p_name) AS body, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END AS place FROM part GROUP BY ALL) x GROUP BY unit")
 def b31(v):
     d = v("part").groupBy(F.col("p_brand").alias("unit"), F.when(F.col("p_size") % 2 == 0, "User Stories").otherwise("Zeta").alias("section")).agg(F.min("p_name").alias("body"))
-    return X.render_docs(d, ("User Stories",))
+    return X.render_docs(d, ("User Stories",), v("part").filter("p_size % 5 = 0").selectExpr("p_brand AS unit", "p_type AS name"))
 
 
 @query("e36_assemble_docs", "WITH e AS (SELECT user_id AS unit, event_id AS ord, CASE event_type WHEN 'signup' THEN 'open' WHEN 'purchase' THEN 'finish' ELSE 'text' END AS kind, event_type AS section, event_id || ';' AS text FROM events), o AS (SELECT *, last_value(CASE WHEN kind = 'open' THEN ord END IGNORE NULLS) OVER (PARTITION BY unit ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS opened FROM e), l AS (SELECT unit, max(ord) AS opened FROM e WHERE kind = 'open' GROUP BY unit) SELECT o.unit, section, string_agg(text, '' ORDER BY ord) AS body FROM o JOIN l ON o.unit = l.unit AND o.opened = l.opened WHERE kind = 'text' AND EXISTS (SELECT 1 FROM o f WHERE f.kind = 'finish' AND f.unit = o.unit AND f.opened = o.opened) GROUP BY o.unit, section")
 def e36(v):
     e = v("events").selectExpr("user_id AS unit", "event_id AS ord", "CASE event_type WHEN 'signup' THEN 'open' WHEN 'purchase' THEN 'finish' ELSE 'text' END AS kind", "event_type AS section", "concat(event_id, ';') AS text")
-    return X.assemble_docs(e)
+    return X.assemble_docs(e).drop("confirmed")
