@@ -154,6 +154,42 @@ def verify_facts(claims: DataFrame, lines: DataFrame, window: int = 3) -> DataFr
     return claims.join(hit.hint("merge"), "id", "left").select("id", F.when(F.col("line").isNotNull(), F.coalesce("found", F.lit(False))).alias("verified"))
 
 
+def check_facts(facts: DataFrame, lines: DataFrame, around: int = 3, types: Sequence[str] = vocab.TYPES) -> DataFrame:
+    """(id, verified) of ``facts(id, subject, predicate, object, file, line)`` against ``lines(file, pos, text)``, ``pos`` from 0.
+
+    What a predicate calls for must be in the lines up to ``around`` before and after the
+    fact's line (the first without one).  False if the file isn't there; NULL without a file,
+    or where an unknown predicate's object leaves nothing to look for.
+    """
+    at = F.coalesce("line", F.lit(1)) - 1
+    spread = facts.filter("file IS NOT NULL").select("id", "file", F.explode(F.sequence(F.greatest(at - around, F.lit(0)), F.greatest(at + around, F.lit(0)))).alias("pos"))
+    near = spread.join(lines.hint("merge"), ["file", "pos"]).groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("win"))
+    there = lines.select("file").distinct().withColumn("there", F.lit(True))
+    rows = facts.join(near.hint("merge"), "id", "left").join(there.hint("merge"), "file", "left").withColumn("win", F.coalesce("win", F.lit("")))
+    win, p = F.col("win"), F.col("predicate")
+    has = lambda *words: F.greatest(F.lit(False), *[F.contains(win, w if not isinstance(w, str) else F.lit(w)) for w in words])
+    obj = F.trim(F.split(F.col("object"), r" \(", 2)[0])
+    obj = F.when(F.instr(obj, ":").cast("boolean") & F.substring_index(obj, ":", 1).isin(*types), S.name_of(obj)).otherwise(obj)
+    last = lambda c, *seps: last(F.element_at(F.split(c, seps[0]), -1), *seps[1:]) if seps else c
+    path = F.when(F.instr(obj, " ") > 0, F.substr(obj, F.instr(obj, " ") + 1)).otherwise(obj)
+    parts = F.filter(F.split(path, "/"), lambda s: (F.length(s) > 2) & ~F.contains(s, F.lit("<")) & ~F.contains(s, F.lit("{")))
+    tail = F.when(F.size(parts) > 0, F.element_at(parts, F.when(F.size(parts) > 0, -1).otherwise(1))).otherwise(path)
+    table = F.regexp_replace(last(obj, r"\."), r"^[${}]+|[${}]+$", "")
+    token = F.regexp_replace(last(obj, "::", r"\.", " "), r"^[${}/]+|[${}/]+$", "")
+    sql = F.upper(win).rlike("INSERT|SELECT|UPDATE|DELETE FROM")
+    rule = (
+        F.when(p == "EXPOSES_ENDPOINT", F.contains(win, path) | (F.contains(win, tail) & (F.contains(F.lower(win), F.lit("route")) | has("@"))))
+        .when(p.isin("CALLS", "DEFINES"), F.contains(win, last(obj, "::", r"\.")))
+        .when(p.isin("QUERIES_DATABASE", "WRITES_DATABASE"), has(table, "session", ".query(", ".add(", ".filter", "execute", "__tablename__") | sql)
+        .when(p.isin("READS_FROM_S3", "WRITES_TO_S3"), has("get_object", "put_object", "upload", "download", "s3", "S3", "boto3"))
+        .when(p == "READS_ENV_VAR", F.contains(win, obj) & has("environ", "getenv"))
+        .when(p == "INVOKES_LAMBDA", has("invoke", last(obj, r"\.")))
+        .when(p == "FEEDS", has(last(F.col("subject"), "::"), last(obj, "::")))
+        .otherwise(F.when(token != "", F.contains(win, token)))
+    )
+    return rows.select("id", F.when(F.col("file").isNotNull(), F.when(F.col("there").isNull(), False).otherwise(rule)).alias("verified"))
+
+
 def grade(verified: DataFrame) -> DataFrame:
     """Kept, rejected, uncheckable and the precision in percent."""
     kept, no = F.count_if("verified"), F.count_if(~F.col("verified"))

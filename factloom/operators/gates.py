@@ -59,8 +59,8 @@ def duplicate_steps(defs: DataFrame) -> DataFrame:
 
 
 def compliance(steps: DataFrame) -> DataFrame:
-    """By file: scenarios, those with no error (no When, no Then or an empty step), percent."""
-    per = steps.groupBy("feature_file", "name").agg((F.bool_or(F.col("keyword") == "When") & F.bool_or(F.col("keyword") == "Then") & ~F.bool_or(F.trim("text") == "")).alias("ok"))
+    """By file: scenarios, those with no error (a blank name, no Given, When or Then, an empty step), percent."""
+    per = steps.groupBy("feature_file", "name").agg((F.bool_or(F.col("keyword") == "Given") & F.bool_or(F.col("keyword") == "When") & F.bool_or(F.col("keyword") == "Then") & ~F.bool_or(F.trim("text") == "")).alias("ok")).withColumn("ok", F.col("ok") & (F.trim("name") != ""))
     return per.groupBy("feature_file").agg(F.count("*").alias("scenarios"), F.count_if("ok").alias("ok")).withColumn("pct", 100.0 * F.col("ok") / F.col("scenarios"))
 
 

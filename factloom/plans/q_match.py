@@ -116,9 +116,9 @@ def f08(v):
     return M.batch(v("doc_lines").withColumn("size", F.length("line")), 25, 12_000)
 
 
-@query("e13_compliance", "WITH p AS (SELECT feature_file, name, bool_or(keyword = 'When') AND bool_or(keyword = 'Then') AND NOT bool_or(trim(text) = '') AS ok FROM scenarios GROUP BY ALL) SELECT feature_file, count(*) AS scenarios, count(*) FILTER (ok) AS ok, 100.0 * count(*) FILTER (ok) / count(*) AS pct FROM p GROUP BY feature_file")
+@query("e13_compliance", "WITH p AS (SELECT feature_file, name, bool_or(keyword = 'Given') AND bool_or(keyword = 'When') AND bool_or(keyword = 'Then') AND NOT bool_or(trim(text) = '') AND bool_and(trim(name) <> '') AS ok FROM (SELECT feature_file, CASE WHEN conv_id % 7 = 0 THEN ' ' ELSE name END AS name, keyword, text FROM scenarios) y GROUP BY ALL) SELECT feature_file, count(*) AS scenarios, count(*) FILTER (ok) AS ok, 100.0 * count(*) FILTER (ok) / count(*) AS pct FROM p GROUP BY feature_file")
 def e13(v):
-    return T.compliance(v("scenarios"))
+    return T.compliance(v("scenarios").withColumn("name", F.expr("CASE WHEN conv_id % 7 = 0 THEN ' ' ELSE name END")))
 
 
 @query("e14_action_coverage", f"WITH {PAIRS}, a AS (SELECT DISTINCT app_id, unnest(actions) AS a FROM profiles WHERE side = 'ref'), h AS (SELECT DISTINCT app_id, unnest(list_intersect(actions, actions2)) AS a FROM pairs WHERE score >= 0.9) SELECT app_id, 100.0 * count(*) FILTER ((app_id, a) IN (SELECT (app_id, a) FROM h)) / count(*) AS action_coverage FROM a GROUP BY app_id")
