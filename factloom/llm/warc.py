@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out, new_path
+from .common import id_in, id_out, marker, new_path, stage
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, content_length long, payload binary"
 TYPES = {"record_id": pa.string(), "record_type": pa.string(), "target_uri": pa.string(), "refers_to": pa.string(), "payload_digest": pa.string(), "payload_length": pa.int64(), "content_length": pa.int64(), "payload": pa.binary()}
@@ -372,22 +372,28 @@ SALTS = 32
 def crawl_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 100) -> DataFrame:
     """WARC rows for pages: of equal payloads of ``min_bytes`` or more, the smallest id is the response.
 
-    The smallest id of a payload is found by partial minima and then met by
-    (digest, salt), so a payload that a third of all pages share is dealt over ``SALTS`` tasks' worth of keys.
+    That is decided on ids, digests and lengths alone; the smallest id of a payload is found
+    by partial minima and then met by (digest, salt), so a payload that a third of all pages
+    share is dealt over ``SALTS`` tasks' worth of keys.  Payloads stay where they are, but for
+    those that a bit map takes for revisits.
     """
     payload = F.coalesce(pages[html_col].cast("string"), F.lit("")).cast("binary")
     rows = pages.select(id_in(pages[id_col]).alias("id"), (pages[url_col].cast("string") if url_col in pages.columns else F.lit(None).cast("string")).alias("target_uri"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_length": F.octet_length("payload").cast("long"), "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS))})
-    part = rows.filter(F.col("payload_length") >= min_bytes).groupBy("payload_digest", "salt").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_length": F.octet_length("payload").cast("long")})
+    key = ["id", "payload_digest"]
+    small = stage(rows.filter(F.col("payload_length") >= min_bytes).select(*key, F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")), "warc-digests")
+    part = small.groupBy("payload_digest", "salt").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     whole = part.groupBy("payload_digest").agg(F.min("first").alias("response"), F.sum("n").alias("n")).filter("n > 1")
     first = part.select("payload_digest", "salt").join(whole.hint("shuffle_hash"), "payload_digest").select("payload_digest", "salt", "response")
-    out = rows.join(first.hint("shuffle_hash"), ["payload_digest", "salt"], "left")
+    revisits = stage(small.join(first.hint("shuffle_hash"), ["payload_digest", "salt"]).filter("response < id").select(*key, "response").distinct(), "warc-revisits")
+    rows = rows.withColumn("may", (F.col("payload_length") >= min_bytes) & marker(revisits, key)(*key))
+    out = rows.filter("may").join(revisits.hint("shuffle_hash"), key, "left").unionByName(rows.filter("not may").withColumn("response", F.lit(None).cast("long")))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(id_out(c).cast("string"), F.lit("null")))
-    revisit = F.col("response") < F.col("id")
+    revisit = F.coalesce(F.col("response") < F.col("id"), F.lit(False))
     return out.select(
         name("id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri",
         F.when(revisit, name("response")).alias("refers_to"), "payload_digest", "payload_length", F.lit(None).cast("long").alias("content_length"),
-        F.when(~F.coalesce(revisit, F.lit(False)), F.col("payload")).alias("payload"),
+        F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
 
