@@ -15,12 +15,8 @@ Removed is each byte covered by a ``LENGTH``-byte string that starts anywhere el
    Its common-prefix lengths give how far any two agree to the right; in order of that
    length, neighbours merge into sets sorted by the bytes to the left, smaller into
    larger, so each class meets the one it agrees with furthest to the left for every
-   length to the right.
-   A gram of more than ``LARGE`` classes, which no task should hold, is split before: two
-   that agree in a window which starts d bytes before the anchor agree in what all windows
-   of a range of d have in common.  The range (0 to ``LEFT``) is halved and classes meet by
-   these longer strings, again and again while a group is too large; of a range of one d
-   the string is the window itself, and all of its group are repeated.
+   length to the right.  Grams with more than ``LARGE`` classes, which no task should hold,
+   are settled by hashes of each window instead, grouped over the cluster.
 4. What is repeated around each anchor is joined back, intervals are united by document.
 
 Defined results: null texts count as empty; texts under ``LENGTH`` bytes lose nothing;
@@ -37,7 +33,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +40,8 @@ from .common import batch, documents, id_in, id_out, marker, shuffle_width, smal
 
 LENGTH, GRAM = 400, 200
 LEFT = LENGTH - GRAM
-#: Classes of one group that one task compares; bytes of a group's name before its suffixes.
-LARGE, KEY = 20_000, 8
+#: Classes of one gram that one task compares.
+LARGE = 20_000
 SEGMENT = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
@@ -258,31 +253,12 @@ RUN_ARROW = pa.schema([("bucket", pa.int32()), ("run", pa.binary()), ("lefts", p
 RUN_ROWS = 100_000
 
 
-#: A class in a group: ``key`` names the group, ``lo`` to ``hi`` are the distances of the windows it is asked about.
-OPEN = "key long, gram long, around long, doc_id long, th long, at long, n long, left int, right int, lo int, hi int"
-OPEN_ARROW = pa.schema([*((x, pa.int64()) for x in ("key", "gram", "around", "doc_id", "th", "at", "n")), *((x, pa.int32()) for x in ("left", "right", "lo", "hi"))])
-
-
-def _contexts(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """(gram, around, group and suffix, reversed left) of the classes that a document stands for."""
+def _contexts(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(gram, around, multiplicity, suffix, reversed left) of the classes that a document stands for."""
     for text, classes in zip(text_bytes(b.column("text")), b.column("classes").to_pylist()):
         for c in classes:
             at = c["at"]
-            yield c["gram"], c["around"], c["key"].to_bytes(KEY, "big", signed=True) + text[at : at + c["right"]], text[at - c["left"] : at][::-1]
-
-
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The classes of a group by what all windows of either half of its range have in common."""
-    for b in batches:
-        rows: list[dict] = []
-        for text, classes in zip(text_bytes(b.column("text")), b.column("classes").to_pylist()):
-            for c in classes:
-                mid = (c["lo"] + c["hi"]) // 2
-                for lo, hi in ((c["lo"], mid), (mid + 1, c["hi"])):
-                    if c["left"] >= lo and c["right"] >= LENGTH - hi:
-                        core = text[c["at"] - lo : c["at"] + LENGTH - hi]
-                        rows.append(c | {"key": int(np.uint64(xxhash.xxh64_intdigest(core, seed=lo << 16 | hi)).astype(np.int64)), "lo": lo, "hi": hi})
-        yield batch(OPEN_ARROW, {n: [r[n] for r in rows] for n in OPEN_ARROW.names})
+            yield c["gram"], c["around"], c["n"], text[at : at + c["right"]], text[at - c["left"] : at][::-1]
 
 
 def _make_runs(buckets: int):
@@ -292,11 +268,11 @@ def _make_runs(buckets: int):
             cut.setdefault(r[0] % buckets, []).append(r)
         cols: dict[str, list] = {n: [] for n in RUN_ARROW.names}
         for bucket, own in cut.items():
-            own.sort(key=lambda r: (r[2], r[3], r[1]))
+            own.sort(key=lambda r: (r[3], r[4], r[1]))
             cols["bucket"].append(bucket)
-            cols["run"].append(front_code([r[2] for r in own]))
-            cols["lefts"].append(b"".join(r[3] for r in own))
-            cols["sizes"].append(np.array([len(r[3]) for r in own], np.uint16).tobytes())
+            cols["run"].append(front_code([r[3] for r in own]))
+            cols["lefts"].append(b"".join(r[4] for r in own))
+            cols["sizes"].append(np.array([len(r[4]) for r in own], np.uint16).tobytes())
             cols["gram"].append(np.array([r[0] for r in own], np.int64).tobytes())
             cols["around"].append(np.array([r[1] for r in own], np.int64).tobytes())
         return batch(RUN_ARROW, cols)
@@ -336,15 +312,37 @@ def _merge_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         before.clear()
 
     for r, k, p, _ in merge_runs(list(pdf["run"])):
-        if p < KEY + GRAM:
+        if p < GRAM:
             settle()
         names.append((int(grams[r][k]), int(arounds[r][k])))
-        shared.append(p - KEY)
+        shared.append(p)
         before.append(lefts[r][ends[r][k] : ends[r][k + 1]])
     settle()
     return pd.DataFrame(rows, columns=["gram", "around", "lo", "hi"])
 
 
+WINDOWS = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("delta", pa.int32()), ("window", pa.int64())])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of each class."""
+    for b in batches:
+        for gram, around, _, suffix, left in _contexts(b):
+            h = Hashes(left[::-1] + suffix)
+            delta = np.arange(max(0, LENGTH - len(suffix)), len(left) + 1)
+            start = len(left) - delta
+            m = len(delta)
+            yield batch(WINDOWS, {"gram": np.full(m, gram), "around": np.full(m, around), "delta": delta, "window": h.of(start, start + LENGTH).view(np.int64)})
+
+
+def _of_large(rows: DataFrame) -> DataFrame:
+    """The same for grams with very many classes: equal windows at equal distance from the anchor."""
+    windows = stage(rows.mapInArrow(_windows, "gram long, around long, delta int, window long"), "repeat-windows")
+    keys = ["gram", "delta", "window"]
+    twice = windows.groupBy(*keys).count().filter("count > 1").drop("count")
+    return windows.join(twice.hint("merge"), keys, "left_semi").groupBy("gram", "around").agg(F.max("delta").alias("lo"), (F.lit(LENGTH) - F.min("delta")).cast("int").alias("hi"))
+
+
 # --- the whole ---------------------------------------------------------------------
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
@@ -383,26 +381,20 @@ def repeated_spans(docs: DataFrame, large: int = LARGE) -> DataFrame:
     twice = stage(found.groupBy("gram").count().filter("count > 1").select("gram"), "repeat-grams")
     near = stage(found.filter(marker(twice, ["gram"])("gram")).join(twice.hint("merge"), "gram", "left_semi"), "repeat-candidates")
     classes = stage(near.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at", "left", "right")).alias("rep")), "repeat-classes")
-    columns = [x.split(" ")[0] for x in OPEN.split(", ")]
-
-    def groups(rows: DataFrame) -> DataFrame:
-        """Rows of the groups that hold more than one class and one that occurs once, with their number."""
-        kinds = stage(rows.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("key", "kinds"), "repeat-kinds")
-        return stage(rows.join(kinds.hint("merge"), "key").select(*columns, "kinds"), "repeat-open")
+    kinds = stage(classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("gram", "kinds"), "repeat-kinds")
+    open_ = stage(classes.join(kinds.hint("merge"), "gram").select("gram", "around", "n", "kinds", "rep.*"), "repeat-open")
 
     def with_text(rows: DataFrame) -> DataFrame:
-        own = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*columns)).alias("classes"))
+        own = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "around", "n", "at", "left", "right")).alias("classes"))
         texts = docs.filter(marker(rows, ["doc_id", "th"])("doc_id", "th")).dropDuplicates(["doc_id", "th"])
         return texts.join(own.hint("shuffle_hash"), ["doc_id", "th"]).select("text", "classes")
 
     buckets = shuffle_width(spark) * 2
-    merge = lambda rows: with_text(rows).mapInArrow(_make_runs(buckets), RUN).groupBy("bucket").applyInPandas(_merge_bucket, FOUND)
-    open_ = groups(classes.select(F.col("gram").alias("key"), "gram", "around", "rep.*", F.lit(0).alias("lo"), F.lit(LEFT).alias("hi"), "n"))
-    hits = merge(open_.filter(F.col("kinds") <= large))
-    while not (many := open_.filter((F.col("kinds") > large) & (F.col("lo") < F.col("hi")))).isEmpty():
-        open_ = groups(stage(with_text(many).mapInArrow(_halves, OPEN), "repeat-halves"))
-        hits = hits.unionByName(merge(open_.filter(F.col("kinds") <= large)))
-        hits = hits.unionByName(open_.filter((F.col("kinds") > large) & (F.col("lo") == F.col("hi"))).select("gram", "around", "lo", (F.lit(LENGTH) - F.col("lo")).alias("hi")))
+    runs = with_text(open_.filter(F.col("kinds") <= large)).mapInArrow(_make_runs(buckets), RUN)
+    hits = runs.groupBy("bucket").applyInPandas(_merge_bucket, FOUND)
+    many = open_.filter(F.col("kinds") > large)
+    if not many.isEmpty():
+        hits = hits.unionByName(_of_large(with_text(many)))
     whole = classes.filter("n > 1").select("gram", "around", F.col("rep.left").alias("lo"), F.col("rep.right").alias("hi"))
     some = hits.join(whole.hint("merge"), ["gram", "around"], "left_anti")
     spans = stage(whole.unionByName(some), "repeat-hits")
