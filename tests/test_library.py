@@ -188,3 +188,83 @@ def test_greedy_match_passes_each_id_once():
     members = pd.DataFrame({"side": [0] * n + [1] * n, "cls": 1, "id": [*range(n), *range(n)]})
     got = match._greedy(pd.DataFrame({"app_id": ["a"], "cls": [1], "cls2": [1], "score": [0.9]}), members)
     assert len(got) == n and (got["ref_id"] == got["cand_id"]).all()
+
+
+def test_walks_longer_than_eight_hops_and_their_chain(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(21)], "src string, dst string")
+    walks = graph.bfs(edges, spark.createDataFrame([("n0",)], "node string"))
+    assert sorted((r.hop, r.node) for r in walks.collect()) == [(k, f"n{k}") for k in range(1, 22)]
+    assert sorted((r.step, r.node) for r in graph.longest_chain(walks).collect()) == [(k, f"n{k}") for k in range(22)]
+    assert graph.longest_chain(walks.filter("false")).count() == 0
+    assert graph.bfs(edges, spark.createDataFrame([("x",)], "node string")).count() == 0
+
+
+def test_nearest_vectors_in_blocks_equal_a_full_sort(spark):
+    r = random.Random(4)
+    rows = [(k, [r.uniform(-1, 1) for _ in range(8)]) for k in range(90)] + [(90, [0.0] * 8), (91, None), (92, [1.0] * 8), (93, [1.0] * 8), ((1 << 60) + 1, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {(x.query_id, x.rank): x.vec_id for x in match.cosine_topk(df, df.filter("vec_id % 10 = 2 OR vec_id = 90"), 4, block=3).collect()}
+
+    def cosine(a, b):
+        n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / n, 9) + 0.0 if n else 0.0
+
+    for q, e in rows:
+        if e is not None and (q % 10 == 2 or q == 90):
+            best = sorted((-cosine(e, v), i) for i, v in rows if v is not None and i != q)[:4]
+            assert [got[q, k + 1] for k in range(4)] == [i for _, i in best]
+
+
+def test_units_near_names_equal_a_plain_search(spark):
+    units = ["ab", "Xy.Z", "long name", "q", ""]
+    names = [("dir/AB.feature", "has xy.z"), ("none", "a LONG NAME here"), ("qq", "n"), (None, "ab"), ("x", None)]
+    got = sorted(((r.unit, r.name) for r in match.near_unit(spark.createDataFrame([(u,) for u in units], "unit string"), spark.createDataFrame(names, "feature_file string, name string")).collect()), key=str)
+    assert got == sorted(((u, n) for u in units for f, n in names if u.lower() in (f or "\0").lower() or u.lower() in (n or "\0").lower()), key=str)
+
+
+def test_spans_end_with_the_first_later_event(spark):
+    at = lambda s: f"2024-01-01 00:00:{s:02d}"
+    rows = [(1, 7, "signup", at(1)), (2, 7, "purchase", at(1)), (3, 7, "error", at(3)), (4, 7, "purchase", at(3)), (5, 7, "signup", at(5)), (6, 8, "signup", at(2)), (9, 8, "purchase", at(4))]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    from factloom.streaming.spans import close_spans
+
+    got = {r.span_id: (r.end_id, r.duration_ms, r.status, r.parent_id) for r in close_spans(events).collect()}
+    assert got == {1: (3, 2000, "fail", None), 5: (None, None, "unclosed", 1), 6: (9, 2000, "ok", None)}
+
+
+def test_documents_that_declare_nothing_give_nothing(spark):
+    from factloom.operators import declared
+
+    files = spark.createDataFrame([("a", "{broken"), ("b", None), ("c", "just text"), ("d", "functions: {f: {events: [{s3: x}]}}"), ("e", "actions: [{name: no action}, text]"), ("f", "{StartAt: A}")], "file string, text string")
+    docs = declared.as_json(files)
+    assert {r.file: r.json is not None for r in docs.collect()} == {"a": False, "b": False, "c": False, "d": True, "e": True, "f": True}
+    assert declared.manifest_facts(docs).count() == declared.state_machine_facts(docs).count() == declared.workflow_steps(docs).count() == 0
+    assert declared.fixture_paths(files).count() == declared.coverage_rows(files).count() == 0
+
+
+def test_nested_states_are_followed_to_the_end(spark):
+    from factloom.operators import declared
+
+    body = {"StartAt": "M", "States": {"M": {"Type": "Map", "ItemProcessor": {"StartAt": "P", "States": {"P": {"Branches": [{"StartAt": "Q", "States": {"Q": {"Resource": "${fn}", "Next": "End"}}}]}}}}}}
+    facts = declared.state_machine_facts(declared.as_json(spark.createDataFrame([("x/flow.asl.json", json.dumps(body))], "file string, text string")))
+    got = {(r.subject, r.predicate, r.object, r.resolved) for r in facts.collect()}
+    s = "State:flow.asl::"
+    assert got == {("StateMachine:flow.asl", "FEEDS", s + "M", False), (s + "M", "FEEDS", s + "P", False), (s + "P", "FEEDS", s + "Q", False), (s + "Q", "FEEDS", s + "End", False), (s + "Q", "INVOKES_LAMBDA", "LambdaFunction:${fn}", False)}
+
+
+def test_tags_belong_to_the_first_scenario_after_a_heading(spark):
+    file = "Feature: f\n@a @b\n@c-d\nScenario: one\n  Given x\n@late\nScenario: two\n  Then y\nBackground:\n  Given base\n@e\nsome prose\n@g\nScenario Outline:\n  * z\n Examples:\n | h | i |\n | 1 | 2 |\n\n | 3 | 4 |\n"
+    scenarios, steps = text.parse_features(spark.createDataFrame([("f", file)], "file string, text string"))
+    got = {r.scenario: (r.tags, r.examples, r.outline) for r in scenarios.collect()}
+    assert got == {"one": (["a", "c-d"], [], False), "two": ([], [], False), "Unnamed scenario": (["g"], [["h", "i"], ["1", "2"], ["3", "4"]], True)}
+    assert sorted((r.keyword, r.text, r.background) for r in steps.collect()) == [("Given", "base", True), ("Given", "x", False), ("Step", "z", False), ("Then", "y", False)]
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from factloom.sources.staged import drop_staged, shared_dir, stage
+
+    df = stage(spark.range(3), "small")
+    assert df.count() == 3 and spark.sparkContext.applicationId in shared_dir(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    drop_staged(spark)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
