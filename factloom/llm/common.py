@@ -125,3 +125,18 @@ def marks(wanted: DataFrame, keys: list[str]):
     words = np.zeros(1 << (bits - 5), np.uint32)
     words[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
     return wanted.sparkSession.sparkContext.broadcast(words), bits
+
+
+def ranks(df: DataFrame, *order: Column) -> tuple[DataFrame, int]:
+    """``df`` with each row's place (from 1) as ``rank`` in the whole order, and the number of rows.
+
+    Rows are sorted by ranges, and one number a range reaches the driver.  ``df`` should be a staged table.
+    """
+    spark = df.sparkSession
+    ordered = stage(df.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranks")
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = sorted(tuple(r) for r in ordered.groupBy(part).agg(F.count("*")).collect())
+    before = np.cumsum([0] + [n for _, n in sizes]).tolist()
+    starts = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "_part long, _before long")  # one row a range
+    place = (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).alias("rank")
+    return ordered.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*df.columns, place), before[-1]
