@@ -170,8 +170,8 @@ def section_tier(c: str | Column, tiers: Sequence[tuple[str, str]] = vocab.TIERS
 
 
 def handler_to_function(c: str | Column) -> Column:
-    """``pkg/mod.py.fn`` -> ``pkg.mod``: the module before the last dot, in dots, without ``.py``."""
-    module = F.regexp_replace(_c(c), r"\.[^.]*$", "")
+    """``pkg/mod.py.fn`` -> ``pkg.mod``: the module before the last dot, in dots, without ``.py``; NULL without a dot."""
+    module = F.when(F.contains(_c(c), F.lit(".")), F.regexp_replace(_c(c), r"\.[^.]*$", ""))
     return F.regexp_replace(F.regexp_replace(module, r"[/\\]", "."), r"\.py$", "")
 
 
@@ -214,8 +214,8 @@ def grounding_descriptor(facts: str | Column, has_source: str | Column, unresolv
 
 
 def backbone(c: str | Column) -> Column:
-    """Text after ``name=`` up to the next colon."""
-    return F.regexp_extract(_c(c), "name=([^:]*)", 1)
+    """Text after ``name=`` up to the next colon, trimmed; NULL where there is none."""
+    return F.nullif(F.trim(F.regexp_extract(_c(c), "name=([^:]*)", 1)), F.lit(""))
 
 
 def bucket_of(c: str | Column) -> Column:

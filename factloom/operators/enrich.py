@@ -9,27 +9,49 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import scalars as S
-from .graph import latest
+from ..sources.staged import sized
 
 
-def infer_components(entities: DataFrame) -> DataFrame:
-    """(app_id, component, languages, prefix, entity_count) by second path segment; ``_unassigned`` for bare files."""
-    part = F.split("file_path", "/")
-    name = F.when(F.size(part) > 2, part[1]).otherwise("_unassigned")
-    rows = entities.withColumn("component", name).withColumn("prefix", F.when(F.size(part) > 2, F.concat_ws("/", part[0], part[1])).otherwise(""))
-    return rows.groupBy("app_id", "component").agg(F.sort_array(F.collect_set("language")).alias("languages"), F.min_by("prefix", "id").alias("prefix"), F.count("*").alias("entity_count"))
+def infer_components(entities: DataFrame, apps: DataFrame | None = None) -> DataFrame:
+    """(app_id, component, languages, prefix, entity_count) by second path segment.
+
+    Bare files and entities without one are ``_unassigned``, which has no prefix.  An
+    application of ``apps(app_id)`` without entities has one component, ``default``.
+    """
+    part = F.split(F.coalesce("file_path", F.lit("")), "/")
+    deep = F.size(part) >= 2
+    rows = entities.withColumn("component", F.when(deep, F.get(part, F.lit(1))).otherwise("_unassigned")).withColumn("prefix", F.when(deep, F.concat_ws("/", F.get(part, F.lit(0)), F.get(part, F.lit(1)))).otherwise(""))
+    out = rows.groupBy("app_id", "component").agg(F.sort_array(F.collect_set(F.nullif("language", F.lit("")))).alias("languages"), F.min_by("prefix", "id").alias("prefix"), F.count("*").alias("entity_count"))
+    if apps is None:
+        return out
+    bare = apps.select("app_id").distinct().join(out.select("app_id"), "app_id", "left_anti")
+    return out.unionByName(bare.select("app_id", F.lit("default").alias("component"), F.array().cast("array<string>").alias("languages"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias("entity_count")))
 
 
 def assign_components(entities: DataFrame, components: DataFrame) -> DataFrame:
-    """First component by name whose prefix begins the path; a prefix has no closing slash, so ``src/app`` also takes ``src/app2``.
+    """The component of each entity, by its path; components go by name, those without a prefix last.
+
+    The first whose prefix begins the path (a prefix has no closing slash, so ``src/app``
+    also takes ``src/app2``), else the one named like the second segment, else the last.
+    Without a path: the first named ``_unassigned`` or like the application, else the last.
 
     Prefixes are looked up by equality: each path offers its own beginnings of the
-    lengths that occur, so nothing is compared with everything.
+    lengths that its application has, so nothing is compared with everything, and each
+    path is looked up once, however many entities it holds.
     """
-    lengths = components.groupBy("app_id").agg(F.collect_set(F.length("prefix")).alias("ns"))
-    begins = entities.join(lengths.hint("shuffle_hash"), "app_id").withColumn("prefix", F.explode(F.transform("ns", lambda n: F.left(F.col("file_path"), n))))
-    hit = begins.select("app_id", "id", "prefix").join(components.select("app_id", "prefix", "component").hint("shuffle_hash"), ["app_id", "prefix"]).groupBy("app_id", "id").agg(F.min("component").alias("component"))
-    return entities.join(hit.hint("merge"), ["app_id", "id"], "left").withColumn("component", F.coalesce("component", F.lit("_unassigned")))
+    place = F.struct(F.col("prefix") == "", "component")
+    own = F.min_by(F.when(F.col("component").isin("_unassigned") | (F.col("component") == F.col("app_id")), F.col("component")), F.when(F.col("component").isin("_unassigned") | (F.col("component") == F.col("app_id")), place))
+    apps = components.groupBy("app_id").agg(F.array_remove(F.collect_set(F.length("prefix")), 0).alias("ns"), F.max_by("component", place).alias("last"), own.alias("home"))
+    path = F.coalesce("file_path", F.lit(""))
+    paths = entities.select("app_id", path.alias("path")).distinct().join(sized(apps, "component-apps"), "app_id")
+    begins = paths.select("app_id", "path", F.explode(F.transform("ns", lambda n: F.left(F.col("path"), n))).alias("prefix"))
+    by_prefix = begins.join(sized(components.filter("prefix <> ''").groupBy("app_id", "prefix").agg(F.min("component").alias("component")), "component-prefixes"), ["app_id", "prefix"]).groupBy("app_id", "path").agg(F.min("component").alias("hit"))
+    second = F.get(F.split("path", "/"), F.lit(1))
+    named = sized(components.select("app_id", F.col("component").alias("second")).distinct(), "component-names")
+    found = paths.withColumn("second", second).join(named.withColumn("named", F.col("second")), ["app_id", "second"], "left").join(by_prefix.hint("merge"), ["app_id", "path"], "left")
+    found = found.select("app_id", F.col("path").alias("_path"), F.when(F.col("path") == "", F.coalesce("home", "last")).otherwise(F.coalesce("hit", "named", "last")).alias("component"))
+    kept = [c for c in entities.columns if c != "component"]
+    return entities.select(*kept, path.alias("_path")).join(found.hint("merge"), ["app_id", "_path"], "left").select(*kept, F.coalesce("component", F.lit("_unassigned")).alias("component"))
 
 
 def bucket_edges(facts: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -114,16 +136,38 @@ def enrich_nodes(nodes: DataFrame, roster: DataFrame) -> DataFrame:
     return nodes.join(roster, "id", "left").select(nodes["id"], F.coalesce("tier", F.lit("L1")).alias("tier"), F.coalesce("kind", F.lit("core")).alias("kind"))
 
 
-def resolve_refs(config_rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """``refs(ref)`` to literals of ``config_rows(kind, path, value, is_literal)``.
+#: Attributes that stand for the name of a resource of the type (the provider's published schema), and the argument that holds it.
+IDENTITY = {"aws_lambda_function": (("arn", "id", "function_name", "qualified_arn", "invoke_arn"), "function_name"), "aws_sfn_state_machine": (("arn", "id", "name"), "name")}
 
-    Values files beat variable defaults; ``local.x`` and ``type.label.attr`` look their
-    path up, with function and machine read as function_name and name; else NULL.
+
+def resolve_refs(config_rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref, value) of ``refs(ref)`` from the leaves of ``config_rows(ord, kind, path array, value, is_literal)``.
+
+    ``var.a["b"].c`` chooses its root once: the values file's ``a`` if there is one, be it a
+    literal or not, else the variable's literal default; from there each hop must be there.
+    ``local.a`` and ``type.label.attribute`` have no further hops; ``IDENTITY`` attributes
+    read the argument that names the resource.  What isn't stated as a literal is NULL.
+    Kinds are values, variable, local and resource (path: type, label, attribute); of rows
+    of one root those of the largest ``ord`` count, of variables and locals only literals.
     """
-    known = config_rows.filter("is_literal").withColumn("rank", F.when(F.col("kind") == "values", 1).when(F.col("kind") == "variable", 2).otherwise(3))
-    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("ref", "^(var|local)[.]", ""), "[.]function$", ".function_name"), "[.]machine$", ".name")
-    first = latest(known.select("path", "value", "rank"), ["path"], ["rank", "value"]).select("path", "value")
-    return refs.withColumn("path", path).join(first, "path", "left").select("ref", "value")
+    root = F.when(F.col("kind") == "resource", F.slice("path", 1, 2)).otherwise(F.slice("path", 1, 1))
+    rows = config_rows.filter(~F.col("kind").isin("variable", "local") | F.col("is_literal")).withColumn("root", root)
+    last = rows.groupBy("kind", "root").agg(F.max("ord").alias("ord"))
+    leaves = rows.join(last.hint("merge"), ["kind", "root", "ord"], "left_semi").filter("is_literal").groupBy("kind", "path").agg(F.min("value").alias("value"))
+    given = last.filter("kind = 'values'").select("root", F.lit(True).alias("given"))
+    parts = F.transform(F.regexp_extract_all("ref", F.lit(r'\["[^"]*"\]|[^.\[\]]+'), F.lit(0)), lambda x: F.regexp_replace(x, r'^\["|"\]$', ""))
+    asked = refs.select("ref").distinct().withColumn("p", parts)
+    first, n = F.get("p", F.lit(0)), F.size("p")
+    attr, rtype = F.get("p", F.lit(2)), first
+    for kind, (attrs, holder) in IDENTITY.items():
+        attr = F.when((rtype == kind) & F.get("p", F.lit(2)).isin(*attrs), holder).otherwise(attr)
+    rest = F.slice("p", F.lit(2), F.greatest(n - 1, F.lit(0)))
+    asked = asked.withColumn("root", F.when((first == "var") & (n >= 2), F.slice("p", 2, 1)))
+    asked = asked.join(given.hint("merge"), "root", "left")
+    kind = F.when(F.col("root").isNotNull(), F.when(F.col("given"), "values").otherwise("variable")).when((first == "local") & (n == 2), "local").when(n == 3, "resource")
+    asked = asked.select("ref", kind.alias("kind"), F.when(kind == "resource", F.array(first, F.get("p", F.lit(1)), attr)).otherwise(rest).alias("path"))
+    found = asked.join(leaves.hint("merge"), ["kind", "path"]).select("ref", "value")
+    return refs.join(found.hint("merge"), "ref", "left").select("ref", "value")
 
 
 def merge_declarations(declarations: DataFrame) -> DataFrame:
@@ -155,7 +199,7 @@ def verify_facts(claims: DataFrame, lines: DataFrame, window: int = 3) -> DataFr
 
 
 def check_facts(facts: DataFrame, lines: DataFrame, around: int = 3, types: Sequence[str] = vocab.TYPES) -> DataFrame:
-    """(id, verified) of ``facts(id, subject, predicate, object, file, line)`` against ``lines(file, pos, text)``, ``pos`` from 0.
+    """(id, verified, reason) of ``facts(id, subject, predicate, object, file, line)`` against ``lines(file, pos, text)``, ``pos`` from 0.
 
     What a predicate calls for must be in the lines up to ``around`` before and after the
     fact's line (the first without one).  False if the file isn't there; NULL without a file,
@@ -187,17 +231,30 @@ def check_facts(facts: DataFrame, lines: DataFrame, around: int = 3, types: Sequ
         .when(p == "FEEDS", has(last(F.col("subject"), "::"), last(obj, "::")))
         .otherwise(F.when(token != "", F.contains(win, token)))
     )
-    return rows.select("id", F.when(F.col("file").isNotNull(), F.when(F.col("there").isNull(), False).otherwise(rule)).alias("verified"))
+    # What was looked for, by predicate.
+    sought = (
+        F.when(p == "EXPOSES_ENDPOINT", F.when(F.contains(win, path), "endpoint path present").otherwise("endpoint (blueprint suffix)"))
+        .when(p == "CALLS", "callee name present")
+        .when(p == "DEFINES", "definition present")
+        .when(p.isin("QUERIES_DATABASE", "WRITES_DATABASE"), "table/sql/ORM present")
+        .when(p.isin("READS_FROM_S3", "WRITES_TO_S3"), "s3 op present")
+        .when(p == "READS_ENV_VAR", "env read present")
+        .when(p == "INVOKES_LAMBDA", "lambda invoke present")
+        .when(p == "FEEDS", "lineage endpoint present")
+        .otherwise("generic token present")
+    )
+    reason = F.when(F.col("file").isNull(), "no file:line on fact").when(F.col("there").isNull(), F.concat(F.lit("file not found: "), F.col("file").cast("string"))).otherwise(sought)
+    return rows.select("id", F.when(F.col("file").isNotNull(), F.when(F.col("there").isNull(), False).otherwise(rule)).alias("verified"), reason.alias("reason"))
 
 
 def grade(verified: DataFrame) -> DataFrame:
-    """Kept, rejected, uncheckable and the precision in percent."""
+    """Kept, rejected, uncheckable and the precision in percent to one place, 0 if nothing could be checked."""
     kept, no = F.count_if("verified"), F.count_if(~F.col("verified"))
-    return verified.agg(kept.alias("kept"), no.alias("rejected"), F.count_if(F.col("verified").isNull()).alias("uncheckable"), F.when(kept + no > 0, 100.0 * kept / (kept + no)).alias("precision"))
+    return verified.agg(kept.alias("kept"), no.alias("rejected"), F.count_if(F.col("verified").isNull()).alias("uncheckable"), F.when(kept + no > 0, F.round(100.0 * kept / (kept + no), 1)).otherwise(0.0).alias("precision"))
 
 
 def rejects(verified: DataFrame, n: int = 10) -> DataFrame:
-    """The first ``n`` rejected claims by id."""
+    """The first ``n`` rejected claims by id, with all their columns, such as the ``reason`` that ``check_facts`` gives."""
     return verified.filter(~F.col("verified")).orderBy("id").limit(n)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from .text import strip
 
 
 def gate_cascade(outcomes: DataFrame, order: Sequence[int] = vocab.GATE_ORDER) -> DataFrame:
@@ -58,10 +59,31 @@ def duplicate_steps(defs: DataFrame) -> DataFrame:
     return defs.join(many, ["type", "pattern"]).select("type", "pattern", "site", (F.col("n") - 1).alias("others"))
 
 
-def compliance(steps: DataFrame) -> DataFrame:
-    """By file: scenarios, those with no error (a blank name, no Given, When or Then, an empty step), percent."""
-    per = steps.groupBy("feature_file", "name").agg((F.bool_or(F.col("keyword") == "Given") & F.bool_or(F.col("keyword") == "When") & F.bool_or(F.col("keyword") == "Then") & ~F.bool_or(F.trim("text") == "")).alias("ok")).withColumn("ok", F.col("ok") & (F.trim("name") != ""))
-    return per.groupBy("feature_file").agg(F.count("*").alias("scenarios"), F.count_if("ok").alias("ok")).withColumn("pct", 100.0 * F.col("ok") / F.col("scenarios"))
+def compliance_findings(steps: DataFrame, scenario: str = "at") -> DataFrame:
+    """(feature_file, scenario, name, rule, severity) of ``steps(feature_file, scenario, name, pos, keyword, text)``.
+
+    Errors: a blank name, no Given, When or Then, an empty step.  A warning: a step other
+    than And or But that belongs before the latest Given, When or Then.
+    """
+    key = ["feature_file", scenario]
+    rank = lambda c: F.when(c == "Given", 0).when(c == "When", 1).when(c == "Then", 2).when(c.isin("And", "But"), 3).otherwise(1)
+    word, before = F.col("keyword"), Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(word.isin("Given", "When", "Then"), rank(word)), ignorenulls=True).over(before)
+    rows = steps.withColumn("late", F.coalesce(~word.isin("And", "But") & (rank(word) < last), F.lit(False)))
+    has = lambda w: F.bool_or(word == w)
+    per = rows.groupBy(*key).agg(F.first("name").alias("name"), *[has(w).alias(w) for w in ("Given", "When", "Then")], F.count_if(F.trim("text") == "").alias("empty"), F.bool_or("late").alias("late"))
+    found = lambda broken, rule, severity="ERROR": F.when(broken, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity")))
+    one = F.array_compact(F.array(found(F.trim("name") == "", "scenario-name-required"), *[found(~F.col(w), f"{w.lower()}-required") for w in ("Given", "When", "Then")], found(F.col("late"), "keyword-order", "WARNING")))
+    empty = F.array_repeat(F.struct(F.lit("empty-step").alias("rule"), F.lit("ERROR").alias("severity")), F.col("empty").cast("int"))
+    return per.select(*key, "name", F.explode(F.concat(one, empty)).alias("f")).select(*key, "name", "f.rule", "f.severity")
+
+
+def compliance(steps: DataFrame, scenario: str = "at") -> DataFrame:
+    """By file: scenarios, those that pass, percent.  Names with an error fail once, however many scenarios share them."""
+    count = steps.groupBy("feature_file").agg(F.count_distinct(scenario).alias("scenarios"))
+    failing = compliance_findings(steps, scenario).filter("severity = 'ERROR'").groupBy("feature_file").agg(F.count_distinct("name").alias("failing"))
+    ok = F.col("scenarios") - F.coalesce("failing", F.lit(0).cast("long"))
+    return count.join(failing.hint("merge"), "feature_file", "left").select("feature_file", "scenarios", ok.alias("ok")).withColumn("pct", F.greatest(F.lit(0.0), 100.0 * F.col("ok") / F.col("scenarios")))
 
 
 def action_coverage(ref: DataFrame, matched: DataFrame) -> DataFrame:
@@ -105,16 +127,28 @@ def overall(metrics: DataFrame, weights: dict[str, float] | None = None) -> Data
     return metrics.withColumn("overall", total)
 
 
-def integrity(steps: DataFrame, outlines: DataFrame, sections: DataFrame, items: DataFrame, reported: dict[str, int] | None = None) -> DataFrame:
-    """Files, scenarios, steps, bytes of text, outlines, requirement sections and items of the input, one row.
+def integrity(steps: DataFrame, outlines: DataFrame, docs: DataFrame, sections: DataFrame, items: DataFrame, reported: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What went in, by suite: files, scenarios, steps, outline scenarios; and once for all suites the requirement
+    documents, Markdown ones, their bytes, sections and items.
 
-    ``notes`` names each of ``reported`` counts that differs from what is there.
+    ``steps(suite, feature_file, at, text)`` and ``outlines(suite)`` have a row a step and an
+    outline scenario; ``docs(file, text)``, ``sections(file, body)``, ``items`` describe the
+    requirements.  ``notes`` names each of ``reported`` counts of requirements that differs
+    from what is there.  The second table has a ``note`` a document whose raw text isn't
+    part of its sections.
     """
-    one = steps.agg(F.count_distinct("feature_file").alias("files"), F.count_distinct(F.struct("feature_file", "name")).alias("scenarios"), F.count("*").alias("steps"), F.sum(F.octet_length("text")).alias("bytes"))
-    for name, df in (("outlines", outlines), ("sections", sections), ("items", items)):
-        one = one.crossJoin(df.agg(F.count("*").alias(name)))  # one row each
-    notes = [F.when(F.col(k) != n, F.concat(F.lit(f"{k}: "), F.col(k).cast("string"), F.lit(f" parsed, {n} reported"))) for k, n in (reported or {}).items()]
-    return one.withColumn("notes", F.array_sort(F.array_compact(F.array(*notes).cast("array<string>"))))
+    suites = steps.groupBy("suite").agg(F.count_distinct("feature_file").alias("files"), F.count_distinct(F.struct("feature_file", "at")).alias("scenarios"), F.count("*").alias("steps"))
+    suites = suites.join(outlines.groupBy("suite").agg(F.count("*").alias("outlines")).hint("merge"), "suite", "left").withColumn("outlines", F.coalesce("outlines", F.lit(0).cast("long")))
+    joined = sections.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]), "\n").alias("joined"), F.count("*").alias("sections"))
+    raw = strip("text")
+    beside = (raw != "") & (strip("joined") != "") & ~F.contains("joined", raw)
+    d = docs.join(joined.hint("merge"), "file", "left")
+    one = d.agg(F.count("*").alias("requirement_files"), F.count_if(F.endswith(F.lower(F.col("file").cast("string")), F.lit(".md"))).alias("requirement_md_files"), F.sum(F.octet_length("text")).cast("long").alias("requirement_bytes"), F.sum(F.coalesce("sections", F.lit(0))).cast("long").alias("requirement_sections"))
+    one = one.crossJoin(items.agg(F.count("*").alias("requirement_items")))  # one row each
+    told = [F.when(F.col(k) != n, F.concat(F.lit(f"{k}: "), F.col(k).cast("string"), F.lit(f" parsed, {n} reported"))) for k, n in (reported or {}).items()]
+    one = one.withColumn("notes", F.array_compact(F.array(*told).cast("array<string>")))
+    files = d.filter(beside).select(F.concat(F.col("file").cast("string"), F.lit(": raw_text preserved alongside sections.")).alias("note"))
+    return suites.crossJoin(one), files  # one row
 
 
 def requirement_paths(items: DataFrame, matched_ids: DataFrame) -> DataFrame:
@@ -123,45 +157,69 @@ def requirement_paths(items: DataFrame, matched_ids: DataFrame) -> DataFrame:
 
 
 def unit_traceability(items: DataFrame, matches: DataFrame, nearby: DataFrame) -> DataFrame:
-    """By unit: criteria, covered ones, their percent, sorted generated names, and the same counts of ``nearby(unit, manual, covered)`` manual scenarios."""
+    """By unit: criteria, covered ones, their percent, sorted generated names, and the same counts of ``nearby(unit, manual, covered)`` manual scenarios; none = 100."""
     j = items.join(matches.select("id", "generated"), "id", "left")
-    out = j.groupBy("unit").agg(F.count_distinct("id").alias("criteria"), F.count_distinct(F.when(F.col("generated").isNotNull(), F.col("id"))).alias("covered"), F.sort_array(F.collect_set("generated")).alias("generated")).withColumn("pct", 100.0 * F.col("covered") / F.col("criteria"))
+    out = j.groupBy("unit").agg(F.count_distinct("id").alias("criteria"), F.count_distinct(F.when(F.col("generated").isNotNull(), F.col("id"))).alias("covered"), F.sort_array(F.collect_set("generated")).alias("generated")).withColumn("pct", F.when(F.col("criteria") > 0, 100.0 * F.col("covered") / F.col("criteria")).otherwise(100.0))
     near = nearby.groupBy("unit").agg(F.count_distinct("manual").alias("nearby"), F.count_distinct(F.when(F.col("covered"), F.col("manual"))).alias("nearby_covered"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     out = out.join(near.hint("merge"), "unit", "left").select(*out.columns, zero("nearby"), zero("nearby_covered"))
-    return out.withColumn("nearby_pct", F.when(F.col("nearby") > 0, 100.0 * F.col("nearby_covered") / F.col("nearby")).otherwise(0.0))
+    return out.withColumn("nearby_pct", F.when(F.col("nearby") > 0, 100.0 * F.col("nearby_covered") / F.col("nearby")).otherwise(100.0))
+
+
+STANDARDS = ("required_tags", "forbidden_tags", "scenario_name_must_include", "max_scenarios_per_feature", "require_feature_description", "severity")
 
 
-STANDARDS = ("max_scenarios", "name_marker", "required_keyword", "required_tags", "forbidden_tags", "require_description")
+def load_standards(config: dict) -> dict:
+    """The checked config; unknown keys and wrong types are errors, so that a typing slip can't switch a rule off."""
+    if not isinstance(config, dict) or set(config) - set(STANDARDS):
+        raise ValueError(f"not a config of {', '.join(STANDARDS)}: {config}")
+    for key in STANDARDS[:3]:
+        if not (isinstance(config.get(key, []), list) and all(isinstance(x, str) and x.strip() for x in config.get(key, []))):
+            raise ValueError(f"{key} is a list of texts that aren't blank")
+    limit = config.get("max_scenarios_per_feature", 1)
+    if not isinstance(limit, int) or isinstance(limit, bool) or limit < 1:
+        raise ValueError("max_scenarios_per_feature is a whole number above 0")
+    if not isinstance(config.get("require_feature_description", True), bool):
+        raise ValueError("require_feature_description is true or false")
+    if config.get("severity", "ERROR") not in ("ERROR", "WARNING"):
+        raise ValueError("severity is ERROR or WARNING")
+    return {k: [x.strip() for x in v] if isinstance(v, list) else v for k, v in config.items()}
 
 
-def check_standards(scenarios: DataFrame, config: dict, features: DataFrame | None = None) -> DataFrame:
-    """(feature_file, name, rule, symbol): what breaks a team rule, ``name`` NULL for a whole file; other keys are an error.
+def check_standards(features: DataFrame, scenarios: DataFrame, config: dict) -> DataFrame:
+    """(feature_file, line, name, rule, severity, symbol): what breaks a team rule; ``name`` is NULL for a whole file.
 
-    ``scenarios(feature_file, name, keywords, tags)`` has a row a scenario; ``features(feature_file, tags,
-    description)`` a row a file, without it a file has no tags and no description.  Tags of the file count for
-    its scenarios.  Without any file there is one row of rule ``nothing_to_check``.
+    ``features(feature_file, line, tags, description)`` has a row a file and
+    ``scenarios(feature_file, line, name, tags)`` a row a scenario, with the tags of its
+    feature (``text.scan_headers`` gives both).  A name must hold one of the markers, as
+    written.  Without any file there is one warning of rule ``nothing-to-check``.
     """
-    if set(config) - set(STANDARDS):
-        raise ValueError(f"unknown rules: {sorted(set(config) - set(STANDARDS))}")
-    none = F.array().cast("array<string>")
+    config = load_standards(config)
+    rules = {k: v for k, v in config.items() if k != "severity"}
+    severity, nothing = config.get("severity", "ERROR"), F.lit(None).cast("string")
     words = lambda key: F.array(*[F.lit(x) for x in config.get(key, [])]).cast("array<string>")
-    if features is None:
-        features = scenarios.select("feature_file").distinct().select("feature_file", none.alias("tags"), F.lit("").alias("description"))
-    f = features.select("feature_file", F.coalesce("tags", none).alias("file_tags"), F.coalesce("description", F.lit("")).alias("description"))
-    n = scenarios.groupBy("feature_file").agg(F.count_distinct("name").alias("n"), F.bool_or(F.array_contains("keywords", config.get("required_keyword", ""))).alias("has"))
-    files = f.join(n.hint("merge"), "feature_file", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "has": F.coalesce("has", F.lit(False))})
-    rule = lambda key, broken, symbol=F.lit(None).cast("string"): F.when(broken, F.struct(F.lit(key).alias("rule"), symbol.alias("symbol"))) if key in config else None
-    of_file = [x for x in (rule("max_scenarios", F.col("n") > config.get("max_scenarios", 0)), rule("required_keyword", ~F.col("has")), rule("require_description", (F.trim("description") == "") & F.lit(bool(config.get("require_description"))))) if x is not None]
-    tagged = lambda c: F.transform(F.array_sort(F.array_intersect(words("forbidden_tags"), c)), lambda t: F.struct(F.lit("forbidden_tags").alias("rule"), t.alias("symbol")))
-    out = files.select("feature_file", F.lit(None).cast("string").alias("name"), F.explode(F.concat(F.array_compact(F.array(*of_file)).cast("array<struct<rule:string,symbol:string>>"), tagged(F.col("file_tags")))).alias("r"))
-    s = scenarios.join(f.hint("merge"), "feature_file", "left").withColumns({"file_tags": F.coalesce("file_tags", none), "own": F.coalesce("tags", none)})
-    missing = F.array_except(words("required_tags"), F.concat("own", "file_tags"))
-    of_row = [x for x in (rule("required_tags", F.size(missing) > 0, F.try_element_at(missing, F.lit(1))), rule("name_marker", ~F.contains(F.lower("name"), F.lit(config.get("name_marker", ""))))) if x is not None]
-    rows = s.select("feature_file", "name", F.explode(F.concat(F.array_compact(F.array(*of_row)).cast("array<struct<rule:string,symbol:string>>"), tagged(F.array_except("own", "file_tags")))).alias("r"))
-    out = out.unionByName(rows).select("feature_file", "name", "r.rule", "r.symbol")
-    empty = f.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(None).cast("string").alias("feature_file"), F.lit(None).cast("string").alias("name"), F.lit("nothing_to_check").alias("rule"), F.lit(None).cast("string").alias("symbol"))
-    return out.unionByName(empty) if config else out.filter("false")
+    kind = "array<struct<rule:string,symbol:string>>"
+    found = lambda broken, rule, symbol=nothing: F.when(broken, F.struct(F.lit(rule).alias("rule"), symbol.alias("symbol")))
+    tagged = lambda c: F.transform(F.array_sort(F.array_intersect(words("forbidden_tags"), c)), lambda t: F.struct(F.lit("forbidden-tag").alias("rule"), t.alias("symbol"))).cast(kind)
+    per = scenarios.groupBy("feature_file").agg(F.count("*").alias("n"))
+    files = features.join(per.hint("merge"), "feature_file", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    limit = config.get("max_scenarios_per_feature")
+    whole = F.array_compact(F.array(found(~F.col("description") & F.lit(bool(config.get("require_feature_description"))), "feature-description"), found(F.col("n") > limit if limit else F.lit(False), "max-scenarios"))).cast(kind)
+    at_least_1 = F.greatest("line", F.lit(1))
+    out = files.select("feature_file", at_least_1.alias("line"), nothing.alias("name"), F.explode(F.concat(whole, tagged(F.col("tags")))).alias("r"))
+    s = scenarios.join(features.select("feature_file", F.col("tags").alias("file_tags")).hint("merge"), "feature_file")
+    missing = F.array_except(words("required_tags"), "tags")
+    markers = config.get("scenario_name_must_include", [])
+    named = F.lit(not markers)
+    for m in markers:
+        named = named | F.contains("name", F.lit(m))
+    own = F.array_compact(F.array(found(F.size(missing) > 0, "required-tag", F.try_element_at(missing, F.lit(1))), found(~named, "scenario-name"))).cast(kind)
+    rows = s.select("feature_file", "line", "name", F.explode(F.concat(own, tagged(F.array_except("tags", "file_tags")))).alias("r"))
+    out = out.unionByName(rows).select("feature_file", "line", "name", "r.rule", F.lit(severity).alias("severity"), "r.symbol")
+    if not rules:
+        return out.filter("false")
+    empty = features.agg(F.count("*").alias("n")).filter("n = 0")
+    return out.unionByName(empty.select(nothing.alias("feature_file"), F.lit(0).alias("line"), nothing.alias("name"), F.lit("nothing-to-check").alias("rule"), F.lit("WARNING").alias("severity"), nothing.alias("symbol")))
 
 
 def spec_checklist(spec: DataFrame) -> DataFrame:

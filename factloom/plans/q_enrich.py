@@ -11,18 +11,37 @@ from ..operators import quality as Q
 from .q_graph import ENTRY, FLOW, INDEG, WALKS, _in
 from .registry import query
 
-COMP = "comp AS (SELECT app_id, component, list_sort(list(DISTINCT language)) AS languages, arg_min(prefix, id) AS prefix, count(*) AS entity_count FROM (SELECT *, split_part(file_path, '/', 2) AS component, split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) AS prefix FROM entities) x GROUP BY app_id, component)"
+# every ninth entity lies in a bare file, every seventh has no file
+_PLACED = "placed AS (SELECT app_id, id, type, name, language, CASE WHEN length(id) % 9 = 0 THEN name || '.py' WHEN length(id) % 7 <> 0 THEN file_path END AS file_path FROM entities)"
+COMP = f"{_PLACED}, comp AS (SELECT app_id, component, coalesce(list_sort(list(DISTINCT language)), []) AS languages, arg_min(prefix, id) AS prefix, count(*) AS entity_count FROM (SELECT *, CASE WHEN contains(file_path, '/') THEN split_part(file_path, '/', 2) ELSE '_unassigned' END AS component, CASE WHEN contains(file_path, '/') THEN split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) ELSE '' END AS prefix FROM placed) x GROUP BY app_id, component)"
 
 
-@query("e01_infer_components", f"WITH {COMP} SELECT * FROM comp")
+def _placed(v):
+    return v("entities").withColumn("file_path", F.expr("CASE WHEN length(id) % 9 = 0 THEN concat(name, '.py') WHEN length(id) % 7 <> 0 THEN file_path END"))
+
+
+@query("e01_infer_components", f"WITH {COMP} SELECT * FROM comp UNION ALL SELECT 'bare', 'default', [], '', 0")
 def e01(v):
-    return N.infer_components(v("entities"))
+    e = _placed(v)
+    return N.infer_components(e, e.select("app_id").unionByName(v("region").selectExpr("CASE WHEN r_regionkey = 0 THEN 'core' ELSE 'bare' END AS app_id")))
+
 
+# components of another layout: a prefix inside names (method, method2), one that only its name finds, and one last of all
+_DECLARED = "declared AS (SELECT 'core' AS app_id, 'core/meth' AS prefix, 'aa' AS component UNION ALL SELECT 'core', 'core/step', 'bb' UNION ALL SELECT 'core', 'elsewhere/x', 'functi' UNION ALL SELECT 'core', 'core/st', 'zz' UNION ALL SELECT 'core', '', '_unassigned' UNION ALL SELECT 'events', 'none/at/all', 'only')"
+_ASSIGN = "SELECT e.app_id, e.id, CASE WHEN coalesce(file_path, '') = '' THEN coalesce((SELECT min(component) FROM {c} c WHERE c.app_id = e.app_id AND component IN ('_unassigned', e.app_id)), l.last) ELSE coalesce((SELECT min(component) FROM {c} c WHERE c.app_id = e.app_id AND prefix <> '' AND starts_with(e.file_path, c.prefix)), (SELECT min(component) FROM {c} c WHERE c.app_id = e.app_id AND component = split_part(e.file_path, '/', 2) AND contains(e.file_path, '/')), l.last) END AS component FROM placed e JOIN (SELECT app_id, arg_max(component, (prefix = '', component)) AS last FROM {c} GROUP BY app_id) l USING (app_id)"
 
-@query("d02_assign_components", f"WITH {COMP} SELECT e.id, coalesce((SELECT min(component) FROM comp c WHERE c.app_id = e.app_id AND starts_with(e.file_path, c.prefix)), '_unassigned') AS component FROM entities e")
+
+@query("d02_assign_components", f"WITH {COMP} {_ASSIGN.format(c='comp')}")
 def d02(v):
-    e = v("entities")
-    return N.assign_components(e, N.infer_components(e)).select("id", "component")
+    e = _placed(v)
+    return N.assign_components(e, N.infer_components(e)).select("app_id", "id", "component")
+
+
+@query("d02_declared_components", f"WITH {COMP}, {_DECLARED} {_ASSIGN.format(c='declared')}")
+def d02b(v):
+    rows = "CASE n_nationkey WHEN 0 THEN array('core', 'core/meth', 'aa') WHEN 1 THEN array('core', 'core/step', 'bb') WHEN 2 THEN array('core', 'elsewhere/x', 'functi') WHEN 3 THEN array('core', 'core/st', 'zz') WHEN 4 THEN array('core', '', '_unassigned') WHEN 5 THEN array('events', 'none/at/all', 'only') END AS c"
+    c = v("nation").selectExpr(rows).filter("c IS NOT NULL").selectExpr("c[0] AS app_id", "c[1] AS prefix", "c[2] AS component")
+    return N.assign_components(_placed(v), c).select("app_id", "id", "component")
 
 
 @query("d03_bucket_edges", "SELECT DISTINCT object AS subject, 'IN_BUCKET' AS predicate, 'S3Object:' || split_part(substring(object, 10), '/', 1) AS object FROM facts WHERE object LIKE 'S3Object:click/%' OR object LIKE 'S3Object:view/%'")
@@ -55,9 +74,9 @@ def d05(v):
     return N.implementation_edges(rows.unionByName(iface))
 
 
-@query("d06_config_sql_facts", "WITH j AS (SELECT DISTINCT 'Function:f' || s_suppkey AS f, p_brand AS k, p_size % 2 = 0 AS w, p_type AS t FROM supplier JOIN part ON p_brand = 'Brand#' || (s_suppkey % 20) WHERE p_partkey % 5 = 0) SELECT DISTINCT f AS subject, CASE WHEN w THEN 'WRITES_DATABASE' ELSE 'QUERIES_DATABASE' END AS predicate, 'Table:' || t AS object FROM j UNION SELECT f, 'READS_FILE', 'conf/' || k FROM j")
+@query("d06_config_sql_facts", "WITH j AS (SELECT DISTINCT 'Function:f' || s_suppkey AS f, p_brand AS k, p_size % 2 = 0 AS w, p_type AS t FROM supplier JOIN part ON p_brand = 'Brand#' || (s_suppkey % 20)) SELECT DISTINCT f AS subject, CASE WHEN w THEN 'WRITES_DATABASE' ELSE 'QUERIES_DATABASE' END AS predicate, 'Table:' || t AS object FROM j UNION SELECT f, 'READS_FILE', 'conf/' || k FROM j")
 def d06(v):
-    c = v("part").filter("p_partkey % 5 = 0").selectExpr("p_brand AS key", "concat('conf/', p_brand) AS file", "p_type AS table", "p_size % 2 = 0 AS is_write")
+    c = v("part").selectExpr("p_brand AS key", "concat('conf/', p_brand) AS file", "p_type AS table", "p_size % 2 = 0 AS is_write")
     return N.config_sql_facts(c, v("supplier").selectExpr("concat('Function:f', s_suppkey) AS function", "concat('Brand#', s_suppkey % 20) AS value"))
 
 
@@ -85,10 +104,20 @@ def d21(v):
 _WORDED = "SELECT doc_id, pos, doc_id * 100000 + pos AS id, regexp_replace({split}, '[^a-z]', ''{all}) AS w FROM doc_lines"
 
 
-@query("d21_check_facts", f"WITH c AS ({_WORDED.format(split="split_part(line, ' ', 2)", all=", 'g'")}), t AS (SELECT c.*, pos % 6 AS kind, pos + 1 + pos % 9 AS line FROM c), x AS (SELECT t.*, coalesce((SELECT string_agg(l.line, chr(10) ORDER BY l.pos) FROM doc_lines l WHERE l.doc_id = t.doc_id AND l.pos BETWEEN t.line - 4 AND t.line + 2), '') AS win FROM t) SELECT id, CASE kind WHEN 0 THEN contains(win, w) WHEN 1 THEN CASE WHEN w <> '' THEN contains(win, w) END WHEN 2 THEN contains(win, w) AND (contains(win, 'environ') OR contains(win, 'getenv')) WHEN 3 THEN contains(win, 'zzzz') OR contains(win, w) WHEN 4 THEN FALSE END AS verified FROM x")
+# every predicate with a rule of its own, one without, a file that isn't there and a fact without a file
+_PREDICATES = ("CALLS", "USES", "READS_ENV_VAR", "FEEDS", "EXPOSES_ENDPOINT", "DEFINES", "QUERIES_DATABASE", "WRITES_TO_S3", "INVOKES_LAMBDA", "GONE", "NONE")
+_RULE = """CASE kind WHEN 0 THEN contains(win, w) WHEN 1 THEN CASE WHEN w <> '' THEN contains(win, w) END WHEN 2 THEN contains(win, w) AND (contains(win, 'environ') OR contains(win, 'getenv')) WHEN 3 THEN contains(win, 'zzzz') OR contains(win, w)
+ WHEN 4 THEN contains(win, '/v1/' || w) OR (contains(win, CASE WHEN length(w) > 2 THEN w ELSE '/v1/' || w END) AND (contains(lower(win), 'route') OR contains(win, '@'))) WHEN 5 THEN contains(win, w)
+ WHEN 6 THEN contains(win, w) OR regexp_matches(win, 'session|\\.query\\(|\\.add\\(|\\.filter|execute|__tablename__') OR regexp_matches(upper(win), 'INSERT|SELECT|UPDATE|DELETE FROM') WHEN 7 THEN regexp_matches(win, 'get_object|put_object|upload|download|s3|S3|boto3') WHEN 8 THEN contains(win, 'invoke') OR contains(win, w) WHEN 9 THEN FALSE END"""
+_REASON = "CASE kind WHEN 0 THEN 'callee name present' WHEN 2 THEN 'env read present' WHEN 3 THEN 'lineage endpoint present' WHEN 4 THEN CASE WHEN contains(win, '/v1/' || w) THEN 'endpoint path present' ELSE 'endpoint (blueprint suffix)' END WHEN 5 THEN 'definition present' WHEN 6 THEN 'table/sql/ORM present' WHEN 7 THEN 's3 op present' WHEN 8 THEN 'lambda invoke present' WHEN 9 THEN 'file not found: -1' WHEN 10 THEN 'no file:line on fact' ELSE 'generic token present' END"
+
+
+@query("d21_check_facts", f"WITH c AS ({_WORDED.format(split="split_part(line, ' ', 2)", all=", 'g'")}), t AS (SELECT c.*, pos % 11 AS kind, pos + 1 + pos % 9 AS line FROM c), x AS (SELECT t.*, coalesce((SELECT string_agg(l.line, chr(10) ORDER BY l.pos) FROM doc_lines l WHERE l.doc_id = t.doc_id AND l.pos BETWEEN t.line - 4 AND t.line + 2), '') AS win FROM t) SELECT id, {_RULE} AS verified, {_REASON} AS reason FROM x")
 def d21b(v):
     rows = v("doc_lines").select("doc_id", "pos", (F.col("doc_id") * 100000 + F.col("pos")).alias("id"), F.regexp_replace(F.split_part("line", F.lit(" "), F.lit(2)), "[^a-z]", "").alias("w"))
-    claims = rows.selectExpr("id", "'x::zzzz' AS subject", "CASE pos % 6 WHEN 0 THEN 'CALLS' WHEN 2 THEN 'READS_ENV_VAR' WHEN 3 THEN 'FEEDS' ELSE 'USES' END AS predicate", "CASE pos % 6 WHEN 0 THEN concat('Function:m.', w, ' (why)') WHEN 1 THEN concat('a::', w) WHEN 2 THEN w ELSE concat('y::', w) END AS object", "CASE pos % 6 WHEN 4 THEN -1 WHEN 5 THEN NULL ELSE doc_id END AS file", "pos + 1 + pos % 9 AS line")
+    predicate = F.element_at(F.array(*[F.lit(p) for p in _PREDICATES]), (F.col("pos") % 11 + 1).cast("int"))
+    obj = "CASE pos % 11 WHEN 0 THEN concat('Function:m.', w, ' (why)') WHEN 1 THEN concat('a::', w) WHEN 2 THEN w WHEN 4 THEN concat('APIEndpoint:GET /v1/', w) WHEN 5 THEN concat('Class:m.', w) WHEN 6 THEN concat('Table:db.${', w, '}') WHEN 7 THEN concat('S3Object:b/', w) WHEN 8 THEN concat('LambdaFunction:', w) ELSE concat('y::', w) END AS object"
+    claims = rows.withColumn("predicate", predicate).selectExpr("id", "'x::zzzz' AS subject", "predicate", obj, "CASE pos % 11 WHEN 9 THEN -1 WHEN 10 THEN NULL ELSE doc_id END AS file", "pos + 1 + pos % 9 AS line")
     return N.check_facts(claims, v("doc_lines").selectExpr("doc_id AS file", "pos", "line AS text"))
 
 
@@ -99,7 +128,7 @@ def _claims(v):
     return e.selectExpr("event_id AS id", "file", "CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id * 7919 % coalesce(n, 1) END AS line", "CASE WHEN event_type = 'x' THEN '' ELSE event_type END AS name")
 
 
-@query("e12_grade", "WITH c AS (SELECT CASE WHEN event_id % 9 = 0 THEN NULL ELSE value > 50 END AS verified FROM events) SELECT count(*) FILTER (verified) AS kept, count(*) FILTER (NOT verified) AS rejected, count(*) FILTER (verified IS NULL) AS uncheckable, 100.0 * count(*) FILTER (verified) / count(*) FILTER (verified IS NOT NULL) AS precision FROM c")
+@query("e12_grade", "WITH c AS (SELECT CASE WHEN event_id % 9 = 0 THEN NULL ELSE value > 50 END AS verified FROM events) SELECT count(*) FILTER (verified) AS kept, count(*) FILTER (NOT verified) AS rejected, count(*) FILTER (verified IS NULL) AS uncheckable, round(100.0 * count(*) FILTER (verified) / count(*) FILTER (verified IS NOT NULL), 1) AS precision FROM c")
 def e12(v):
     return N.grade(v("events").selectExpr("CASE WHEN event_id % 9 = 0 THEN NULL ELSE value > 50 END AS verified"))
 
@@ -148,11 +177,22 @@ def d29(v):
     return Q.check_added(v("part").selectExpr("p_partkey AS id", "concat(CASE WHEN p_partkey % 2 = 0 THEN 'Table:part.' ELSE 'Table:gone.' END, p_partkey) AS start"), v("facts")).select("id", "start")
 
 
-@query("d30_resolve_refs", "SELECT 'var.' || p_brand AS ref, max(CASE WHEN p_size % 2 = 0 THEN 'v' || p_brand ELSE NULL END) AS value FROM part GROUP BY p_brand".replace("max(CASE WHEN p_size % 2 = 0 THEN 'v' || p_brand ELSE NULL END)", "CASE WHEN bool_or(p_size = 1) THEN 'values' WHEN bool_or(p_size = 2) THEN 'default' END"))
+# brands are names: values files hold nested maps for some and something unreadable for others, a later file replaces an earlier one's
+_CONFIG = """config AS (SELECT p_partkey AS ord, CASE WHEN p_size % 4 < 2 THEN 'values' WHEN p_size % 4 = 2 THEN 'variable' ELSE 'local' END AS kind, p_brand AS root, CASE WHEN p_size % 4 = 1 THEN p_type ELSE '' END AS hop, p_name AS value, p_partkey % 3 <> 0 AS is_literal FROM part
+ UNION ALL SELECT s_suppkey, 'resource', 'aws_lambda_function', 's' || s_suppkey, s_name, s_suppkey % 5 <> 0 FROM supplier)"""
+
+
+@query("d30_resolve_refs", f"""WITH {_CONFIG}, kept AS (SELECT * FROM config WHERE kind NOT IN ('variable', 'local') OR is_literal), last AS (SELECT * FROM kept k WHERE kind = 'resource' OR ord = (SELECT max(ord) FROM kept m WHERE m.kind = k.kind AND m.root = k.root)),
+ asked AS (SELECT DISTINCT 'var.' || p_brand AS ref, p_brand AS root, '' AS hop, 'var' AS what FROM part UNION SELECT DISTINCT 'var.' || p_brand || '["' || p_type || '"]', p_brand, p_type, 'var' FROM part UNION SELECT DISTINCT 'local.' || p_brand, p_brand, '', 'local' FROM part UNION SELECT 'aws_lambda_function.s' || s_suppkey || CASE s_suppkey % 3 WHEN 0 THEN '.arn' WHEN 1 THEN '.function_name' ELSE '.memory' END, 'aws_lambda_function', 's' || s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN 'resource' ELSE 'none' END FROM supplier UNION SELECT 'plain' || r_regionkey, '', '', 'none' FROM region),
+ chosen AS (SELECT *, CASE WHEN what <> 'var' THEN what WHEN EXISTS (SELECT 1 FROM last l WHERE l.kind = 'values' AND l.root = a.root) THEN 'values' ELSE 'variable' END AS kind FROM asked a)
+ SELECT ref, (SELECT l.value FROM last l WHERE l.is_literal AND l.kind = c.kind AND l.root = c.root AND l.hop = c.hop) AS value FROM chosen c""")
 def d30(v):
-    p = v("part")
-    rows = p.filter("p_size IN (1, 2, 3)").selectExpr("CASE WHEN p_size = 1 THEN 'values' ELSE 'variable' END AS kind", "p_brand AS path", "CASE WHEN p_size = 1 THEN 'values' ELSE 'default' END AS value", "p_size <> 3 AS is_literal")
-    return N.resolve_refs(rows, p.selectExpr("concat('var.', p_brand) AS ref").distinct())
+    p, s = v("part"), v("supplier")
+    rows = p.selectExpr("p_partkey AS ord", "CASE WHEN p_size % 4 < 2 THEN 'values' WHEN p_size % 4 = 2 THEN 'variable' ELSE 'local' END AS kind", "CASE WHEN p_size % 4 = 1 THEN array(p_brand, p_type) ELSE array(p_brand) END AS path", "p_name AS value", "p_partkey % 3 <> 0 AS is_literal")
+    rows = rows.unionByName(s.selectExpr("s_suppkey AS ord", "'resource' AS kind", "array('aws_lambda_function', concat('s', s_suppkey), 'function_name') AS path", "s_name AS value", "s_suppkey % 5 <> 0 AS is_literal"))
+    refs = p.selectExpr("explode(array(concat('var.', p_brand), concat('var.', p_brand, '[\"', p_type, '\"]'), concat('local.', p_brand))) AS ref").distinct()
+    refs = refs.unionByName(s.selectExpr("concat('aws_lambda_function.s', s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '.arn' WHEN 1 THEN '.function_name' ELSE '.memory' END) AS ref")).unionByName(v("region").selectExpr("concat('plain', r_regionkey) AS ref"))
+    return N.resolve_refs(rows, refs)
 
 
 @query("e37_merge_declarations", "SELECT p_brand AS name, arg_min(p_name, p_partkey) AS handler, (SELECT list(t ORDER BY o) FROM (SELECT p_type AS t, min(p_partkey) AS o FROM part q WHERE q.p_brand = p.p_brand GROUP BY p_type) z) AS hints, arg_min(p_size::VARCHAR, p_partkey) AS size, arg_min(p_partkey::VARCHAR, p_partkey) FILTER (p_partkey % 2 = 0) AS even FROM part p GROUP BY p_brand")

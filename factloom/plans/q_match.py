@@ -8,6 +8,7 @@ from .. import vocab
 from ..operators import gates as T
 from ..operators import match as M
 from ..operators.graph import latest
+from ..operators.text import scan_headers
 from .q_scalars import _INTENT, _labels, _norm, _stage
 from .registry import query
 
@@ -116,9 +117,21 @@ def f08(v):
     return M.batch(v("doc_lines").withColumn("size", F.length("line")), 25, 12_000)
 
 
-@query("e13_compliance", "WITH p AS (SELECT feature_file, name, bool_or(keyword = 'Given') AND bool_or(keyword = 'When') AND bool_or(keyword = 'Then') AND NOT bool_or(trim(text) = '') AND bool_and(trim(name) <> '') AS ok FROM (SELECT feature_file, CASE WHEN conv_id % 7 = 0 THEN ' ' ELSE name END AS name, keyword, text FROM scenarios) y GROUP BY ALL) SELECT feature_file, count(*) AS scenarios, count(*) FILTER (ok) AS ok, 100.0 * count(*) FILTER (ok) / count(*) AS pct FROM p GROUP BY feature_file")
+_CHECKED = "s AS (SELECT feature_file, conv_id, CASE WHEN conv_id % 7 = 0 THEN ' ' ELSE name END AS name, pos, keyword, text, CASE keyword WHEN 'Given' THEN 0 WHEN 'When' THEN 1 ELSE 2 END AS r FROM scenarios), p AS (SELECT feature_file, conv_id, name, bool_or(keyword = 'Given') AS g, bool_or(keyword = 'When') AS w, bool_or(keyword = 'Then') AS t, count(*) FILTER (trim(text) = '') AS e, bool_or(r < last) AS late FROM (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY pos) AS last FROM s) y GROUP BY ALL)"
+
+
+def _steps(v):
+    return v("scenarios").withColumn("name", F.expr("CASE WHEN conv_id % 7 = 0 THEN ' ' ELSE name END"))
+
+
+@query("e13_compliance", f"WITH {_CHECKED} SELECT feature_file, count(*) AS scenarios, count(*) - count(DISTINCT name) FILTER (NOT (g AND w AND t) OR e > 0 OR trim(name) = '') AS ok, 100.0 * (count(*) - count(DISTINCT name) FILTER (NOT (g AND w AND t) OR e > 0 OR trim(name) = '')) / count(*) AS pct FROM p GROUP BY feature_file")
 def e13(v):
-    return T.compliance(v("scenarios").withColumn("name", F.expr("CASE WHEN conv_id % 7 = 0 THEN ' ' ELSE name END")))
+    return T.compliance(_steps(v), "conv_id")
+
+
+@query("e13_findings", f"WITH {_CHECKED} SELECT feature_file, conv_id, name, 'scenario-name-required' AS rule, 'ERROR' AS severity FROM p WHERE trim(name) = '' UNION ALL SELECT feature_file, conv_id, name, 'given-required', 'ERROR' FROM p WHERE NOT g UNION ALL SELECT feature_file, conv_id, name, 'when-required', 'ERROR' FROM p WHERE NOT w UNION ALL SELECT feature_file, conv_id, name, 'then-required', 'ERROR' FROM p WHERE NOT t UNION ALL SELECT feature_file, conv_id, name, 'keyword-order', 'WARNING' FROM p WHERE late UNION ALL SELECT feature_file, conv_id, name, 'empty-step', 'ERROR' FROM p, range(e)")
+def e13b(v):
+    return T.compliance_findings(_steps(v), "conv_id")
 
 
 @query("e14_action_coverage", f"WITH {PAIRS}, a AS (SELECT DISTINCT app_id, unnest(actions) AS a FROM profiles WHERE side = 'ref'), h AS (SELECT DISTINCT app_id, unnest(list_intersect(actions, actions2)) AS a FROM pairs WHERE score >= 0.9) SELECT app_id, 100.0 * count(*) FILTER ((app_id, a) IN (SELECT (app_id, a) FROM h)) / count(*) AS action_coverage FROM a GROUP BY app_id")
@@ -191,16 +204,30 @@ def e15b(v):
     return T.requirement_paths(r.withColumn("is_negative", F.col("intent") == "negative"), r.filter(_HIT))
 
 
-@query("e20_unit_traceability", "WITH i AS (SELECT c_mktsegment AS unit, count(DISTINCT c_custkey) AS criteria, count(DISTINCT c_custkey) FILTER (o_orderkey IS NOT NULL) AS covered, list_sort(list(DISTINCT o_orderpriority) FILTER (o_orderpriority IS NOT NULL)) AS generated FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1), m AS (SELECT c_mktsegment AS unit, count(*) AS nearby, count(*) FILTER (c_nationkey % 2 = 0) AS nearby_covered FROM customer WHERE c_custkey % 4 = 0 GROUP BY 1) SELECT unit, criteria, covered, generated, 100.0 * covered / criteria AS pct, coalesce(nearby, 0) AS nearby, coalesce(nearby_covered, 0) AS nearby_covered, CASE WHEN nearby > 0 THEN 100.0 * nearby_covered / nearby ELSE 0.0 END AS nearby_pct FROM i LEFT JOIN m USING (unit)")
+@query("e20_unit_traceability", "WITH i AS (SELECT c_mktsegment AS unit, count(DISTINCT c_custkey) AS criteria, count(DISTINCT c_custkey) FILTER (o_orderkey IS NOT NULL) AS covered, list_sort(list(DISTINCT o_orderpriority) FILTER (o_orderpriority IS NOT NULL)) AS generated FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1), m AS (SELECT c_mktsegment AS unit, count(*) AS nearby, count(*) FILTER (c_nationkey % 2 = 0) AS nearby_covered FROM customer WHERE c_custkey % 4 = 0 AND c_mktsegment <> 'BUILDING' GROUP BY 1) SELECT unit, criteria, covered, generated, 100.0 * covered / criteria AS pct, coalesce(nearby, 0) AS nearby, coalesce(nearby_covered, 0) AS nearby_covered, CASE WHEN nearby > 0 THEN 100.0 * nearby_covered / nearby ELSE 100.0 END AS nearby_pct FROM i LEFT JOIN m USING (unit)")
 def e20(v):
-    near = v("customer").filter("c_custkey % 4 = 0").selectExpr("c_mktsegment AS unit", "c_custkey AS manual", "c_nationkey % 2 = 0 AS covered")
+    near = v("customer").filter("c_custkey % 4 = 0 AND c_mktsegment <> 'BUILDING'").selectExpr("c_mktsegment AS unit", "c_custkey AS manual", "c_nationkey % 2 = 0 AS covered")
     return T.unit_traceability(v("customer").selectExpr("c_custkey AS id", "c_mktsegment AS unit"), v("orders").selectExpr("o_custkey AS id", "o_orderpriority AS generated"), near)
 
 
-@query("e21_integrity", "WITH p AS (SELECT feature_file, name, count(*) AS n FROM scenarios GROUP BY ALL) SELECT count(DISTINCT feature_file) AS files, count(DISTINCT (feature_file, name)) AS scenarios, count(*) AS steps, CAST(sum(strlen(text)) AS BIGINT) AS bytes, (SELECT count(*) FROM p WHERE n > 2) AS outlines, (SELECT count(*) FROM region) AS sections, (SELECT count(*) FROM nation) AS items, list_sort([x FOR x IN ['scenarios: ' || count(DISTINCT (feature_file, name)) || ' parsed, 3 reported'] IF count(DISTINCT (feature_file, name)) <> 3]) AS notes FROM scenarios")
+_DOCS = "d AS (SELECT doc_id || CASE WHEN doc_id % 2 = 0 THEN '.MD' ELSE '.json' END AS file, doc_id, text FROM documents), n AS (SELECT doc_id, pos, line FROM doc_lines WHERE doc_id % 3 <> 0 OR pos % 2 = 0)"
+
+
+def _docs(v):
+    d = v("documents").selectExpr("concat(doc_id, CASE WHEN doc_id % 2 = 0 THEN '.MD' ELSE '.json' END) AS file", "text")
+    n = v("doc_lines").filter("doc_id % 3 <> 0 OR pos % 2 = 0").selectExpr("concat(doc_id, CASE WHEN doc_id % 2 = 0 THEN '.MD' ELSE '.json' END) AS file", "pos AS at", "line AS body")
+    steps = v("scenarios").selectExpr("CASE WHEN conv_id % 3 = 0 THEN 'manual' ELSE 'generated' END AS suite", "feature_file", "conv_id AS at", "text")
+    return T.integrity(steps, steps.groupBy("suite", "feature_file", "at").count().filter("count > 2").select("suite"), d, n, v("nation"), {"requirement_items": 3, "requirement_sections": -1})
+
+
+@query("e21_integrity", f"WITH {_DOCS}, s AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 'manual' ELSE 'generated' END AS suite, feature_file, conv_id, count(*) AS n FROM scenarios GROUP BY ALL), q AS (SELECT count(*) AS files, count(*) FILTER (file LIKE '%.MD') AS md, sum(strlen(text))::BIGINT AS bytes, (SELECT count(*) FROM n) AS sections FROM d) SELECT suite, count(DISTINCT feature_file) AS files, count(*) AS scenarios, sum(n)::BIGINT AS steps, count(*) FILTER (n > 2) AS outlines, any_value(q.files) AS requirement_files, any_value(md) AS requirement_md_files, any_value(bytes) AS requirement_bytes, any_value(sections) AS requirement_sections, 25::BIGINT AS requirement_items, ['requirement_items: 25 parsed, 3 reported', 'requirement_sections: ' || any_value(sections) || ' parsed, -1 reported'] AS notes FROM s, q GROUP BY suite")
 def e21(v):
-    outline = v("scenarios").groupBy("feature_file", "name").count().filter("count > 2").select("feature_file", "name")
-    return T.integrity(v("scenarios"), outline, v("region"), v("nation"), {"scenarios": 3})
+    return _docs(v)[0]
+
+
+@query("e21_raw_texts", f"WITH {_DOCS}, j AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS joined FROM n GROUP BY doc_id), x AS (SELECT file, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS raw, trim(joined, ' ' || chr(9) || chr(10) || chr(13)) AS said, joined FROM d JOIN j USING (doc_id)) SELECT file || ': raw_text preserved alongside sections.' AS note FROM x WHERE raw <> '' AND said <> '' AND NOT contains(joined, raw)")
+def e21b(v):
+    return _docs(v)[1]
 
 
 @query("e27_gate_cascade", "SELECT bundle, count(*) FILTER (status = 'FAIL') = 0 AS delivered, arg_min(gate, CASE gate WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 3 WHEN 3 THEN 4 ELSE 5 END) FILTER (status = 'FAIL') AS failed_gate, count(*) FILTER (status = 'PASS') AS passed FROM runs GROUP BY bundle")
@@ -250,23 +277,28 @@ def e32(v):
     return T.spec_checklist(v("customer").selectExpr("c_mktsegment AS section", "CASE WHEN c_acctbal > 0 THEN 1 END AS entry"))
 
 
-_RULES = {"max_scenarios": 4, "name_marker": "1", "required_keyword": "Given", "required_tags": ["t1"], "forbidden_tags": ["t2", "bad"], "require_description": True}
+_RULES = {"max_scenarios_per_feature": 4, "scenario_name_must_include": ["1", "On 2"], "required_tags": ["@t1", "@team"], "forbidden_tags": ["@t2", "@bad"], "require_feature_description": True, "severity": "WARNING"}
 
 
-@query("i10_check_standards", """WITH s AS (SELECT feature_file, name, bool_or(keyword = 'Given') AS given, 't' || (max(conv_id) % 3) AS tag FROM scenarios GROUP BY ALL), f AS (SELECT feature_file, length(feature_file) % 2 = 0 AS bad, count(*) AS n, bool_or(given) AS given FROM s GROUP BY feature_file)
- SELECT feature_file, NULL::VARCHAR AS name, 'max_scenarios' AS rule, NULL::VARCHAR AS symbol FROM f WHERE n > 4 UNION ALL SELECT feature_file, NULL, 'required_keyword', NULL FROM f WHERE NOT given UNION ALL SELECT feature_file, NULL, 'require_description', NULL FROM f WHERE bad UNION ALL SELECT feature_file, NULL, 'forbidden_tags', 'bad' FROM f WHERE bad
- UNION ALL SELECT feature_file, name, 'required_tags', 't1' FROM s WHERE tag <> 't1' UNION ALL SELECT feature_file, name, 'name_marker', NULL FROM s WHERE NOT contains(name, '1') UNION ALL SELECT feature_file, name, 'forbidden_tags', 't2' FROM s WHERE tag = 't2'""")
+def _files(v):
+    """Feature files: a tag line, the heading, a description or none, then tagged scenarios with their steps."""
+    steps = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.concat_ws(" ", "keyword", F.regexp_replace("text", r"\s+", " ")).alias("t")))), lambda x: x["t"]), "\n")
+    one = v("scenarios").groupBy("feature_file", "conv_id", "name").agg(steps.alias("steps")).withColumn("text", F.expr("concat('@t', conv_id % 3, ' @x\n Scenario', CASE WHEN conv_id % 2 = 0 THEN ' Outline' ELSE '' END, ': ', CASE WHEN conv_id % 7 = 0 THEN 'on 2' ELSE name END, '\n', steps, '\n')"))
+    files = one.groupBy("feature_file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("conv_id", "text"))), lambda x: x["text"]), "").alias("body"))
+    return files.select(F.col("feature_file").alias("file"), F.expr("concat('# note\n@team', CASE WHEN length(feature_file) % 2 = 0 THEN ' @bad' ELSE '' END, '\n\nFeature: f\n', CASE WHEN length(feature_file) % 2 = 0 THEN '' ELSE 'All about it\n' END, body)").alias("text"))
+
+
+@query("i10_check_standards", """WITH c AS (SELECT feature_file, conv_id, CASE WHEN conv_id % 7 = 0 THEN 'on 2' ELSE name END AS name, count(*) AS n, length(feature_file) % 2 = 0 AS bad FROM scenarios GROUP BY ALL), s AS (SELECT *, (CASE WHEN bad THEN 4 ELSE 5 END + 2 + coalesce(sum(n + 2) OVER (PARTITION BY feature_file ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS line FROM c), f AS (SELECT feature_file, bad, count(*) AS n FROM s GROUP BY ALL),
+ r AS (SELECT feature_file, 4::BIGINT AS line, NULL::VARCHAR AS name, 'max-scenarios' AS rule, NULL::VARCHAR AS symbol FROM f WHERE n > 4 UNION ALL SELECT feature_file, 4, NULL, 'feature-description', NULL FROM f WHERE bad UNION ALL SELECT feature_file, 4, NULL, 'forbidden-tag', '@bad' FROM f WHERE bad
+ UNION ALL SELECT feature_file, line, name, 'required-tag', '@t1' FROM s WHERE conv_id % 3 <> 1 UNION ALL SELECT feature_file, line, name, 'scenario-name', NULL FROM s WHERE NOT contains(name, '1') UNION ALL SELECT feature_file, line, name, 'forbidden-tag', '@t2' FROM s WHERE conv_id % 3 = 2)
+ SELECT feature_file, line, name, rule, 'WARNING' AS severity, symbol FROM r""")
 def i10(v):
-    s = v("scenarios").groupBy("feature_file", "name").agg(F.collect_set("keyword").alias("keywords"), F.array(F.concat(F.lit("t"), (F.max("conv_id") % 3).cast("string"))).alias("tags"))
-    bad = F.length("feature_file") % 2 == 0
-    f = s.select("feature_file").distinct().select("feature_file", F.when(bad, F.array(F.lit("bad"))).alias("tags"), F.when(~bad, "about it").alias("description"))
-    return T.check_standards(s, _RULES, f)
+    return T.check_standards(*scan_headers(_files(v)), _RULES)
 
 
-@query("i10_nothing_to_check", "SELECT NULL::VARCHAR AS feature_file, 'nothing_to_check' AS rule FROM (SELECT count(*) AS n FROM scenarios WHERE conv_id < 0) x WHERE n = 0")
+@query("i10_nothing_to_check", "SELECT NULL::VARCHAR AS feature_file, 'nothing-to-check' AS rule FROM (SELECT count(*) AS n FROM scenarios WHERE conv_id < 0) x WHERE n = 0")
 def i10b(v):
-    s = v("scenarios").filter("conv_id < 0").groupBy("feature_file", "name").agg(F.collect_set("keyword").alias("keywords"), F.collect_set("text").alias("tags"))
-    return T.check_standards(s, _RULES).select("feature_file", "rule")
+    return T.check_standards(*scan_headers(_files(v).filter("file = 'none'")), _RULES).select("feature_file", "rule")
 
 
 @query("g01_merge_facts", "WITH a AS (SELECT app_id, subject, predicate, object, 0 AS src FROM facts UNION ALL SELECT app_id, subject, predicate, object, 1 FROM templated UNION ALL SELECT app_id, subject, predicate, object, 2 FROM facts WHERE ord % 3 = 0) SELECT app_id, subject, predicate, object, min(src) AS source, count(*) AS n FROM a GROUP BY ALL")
@@ -292,7 +324,11 @@ def j01(v):
     return M.cosine_topk(e, e.filter("vec_id % 20 = 0")).select("query_id", "vec_id", "rank")
 
 
-@query("k01_assemble_spans", "SELECT a.event_id AS span_id, a.user_id, c.event_id AS end_id, (epoch_us(c.ts) - epoch_us(a.ts)) // 1000 AS duration_ms, CASE WHEN c.event_id IS NULL THEN 'unclosed' WHEN c.event_type = 'error' THEN 'fail' ELSE 'ok' END AS status, lag(a.event_id) OVER (PARTITION BY a.user_id ORDER BY a.ts, a.event_id) AS parent_id FROM events a LEFT JOIN LATERAL (SELECT event_id, ts, event_type FROM events b WHERE b.user_id = a.user_id AND b.ts > a.ts AND b.event_type IN ('purchase', 'error') ORDER BY ts, event_id LIMIT 1) c ON TRUE WHERE a.event_type = 'signup'")
+# the end of a span is the first row behind it that goes below its depth
+_DEPTHS = "e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE WHEN event_type = 'signup' THEN 1 ELSE -1 END AS d FROM events WHERE event_type IN ('signup', 'purchase', 'error')), r AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY k) AS s FROM e), l AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY k)) AS depth FROM r)"
+
+
+@query("k01_assemble_spans", f"WITH {_DEPTHS}, c AS (SELECT a.*, (SELECT min(b.k) FROM l b WHERE b.user_id = a.user_id AND b.k > a.k AND b.depth < a.depth) AS ek, (SELECT max(b.k) FROM l b WHERE b.user_id = a.user_id AND b.k < a.k AND b.event_type = 'signup' AND b.depth = a.depth - 1) AS pk FROM l a WHERE event_type = 'signup') SELECT c.event_id AS span_id, c.user_id, x.event_id AS end_id, (epoch_us(x.ts) - epoch_us(c.ts)) // 1000 AS duration_ms, CASE WHEN x.event_id IS NULL THEN 'unclosed' WHEN x.event_type = 'error' THEN 'fail' ELSE 'ok' END AS status, p.event_id AS parent_id FROM c LEFT JOIN l x ON x.user_id = c.user_id AND x.k = c.ek LEFT JOIN l p ON p.user_id = c.user_id AND p.k = c.pk")
 def k01(v):
     from ..streaming.spans import close_spans
 

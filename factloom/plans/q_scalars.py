@@ -125,7 +125,7 @@ def b20(v):
     return v("part").select("p_partkey", S.section_tier(F.expr(_SECTION)).alias("tier"))
 
 
-@query("b21_handler_to_function", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'src.jobs.' || lower(c_mktsegment) WHEN 1 THEN 'win.' || lower(c_mktsegment) ELSE lower(c_mktsegment) END AS function FROM customer")
+@query("b21_handler_to_function", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'src.jobs.' || lower(c_mktsegment) WHEN 1 THEN 'win.' || lower(c_mktsegment) END AS function FROM customer")
 def b21(v):
     handler = F.expr(r"CASE c_custkey % 3 WHEN 0 THEN concat('src/jobs/', lower(c_mktsegment), '.py.main') WHEN 1 THEN concat('win\\', lower(c_mktsegment), '.run') ELSE lower(c_mktsegment) END")
     return v("customer").select("c_custkey", S.handler_to_function(handler).alias("function"))
@@ -161,9 +161,9 @@ def b26(v):
     return g.select("subject", S.grounding_descriptor("n", "source", "open").alias("descriptor"))
 
 
-@query("b27_backbone", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE '' END AS backbone FROM customer")
+@query("b27_backbone", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment END AS backbone FROM customer")
 def b27(v):
-    text = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('kind=df:name=', c_name, ':mode=rw') WHEN 1 THEN concat('name=', c_mktsegment) ELSE concat('title=', c_name) END")
+    text = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('kind=df:name=', c_name, ':mode=rw') WHEN 1 THEN concat('name= ', c_mktsegment, ' ') ELSE concat('title=', c_name) END")
     return v("customer").select("c_custkey", S.backbone(text).alias("backbone"))
 
 

@@ -31,3 +31,13 @@ def drop_staged(spark: SparkSession) -> None:
     """Delete this application's staged tables; call it once the results that read them are written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a table that is sent to every task, some 10 MB of ids and names.
+SMALL = 100_000
+
+
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """A staged table, hinted by its counted rows: sent to every task up to ``SMALL``, else joined by sorting both sides."""
+    out = stage(df, name)
+    return out.hint("broadcast" if out.count() <= SMALL else "merge")
