@@ -11,17 +11,23 @@
    before they are projected, which loses nothing.
 4. A candidate's surroundings are compared by longest common subsequence of words with
    the passage and with the whole item.  ``SURE`` of the words of either in order make a
-   hit, so a verbatim piece of ``WINDOW`` words of a long item is one.  From ``MAYBE`` of
-   the item on, a paraphrase, the item's answer must be there too: a column, or else the
-   last sentence, or of an item of one sentence the last quarter (``MIN_WORDS`` at least).
+   hit, so a verbatim piece of ``WINDOW`` words of a long item is one.  Less than that is
+   a paraphrase if more speaks for it: from ``MAYBE`` of the item on its answer (a column,
+   or else the last sentence, or of an item of one sentence the last quarter, ``MIN_WORDS``
+   at least); or from ``HALF`` on, for items of ``TELLING`` words, a subsequence longer by
+   ``CLEAR`` of the item than the one that the item read backwards has there.  Backwards
+   the words are the same and their order means nothing, so that is the chance level of
+   this very document.
+5. Items of fewer than ``MIN_WORDS`` words count where their words stand side by side.
 
 ``common_words`` and ``item_words`` count the whole item, also where a passage made the hit.
 
-The benchmark is a stated query set; it is taken ``ITEMS`` items at a time against all rows.
-Only idf counts are shuffled.
+The benchmark is a stated query set; it is taken ``ITEMS`` items or ``PASSAGES`` passages at
+a time against all rows.  An item of more than ``LONG`` words is searched in pieces of
+that many, each judged like an item; where it has more than ``PASSAGES`` passages it may
+give a row for each block that holds a piece of it.  Only idf counts are shuffled.
 
-Defined results: null and empty texts have no hit; items of fewer than ``MIN_WORDS`` words
-can't be told from chance and never match; items of equal text each get their row; a
+Defined results: null and empty texts have no hit; items without a word never match; items of equal text each get their row; a
 repeated document row gives repeated hits; null ids stay null; an empty documents or
 benchmark table gives an empty result; other columns are ignored.
 """
@@ -47,7 +53,8 @@ RANK, EXTRA, ROUNDS = 256, 16, 2
 #: Share of what a passage keeps in the latent space that a window has to reach.
 NEAR = 0.3
 SURE, MAYBE, ANSWER = 0.8, 0.6, 0.8
-MIN_WORDS, ITEMS = 5, 2048
+HALF, CLEAR, TELLING = 0.55, 0.25, 12
+MIN_WORDS, ITEMS, PASSAGES, LONG = 5, 2048, 16_384, 4096
 
 #: Passages are put into so many groups, each with its own bound of what a word can add.
 GROUPS = 8
@@ -133,9 +140,10 @@ def inverse_frequency(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 @dataclass
 class Index:
-    """What the search needs; its size depends on ``ITEMS`` and ``RANK`` alone."""
+    """What the search needs; ``ITEMS``, ``PASSAGES`` and ``RANK`` bound its size."""
 
-    items: list[tuple]  # id, words, words of the answer, the places of both, and the distinct words
+    items: list[tuple]  # pieces: id, words, words of the answer, the places of both, of the words backwards, the distinct words, the item's number and size
+    short: dict[int, list[tuple]]  # term of the first word -> id, words, words of the answer, places of the answer
     idf2: np.ndarray
     vocabulary: np.ndarray  # term -> row of basis, or -1
     basis: np.ndarray  # weighted by idf
@@ -195,11 +203,21 @@ def latent_basis(spark: SparkSession, rows: list[tuple[bytes, bytes]], width: in
     return x @ vector[:, np.argsort(-value)[:rank]]
 
 
-def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], idf: np.ndarray) -> Index | None:
-    kept = [(i, words_of(text), _answer(text, answer)) for i, text, answer in items]
-    kept = [x for x in kept if len(x[1]) >= MIN_WORDS]
+def pieces(words: list[bytes]) -> list[tuple[int, int]]:
+    """Where an item is cut: whole up to ``LONG`` words, else pieces that overlap by a passage."""
+    return [(s, min(s + LONG, len(words))) for s in range(0, max(1, len(words) - WINDOW), LONG - WINDOW)]
+
+
+def build_index(spark: SparkSession, items: list[tuple], idf: np.ndarray) -> Index:
+    """Of ``items``: (id, words of a piece, words of the answer, the item's number, its words in all)."""
+    short: dict[int, list[tuple]] = {}
+    for i, words, answer, _, size in items:
+        if size < MIN_WORDS:
+            short.setdefault(int(terms_of(words[:1])[0]), []).append((i, words, answer, places(answer)))
+    kept = [x for x in items if x[4] >= MIN_WORDS]
     if not kept:
-        return None
+        nothing = np.zeros(0, np.float32)
+        return Index([], short, idf**2, np.full(TERMS, -1, np.int32), nothing, nothing, [], nothing, nothing, nothing, nothing)
     vocabulary = np.full(TERMS, -1, np.int32)
     used = np.unique(np.concatenate([terms_of(x[1]) for x in kept]))
     vocabulary[used] = np.arange(len(used))
@@ -226,7 +244,8 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], i
         for g in range(by_group.shape[1]):
             by_group[a : a + 4096, g] = share[:, group == g].max(axis=1)
     most = np.maximum(by_group, 0).max(axis=1)
-    return Index([(i, w, a, places(w), places(a), frozenset(w)) for i, w, a in kept], idf**2, vocabulary, weighted, passages, parts, np.array(owner), need, most, by_group)
+    known = [(i, w, a, places(w), places(a), places(w[::-1]), frozenset(w), number, size) for i, w, a, number, size in kept]
+    return Index(known, short, idf**2, vocabulary, weighted, passages, parts, np.array(owner), need, most, by_group)
 
 
 def _groups(passages: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -260,7 +279,7 @@ def common_words(place: dict[bytes, int], size: int, text: list[bytes]) -> int:
 def candidates(index: Index, terms: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
     """(text, window start, passage, cosine) of the windows that reach a passage's threshold, by text."""
     own = np.flatnonzero(counts)
-    if not len(own):
+    if not len(own) or not len(index.passages):
         return
     row = index.vocabulary[terms]
     whole = np.concatenate(([0.0], np.cumsum(index.idf2[terms], dtype=np.float64)))
@@ -299,19 +318,19 @@ def _holds_part(index: Index, passages: list[int], region: list[bytes]) -> bool:
 
 
 def hits_of(index: Index, words: list[bytes], near: list[tuple[int, int, float]]) -> list[tuple[int, float, int, int, bool, int]]:
-    """(item, cosine, common words, item words, answer found, first word of the window) from a text's candidates."""
+    """(piece, cosine, common words, item words, answer found, first word of the window) of each item, from a text's candidates."""
     best: dict[int, tuple] = {}
     seen: dict[tuple[int, int], tuple[float, list[int]]] = {}
     for start, passage, cosine in near:
         key = int(index.owner[passage]), start
         most, own = seen.get(key, (0.0, []))
         seen[key] = max(cosine, most), [*own, passage]
-    for (item, start), (cosine, passages) in seen.items():
-        _, own, answer, place, answer_place, distinct = index.items[item]
+    for (piece, start), (cosine, passages) in seen.items():
+        _, own, answer, place, answer_place, back, distinct, item, size = index.items[piece]
         region = words[max(0, start - len(own)) : start + WINDOW + len(own)]
         there = set(region)
         # bounds of what is common, in any order
-        whole = len(own) - len(distinct - there) >= MAYBE * len(own) and sum([w in there for w in own]) >= MAYBE * len(own)
+        whole = len(own) - len(distinct - there) >= HALF * len(own) and sum([w in there for w in own]) >= HALF * len(own)
         part = _holds_part(index, passages, words[max(0, start - WINDOW) : start + 2 * WINDOW])
         if not whole and not part:
             continue
@@ -319,11 +338,37 @@ def hits_of(index: Index, words: list[bytes], near: list[tuple[int, int, float]]
         if item in best and both <= best[item][2]:
             continue
         found = common_words(answer_place, len(answer), region) >= ANSWER * len(answer) if answer else False
-        if part or both >= SURE * len(own) or both >= MAYBE * len(own) and found:
-            best[item] = (item, cosine, both, len(own), found, start)
+        if part or both >= SURE * len(own) or both >= MAYBE * len(own) and found or _above_chance(both, own, back, region):
+            best[item] = (piece, cosine, both, size, found, start)
     return list(best.values())
 
 
+def _above_chance(both: int, own: list[bytes], back: dict[bytes, int], region: list[bytes]) -> bool:
+    """Whether the common words are clearly more than those of the item read backwards."""
+    n = len(own)
+    return n >= TELLING and both >= HALF * n and both - common_words(back, n, region) >= max(CLEAR * n, MIN_WORDS)
+
+
+def verbatim(index: Index, terms: np.ndarray, counts: np.ndarray, raws: list[bytes]) -> Iterator[tuple[int, tuple]]:
+    """(text, hit) of the short items whose words stand side by side, once a text."""
+    if not index.short:
+        return
+    first = np.zeros(TERMS, bool)
+    first[list(index.short)] = True
+    begin = np.cumsum(counts) - counts
+    at = np.flatnonzero(first[terms])
+    for k, places_of in groupby(zip(np.searchsorted(begin, at, side="right") - 1, at), key=lambda x: x[0]):
+        words, seen = raws[k].split(), set()
+        for _, p in places_of:
+            s = int(p - begin[k])
+            for n, (i, own, answer, answer_place) in enumerate(index.short[int(terms[p])]):
+                if (own[0], n) not in seen and words[s : s + len(own)] == own:
+                    seen.add((own[0], n))
+                    region = words[max(0, s - len(own)) : s + WINDOW + len(own)]
+                    found = common_words(answer_place, len(answer), region) >= ANSWER * len(answer) if answer else False
+                    yield int(k), (i, None, len(own), len(own), found, s)
+
+
 HITS = "doc_id long, item_id long, cosine double, common_words int, item_words int, answer_found boolean, first_word int"
 HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common_words", pa.int32()), ("item_words", pa.int32()), ("answer_found", pa.bool_()), ("first_word", pa.int32())])
 
@@ -346,10 +391,13 @@ def _search(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFr
             rows: dict[str, list] = {f.name: [] for f in HITS_ARROW}
             ids, raws = b.column("doc_id").to_pylist(), [plain(t or "") for t in b.column("text").to_pylist()]
             for s, e in chunks(raws):
-                for k, near in groupby(candidates(own, *terms_by_text(raws[s:e])), key=lambda x: x[0]):
-                    for item, cosine, both, size, found, start in hits_of(own, raws[s + k].split(), [x[1:] for x in near]):
-                        for name, v in zip(HITS_ARROW.names, (ids[s + k], own.items[item][0], cosine, both, size, found, start)):
-                            rows[name].append(v)
+                terms, counts = terms_by_text(raws[s:e])
+                found = list(verbatim(own, terms, counts, raws[s:e]))
+                for k, near in groupby(candidates(own, terms, counts), key=lambda x: x[0]):
+                    found += [(k, (own.items[piece][0], *rest)) for piece, *rest in hits_of(own, raws[s + k].split(), [x[1:] for x in near])]
+                for k, hit in found:
+                    for name, v in zip(HITS_ARROW.names, (ids[s + k], *hit)):
+                        rows[name].append(v)
             yield batch(HITS_ARROW, rows)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, HITS)
@@ -361,18 +409,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     small_batches(spark)
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
-    idf, out, block = inverse_frequency(docs, text_col), None, []
-    total = items.count()
-    done = 0
-    for r in items.orderBy("item_id", "text").toLocalIterator():  # ITEMS at a time on the driver
-        block.append((r["item_id"], r["text"], r["answer"]))
-        done += 1
-        if len(block) == ITEMS or done == total:
-            index = build_index(spark, block, idf)
-            block = []
-            if index is not None:
-                found = _search(docs, index, id_col, text_col)
-                out = found if out is None else out.unionByName(found)
+    idf, out, block, held, number = inverse_frequency(docs, text_col), None, [], 0, 0
+
+    def search() -> DataFrame:
+        found = _search(docs, build_index(spark, block, idf), id_col, text_col)
+        return found if out is None else out.unionByName(found)
+
+    for r in items.orderBy("item_id", "text").toLocalIterator():  # a block at a time on the driver
+        words = words_of(r["text"])
+        if not words:
+            continue
+        answer, number = _answer(r["text"], r["answer"]), number + 1
+        for s, e in pieces(words):
+            block.append((r["item_id"], words[s:e], answer[:LONG], number, len(words)))
+            held += -(-(e - s) // PASSAGE_STEP)
+            if len(block) >= ITEMS or held >= PASSAGES:
+                out, block, held = search(), [], 0
+    if block:
+        out = search()
     return out if out is not None else spark.createDataFrame([], HITS)
 
 

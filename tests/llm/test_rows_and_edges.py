@@ -8,6 +8,7 @@ import sys
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, exact_dedup, language, ngram_join, quality, repeats, sharding, warc
@@ -126,9 +127,8 @@ def test_language_keeps_labels_of_repeated_ids_apart(spark):
     assert got[1].lang_pred == "aa" and got[2].lang_pred == "bb" and min(got[1].score, got[2].score) > 0.99
 
 
-def test_paraphrases_of_any_kind_are_recalled(spark):
-    """Words replaced, left out, or moved: a seventh of each item's words; at least nine in ten are found and nothing else."""
-    r = random.Random(31)
+def planted(r, share):
+    """180 documents, 120 of which hold an item with ``share`` of its words replaced, left out or moved."""
     items = [(k, sentence(r, r.randint(24, 120))) for k in range(60)]
     docs, want = [], set()
     for d in range(180):
@@ -136,7 +136,7 @@ def test_paraphrases_of_any_kind_are_recalled(spark):
         if d < 120:
             k, text = items[d % 60]
             part = text.split()
-            for _ in range(len(part) // 7):
+            for _ in range(int(len(part) * share)):
                 at = r.randrange(len(part))
                 if d % 3 == 0:
                     part[at] = sentence(r, 1)
@@ -148,8 +148,37 @@ def test_paraphrases_of_any_kind_are_recalled(spark):
             w[at:at] = part
             want.add((d, k))
         docs.append((d, " ".join(w)))
+    return docs, items, want
+
+
+@pytest.mark.parametrize("share, least", [(0.14, 0.99), (0.25, 0.95), (0.35, 0.9)])
+def test_paraphrases_of_any_kind_are_recalled(spark, share, least):
+    docs, items, want = planted(random.Random(31), share)
     got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want)
+    assert got <= want and len(got) >= least * len(want)
+
+
+def test_common_words_alone_are_no_leak(spark):
+    """Texts of the 72 words of which the items consist, in any order."""
+    r = random.Random(33)
+    say = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(3)) for _ in range(n))
+    docs = spark.createDataFrame([(k, say(r.randint(20, 300))) for k in range(200)], "doc_id long, text string")
+    assert decontaminate.find_leaks(docs, spark.createDataFrame([(k, say(r.randint(15, 60))) for k in range(40)], "item_id long, text string")).count() == 0
+
+
+def test_short_and_very_long_items(spark, monkeypatch):
+    """Items of fewer than five words count word for word; long ones go in pieces, a few passages a block."""
+    r = random.Random(34)
+    long = sentence(r, 900)
+    docs = [(1, "x the quick, brown Fox y"), (2, "the brown quick fox"), (3, "quick brown"), (4, None), (5, sentence(r, 50) + " " + " ".join(long.split()[700:760])), (6, long), (7, "fox")]
+    items = [(1, "The quick brown fox"), (2, "quick brown"), (3, "..."), (4, long), (5, "fox")]
+    monkeypatch.setattr(decontaminate, "LONG", 200)
+    monkeypatch.setattr(decontaminate, "PASSAGES", 60)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(d, b).collect()}
+    assert got == {(1, 1), (1, 2), (1, 5), (2, 5), (3, 2), (5, 4), (6, 4), (7, 5)}
+    short = spark.createDataFrame([x for x in items if x[0] != 4], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(d, short).collect()} == got - {(5, 4), (6, 4)}
 
 
 def test_leaks_of_odd_rows(spark, odd):
