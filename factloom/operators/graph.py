@@ -2,13 +2,15 @@
 
 Walks keep (entry, node, hop) rows, so all entries advance together: one round is one join
 of the frontier with the edges and one anti join with what is visited, both on keys.
+Whole chains (``walks``, ``journeys``) number the nodes once, in the order of their names,
+and shuffle these numbers; names come back at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -40,31 +42,69 @@ def entry_points(facts: DataFrame) -> DataFrame:
     return out.join(acting.union(buttons).distinct(), "node", "left_semi").join(fed, "node", "left_anti")
 
 
+#: Defined things that the outside world presses.
+DOOR_TYPES = ("StateMachine", "WorkflowFile")
+
+
 def doors(facts: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """What the outside world presses: objects of exposures and events, and defined state machines and workflows."""
     pressed = facts.filter(F.col("predicate").isin(*vocab.ENTRIES)).select(F.col("object").alias("entry"))
     if entities is not None:
-        pressed = pressed.unionByName(entities.filter(F.col("type").isin("StateMachine", "WorkflowFile")).select(F.col("id").alias("entry")))
+        pressed = pressed.unionByName(entities.filter(F.col("type").isin(*DOOR_TYPES)).select(F.col("id").alias("entry")))
     return pressed.distinct()
 
 
+def numbered(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, name) of every subject and object, and ``facts(ord, subject, predicate, object)`` with ids for names.
+
+    Ids grow with the names, so smallest and first mean the same of both.
+    """
+    spark = facts.sparkSession
+    facts = stage(facts.select("ord", "subject", "predicate", "object"), "facts")
+    ends = facts.select(F.col("subject").alias("name")).unionAll(facts.select(F.col("object").alias("name"))).distinct()
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = stage(ends.repartitionByRange(width, "name").sortWithinPartitions("name").select(F.monotonically_increasing_id().alias("id"), "name"), "node-names")
+    ids = lambda c: names.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id")).hint("shuffle_hash")
+    out = facts.join(ids("subject"), "subject").join(ids("object"), "object")
+    return names, stage(out.select("ord", F.col("subject_id").alias("subject"), "predicate", F.col("object_id").alias("object")), "numbered-facts")
+
+
+def named(rows: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with names in place of ids."""
+    for c in columns:
+        rows = rows.withColumnRenamed(c, "_id").join(names.select(F.col("id").alias("_id"), F.col("name").alias(c)).hint("shuffle_hash"), "_id").drop("_id")
+    return rows
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """H4: (entry, node, hop, via) of every node that each seed ``node`` reaches, itself excluded; ``via`` is the smallest predecessor."""
-    edges = stage(edges.select("src", "dst"), "bfs-edges")
-    seen = stage(seeds.select(F.col("node").alias("entry"), "node", F.lit(0).alias("hop"), F.lit("").alias("via")), "bfs-seeds")
+    """H4: (entry, node, hop, via) of every node that each seed ``node`` reaches, itself excluded; ``via`` is the smallest predecessor.
+
+    The edges are dealt and sorted by source once and stay so over all rounds.
+    """
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = stage(edges.select("src", "dst"), "bfs-edges").repartition(width, "src").sortWithinPartitions("src").persist()
+    kind = dict(seeds.dtypes)["node"]
+    seen = stage(seeds.select(F.col("node").alias("entry"), "node", F.lit(0).alias("hop"), F.lit(None).cast(kind).alias("via")), "bfs-seeds")
     frontier, hop = seen, 0
     while max_depth is None or hop < max_depth:
         hop += 1
-        reached = frontier.select("entry", "node").join(edges, F.col("node") == F.col("src")).groupBy("entry", F.col("dst").alias("next")).agg(F.min("src").alias("via")).withColumnRenamed("next", "node")
+        reached = frontier.select("entry", F.col("node").alias("src")).join(edges, "src").groupBy("entry", F.col("dst").alias("node")).agg(F.min("src").alias("via"))
         new = stage(reached.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").select("entry", "node", F.lit(hop).alias("hop"), "via"), "bfs-frontier")
         if new.isEmpty():
             break
         seen, frontier = seen.unionByName(new), new
         if hop % 8 == 0:  # long walks: one table again
             seen = stage(seen, "bfs-seen")
+    edges.unpersist()
     return seen.filter("hop > 0")
 
 
+def walks(facts: DataFrame) -> DataFrame:
+    """H4: (entry, node, hop) of all that the entry points of ``facts`` reach."""
+    names, f = numbered(facts)
+    return named(bfs(flow_edges(f), entry_points(f)).select("entry", "node", "hop"), names, "entry", "node").select("entry", "node", "hop")
+
+
 def subsume(walks: DataFrame, door_ids: DataFrame) -> DataFrame:
     """H5: entries whose members all lie in another entry's walk (or are that entry).
 
@@ -91,9 +131,16 @@ def subsume(walks: DataFrame, door_ids: DataFrame) -> DataFrame:
     return held.filter(~(F.coalesce(same, F.lit(False)) & (F.col("entry") < F.col("other")))).select("entry").distinct()
 
 
-def classify(walks: DataFrame, facts: DataFrame, depth: int = 4) -> DataFrame:
-    """H6: (entry, members, depth, kind): a journey has states, a feed or a write-then-read inside, or depth."""
-    base = walks.groupBy("entry").agg(F.count("*").alias("members"), F.max("hop").alias("depth"), F.max(S.type_of("node").isin("State", "StateMachine")).alias("states"))
+def classify(walks: DataFrame, facts: DataFrame, depth: int = 4, states: DataFrame | None = None) -> DataFrame:
+    """H6: (entry, members, depth, kind): a journey has states, a feed or a write-then-read inside, or depth.
+
+    States are told by their names, or are the nodes of ``states(node)``.
+    """
+    if states is None:
+        state = S.type_of("node").isin("State", "StateMachine")
+    else:
+        walks, state = walks.join(states.select("node", F.lit(True).alias("state")).hint("merge"), "node", "left"), F.coalesce("state", F.lit(False))
+    base = walks.groupBy("entry").agg(F.count("*").alias("members"), F.max("hop").alias("depth"), F.max(state).alias("states"))
     acts = walks.select("entry", F.col("node").alias("subject")).join(facts.filter(F.col("predicate").isin("FEEDS", *vocab.WRITES, *vocab.READS)).select("subject", "predicate", "object"), "subject")
     feeds = acts.filter("predicate = 'FEEDS'").join(walks.select("entry", F.col("node").alias("object")), ["entry", "object"], "left_semi").select("entry").distinct()
     hand = acts.groupBy("entry", "object").agg(F.max(F.col("predicate").isin(*vocab.WRITES)).alias("w"), F.max(F.col("predicate").isin(*vocab.READS)).alias("r")).filter("w AND r").select("entry").distinct()
@@ -102,25 +149,38 @@ def classify(walks: DataFrame, facts: DataFrame, depth: int = 4) -> DataFrame:
     return marked.select("entry", "members", "depth", F.when(journey, "journey").otherwise("behavior").alias("kind"))
 
 
-def owner(walks: DataFrame, entities: DataFrame) -> DataFrame:
-    """H7: (entry, family): the container of the entry itself or of its first code member by (hop, id)."""
-    ids = entities.select(F.col("id").alias("node")).distinct()
+def first_brick(walks: DataFrame, ids: DataFrame) -> DataFrame:
+    """(entry, brick): the entry itself or the first node of its walk by (hop, id) that is one of ``ids(node)``, or NULL."""
     own = walks.select("entry").distinct().select("entry", F.col("entry").alias("node"), F.lit(-1).alias("hop"))
     first = own.unionByName(walks.select("entry", "node", "hop")).join(ids, "node", "left_semi").groupBy("entry").agg(F.min_by("node", F.struct("hop", "node")).alias("brick"))
-    return walks.select("entry").distinct().join(first, "entry", "left").select("entry", F.when(F.col("brick").isNull(), F.col("entry")).otherwise(F.regexp_replace(S.name_of("brick"), r"\.[^.]*$", "")).alias("family"))
+    return walks.select("entry").distinct().join(first, "entry", "left")
+
+
+def _family(entry: str = "entry", brick: str = "brick") -> Column:
+    return F.when(F.col(brick).isNull(), F.col(entry)).otherwise(F.regexp_replace(S.name_of(brick), r"\.[^.]*$", ""))
 
 
-def _journeys(facts: DataFrame, entities: DataFrame, pending: bool) -> tuple[DataFrame, DataFrame]:
-    """Walks of the entries that aren't part of another, and what each of them is."""
-    facts = stage(facts.select("ord", "subject", "predicate", "object"), "facts")  # read five times below
-    walks = stage(bfs(flow_edges(facts), entry_points(facts)), "walks")
+def owner(walks: DataFrame, entities: DataFrame) -> DataFrame:
+    """H7: (entry, family): the container of the entry itself or of its first code member by (hop, id)."""
+    return first_brick(walks, entities.select(F.col("id").alias("node")).distinct()).select("entry", _family().alias("family"))
+
+
+def _journeys(facts: DataFrame, entities: DataFrame, pending: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Node names, walks of the entries that aren't part of another, and what each of these is; entries and nodes by number, families by name."""
+    names, f = numbered(facts)
+    known = names.withColumnRenamed("id", "node").join(entities.select(F.col("id").alias("name"), "type").distinct().hint("merge"), "name")
+    known = stage(known.select("node", "type"), "known-nodes")
+    every = stage(bfs(flow_edges(f), entry_points(f)).select("entry", "node", "hop"), "walks")
     if pending:
-        walks = walks.filter("false")
-    gate = stage(doors(facts, entities), "doors")
-    kept = stage(walks.join(subsume(walks, gate), "entry", "left_anti"), "kept-walks")
-    kinds = classify(kept, facts).join(gate.withColumn("door", F.lit(True)), "entry", "left")
+        every = every.filter("false")
+    gate = stage(doors(f).unionByName(known.filter(F.col("type").isin(*DOOR_TYPES)).select(F.col("node").alias("entry"))).distinct(), "doors")
+    kept = stage(every.join(subsume(every, gate), "entry", "left_anti"), "kept-walks")
+    states = names.filter(S.type_of("name").isin("State", "StateMachine")).select(F.col("id").alias("node"))
+    kinds = classify(kept, f, states=states).join(gate.withColumn("door", F.lit(True)), "entry", "left")
     kinds = kinds.withColumn("kind", F.when((F.col("kind") == "journey") & F.col("door").isNull(), "unwired").otherwise(F.col("kind")))
-    return kept, kinds.join(owner(kept, entities), "entry").select("entry", "kind", "members", "depth", "family")
+    bricks = first_brick(kept, known.select("node").distinct()).join(names.select(F.col("id").alias("brick"), F.col("name").alias("brick_name")).hint("merge"), "brick", "left")
+    bricks = bricks.join(names.select(F.col("id").alias("entry"), F.col("name").alias("entry_name")).hint("merge"), "entry").select("entry", _family("entry_name", "brick_name").alias("family"))
+    return names, kept, kinds.join(bricks.hint("merge"), "entry").select("entry", "kind", "members", "depth", "family")
 
 
 def journeys(facts: DataFrame, entities: DataFrame, pending: bool = False) -> DataFrame:
@@ -129,7 +189,8 @@ def journeys(facts: DataFrame, entities: DataFrame, pending: bool = False) -> Da
     kind: ``journey`` (rooted at a door), ``unwired`` (shaped like one, but no door) or
     ``behavior``.  While names are pending there are no journeys at all.
     """
-    return _journeys(facts, entities, pending)[1]
+    names, _, kinds = _journeys(facts, entities, pending)
+    return named(kinds, names, "entry").select("entry", "kind", "members", "depth", "family")
 
 
 def journey_facts(facts: DataFrame, entities: DataFrame, pending: bool = False) -> DataFrame:
@@ -139,14 +200,30 @@ def journey_facts(facts: DataFrame, entities: DataFrame, pending: bool = False)
     ``BehaviorGroup:<family>`` HAS_MEMBER its entries and what they reach.  ``line`` is the
     hop.  A member with an open name is unresolved and half as sure.
     """
-    kept, kinds = _journeys(facts, entities, pending)
-    kinds = stage(kinds.filter("kind <> 'unwired'").withColumn("subject", F.when(F.col("kind") == "journey", F.concat(F.lit("Journey:"), "entry")).otherwise(F.concat(F.lit("BehaviorGroup:"), "family"))), "journey-kinds")
+    names, kept, kinds = _journeys(facts, entities, pending)
+    return _member_facts(names, kept, kinds)
+
+
+def _member_facts(names: DataFrame, kept: DataFrame, kinds: DataFrame) -> DataFrame:
+    kinds = named(kinds.filter("kind <> 'unwired'").withColumn("_entry", F.col("entry")), names, "entry")
+    kinds = stage(kinds.withColumn("subject", F.when(F.col("kind") == "journey", F.concat(F.lit("Journey:"), "entry")).otherwise(F.concat(F.lit("BehaviorGroup:"), "family"))), "journey-kinds")
     journey = F.col("kind") == "journey"
     roots = kinds.select("subject", F.when(journey, "STARTS_AT").otherwise("HAS_MEMBER").alias("predicate"), F.col("entry").alias("object"), F.when(~journey, 0).alias("line"), F.lit(True).alias("resolved"))
-    members = kept.join(kinds.select("entry", "subject"), "entry").select("subject", F.lit("HAS_MEMBER").alias("predicate"), F.col("node").alias("object"), F.col("hop").alias("line"), (~F.contains("node", F.lit("${"))).alias("resolved"))
+    own = kept.join(kinds.select(F.col("_entry").alias("entry"), "subject").hint("merge"), "entry").select("subject", "node", "hop")
+    members = named(own, names, "node").select("subject", F.lit("HAS_MEMBER").alias("predicate"), F.col("node").alias("object"), F.col("hop").alias("line"), (~F.contains("node", F.lit("${"))).alias("resolved"))
     return roots.unionByName(members).withColumn("confidence", F.when(F.col("resolved"), 1.0).otherwise(0.5))
 
 
+def journey_entities(facts: DataFrame, entities: DataFrame, pending: bool = False) -> DataFrame:
+    """H8: (id, type, name) of the journeys and behaviour groups that ``journey_facts`` tells of, one row each."""
+    names, _, kinds = _journeys(facts, entities, pending)
+    rows = named(kinds.filter("kind <> 'unwired'"), names, "entry")
+    journey = F.col("kind") == "journey"
+    name = F.when(journey, F.col("entry")).otherwise(F.col("family"))
+    kind = F.when(journey, "Journey").otherwise("BehaviorGroup")
+    return rows.select(F.concat(kind, F.lit(":"), name).alias("id"), kind.alias("type"), name.alias("name")).distinct()
+
+
 def walk(facts: DataFrame, seeds: DataFrame, relations: Sequence[str] | None = None, hops: int = 2, direction: str = "out", limit: int = 50, app: str | None = None) -> DataFrame:
     """H9: edges within ``hops`` of seed names, distinct, first ``limit`` by (hop, src, relation, dst); of one application if named."""
     facts = facts if app is None else facts.filter(F.col("app_id") == app)
@@ -184,10 +261,12 @@ def longest_chain(walks: DataFrame) -> DataFrame:
     return path.select(F.col("hop").alias("step"), "node")
 
 
-def dead_ends(facts: DataFrame, predicates: Sequence[str] = ("CALLS",)) -> DataFrame:
-    """Objects of the given predicates that nothing flows out of."""
-    targets = facts.filter(F.col("predicate").isin(*predicates)).select(F.col("object").alias("node")).distinct()
-    return targets.join(flow_edges(facts).select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+def dead_ends(facts: DataFrame, predicates: Sequence[str] = ("INVOKES_LAMBDA",), types: Sequence[str] = ("StateMachine",)) -> DataFrame:
+    """(node, kind) that nothing flows out of: ``named``, nodes of ``types`` by their id, at either end of a fact, and
+    ``target``, objects of the given predicates."""
+    ends = facts.select(F.explode(F.array("subject", "object")).alias("node")).filter(F.contains("node", F.lit(":")) & S.type_of("node").isin(*types)).withColumn("kind", F.lit("named"))
+    targets = facts.filter(F.col("predicate").isin(*predicates)).select(F.col("object").alias("node"), F.lit("target").alias("kind"))
+    return ends.unionByName(targets).distinct().join(flow_edges(facts).select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
 def graph_tables(facts: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:

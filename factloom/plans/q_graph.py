@@ -43,8 +43,7 @@ def h03(v):
 
 @query("h04_bfs", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS} SELECT entry, node, hop FROM walks")
 def h04(v):
-    f = G.stage(v("facts"), "facts")
-    return G.bfs(G.flow_edges(f), G.entry_points(f)).select("entry", "node", "hop")
+    return G.walks(v("facts"))
 
 
 @query("h05_subsume", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS}, {DOOR}, {WIDE}, {HELD}, {ALIKE}, {SUBSUMED} SELECT entry FROM subsumed")
@@ -97,9 +96,14 @@ def h10(v):
     return G.longest_chain(G.stage(G.bfs(G.flow_edges(f), G.entry_points(f)), "walks"))
 
 
-@query("h11_dead_ends", f"WITH {FLOW} SELECT DISTINCT object AS node FROM facts WHERE predicate IN ('CALLS', 'QUERIES_DATABASE') AND object NOT IN (SELECT src FROM flow)")
+@query("h11_dead_ends", f"WITH {FLOW}, n AS (SELECT subject AS node FROM facts UNION SELECT object FROM facts) SELECT node, kind FROM (SELECT DISTINCT object AS node, 'target' AS kind FROM facts WHERE predicate IN ('CALLS', 'QUERIES_DATABASE') UNION ALL SELECT node, 'named' FROM n WHERE node LIKE 'APIEndpoint:%' OR node LIKE 'S3Object:%' OR node LIKE 'Module:%') x WHERE node NOT IN (SELECT src FROM flow)")
 def h11(v):
-    return G.dead_ends(v("facts"), ("CALLS", "QUERIES_DATABASE"))
+    return G.dead_ends(v("facts"), ("CALLS", "QUERIES_DATABASE"), ("APIEndpoint", "S3Object", "Module"))
+
+
+@query("h08_entities", f"WITH RECURSIVE {JOURNEYS} SELECT DISTINCT CASE kind WHEN 'journey' THEN 'Journey:' || entry ELSE 'BehaviorGroup:' || family END AS id, CASE kind WHEN 'journey' THEN 'Journey' ELSE 'BehaviorGroup' END AS type, CASE kind WHEN 'journey' THEN entry ELSE family END AS name FROM journeys WHERE kind <> 'unwired'")
+def h08_entities(v):
+    return G.journey_entities(v("facts"), v("entities"))
 
 
 _NODES = "nodes AS (SELECT id, arg_min(label, rank) AS label, min(rank) AS rank, min(app_id) AS app_id FROM (SELECT app_id AS id, 'Application' AS label, 0 AS rank, app_id FROM entities UNION ALL SELECT app_id || ':Component:' || split_part(file_path, '/', 2), 'Component', 1, app_id FROM entities UNION ALL SELECT app_id || ':' || id, type, 2, app_id FROM entities UNION ALL SELECT app_id || ':' || subject, split_part(subject, ':', 1), 3, app_id FROM facts UNION ALL SELECT app_id || ':' || object, split_part(object, ':', 1), 3, app_id FROM facts) x GROUP BY id)"
