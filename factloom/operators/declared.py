@@ -80,36 +80,58 @@ def machine_names(docs: DataFrame) -> DataFrame:
     return m.groupBy(F.regexp_replace("spec.definition", r"^(\./)+", "").alias("file")).agg(F.max("machine").alias("machine"))
 
 
-def state_machine_facts(docs: DataFrame) -> DataFrame:
-    """Facts of state machines: FEEDS to each successor and branch head, INVOKES_LAMBDA of tasks.
+def machine_states(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Machines (file, machine, named, start) and their states (file, machine, named, name, s, inner) of ``docs(file, json)``.
 
-    Without a name from a manifest the file's own name stands in, unresolved.  Nesting
-    (branches of Parallel, bodies of Map) is followed one level a round.
+    Without a name from a manifest the file's own name stands in.  Nesting (branches of
+    Parallel, bodies of Map, ``inner``) is followed one level a round.
     """
     top = docs.withColumn("m", F.from_json("json", MACHINE)).filter("m.StartAt IS NOT NULL AND m.States IS NOT NULL").join(machine_names(docs).hint("merge"), "file", "left")
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
     top = stage(top.select("file", F.coalesce("machine", stem).alias("machine"), F.col("machine").isNotNull().alias("named"), "m"), "machines")
-    state = lambda c: F.concat(F.lit("State:"), "machine", F.lit("::"), c)
-    out = top.select("file", F.concat(F.lit("StateMachine:"), "machine").alias("subject"), F.lit("FEEDS").alias("predicate"), state(F.col("m.StartAt")).alias("object"), F.col("named").alias("resolved"))
-    level = top.select("file", "machine", "named", F.explode("m.States").alias("name", "text"))
-    none = F.array().cast("array<string>")
+    level, every = top.select("file", "machine", "named", F.explode("m.States").alias("name", "text")), None
     while True:
-        st = level.filter(F.startswith("text", F.lit("{"))).withColumn("s", F.from_json("text", STATE))
+        st = level.filter(F.startswith("text", F.lit("{"))).withColumn("s", F.from_json("text", STATE)).drop("text")
         inner = F.filter(F.concat(F.coalesce("s.Branches", F.array().cast(f"array<{BODY}>")), F.array("s.Iterator", "s.ItemProcessor")), lambda x: x["States"].isNotNull())
         st = stage(st.withColumn("inner", inner), "states")
-        more = lambda c: F.coalesce(F.transform(c, lambda x: x["Next"]), none)
-        nexts = F.array_compact(F.concat(F.array("s.Next"), more("s.Choices"), F.array("s.Default"), more("s.Catch"), F.transform("inner", lambda x: x["StartAt"])))
-        feeds = st.select("file", state(F.col("name")).alias("subject"), F.lit("FEEDS").alias("predicate"), "machine", "named", F.explode(nexts).alias("next")).select("file", "subject", "predicate", state(F.col("next")).alias("object"), F.col("named").alias("resolved"))
-        res = F.col("s.Resource")
-        task = F.when(F.endswith(res, F.lit(":lambda:invoke")), S.arn_name(F.col("s.Parameters.FunctionName"))).when(F.contains(res, F.lit(":function:")), S.arn_name(res)).when((res != "") & ~F.contains(res, F.lit(":")), res)
-        runs = st.withColumn("task", task).filter("task IS NOT NULL").select("file", state(F.col("name")).alias("subject"), F.lit("INVOKES_LAMBDA").alias("predicate"), F.concat(F.lit("LambdaFunction:"), "task").alias("object"), (F.col("named") & ~S.has_token("task")).alias("resolved"))
-        out = out.unionByName(feeds).unionByName(runs)
+        every = st if every is None else every.unionByName(st)
         deeper = st.filter(F.size("inner") > 0)
         if deeper.isEmpty():
-            return out.withColumn("confidence", F.when(F.col("resolved"), 1.0).otherwise(0.5))
+            return top.select("file", "machine", "named", F.col("m.StartAt").alias("start")), every
         level = deeper.select("file", "machine", "named", F.explode("inner").alias("sub")).select("file", "machine", "named", F.explode("sub.States").alias("name", "text"))
 
 
+def state_machine_facts(docs: DataFrame, states: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Facts of state machines: FEEDS to each successor and branch head, INVOKES_LAMBDA of tasks.
+
+    A machine that no manifest names is unresolved, and so is what it does.
+    """
+    top, st = states or machine_states(docs)
+    state = lambda c: F.concat(F.lit("State:"), "machine", F.lit("::"), c)
+    none = F.array().cast("array<string>")
+    start = top.select("file", F.concat(F.lit("StateMachine:"), "machine").alias("subject"), F.lit("FEEDS").alias("predicate"), state(F.col("start")).alias("object"), F.col("named").alias("resolved"))
+    more = lambda c: F.coalesce(F.transform(c, lambda x: x["Next"]), none)
+    nexts = F.array_compact(F.concat(F.array("s.Next"), more("s.Choices"), F.array("s.Default"), more("s.Catch"), F.transform("inner", lambda x: x["StartAt"])))
+    feeds = st.select("file", state(F.col("name")).alias("subject"), F.lit("FEEDS").alias("predicate"), "machine", "named", F.explode(nexts).alias("next")).select("file", "subject", "predicate", state(F.col("next")).alias("object"), F.col("named").alias("resolved"))
+    res = F.col("s.Resource")
+    task = F.when(F.endswith(res, F.lit(":lambda:invoke")), S.arn_name(F.col("s.Parameters.FunctionName"))).when(F.contains(res, F.lit(":function:")), S.arn_name(res)).when((res != "") & ~F.contains(res, F.lit(":")), res)
+    runs = st.withColumn("task", task).filter("task IS NOT NULL").select("file", state(F.col("name")).alias("subject"), F.lit("INVOKES_LAMBDA").alias("predicate"), F.concat(F.lit("LambdaFunction:"), "task").alias("object"), (F.col("named") & ~S.has_token("task")).alias("resolved"))
+    return start.unionByName(feeds).unionByName(runs).withColumn("confidence", F.when(F.col("resolved"), 1.0).otherwise(0.5))
+
+
+def wiring_entities(docs: DataFrame, states: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(file, id, type, name) of declared functions, their event sources, state machines and states, one row a file and id."""
+    m = docs.withColumn("m", F.from_json("json", MANIFEST)).filter(F.exists(F.map_values("m.functions"), lambda s: s["handler"].isNotNull()))
+    fn = m.select("file", F.explode("m.functions").alias("name", "spec")).filter("spec IS NOT NULL")
+    out = fn.select("file", F.concat(F.lit("LambdaFunction:"), S.arn_name("name")).alias("id"), F.lit("LambdaFunction").alias("type"), "name")
+    sources = manifest_facts(docs).filter("predicate = 'RECEIVES_EVENT'").select("file", F.col("object").alias("id"), F.substring_index("object", ":", 1).alias("type"), F.col("object").alias("name"))
+    top, st = states or machine_states(docs)
+    machines = top.select("file", F.concat(F.lit("StateMachine:"), "machine").alias("id"), F.lit("StateMachine").alias("type"), F.col("machine").alias("name"))
+    name = F.concat_ws("::", "machine", "name")
+    inner = st.select("file", F.concat(F.lit("State:"), name).alias("id"), F.lit("State").alias("type"), name.alias("name"))
+    return out.unionByName(sources).unionByName(machines).unionByName(inner).dropDuplicates(["file", "id"])
+
+
 def workflow_steps(docs: DataFrame) -> DataFrame:
     """(file, pos, step, action, body) of the actions of workflow documents in ``docs(file, json)``."""
     rows = docs.select("file", F.posexplode(F.from_json("json", "actions array<string>")["actions"]).alias("pos", "body")).withColumn("action", F.get_json_object("body", "$.action")).filter("action IS NOT NULL")
@@ -149,6 +171,17 @@ def workflow_facts(steps: DataFrame) -> DataFrame:
     return defines.unionByName(own).unionByName(feeds)
 
 
+def workflow_entities(steps: DataFrame) -> DataFrame:
+    """(file, id, type, name) of workflow files and their steps, one row each."""
+    files = steps.select("file").distinct().select("file", F.concat(F.lit("WorkflowFile:"), "file").alias("id"), F.lit("WorkflowFile").alias("type"), F.col("file").alias("name"))
+    return files.unionByName(steps.select("file", F.col("step").alias("id"), F.lit("Step").alias("type"), S.name_of("step").alias("name")).distinct())
+
+
+def unknown_actions(steps: DataFrame) -> DataFrame:
+    """(file, action) that no rule knows, once each."""
+    return steps.filter(~F.col("action").isin(*KNOWN)).select("file", "action").distinct()
+
+
 def _cells(c: str) -> Column:
     return F.transform(F.split(F.regexp_replace(F.trim(c), r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x))
 

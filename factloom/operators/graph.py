@@ -269,19 +269,49 @@ def dead_ends(facts: DataFrame, predicates: Sequence[str] = ("INVOKES_LAMBDA",),
     return ends.unionByName(targets).distinct().join(flow_edges(facts).select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
+#: Kind of node and what is said of it, by predicate.
+RESOURCES = (("Endpoint", ("EXPOSES_ENDPOINT",)), ("Table", ("QUERIES_DATABASE", "WRITES_DATABASE")), ("DynamoDBTable", ("READS_DYNAMODB_TABLE", "WRITES_DYNAMODB_TABLE")), ("S3Path", ("READS_FROM_S3", "WRITES_TO_S3")))
+
+
 def graph_tables(facts: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (first definition wins: app, component, entity, stub) and edges with stable ids."""
+    """nodes(id, label, name, rank, app_id, properties) and edges(id, src, label, dst, app_id, properties).
+
+    Of equal node ids the first kind counts: application, component, entity, resource, then
+    the ends of facts; of equal edges the last fact's properties (by ``ord``).  Resources
+    are the endpoints, tables and paths that facts touch.
+    """
     key = lambda app, c: F.concat(F.col(app), F.lit(":"), F.col(c))
-    part = F.split("file_path", "/")[1]
-    apps = entities.select(F.col("app_id").alias("id"), F.lit("Application").alias("label"), F.lit(0).alias("rank"), "app_id")
-    comps = entities.select(F.concat("app_id", F.lit(":Component:"), part).alias("id"), F.lit("Component").alias("label"), F.lit(1).alias("rank"), "app_id")
-    ents = entities.select(key("app_id", "id").alias("id"), F.col("type").alias("label"), F.lit(2).alias("rank"), "app_id")
-    ends = facts.select("app_id", F.explode(F.array("subject", "object")).alias("name"))
-    stubs = ends.select(key("app_id", "name").alias("id"), S.type_of("name").alias("label"), F.lit(3).alias("rank"), "app_id")
-    nodes = apps.unionByName(comps).unionByName(ents).unionByName(stubs).groupBy("id").agg(F.min_by("label", "rank").alias("label"), F.min("rank").alias("rank"), F.min("app_id").alias("app_id"))
-    contains = comps.select(F.col("app_id").alias("src"), F.lit("CONTAINS").alias("label"), F.col("id").alias("dst"), "app_id")
-    defines = entities.select(F.concat("app_id", F.lit(":Component:"), part).alias("src"), F.lit("DEFINES").alias("label"), key("app_id", "id").alias("dst"), "app_id")
-    edges = contains.unionByName(defines).unionByName(facts.select(key("app_id", "subject").alias("src"), F.col("predicate").alias("label"), key("app_id", "object").alias("dst"), "app_id")).distinct()
+    props = lambda **kv: F.create_map(*[x for k, c in {"app_id": F.col("app_id"), **kv}.items() for x in (F.lit(k), F.coalesce(c.cast("string"), F.lit("")))])
+    parts, text = F.split("file_path", "/"), F.lit(None).cast("string")
+    part = F.get(parts, F.lit(1))
+    optional = lambda c: F.col(c) if c in entities.columns else text
+
+    def rows(df: DataFrame, id_: Column, label: Column, name: Column, rank: int, properties: Column) -> DataFrame:
+        return df.select(id_.alias("id"), label.alias("label"), F.lit(rank).alias("rank"), name.alias("name"), "app_id", properties.alias("properties"))
+
+    apps = entities.select("app_id").distinct()
+    comp = entities.groupBy("app_id", part.alias("c")).agg(F.count("*").alias("n"), F.min(F.concat_ws("/", F.get(parts, F.lit(0)), part)).alias("prefix"))
+    component = F.concat("app_id", F.lit(":Component:"), "c")
+    e = entities.withColumn("c", part)
+    nodes = rows(apps, F.col("app_id"), F.lit("Application"), F.col("app_id"), 0, F.create_map(F.lit("display_name"), F.col("app_id")))
+    nodes = nodes.unionByName(rows(comp, component, F.lit("Component"), F.col("c"), 1, props(path_prefix=F.col("prefix"), entity_count=F.col("n"))))
+    nodes = nodes.unionByName(rows(e, key("app_id", "id"), F.col("type"), S.name_of("id"), 2, props(component_id=component, language=optional("language"), file_path=F.col("file_path"))))
+    for label, predicates in RESOURCES:
+        own = facts.filter(F.col("predicate").isin(*predicates)).select("app_id", S.name_of("object").alias("name")).distinct()
+        more = {"Endpoint": {"kind": F.lit("exposed")}, "Table": {"resolved": F.when(F.contains("name", F.lit("${")), "False").otherwise("True")}}.get(label, {})
+        nodes = nodes.unionByName(rows(own, F.concat("app_id", F.lit(f":{label}:"), "name"), F.lit(label), F.col("name"), 3, props(**more)))
+    ends = facts.select("app_id", F.explode(F.array("subject", "object")).alias("end")).distinct()
+    nodes = nodes.unionByName(rows(ends, key("app_id", "end"), S.type_of("end"), S.name_of("end"), 4, props()))
+    first = F.min_by(F.struct("label", "rank", "name", "app_id", "properties"), F.struct("rank", "app_id", "name", F.map_values("properties"))).alias("x")
+    nodes = nodes.groupBy("id").agg(first).select("id", "x.label", "x.rank", "x.name", "x.app_id", "x.properties")
+    mine = F.create_map(F.lit("app_id"), F.col("app_id"))
+    last = F.lit(-1).cast("long")
+    edges = comp.select(F.col("app_id").alias("src"), F.lit("CONTAINS").alias("label"), component.alias("dst"), "app_id", last.alias("ord"), mine.alias("properties"))
+    edges = edges.unionByName(e.select(component.alias("src"), F.lit("DEFINES").alias("label"), key("app_id", "id").alias("dst"), "app_id", last.alias("ord"), mine.alias("properties")))
+    given = lambda k, c: F.when(c.isNotNull(), F.create_map(F.lit(k), c.cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    said = F.map_concat(mine, given("confidence", F.col("confidence")), given("resolved", F.col("resolved")), given("extraction_method", F.nullif(F.col("extraction_method"), F.lit(""))))
+    edges = edges.unionByName(facts.select(key("app_id", "subject").alias("src"), F.col("predicate").alias("label"), key("app_id", "object").alias("dst"), "app_id", F.col("ord").cast("long").alias("ord"), said.alias("properties")))
+    edges = edges.groupBy("src", "label", "dst", "app_id").agg(F.max_by("properties", "ord").alias("properties"))
     return nodes, edges.withColumn("id", S.edge_id("src", "label", "dst"))
 
 

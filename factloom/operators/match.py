@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import scalars as S
-from ..sources.staged import stage
+from ..sources import versions
+from ..sources.staged import shared_dir, stage
 
 KEY = ("stage", "intent", "actions", "outcomes")
 
@@ -37,11 +40,30 @@ def score(strict: bool = False) -> Column:
     return F.when((F.col("intent") != F.col("intent2")) & both, 0.0).when((F.col("intent") == F.col("intent2")) & both, F.least(F.lit(1.0), base + F.lit(0.05))).otherwise(base)
 
 
+#: Parts into which the reference classes of a suite are dealt.
+SALTS = 8
+#: Intents that a pair with a score can have.
+_MEETS = {"positive": ("positive", "neutral"), "negative": ("negative", "neutral"), "neutral": ("positive", "negative", "neutral")}
+
+
 def pair_scores(ref: DataFrame, cand: DataFrame, strict: bool = False) -> DataFrame:
-    """Scores of profile classes by application; a score depends on nothing else, so equal profiles are one row."""
-    r = ref.select("app_id", *KEY).distinct()
-    c = cand.select("app_id", *[F.col(k).alias(f"{k}2") for k in KEY]).distinct()
-    return r.join(c, "app_id").withColumn("score", score(strict)).filter("score > 0")
+    """Scores of profile classes by application; a score depends on nothing else, so equal profiles are one row.
+
+    Classes meet only where their intents can agree, in strict mode also only in the same
+    stage; those of one large suite meet in ``SALTS`` parts.
+    """
+    r = ref.select("app_id", *KEY).distinct().withColumn("_salt", F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int"))
+    c = cand.select("app_id", *[F.col(k).alias(f"{k}2") for k in KEY]).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = ["app_id", "intent2", "_salt"]
+    if strict:
+        r, c, on = r.withColumn("intent2", F.col("intent")).withColumn("_stage", F.col("stage")), c.withColumn("_stage", F.col("stage2")), [*on, "_stage"]
+    else:
+        met = F.array(F.col("intent"))
+        for kind, others in _MEETS.items():
+            met = F.when(F.col("intent") == kind, F.array(*[F.lit(o) for o in others])).otherwise(met)
+        r = r.withColumn("intent2", F.explode(met))
+    out = r.join(c.hint("merge"), on).withColumn("score", score(strict)).filter("score > 0")
+    return out.select("app_id", *KEY, *[f"{k}2" for k in KEY], "score")
 
 
 def _queues(members: pd.DataFrame) -> tuple[dict[int, list[np.ndarray]], np.ndarray]:
@@ -103,15 +125,15 @@ def greedy_match(ref: DataFrame, cand: DataFrame, threshold: float = 0.45, stric
 def unmatched(ref: DataFrame, cand: DataFrame, matches: DataFrame) -> DataFrame:
     """Reference rows without a match, with their best score over all pairs (0 if none)."""
     best = pair_scores(ref, cand).groupBy("app_id", *KEY).agg(F.max("score").alias("best"))
-    left = ref.join(matches.select(F.col("ref_id").alias("id")), "id", "left_anti")
+    left = ref.join(matches.select(F.col("ref_id").alias("id")).hint("merge"), "id", "left_anti")
     return left.join(best, ["app_id", *KEY], "left").select("app_id", "id", F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
 def match_requirements(items: DataFrame, generated: DataFrame, threshold: float = 0.45) -> DataFrame:
     """(app_id, item, generated, score, unit, negative): criteria matched as in D16, with their own attributes."""
-    found = greedy_match(items, generated, threshold).select(F.col("ref_id").alias("item"), F.col("cand_id").alias("generated"), "score")
+    found = greedy_match(items, generated, threshold).select(F.col("ref_id").alias("item"), F.col("cand_id").alias("generated"), "score").hint("merge")
     own = items.select("app_id", F.col("id").alias("item"), "unit", (F.col("intent") == "negative").alias("negative"))
-    return own.join(found.hint("merge"), "item")
+    return own.join(found, "item")
 
 
 def triangulate(manual: DataFrame, requirement: DataFrame) -> DataFrame:
@@ -127,15 +149,26 @@ GRAM = 3
 def near_unit(units: DataFrame, profiles: DataFrame) -> DataFrame:
     """Units whose id occurs, in any case, in a file or scenario name.
 
-    A unit meets the names that hold its first ``GRAM`` letters (all of a shorter one) and is then looked for in full.
+    A unit meets the names that hold the one of its grams (``GRAM`` letters, or all of a
+    shorter one) that the fewest names have, and is then looked for in full; so units with a
+    common beginning don't meet all names that share it.
     """
-    u = units.select("unit", F.lower("unit").alias("low")).withColumn("gram", F.substring("low", 1, GRAM))
-    names = profiles.select(F.col("name"), F.lower("feature_file").alias("file"), F.lower("name").alias("low_name"))
-    starts = lambda c: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c)))
-    grams = lambda c: F.flatten(F.transform(starts(c), lambda at: F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.substring(F.col(c), at, n))))
-    keyed = names.withColumn("gram", F.explode(F.array_distinct(F.concat(F.coalesce(grams("file"), F.array()), F.coalesce(grams("low_name"), F.array())))))
+    grams = lambda c, n: F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda at: F.substring(c, at, n)))
+    low = F.lower("unit")
+    u = units.select("unit", low.alias("low")).distinct().withColumn("n", F.least(F.lit(GRAM), F.length("low")))
+    asked = stage(u.select("unit", "low", F.explode(F.array_distinct(grams(F.col("low"), F.col("n")))).alias("gram")), "unit-grams")
+    names = stage(profiles.select(F.monotonically_increasing_id().alias("row"), "name", F.lower("feature_file").alias("file"), F.lower("name").alias("low_name")), "unit-names")
+    both = F.array_compact(F.array("file", "low_name"))
+    sizes = F.sequence(F.lit(0), F.lit(GRAM))
+    held = F.flatten(F.transform(both, lambda t: F.flatten(F.transform(sizes, lambda n: F.filter(grams(t, n), lambda g: F.length(g) == n)))))
+    keyed = names.select("row", F.explode(F.array_distinct(held)).alias("gram")).join(asked.select("gram").distinct().hint("merge"), "gram", "left_semi")
+    keyed = stage(keyed, "unit-keys")
+    counts = keyed.groupBy("gram").agg(F.count("*").alias("held"))
+    rare = asked.join(counts.hint("merge"), "gram", "left").groupBy("unit", "low").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("r")).filter("r.held > 0")
+    pairs = rare.select("unit", "low", F.col("r.gram").alias("gram")).join(keyed.hint("merge"), "gram").select("unit", "low", "row")
     hit = F.coalesce(F.contains("file", "low"), F.lit(False)) | F.coalesce(F.contains("low_name", "low"), F.lit(False))
-    return keyed.join(u.hint("merge"), "gram").filter(hit).select("unit", "name")
+    found = pairs.join(names.hint("merge"), "row").filter(hit).select("unit", "name")
+    return units.select("unit").join(found.hint("merge"), "unit")
 
 
 def apply_credits(credits: DataFrame, missing: DataFrame, generated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -144,16 +177,35 @@ def apply_credits(credits: DataFrame, missing: DataFrame, generated: DataFrame)
     return kept, missing.join(kept.select("manual"), "manual", "left_anti")
 
 
-def coverage_assist(manual: DataFrame, generated: DataFrame, matches: DataFrame, ask) -> tuple[DataFrame, DataFrame]:
-    """L2: (manual) credited and (id) redundant rows, from what ``ask`` says about the unmatched manual and the generated rows.
+NOTES = "note string"
+_CREDITS, _REDUNDANT = "manual {0}, generated {1}, covers boolean", "id {1}"
+
+
+def coverage_assist(manual: DataFrame, generated: DataFrame, matches: DataFrame, ask, cache: str | None = None, salt: str = "1") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """L2: (manual) credited and (id) redundant rows, from what ``ask`` says about the unmatched manual and the generated rows, and notes.
 
     ``ask(missing, generated)`` returns credits(manual, generated, covers) and redundant(id);
-    what names no such row is left out.
+    what names no such row is left out.  With the folder ``cache`` an answer is kept under
+    the fingerprint of both tables and the salt, and the same question isn't asked again.  A
+    failing ``ask`` credits nothing and leaves a note.
     """
-    missing = stage(manual.join(matches.select(F.col("ref_id").alias("id")), "id", "left_anti"), "assist-missing")
-    credits, redundant = ask(missing, generated)
+    spark = manual.sparkSession
+    missing = stage(manual.join(matches.select(F.col("ref_id").alias("id")).hint("merge"), "id", "left_anti"), "assist-missing")
+    types = [dict(df.select("id").dtypes)["id"] for df in (missing, generated)]
+    tables = {"credits": _CREDITS.format(*types), "redundant": _REDUNDANT.format(*types)}
+    root = cache or f"{shared_dir(spark)}/assist-{uuid.uuid4().hex}"
+    print_ = lambda df: "|".join(map(str, df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns)), F.sum(F.pmod(F.xxhash64(F.lit(7), *df.columns), F.lit(1 << 31)))).first()))
+    name = hashlib.sha256(f"{salt}#{print_(missing)}#{print_(generated)}".encode()).hexdigest()[:32]
+    notes: list[tuple[str]] = []
+    if name not in versions.current(spark, root):
+        try:
+            credits, redundant = ask(missing, generated)
+            versions.publish(spark, root, name, {"credits": credits.select("manual", "generated", "covers"), "redundant": redundant.select("id").distinct()})
+        except Exception as e:  # what an assistant can't answer stays open
+            notes.append((f"coverage assist failed: {type(e).__name__}: {str(e).splitlines()[0][:200]}",))
+    credits, redundant = (versions.read(spark, root, t, schema, [name]) for t, schema in tables.items())
     named = apply_credits(credits.filter("covers"), missing.select(F.col("id").alias("manual")), generated.select(F.col("id").alias("generated")))[0]
-    return named.select("manual").distinct(), redundant.select("id").distinct().join(generated.select("id"), "id", "left_semi")
+    return named.select("manual").distinct(), redundant.join(generated.select("id").hint("merge"), "id", "left_semi"), spark.createDataFrame(notes, NOTES)
 
 
 def profile_scenarios(steps: DataFrame) -> DataFrame:
@@ -185,6 +237,47 @@ def label(df: DataFrame, fn, cache: DataFrame, salt: str = "1") -> DataFrame:
     return cache.select("fingerprint", "label").unionByName(new)
 
 
+LABELS = "fingerprint string, label string"
+
+
+def _guarded(fn):
+    """``fn`` batch by batch; a batch that fails gives rows without a label and the error as a note."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            try:
+                out = pd.concat([pd.DataFrame(columns=["fingerprint", "label"]), *fn(iter([pdf]))])[["fingerprint", "label"]].assign(note=None)
+            except Exception as e:  # the others are labelled all the same
+                out = pd.DataFrame({"fingerprint": pdf["fingerprint"], "label": None, "note": f"{type(e).__name__}: {e}"})
+            yield out
+
+    return run
+
+
+def label_once(df: DataFrame, fn, root: str, salt: str = "1", name: str = "labels") -> DataFrame:
+    """L1: (fingerprint, label, note) of the texts of ``df``, from the table of labels below ``root`` and ``fn`` over what it lacks.
+
+    New labels are appended to the table, so nothing is asked twice, however many runs there
+    are; texts of a batch that failed have a note, no label, and are asked again next time.
+    """
+    spark = df.sparkSession
+    keyed = stage(df.select(F.sha2(F.concat(F.lit(salt), "text"), 256).alias("fingerprint"), "text").dropDuplicates(["fingerprint"]), "label-texts")
+    known = versions.read(spark, root, "labels", LABELS, [name]).dropDuplicates(["fingerprint"])
+    known = stage(keyed.select("fingerprint").join(known.hint("merge"), "fingerprint"), "label-known")
+    new = keyed.join(known.select("fingerprint").hint("merge"), "fingerprint", "left_anti").mapInPandas(_guarded(fn), LABELS + ", note string")
+    new = stage(new, "label-new")
+    gained = new.filter("note IS NULL AND label IS NOT NULL").select("fingerprint", "label")
+    if not gained.isEmpty():
+        versions.append(spark, root, name, "labels", gained)
+    return known.withColumn("note", F.lit(None).cast("string")).unionByName(new)
+
+
+def compact_labels(spark: SparkSession, root: str, name: str = "labels") -> None:
+    """L1: the table of labels anew, one row a fingerprint in few files; readers go on with the old one until it is complete."""
+    rows = versions.read(spark, root, "labels", LABELS, [name])
+    versions.publish(spark, root, name, {"labels": rows.dropDuplicates(["fingerprint"])})
+
+
 def batch(df: DataFrame, max_n: int, max_chars: int, key: str = "doc_id", order: str = "pos", size: str = "size") -> DataFrame:
     """F8: batch numbers inside each key: a batch closes at ``max_n`` items or before ``max_chars`` is passed."""
 
@@ -213,31 +306,8 @@ def approved_examples(examples: DataFrame, unit: str, n: int = 2) -> DataFrame:
     return examples.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-#: Queries that meet all vectors at once.
-QUERIES = 4096
-
-
-def _best(k: int, shared):
-    """Each task's ``k`` nearest of every query of the block, by cosine to nine places, then id."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("cosine", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        best: list[tuple[np.ndarray, ...]] = []  # (query, vector, cosine) still in the race
-        for b in batches:
-            own = b.column("vec_id").to_numpy()
-            s = np.round(unit_rows(np.array(b.column("e").to_pylist(), np.float64).reshape(len(own), -1)) @ q.T, 9)
-            s[own[:, None] == ids[None, :]] = -np.inf
-            least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(len(ids), -np.inf)
-            at, col = np.nonzero((s >= least) & (s > -np.inf))
-            best.append((col, own[at], s[at, col]))
-            if len(best) > 8:
-                best = [_first(best, k)]
-        if best:
-            col, vec, cosine = _first(best, k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[col]), pa.array(vec), pa.array(cosine)], schema=schema)
-
-    return run
+#: Queries and vectors of one task.
+QUERIES, VECTORS = 4096, 32_768
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -255,26 +325,44 @@ def _first(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...
     return query[kept], vec[kept], cosine[kept]
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERIES) -> DataFrame:
+def _nearest(k: int):
+    """The ``k`` nearest of a part of the vectors to each query of a block, by cosine to nine places, then id."""
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return unit_rows(np.array(table["e"].to_pylist(), np.float64).reshape(table.num_rows, -1))
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        ids, best = queries["vec_id"].to_numpy(), []
+        if queries.num_rows:
+            q = matrix(queries)
+            for at in range(0, vectors.num_rows, 4096):
+                part = vectors.slice(at, 4096)
+                own = part["vec_id"].to_numpy()
+                s = np.round(matrix(part) @ q.T, 9)
+                s[own[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(len(ids), -np.inf)
+                row, col = np.nonzero((s >= least) & (s > -np.inf))
+                best = [_first([*best, (col, own[row], s[row, col])], k)]
+        col, vec, cosine = best[0] if best else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": pa.array(ids[col], pa.int64()), "vec_id": pa.array(vec, pa.int64()), "cosine": pa.array(cosine, pa.float64())})
+
+    return run
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERIES, part: int = VECTORS) -> DataFrame:
     """(query_id, vec_id, cosine, rank) by cosine to nine places, then id.  ``queries`` is the stated query set.
 
-    ``block`` queries at a time are multiplied with all vectors; each task keeps its ``k`` best
-    of each query before the shuffle.  Vectors without length have cosine 0, null ones are left out.
+    Blocks of some ``block`` queries meet parts of some ``part`` vectors, one pair a task;
+    a task returns its ``k`` best of each query.  Vectors without length have cosine 0, null
+    ones are left out; a query id that occurs twice counts once.
     """
-    spark = vectors.sparkSession
-    v = vectors.filter("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    rows = lambda df, name: stage(df.filter("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")), name)
+    v, q = rows(vectors, "vectors"), rows(queries.dropDuplicates(["vec_id"]), "vector-queries")
+    parts, blocks = max(1, -(-v.count() // part)), max(1, -(-q.count() // block))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.withColumn("part", deal(parts)).withColumn("block", every(blocks))
+    q = q.withColumn("block", deal(blocks)).withColumn("part", every(parts))
+    found = q.groupBy("part", "block").cogroup(v.groupBy("part", "block")).applyInArrow(_nearest(k), "query_id long, vec_id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    out, some = None, []
-
-    def ask() -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in some], np.int64), unit_rows(np.array([r[1] for r in some], np.float64))))
-        found = v.mapInArrow(_best(k, shared), "query_id long, vec_id long, cosine double")
-        return stage(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "nearest")
-
-    for r in queries.filter("embedding IS NOT NULL").select("vec_id", "embedding").toLocalIterator():
-        some.append(r)
-        if len(some) == block:
-            out, some = ask() if out is None else out.unionByName(ask()), []
-    if some:
-        out = ask() if out is None else out.unionByName(ask())
-    return out if out is not None else spark.createDataFrame([], "query_id long, vec_id long, cosine double, rank int")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -43,6 +43,10 @@ _STATES = """concat('S', o_orderkey, ': {', CASE WHEN o_orderstatus = 'P' THEN c
  UNION ALL SELECT file, known, 'State:' || machine || '::B' || k, 'INVOKES_LAMBDA', 'LambdaFunction:fn' || k FROM m WHERE st = 'P')
  SELECT file, subject, predicate, object, known AS resolved, CASE WHEN known THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM e""")
 def i12b(v):
+    return D.state_machine_facts(_machines(v))
+
+
+def _machines(v):
     from pyspark.sql import Window
 
     o = v("orders").withColumn("nxt", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
@@ -50,7 +54,27 @@ def i12b(v):
     first = v("orders").groupBy(F.col("o_custkey").alias("file")).agg(F.min("o_orderkey").alias("k"))
     machines = states.join(first, "file").selectExpr("concat('sm/c', file, '.json') AS file", "concat('{StartAt: S', k, ', States: {', text, '}}') AS text")
     names = _doc(v("orders").select("o_custkey").distinct().filter("o_custkey % 2 = 0"), "concat('manifest', o_custkey % 4)", "o_custkey", "concat('named', o_custkey, ': {definition: ./sm/c', o_custkey, '.json}')", "{stateMachines: {", "}}", ", ")
-    return D.state_machine_facts(D.as_json(machines.unionByName(names)))
+    return D.as_json(machines.unionByName(names))
+
+
+@query("i12_entities", """WITH m AS (SELECT o_orderkey AS k, o_orderstatus AS st, 'sm/c' || o_custkey || '.json' AS file, CASE WHEN o_custkey % 2 = 0 THEN 'named' || o_custkey ELSE 'c' || o_custkey END AS machine FROM orders),
+ fn AS (SELECT 'm' || s_nationkey AS file, s_suppkey AS k, s_nationkey AS n FROM supplier)
+ SELECT DISTINCT file, 'StateMachine:' || machine AS id, 'StateMachine' AS type, machine AS name FROM m UNION ALL SELECT file, 'State:' || machine || '::S' || k, 'State', machine || '::S' || k FROM m UNION ALL SELECT file, 'State:' || machine || '::B' || k, 'State', machine || '::B' || k FROM m WHERE st = 'P'
+ UNION ALL SELECT file, 'LambdaFunction:fn' || k, 'LambdaFunction', 'fn' || k FROM fn
+ UNION ALL SELECT DISTINCT file, x, split_part(x, ':', 1), x FROM (SELECT file, CASE k % 5 WHEN 0 THEN 'S3Bucket:b' || n WHEN 1 THEN 'Schedule:rate(' || k || ')' WHEN 2 THEN 'APIEndpoint:POST /p' WHEN 3 THEN 'Queue:q' || k ELSE 'Topic:<unknown>' END AS x FROM fn UNION ALL SELECT file, 'EventSource:odd' FROM fn WHERE k % 5 = 2) y""")
+def i12c(v):
+    manifests = D.as_json(_doc(v("supplier"), "concat('m', s_nationkey)", "s_suppkey", _FUNCTION, '{"functions":{', "}}"))
+    return D.wiring_entities(_machines(v).unionByName(manifests))
+
+
+@query("i13_entities", "SELECT DISTINCT 'w' || (user_id % 50) AS file, 'WorkflowFile:w' || (user_id % 50) AS id, 'WorkflowFile' AS type, 'w' || (user_id % 50) AS name FROM events UNION ALL SELECT 'w' || (user_id % 50), 'Step:w' || (user_id % 50) || '::s' || event_id, 'Step', 'w' || (user_id % 50) || '::s' || event_id FROM events")
+def i13c(v):
+    return D.workflow_entities(_workflows(v))
+
+
+@query("i13_unknown_actions", "SELECT DISTINCT 'w' || (user_id % 50) AS file, 'ODD' AS action FROM events WHERE event_type = 'error'")
+def i13d(v):
+    return D.unknown_actions(_workflows(v))
 
 
 _ACTION = """concat('- action: ', CASE event_type WHEN 'view' THEN 'EXTRACT' WHEN 'signup' THEN 'TRANSFORM' WHEN 'error' THEN 'ODD' ELSE 'LOAD' END, '\n  name: s', event_id, CASE event_type WHEN 'view' THEN concat('\n  dataframe: df', event_id % 7, '\n  dataBackbone: "x:name=t', event_id % 3, ':y"') WHEN 'signup' THEN concat('\n  srcDataframe: df', event_id % 7, '\n  trgDataframe: df', event_id % 5) WHEN 'error' THEN concat('\n  dataframe: df', event_id % 7, '\n  target: s3://bucket/', event_id) ELSE concat('\n  dataframe: df', event_id % 7, '\n  table: t', event_id % 4, '\n  sql: "select 1 from df', event_id % 6, '"') END)"""
@@ -112,5 +136,5 @@ def l02(v):
         credits = missing.select("id", (F.col("id") + 1).alias("by"), (F.col("id") % 2 == 0).alias("covers")).withColumnsRenamed({"id": "manual", "by": "generated"})
         return credits, generated.filter("id % 5 = 0").select("id").unionByName(generated.select((-F.col("id") - 1).alias("id")))
 
-    credited, redundant = M.coverage_assist(ref, cand, ref.filter("id % 3 = 0").select(F.col("id").alias("ref_id")), ask)
+    credited, redundant, _ = M.coverage_assist(ref, cand, ref.filter("id % 3 = 0").select(F.col("id").alias("ref_id")), ask)
     return credited.select(F.lit("credited").alias("kind"), F.col("manual").alias("id")).unionByName(redundant.select(F.lit("redundant").alias("kind"), "id"))

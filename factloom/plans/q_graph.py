@@ -106,20 +106,30 @@ def h08_entities(v):
     return G.journey_entities(v("facts"), v("entities"))
 
 
-_NODES = "nodes AS (SELECT id, arg_min(label, rank) AS label, min(rank) AS rank, min(app_id) AS app_id FROM (SELECT app_id AS id, 'Application' AS label, 0 AS rank, app_id FROM entities UNION ALL SELECT app_id || ':Component:' || split_part(file_path, '/', 2), 'Component', 1, app_id FROM entities UNION ALL SELECT app_id || ':' || id, type, 2, app_id FROM entities UNION ALL SELECT app_id || ':' || subject, split_part(subject, ':', 1), 3, app_id FROM facts UNION ALL SELECT app_id || ':' || object, split_part(object, ':', 1), 3, app_id FROM facts) x GROUP BY id)"
-_GEDGES = "gedges AS (SELECT DISTINCT src, label, dst, app_id, left(sha256(src || '|' || label || '|' || dst), 16) AS id FROM (SELECT app_id AS src, 'CONTAINS' AS label, app_id || ':Component:' || split_part(file_path, '/', 2) AS dst, app_id FROM entities UNION ALL SELECT app_id || ':Component:' || split_part(file_path, '/', 2), 'DEFINES', app_id || ':' || id, app_id FROM entities UNION ALL SELECT app_id || ':' || subject, predicate, app_id || ':' || object, app_id FROM facts) x)"
+_RES = " ".join(f"UNION ALL SELECT app_id || ':{label}:' || substring(object, position(':' in object) + 1), '{label}', 3, substring(object, position(':' in object) + 1), app_id, {extra} FROM facts WHERE predicate IN {_in(preds)}" for (label, preds), extra in zip(G.RESOURCES, ("'kind=exposed'", "'resolved=' || CASE WHEN contains(object, '$' || chr(123)) THEN 'False' ELSE 'True' END", "''", "''")))
+_NODES = f"raw AS (SELECT DISTINCT app_id AS id, 'Application' AS label, 0 AS rank, app_id AS name, app_id, '' AS said FROM entities UNION ALL SELECT app_id || ':Component:' || split_part(file_path, '/', 2), 'Component', 1, split_part(file_path, '/', 2), app_id, 'entity_count=' || count(*) FROM entities GROUP BY app_id, split_part(file_path, '/', 2) UNION ALL SELECT app_id || ':' || id, type, 2, name, app_id, 'file_path=' || file_path FROM entities {_RES} UNION ALL SELECT app_id || ':' || subject, split_part(subject, ':', 1), 4, substring(subject, position(':' in subject) + 1), app_id, '' FROM facts UNION ALL SELECT app_id || ':' || object, split_part(object, ':', 1), 4, substring(object, position(':' in object) + 1), app_id, '' FROM facts), nodes AS (SELECT id, arg_min(label, rank) AS label, min(rank) AS rank, arg_min(name, rank) AS name, min(app_id) AS app_id, arg_min(said, rank) AS said FROM raw GROUP BY id)"
+_GEDGES = "gedges AS (SELECT src, label, dst, app_id, left(sha256(src || '|' || label || '|' || dst), 16) AS id, arg_max(said, ord) AS said FROM (SELECT app_id AS src, 'CONTAINS' AS label, app_id || ':Component:' || split_part(file_path, '/', 2) AS dst, app_id, -1 AS ord, '' AS said FROM entities UNION ALL SELECT app_id || ':Component:' || split_part(file_path, '/', 2), 'DEFINES', app_id || ':' || id, app_id, -1, '' FROM entities UNION ALL SELECT app_id || ':' || subject, predicate, app_id || ':' || object, app_id, ord, resolved || ' ' || extraction_method || ' ' || (confidence IS NULL) FROM facts) x GROUP BY src, label, dst, app_id)"
+
+
+def _said(df):
+    """One text of the properties that the SQL has too."""
+    p = F.col("properties")
+    one = lambda k: F.concat(F.lit(f"{k}="), p[k])
+    return df.withColumn("said", F.coalesce(*[one(k) for k in ("entity_count", "file_path", "kind", "resolved")], F.lit(""))).drop("properties")
 
 
 @query("h12_graph_nodes", f"WITH {_NODES} SELECT * FROM nodes")
 def h12(v):
-    return G.graph_tables(v("facts"), v("entities"))[0]
+    return _said(G.graph_tables(v("facts"), v("entities"))[0])
 
 
 @query("h12_graph_edges", f"WITH {_GEDGES} SELECT * FROM gedges")
 def h12e(v):
-    return G.graph_tables(v("facts"), v("entities"))[1]
+    p = F.col("properties")
+    said = F.coalesce(F.concat_ws(" ", p["resolved"], p["extraction_method"], F.when(p["resolved"].isNotNull(), p["confidence"].isNull().cast("string"))), F.lit(""))
+    return G.graph_tables(v("facts"), v("entities"))[1].withColumn("said", said).drop("properties")
 
 
 @query("h13_drop_app", f"WITH {_NODES} SELECT * FROM nodes WHERE app_id <> 'events'")
 def h13(v):
-    return G.drop_app(*G.graph_tables(v("facts"), v("entities")), "events")[0]
+    return _said(G.drop_app(*G.graph_tables(v("facts"), v("entities")), "events")[0])

@@ -130,12 +130,17 @@ def load_bindings(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_kb(spark: SparkSession, table: str, app: str) -> DataFrame:
-    """One application's rows; the filter reaches the scan."""
+    """One application's rows of a Parquet table; the filter reaches the scan.  ``database.read_kb_table`` asks a database."""
     return spark.read.parquet(table).filter(F.col("app_id") == app)
 
 
-def prefer(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
-    """A delivered artifact (lower rank) beats a generated one of the same name."""
+def prefer(df: DataFrame, keys: list[str], rank: str, required: DataFrame | None = None) -> DataFrame:
+    """A delivered artifact (lower rank) beats a generated one of the same name.
+
+    With ``required(keys)``, a name of which neither exists is an error.
+    """
+    if required is not None and (lacking := required.select(*keys).distinct().join(df.select(*keys), keys, "left_anti").limit(5).collect()):
+        raise FileNotFoundError(f"neither delivered nor generated: {[tuple(r) for r in lacking]}")
     w = Window.partitionBy(*keys).orderBy(rank)
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +33,98 @@ def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: str,
     return latest(both, keys, [F.desc("_src"), F.desc(order)]).drop("_src")
 
 
-def write_graph_csv(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Bulk-load files with ``~id``, ``~label``, ``~from``, ``~to``, by application."""
-    nodes.select(F.col("id").alias("~id"), F.col("label").alias("~label"), "app_id").write.mode("overwrite").partitionBy("app_id").csv(f"{path}/nodes", header=True)
-    edges.select(F.col("id").alias("~id"), F.col("src").alias("~from"), F.col("dst").alias("~to"), F.col("label").alias("~label"), "app_id").write.mode("overwrite").partitionBy("app_id").csv(f"{path}/edges", header=True)
+def property_keys(df: DataFrame, order: Sequence[str]) -> list[str]:
+    """Keys of the ``properties`` maps, by the first row in ``order`` that has them and their place there."""
+    at = df.select(F.struct(*order).alias("row"), F.posexplode(F.map_keys("properties")).alias("k", "key"))
+    firsts = at.groupBy("key").agg(F.min(F.struct("row", "k")).alias("first")).orderBy("first", "key")
+    return [r["key"] for r in firsts.select("key").collect()]  # one row a kind of property
 
 
-def write_quads(facts: DataFrame, metadata: dict[str, str], path: str) -> None:
-    """Facts as JSON rows by application, each with the metadata trail."""
-    trail = F.create_map(*[F.lit(x) for kv in metadata.items() for x in kv])
-    facts.withColumn("metadata", trail).write.mode("overwrite").partitionBy("app_id").json(path)
+def write_graph_csv(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Bulk-load files by application: ``~id``, ``~label``, ``name:String`` or ``~id``, ``~from``, ``~to``, ``~label``,
+    then a column for every property that any row has.
+
+    The first pass finds the columns, so that all files have one header; what a row lacks is empty.
+    """
+
+    def put(df: DataFrame, fixed: dict[str, str], order: Sequence[str], name: str) -> None:
+        keys = property_keys(df, order)
+        plain = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for k, c in fixed.items()]
+        rest = [F.coalesce(F.try_element_at("properties", F.lit(k)), F.lit("")).alias(f"{k}:String") for k in keys]
+        df.select(*plain, *rest, "app_id").write.mode("overwrite").partitionBy("app_id").options(header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/{name}")
+
+    put(nodes, {"~id": "id", "~label": "label", "name:String": "name"}, ("rank", "id"), "nodes")
+    put(edges, {"~id": "id", "~from": "src", "~to": "dst", "~label": "label"}, ("id",), "edges")
+
+
+def write_files(rows: DataFrame, path: str, extension: str) -> list[str]:
+    """One text file a name of ``rows(name, pos, line)``, lines in order of ``pos``; returns the paths.
+
+    Spark writes and commits below a folder beside ``path`` first, so a failed task leaves no
+    file; then each file is moved to its name, over an earlier one.  A file goes through one
+    task, line by line.
+    """
+    spark = rows.sparkSession
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    rows.repartition("name").sortWithinPartitions("name", *(["pos"])).select("name", "line").write.partitionBy("name").option("lineSep", "\n").text(aside)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root, target = jvm.Path(aside), jvm.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    out = []
+    for status in fs.globStatus(jvm.Path(f"{aside}/name=*/part-*")) or []:
+        name = re.sub(r"[^\w.-]+", "_", unquote(status.getPath().getParent().getName().split("=", 1)[1]))
+        to = jvm.Path(target, name + extension)
+        fs.delete(to, False)
+        if not fs.rename(status.getPath(), to):
+            raise OSError(f"{to} could not be written")
+        out.append(to.toString())
+    fs.delete(root, True)
+    return sorted(out)
+
+
+_CONTEXT = "named_struct('source_language', language, 'file_path', file_path, 'line_start', line, 'extraction_method', extraction_method, 'confidence', confidence, 'resolved', resolved)"
+
+
+def write_quads(facts: DataFrame, metadata: DataFrame, path: str, entities: DataFrame | None = None, notes: DataFrame | None = None, bindings: DataFrame | None = None) -> list[str]:
+    """One fact file an application of ``metadata(app_id, metadata map)``, which ``readers.scan_quads`` reads back.
+
+    ``facts(app_id, ord, subject, predicate, object, language, file_path, line,
+    extraction_method, confidence, resolved)``, ``entities(app_id, id, type, name, language,
+    file_path, line_start, line_end)``, ``notes(app_id, ord, text, subject, file_path, line,
+    provenance)``, ``bindings(app_id, token, value)``.  Files are YAML: a section a line, its
+    entries as JSON, which YAML includes, so that none is held whole.
+    """
+    keep = {"ignoreNullFields": "false"}
+    entry = lambda struct: F.concat(F.lit("- "), F.to_json(struct, keep))
+    none = F.lit(None)
+    parts = [metadata.select("app_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), F.lit("").alias("key"), F.concat(F.lit("metadata: "), F.to_json(F.map_concat(F.col("metadata"), F.create_map(F.lit("app_id"), F.col("app_id"))), keep)).alias("line"))]
+    counts = metadata.select("app_id")
+    sections = {"entities": (entities, lambda: F.struct("id", "type", "name", "language", F.struct("file_path", "line_start", "line_end").alias("source")), "id"), "quads": (facts, lambda: F.struct("subject", "predicate", "object", F.col("predicate").alias("relationship_type"), F.expr(_CONTEXT).alias("context")), "ord"), "notes": (notes, lambda: F.struct("text", "subject", "file_path", "line", "provenance"), "ord")}
+    total = F.lit("")
+    for k, (name, (df, struct, order)) in enumerate(sections.items(), 2):
+        single = {"entities": "entity_count", "quads": "quad_count", "notes": "note_count"}[name]
+        if df is None:
+            parts.append(metadata.select("app_id", F.lit(k).alias("part"), F.lit(-1).cast("long").alias("n"), F.lit("").alias("key"), F.lit(f"{name}: []").alias("line")))
+            total = F.concat(total, F.lit(f', "{single}": 0'))
+            continue
+        n = df.groupBy("app_id").agg(F.count("*").alias(single))
+        counts = counts.join(n.hint("merge"), "app_id", "left").withColumn(single, F.coalesce(single, F.lit(0).cast("long")))
+        total = F.concat(total, F.lit(f', "{single}": '), F.col(single).cast("string"))
+        head = F.when(F.col(single) > 0, f"{name}:").otherwise(f"{name}: []")
+        parts.append(counts.select("app_id", F.lit(k).alias("part"), F.lit(-1).cast("long").alias("n"), F.lit("").alias("key"), head.alias("line")))
+        n, key = (F.col("ord").cast("long"), F.lit("")) if order == "ord" else (F.lit(0).cast("long"), F.col("id"))
+        parts.append(df.join(metadata.select("app_id").hint("merge"), "app_id", "left_semi").select("app_id", F.lit(k).alias("part"), n.alias("n"), key.alias("key"), entry(struct()).alias("line")))
+    parts.append(counts.select("app_id", F.lit(1).alias("part"), F.lit(0).cast("long").alias("n"), F.lit("").alias("key"), F.concat(F.lit("summary: {"), F.substr(total, F.lit(3)), F.lit("}")).alias("line")))
+    held = metadata.select("app_id", none.cast("map<string,string>").alias("b")) if bindings is None else metadata.select("app_id").join(bindings.groupBy("app_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "value")))).alias("b")).hint("merge"), "app_id", "left")
+    parts.append(held.select("app_id", F.lit(9).alias("part"), F.lit(0).cast("long").alias("n"), F.lit("").alias("key"), F.concat(F.lit("bindings: "), F.coalesce(F.to_json("b"), F.lit("{}"))).alias("line")))
+    rows = reduce(DataFrame.unionByName, parts)
+    return write_files(rows.select(F.col("app_id").alias("name"), F.struct("part", "n", "key").alias("pos"), "line"), path, "_quads.yaml")
+
+
+def write_documents(markdown: DataFrame, path: str) -> list[str]:
+    """One Markdown file a unit of ``markdown(unit, markdown)``."""
+    return write_files(markdown.select(F.col("unit").alias("name"), F.lit(0).alias("pos"), F.rtrim("markdown", F.lit("\n")).alias("line")), path, ".md")
 
 
 def write_report(df: DataFrame, path: str) -> None:
