@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +18,26 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-factloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/factloom/{spark.sparkContext.applicationId}"
+    return "/".join([base.rstrip("/"), "factloom", spark.sparkContext.applicationId, *_scopes])
+
+
+#: Folders below the application's that tables are staged in at the moment, outermost first.
+_scopes: list[str] = []
+
+
+@contextmanager
+def own_folder(spark: SparkSession) -> Iterator[str]:
+    """Tables staged inside the block lie in a folder of their own, which is given; ``drop_folder`` deletes it once what reads them is written."""
+    _scopes.append(f"part-{uuid.uuid4().hex}")
+    try:
+        yield shared_dir(spark)
+    finally:
+        _scopes.pop()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -29,8 +50,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete this application's staged tables; call it once the results that read them are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folder(spark, shared_dir(spark))
 
 
 #: Rows of a table that is sent to every task, some 10 MB of ids and names.

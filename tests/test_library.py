@@ -261,3 +261,15 @@ def test_staged_tables_can_be_dropped(spark):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     drop_staged(spark)
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_a_part_of_the_staged_tables_can_be_dropped(spark):
+    from factloom.sources.staged import drop_folder, own_folder, stage
+
+    with own_folder(spark) as folder:
+        inner = stage(spark.range(3), "inner")
+    outer = stage(inner, "outer")
+    drop_folder(spark, folder)
+    assert outer.count() == 3 and all(folder not in f for f in outer.inputFiles())
+    with pytest.raises(Exception):
+        spark.read.parquet(folder + "/*").count()
