@@ -113,6 +113,26 @@ def doc_completeness(docs: DataFrame, required: Sequence[str] = vocab.SECTIONS)
     return docs.select("unit", F.sort_array(F.array_except(want, have)).alias("missing"))
 
 
+def check_manifest(entries: DataFrame, docs: DataFrame, required: Sequence[str] = vocab.SECTIONS) -> DataFrame:
+    """(unit, problem) of ``entries(unit, status, reason, doc_file)`` against ``docs(doc_file, sections map)``.
+
+    A unit that isn't ``documented`` needs a reason; one that is needs a document, and that
+    the required sections, not blank.
+    """
+    done, blank = F.col("status") == "documented", lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    have = F.transform(F.map_keys(F.map_filter("sections", lambda _, v: F.trim(v) != "")), S.section_key)
+    keyed = [F.when(~F.array_contains(have, S.section_key(F.lit(s))), s) for s in required]
+    known = docs.select("doc_file", F.array_compact(F.array(*keyed)).alias("missing"))
+    rows = entries.join(known.hint("merge"), "doc_file", "left")
+    problem = (
+        F.when(~F.coalesce(done, F.lit(False)), F.when(blank("reason"), "no reason for the skip"))
+        .when(blank("doc_file"), "no doc_file")
+        .when(F.col("missing").isNull(), F.concat(F.lit("doc_file not found: "), "doc_file"))
+        .when(F.size("missing") > 0, F.concat(F.lit("missing canonical sections: "), F.array_join("missing", ", ")))
+    )
+    return rows.select("unit", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def repo_map(entities: DataFrame, max_modules: int = 0) -> DataFrame:
     """(file_path, type, name), one row a unit; ``max_modules`` keeps the first modules by path with all of their units, 0 = all."""
     units = entities.select("file_path", "type", "name")

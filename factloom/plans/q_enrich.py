@@ -280,6 +280,14 @@ def e23(v):
     return Q.doc_completeness(v("part").select(F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("unit"), m.alias("sections")))
 
 
+@query("e23_check_manifest", "SELECT * FROM (SELECT 'u' || p_partkey AS unit, CASE WHEN p_size % 4 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'no reason for the skip' END WHEN p_size % 4 = 1 THEN 'no doc_file' WHEN p_partkey % 3 = 0 THEN 'doc_file not found: d' || p_partkey ELSE 'missing canonical sections: System Overview, Input Specification, Consolidated Requirements, Output Specification, Function Specification, ' || CASE WHEN p_size % 2 = 0 THEN 'User Stories, ' ELSE '' END || 'Traceability Matrix, Confidence Mapping' || CASE WHEN p_size % 3 = 0 THEN ', Gap Analysis' ELSE '' END END AS problem FROM part) x WHERE problem IS NOT NULL")
+def e23b(v):
+    p = v("part")
+    m = F.create_map(F.lit("6. User Stories"), F.when(F.col("p_size") % 2 == 0, " ").otherwise("text"), F.lit("gap analysis"), F.when(F.col("p_size") % 3 == 0, "").otherwise("text"))
+    entries = p.selectExpr("concat('u', p_partkey) AS unit", "CASE WHEN p_size % 4 = 0 THEN 'skipped' ELSE 'documented' END AS status", "CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE 'small' END AS reason", "CASE WHEN p_size % 4 <> 1 THEN concat('d', p_partkey) END AS doc_file")
+    return Q.check_manifest(entries, p.filter("p_partkey % 3 <> 0").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("doc_file"), m.alias("sections")))
+
+
 @query("e33_repo_map", "SELECT split_part(file_path, '/', 2) AS file_path, type, name FROM entities")
 def e33(v):
     return Q.repo_map(v("entities").withColumn("file_path", F.split("file_path", "/")[1]))
