@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import common, decontaminate, exact_dedup, ngram_join, piece_codec, quality
+from factloom.sources.staged import drop_folder, own_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage staged on its way is dropped once its rows are written."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with own_folder(spark) as folder:
+            out = stage(spark, docs, sf_dir)
+        docs = common.stage(out, f"pipeline-{name.replace(' ', '-')}")
+        drop_folder(spark, folder)
     return STAGES[-1][1](spark, docs, sf_dir)
