@@ -136,8 +136,7 @@ def planted(r, share):
         if d < 120:
             k, text = items[d % 60]
             part = text.split()
-            for _ in range(int(len(part) * share)):
-                at = r.randrange(len(part))
+            for at in sorted(r.sample(range(len(part)), int(len(part) * share)), reverse=True):  # each place once
                 if d % 3 == 0:
                     part[at] = sentence(r, 1)
                 elif d % 3 == 1:
