@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import scalars as S
-from ..sources.staged import sized
+from ..sources.staged import sized, stage
 
 
 def infer_components(entities: DataFrame, apps: DataFrame | None = None) -> DataFrame:
@@ -39,6 +39,7 @@ def assign_components(entities: DataFrame, components: DataFrame) -> DataFrame:
     lengths that its application has, so nothing is compared with everything, and each
     path is looked up once, however many entities it holds.
     """
+    components = stage(components.select("app_id", "prefix", "component"), "components")
     place = F.struct(F.col("prefix") == "", "component")
     own = F.min_by(F.when(F.col("component").isin("_unassigned") | (F.col("component") == F.col("app_id")), F.col("component")), F.when(F.col("component").isin("_unassigned") | (F.col("component") == F.col("app_id")), place))
     apps = components.groupBy("app_id").agg(F.array_remove(F.collect_set(F.length("prefix")), 0).alias("ns"), F.max_by("component", place).alias("last"), own.alias("home"))

@@ -28,18 +28,20 @@ def flow_edges(facts: DataFrame, forward: Sequence[str] = vocab.FORWARD, backwar
 def strict_indegree(facts: DataFrame, reads: Sequence[str] = vocab.READS) -> DataFrame:
     """H2: incoming pairs of a node; a pair counts unless its first fact is a data read."""
     fwd = F.col("predicate").isin(*vocab.FORWARD)
-    used = facts.filter(fwd | F.col("predicate").isin(*vocab.REVERSED)).select("ord", "predicate", F.when(fwd, F.col("subject")).otherwise(F.col("object")).alias("src"), F.when(fwd, F.col("object")).otherwise(F.col("subject")).alias("dst"))
-    first = used.groupBy("src", "dst").agg(F.min_by("predicate", "ord").alias("predicate"))
-    return first.groupBy(F.col("dst").alias("node")).agg(F.count_if(~F.col("predicate").isin(*reads)).alias("indegree"))
+    used = facts.filter(fwd | F.col("predicate").isin(*vocab.REVERSED)).select("ord", (~F.col("predicate").isin(*reads)).alias("feeds"), F.when(fwd, F.col("subject")).otherwise(F.col("object")).alias("src"), F.when(fwd, F.col("object")).otherwise(F.col("subject")).alias("dst"))
+    first = used.groupBy("src", "dst").agg(F.min_by("feeds", "ord").alias("feeds"))  # a flag, so that groups are hashed and not sorted
+    return first.groupBy(F.col("dst").alias("node")).agg(F.count_if("feeds").alias("indegree"))
 
 
 def entry_points(facts: DataFrame) -> DataFrame:
-    """H3: nodes with a way out and no strict way in, that act or are a button of the outside world."""
-    out = flow_edges(facts).select(F.col("src").alias("node")).distinct()
-    acting = facts.filter(F.col("predicate").isin(*vocab.FORWARD)).select(F.col("subject").alias("node"))
-    buttons = facts.filter(F.col("predicate").isin(*vocab.ENTRIES)).select(F.col("object").alias("node"))
-    fed = strict_indegree(facts).filter("indegree > 0").select("node")
-    return out.join(acting.union(buttons).distinct(), "node", "left_semi").join(fed, "node", "left_anti")
+    """H3: nodes with a way out and no strict way in, that act or are a button of the outside world.
+
+    Who acts is the subject of a forward fact and a button the object of an exposure or
+    event, which runs backwards: either way the node where the fact's edge begins.
+    """
+    fwd = F.col("predicate").isin(*vocab.FORWARD)
+    begins = facts.filter(fwd | F.col("predicate").isin(*vocab.ENTRIES)).select(F.when(fwd, F.col("subject")).otherwise(F.col("object")).alias("node")).distinct()
+    return begins.join(strict_indegree(facts).filter("indegree > 0").select("node"), "node", "left_anti")
 
 
 #: Defined things that the outside world presses.

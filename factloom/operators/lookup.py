@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import scalars as S
-from ..sources.staged import stage
+from ..sources.staged import sized, stage
 from .graph import latest
 
 
@@ -41,11 +41,11 @@ def _containing(missed: DataFrame, kb: DataFrame) -> DataFrame:
     asked = runs.select("app_id", "q", F.explode(F.expr(_GRAMS.format(n="_n", runs="_runs"))).alias("gram"))
     sizes = F.explode(F.expr("filter(array(0, 1, 2, 3), n -> n <= length(name))"))
     names = kb.select("app_id", "table_name", "name", "resolved", "confidence", sizes.alias("_n")).withColumn("gram", F.explode(F.expr(_GRAMS.format(n="_n", runs="array(lower(name))"))))
-    names = names.drop("_n").join(asked.select("app_id", "gram").distinct().hint("merge"), ["app_id", "gram"], "left_semi")
+    names = names.drop("_n").join(sized(asked.select("app_id", "gram").distinct(), "names-grams"), ["app_id", "gram"], "left_semi")
     held = names.groupBy("app_id", "gram").agg(F.count("*").alias("_held"))
-    rare = asked.join(held.hint("merge"), ["app_id", "gram"], "left").groupBy("app_id", "q").agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("held"), "gram")).alias("_r"))
+    rare = asked.join(held.hint("shuffle_hash"), ["app_id", "gram"], "left").groupBy("app_id", "q").agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("held"), "gram")).alias("_r"))
     rare = rare.filter("_r.held > 0").select("app_id", "q", F.col("_r.gram").alias("gram"))
-    return rare.join(names.hint("merge"), ["app_id", "gram"]).filter(F.expr("lower(name) LIKE concat('%', lower(q), '%')"))
+    return names.join(sized(rare, "names-rare"), ["app_id", "gram"]).filter(F.expr("lower(name) LIKE concat('%', lower(q), '%')"))
 
 
 def resolve_names(queries: DataFrame, kb: DataFrame, limit: int = 5, tables: Sequence[str] | None = None) -> DataFrame:

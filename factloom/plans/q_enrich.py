@@ -33,7 +33,7 @@ _ASSIGN = "SELECT e.app_id, e.id, CASE WHEN coalesce(file_path, '') = '' THEN co
 
 @query("d02_assign_components", f"WITH {COMP} {_ASSIGN.format(c='comp')}")
 def d02(v):
-    e = _placed(v)
+    e = G.stage(_placed(v), "entities")
     return N.assign_components(e, N.infer_components(e)).select("app_id", "id", "component")
 
 
@@ -41,7 +41,7 @@ def d02(v):
 def d02b(v):
     rows = "CASE n_nationkey WHEN 0 THEN array('core', 'core/meth', 'aa') WHEN 1 THEN array('core', 'core/step', 'bb') WHEN 2 THEN array('core', 'elsewhere/x', 'functi') WHEN 3 THEN array('core', 'core/st', 'zz') WHEN 4 THEN array('core', '', '_unassigned') WHEN 5 THEN array('events', 'none/at/all', 'only') END AS c"
     c = v("nation").selectExpr(rows).filter("c IS NOT NULL").selectExpr("c[0] AS app_id", "c[1] AS prefix", "c[2] AS component")
-    return N.assign_components(_placed(v), c).select("app_id", "id", "component")
+    return N.assign_components(G.stage(_placed(v), "entities"), c).select("app_id", "id", "component")
 
 
 @query("d03_bucket_edges", "SELECT DISTINCT object AS subject, 'IN_BUCKET' AS predicate, 'S3Object:' || split_part(substring(object, 10), '/', 1) AS object FROM facts WHERE object LIKE 'S3Object:click/%' OR object LIKE 'S3Object:view/%'")

@@ -28,6 +28,7 @@ ROUTES = (
     ("READS_ENV_VAR", "app_parameters", "env_var"),
 )
 TYPES = ("Module", "Class", "Function", "Method", "Symbol", "Table", "S3Object", "Parameter", "APIEndpoint", "LambdaFunction", "StateMachine", "Step", "Dataframe", "WorkflowFile")
+# Published stages, phrases and hints.
 STAGES = ("bootstrap", "extract", "transform", "validate", "load", "monitor", "notify", "e2e", "general")
 ACTION_PHRASES = (
     ("initialize", ("initialize", "bootstrap", "startup", "load configuration", "settings document", "configuration")),
@@ -58,6 +59,7 @@ POSITIVE = ("success", "successfully", "complete", "valid", "approved", "eligibl
 NEGATIVE = ("fail", "failure", "reject", "stop", "abort", "halt", "block", "missing", "absent", "unavailable", "empty", "zero", "timeout", "invalid", "cannot", "not continue", "must not", "no ", "terminate", "exhausted", "cancel")
 #: (reference, candidate) stages that may cover each other, besides equal ones and a reference of "general".
 COMPATIBLE = (("transform", "extract"), ("validate", "load"), ("load", "validate"), ("monitor", "e2e"), ("notify", "e2e"), ("e2e", "monitor"), ("e2e", "notify"))
+# Published weights, sections, tiers and lifecycles.
 WEIGHTS_FULL = {"manual_recall": 0.28, "manual_action": 0.10, "manual_positive": 0.06, "manual_negative": 0.08, "manual_stage": 0.04, "manual_feature": 0.04, "coverage_efficiency": 0.10, "suite_precision": 0.10, "requirement_recall": 0.12, "triangulation": 0.08}
 WEIGHTS_MANUAL = {"manual_recall": 0.35, "manual_action": 0.125, "manual_positive": 0.075, "manual_negative": 0.10, "manual_stage": 0.05, "manual_feature": 0.05, "coverage_efficiency": 0.125, "suite_precision": 0.125}
 SECTIONS = ("System Overview", "Input Specification", "Consolidated Requirements", "Output Specification", "Function Specification", "User Stories", "Traceability Matrix", "Confidence Mapping", "Gap Analysis")
