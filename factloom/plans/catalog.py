@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_declared, q_enrich, q_graph, q_lookup, q_match, q_scalars, q_text  # noqa: F401  they register their queries
+from . import q_declared, q_enrich, q_graph, q_lookup, q_match, q_scalars, q_sources, q_text  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL  # noqa: F401
 
 

@@ -47,6 +47,12 @@ VIEWS: dict[str, str] = {
     "feedback": """SELECT event_id AS id, concat('app', CAST(user_id % 4 AS VARCHAR(20))) AS app_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE concat('unit', CAST(user_id % 10 AS VARCHAR(20))) END AS unit,
         CASE WHEN event_type = 'click' THEN 'spec' WHEN event_type = 'signup' THEN 'other' ELSE 'test' END AS artifact, CASE event_type WHEN 'view' THEN 'approve' WHEN 'error' THEN 'reject' ELSE 'comment' END AS action,
         CASE WHEN event_id % 5 = 0 THEN '' ELSE concat('please fix ', event_type) END AS comment, CASE WHEN event_id % 3 = 0 THEN 'open' WHEN event_id % 3 = 1 THEN 'applied' ELSE 'closed' END AS status, ts AS created_at FROM {events}""",
+    "shop_facts": """SELECT o_custkey % 40 AS shop, concat('shop', CAST(o_custkey % 40 AS VARCHAR(20))) AS app_id, CAST(o_orderkey AS BIGINT) AS ord, concat('Method:cust.', CAST(o_custkey AS VARCHAR(20))) AS subject,
+        CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'CALLS' END AS predicate, concat('Step:ord.', CAST(o_orderkey AS VARCHAR(20)), CASE WHEN o_orderkey % 5 = 0 THEN ': "x" # y' ELSE '' END) AS object, 'python' AS language,
+        concat('f', CAST(o_orderkey % 9 AS VARCHAR(20)), '.py') AS file_path, CAST(o_orderkey % 500 AS INT) AS line, 'ast' AS extraction_method, CAST(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 8) / 8.0 END AS DOUBLE) AS confidence, o_orderkey % 7 <> 0 AS resolved FROM {orders}""",
+    "requirement_files": """SELECT s_suppkey AS n, concat('unit', CAST(s_suppkey AS VARCHAR(20))) AS name, CASE WHEN s_suppkey % 10 = 3 THEN '{{"unit": ' WHEN s_suppkey % 10 = 5 THEN '{{"title": "no unit"}}' ELSE
+        concat('{{"confidence": ', CASE WHEN s_suppkey % 4 = 0 THEN 'null' ELSE '0.5' END, ', "feedback_ids": [', CAST(s_suppkey AS VARCHAR(20)), '], "requirement_backed": ', CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END,
+        ', "sections": {{"Business Rules": "rule ', chr(92), '"', CAST(s_suppkey AS VARCHAR(20)), chr(92), '"", "Notes": ""}}, "title": "', s_name, '", "unit": "unit', CAST(s_suppkey AS VARCHAR(20)), '"}}') END AS line FROM {supplier}""",
     "profiles": """SELECT CASE c_nationkey % 2 WHEN 0 THEN 'ref' ELSE 'cand' END AS side, concat('suite', CAST(c_nationkey % 5 AS VARCHAR(20))) AS app_id, c_custkey AS id, concat('scenario ', CAST(c_custkey AS VARCHAR(20))) AS name, concat('f', CAST(c_custkey % 6 AS VARCHAR(20)), '.feature') AS feature_file,
         CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'general' WHEN 'BUILDING' THEN 'transform' WHEN 'FURNITURE' THEN 'extract' WHEN 'HOUSEHOLD' THEN 'load' ELSE 'validate' END AS stage,
         CASE WHEN c_acctbal < 1000 THEN 'negative' WHEN c_acctbal > 5000 THEN 'positive' ELSE 'neutral' END AS intent, actions, outcomes FROM {customer} JOIN
