@@ -78,7 +78,7 @@ def scan_requirements(spark: SparkSession, root: str) -> DataFrame:
             for path, text in zip(pdf["path"], pdf["text"]):
                 try:
                     d = json.loads(text)
-                except ValueError:
+                except (ValueError, RecursionError):  # broken, or nested too deep
                     continue
                 if isinstance(d, dict) and d.get("unit"):
                     digest = hashlib.sha256(json.dumps(d, sort_keys=True).encode()).hexdigest()
@@ -120,7 +120,7 @@ def load_bindings(spark: SparkSession, root: str) -> DataFrame:
             for path, text in zip(pdf["path"], pdf["text"]):
                 try:
                     d = yaml.safe_load(text)
-                except yaml.YAMLError:
+                except (yaml.YAMLError, RecursionError):  # broken, or nested too deep
                     continue
                 rows += [(path, str(k), str(x)) for k, x in d.items() if isinstance(x, (str, int, float, bool))] if isinstance(d, dict) else []
             yield pd.DataFrame(rows, columns=["path", "token", "value"])

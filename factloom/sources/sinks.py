@@ -61,22 +61,31 @@ def write_files(rows: DataFrame, path: str, extension: str) -> list[str]:
     """One text file a name of ``rows(name, pos, line)``, lines in order of ``pos``; returns the paths.
 
     Spark writes and commits below a folder beside ``path`` first, so a failed task leaves no
-    file; then each file is moved to its name, over an earlier one.  A file goes through one
-    task, line by line.
+    file; then each file is moved to its name, over an earlier one.  Names that are alike but for
+    signs that a file can't have are refused.  A file goes through one
+    task, line by line.  Rows are dealt by a hash of the name: a shuffle on the name itself
+    is left out where all parts of a union are dealt by it, and the parts then stay apart.
     """
     spark = rows.sparkSession
     aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    rows.repartition("name").sortWithinPartitions("name", *(["pos"])).select("name", "line").write.partitionBy("name").option("lineSep", "\n").text(aside)
+    dealt = rows.withColumn("_hash", F.xxhash64("name")).repartition("_hash").sortWithinPartitions("name", "pos")
+    dealt.select("name", "line").write.partitionBy("name").options(lineSep="\n", maxRecordsPerFile=0).text(aside)
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
     root, target = jvm.Path(aside), jvm.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(target)
-    out = []
+    made: dict[str, list] = {}
     for status in fs.globStatus(jvm.Path(f"{aside}/name=*/part-*")) or []:
         name = re.sub(r"[^\w.-]+", "_", unquote(status.getPath().getParent().getName().split("=", 1)[1]))
+        made.setdefault(name, []).append(status.getPath())
+    if twice := sorted(name for name, parts in made.items() if len(parts) > 1)[:5]:
+        fs.delete(root, True)
+        raise OSError(f"names that would share a file: {twice}")
+    out = []
+    for name, (part,) in made.items():
         to = jvm.Path(target, name + extension)
         fs.delete(to, False)
-        if not fs.rename(status.getPath(), to):
+        if not fs.rename(part, to):
             raise OSError(f"{to} could not be written")
         out.append(to.toString())
     fs.delete(root, True)

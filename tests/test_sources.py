@@ -250,3 +250,30 @@ def test_feature_files_and_tables_are_scanned(spark, tmp_path):
     spark.createDataFrame(pdf).write.parquet(str(tmp_path / "t"))
     kb = readers.read_kb(spark, str(tmp_path / "t"), "b")
     assert [tuple(r) for r in kb.collect()] == [("b", 2)] and "PushedFilters: [IsNotNull(app_id), EqualTo(app_id,b)]" in kb._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_of_many_rows_keep_every_section(spark, tmp_path):
+    """The sections are dealt by application in several shuffles, which adaptive execution may cut differently."""
+    n = 60_000
+    facts = spark.range(n).selectExpr("concat('a', id % 7) AS app_id", "id AS ord", "concat('F:', sha2(string(id), 512)) AS subject", "'CALLS' AS predicate", "concat('F:', sha2(string(-id), 512)) AS object", "'python' AS language", "'a.py' AS file_path", "1 AS line", "'ast' AS extraction_method", "0.5D AS confidence", "true AS resolved")
+    meta = facts.select("app_id").distinct().withColumn("metadata", F.create_map(F.lit("language"), F.lit("python")))
+    path = f"file://{tmp_path}/quads"
+    assert len(sinks.write_quads(facts, meta, path)) == 7
+    got = {(r.kind, r.error): r["count"] for r in readers.scan_quads(spark, path).groupBy("kind", "error").count().collect()}
+    assert got == {("file", None): 7, ("fact", None): n}
+
+
+def test_names_that_would_share_a_file_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b", 0, "x"), ("a_b", 0, "y"), ("c", 0, "z")], "name string, pos int, line string")
+    with pytest.raises(OSError, match="a_b"):
+        sinks.write_files(rows, f"file://{tmp_path}/out", ".txt")
+    assert not glob.glob(f"{tmp_path}/out/*")
+
+
+def test_files_nested_too_deep_are_left_out(spark, tmp_path):
+    (tmp_path / "deep.yaml").write_text("a: [\n" * 3000)
+    (tmp_path / "good.yaml").write_text("T: one\n")
+    assert [tuple(r) for r in readers.load_bindings(spark, str(tmp_path)).collect()] == [("T", "one")]
+    (tmp_path / "deep.json").write_text("[" * 200_000)
+    (tmp_path / "good.json").write_text('{"unit": "u"}')
+    assert [r.unit for r in readers.scan_requirements(spark, str(tmp_path)).collect()] == ["u"]
