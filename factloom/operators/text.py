@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -62,14 +62,16 @@ def story_acs(sections: DataFrame, least: int = 10, aggregate: bool = False) ->
 
     A story begins at a heading such as ``### US-1: title``; what precedes the first story of
     a section drops, a section without any is one story.  Criteria are numbered
-    given-when-then lines of ``least`` characters or more; with ``aggregate`` those of a
-    story with several become one item.
+    given-when-then lines of ``least`` characters or more; the text of a bare number is the
+    next line that isn't blank, even a numbered one.  With ``aggregate`` those of a story
+    with several become one item.
     """
     whole = Window.partitionBy("file", "section")
     heading = F.when(F.col("line").rlike(r"(?i)^#{1,3}\s*US[-\s]?\d+"), F.struct("pos", F.trim(F.regexp_replace("line", r"^#{1,3}\s*", "")).alias("story")))
     rows = _body_lines(sections).withColumn("head", F.last(heading, ignorenulls=True).over(whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("any", F.max(heading.isNotNull()).over(whole)).filter("head IS NOT NULL OR NOT any")
     rows = rows.withColumn("head", F.coalesce("head", F.struct(F.lit(-1).alias("pos"), F.lit(NO_STORY).alias("story"))))
+    rows = _join_bare_numbers(rows.filter(F.col("line").rlike(r"\S")), Window.partitionBy("file", "section", "head").orderBy("pos"))
     text = F.trim(F.regexp_replace(F.regexp_replace("line", r"^\s*\d+\.\s+", ""), r"(?i)\[code-derived\]", ""))
     rows = rows.filter(F.col("line").rlike(r"^\s*\d+\.\s+\S")).select("file", "section", "at", "pos", "head", F.regexp_extract("line", r"^\s*(\d+)\.", 1).alias("number"), text.alias("text"))
     rows = rows.filter((F.length("text") >= least) & F.col("text").rlike(r"(?i)\bgiven\b.*\bwhen\b.*\bthen\b")).withColumn("negative", F.col("text").rlike(NEGATIVE_PATH))
@@ -85,6 +87,18 @@ def story_acs(sections: DataFrame, least: int = 10, aggregate: bool = False) ->
     return rows.select("file", "section", "at", "pos", F.col("head.story").alias("story"), item_suffix("label").alias("label"), "text", "negative")
 
 
+def _join_bare_numbers(rows: DataFrame, story: WindowSpec) -> DataFrame:
+    """Lines of a story that aren't blank, with the next one behind a bare number and gone itself.
+
+    In a run of bare numbers every second one is such a next line.
+    """
+    bare = F.col("line").rlike(r"^\s*\d+\.\s*$")
+    rows = rows.withColumns({"_bare": bare, "_at": F.row_number().over(story), "_next": F.lead("line").over(story)})
+    run = F.col("_at") - 1 - F.coalesce(F.max(F.when(~F.col("_bare"), F.col("_at"))).over(story.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_run", run).filter("_run % 2 = 0")
+    return rows.withColumn("line", F.when(F.col("_bare"), F.concat(strip("line"), F.lit(" "), strip("_next"))).otherwise(F.col("line"))).drop("_bare", "_at", "_next", "_run")
+
+
 _SHALL, _GAP = r"(?i)^\s*[-*]\s+(?:The system shall|The system must)\s+(\S.*)$", r"(?i)^\s*[-*]\s+(?:Not documented:|Missing:|Gap:)\s*(\S.*)$"
 
 

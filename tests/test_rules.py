@@ -48,6 +48,21 @@ def test_stories_have_labels_and_can_be_joined(spark):
     assert [r.label for r in bare.collect()] == ["US-general-AC-4"]
 
 
+def test_criteria_below_their_numbers_equal_a_pattern_over_the_story(spark):
+    r, numbered = random.Random(8), re.compile(r"^\s*(\d+)\.\s+(.+)$", re.MULTILINE)
+    line = lambda k: r.choice((f"{k}.", f"  {k}.  ", f"{k}. Given a{k} when b then c", f"Given d{k} when e then f  ", "", "  ", f"{k}. short", "plain text", f"\t{k}.\tGiven g when h{k} then i [code-derived]"))
+    docs = [(f"f{k}", "User Stories", "\n".join("### US-2: two" if r.random() < 0.1 else line(j) for j in range(r.randrange(14)))) for k in range(150)]
+    want = []
+    for f, _, body in docs:
+        cut = [m.start() for m in re.finditer(r"^### US", body, re.MULTILINE)]
+        for block in [body[a:b] for a, b in zip(cut, [*cut[1:], len(body)])] or [body]:
+            found = [(n, t.replace("[code-derived]", "").strip()) for n, t in numbered.findall(block)]
+            want += [(f, n, t) for n, t in found if len(t) >= 10 and re.search(r"\bgiven\b.*\bwhen\b.*\bthen\b", t, re.IGNORECASE)]
+    got = text.story_acs(spark.createDataFrame(docs, "file string, section string, body string"))
+    assert sorted((x.file, x.label.rsplit("-", 1)[1], x.text) for x in got.collect()) == sorted(want)
+    assert len(want) > 100
+
+
 def test_items_keep_the_first_of_equal_texts(spark):
     got = {(r.section, r.label) for r in text.requirement_items(files_of(spark, DOC)).collect()}
     assert ("Notes", "US-general-AC-10") in got and ("Notes", "US-general-AC-2") not in got
