@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lookup as L
 from ..sources import readers, sinks, versions
-from ..sources.staged import shared_dir
+from ..sources.staged import shared_dir, sized
 from ..streaming.ingest import ingest_stream
 from .q_lookup import KB
 from .registry import query
@@ -40,8 +40,8 @@ _PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY
 @query("a01_fact_files", f"WITH {_PLACED} SELECT app_id, \"at\", subject, predicate, object, resolved, confidence, file_path, line FROM placed WHERE predicate <> ''")
 def a01(v):
     good = readers.quarantine(_records(v))[0]
-    apps = good.filter("kind = 'file'").select("file", "app_id")
-    return readers.facts_of_records(good).join(apps.hint("merge"), "file").drop("file")
+    apps = sized(good.filter("kind = 'file'").select("file", "app_id"), "applications")
+    return readers.facts_of_records(good).join(apps, "file").drop("file")
 
 
 @query("a02_quarantine", f"WITH {_PLACED} SELECT app_id, 'fact' AS kind, \"at\", 'missing predicate' AS error, object FROM placed WHERE predicate = ''")

@@ -4,52 +4,144 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import latest
+from .staged import sized, stage
 
 RECORDS = "file string, kind string, at int, a string, b string, c string, extra string, error string"
 
 
+def _fact_rows(path: str, section: str, entries: Iterator[tuple[int, object]]) -> Iterator[tuple]:
+    """Records of numbered entries of one section; what can't be used keeps its stage, index, error and raw record (A2)."""
+    for k, x in entries:
+        if section == "entities":
+            ok = isinstance(x, dict) and x.get("id")
+            yield (path, "entity", k, x.get("id"), x.get("type"), x.get("name"), json.dumps(x.get("source") or {}, default=str), None) if ok else (path, "entity", k, None, None, None, json.dumps(x, default=str), "missing id")
+        elif section == "quads":
+            lack = [n for n in ("subject", "predicate", "object") if not (isinstance(x, dict) and x.get(n))]
+            yield (path, "fact", k, None, None, None, json.dumps(x, default=str), "missing " + ", ".join(lack)) if lack else (path, "fact", k, x["subject"], x["predicate"], str(x["object"]), json.dumps(x.get("context") or {}, default=str), None)
+        elif isinstance(x, dict) and str(x.get("text") or "").strip():
+            yield (path, "note", k, x["text"], x.get("subject"), x.get("provenance"), None, None)
+
+
+def _file_row(path: str, meta: dict) -> tuple:
+    return (path, "file", 0, meta.get("app_id"), meta.get("language"), None, json.dumps(meta, default=str, sort_keys=True), None)
+
+
+def _binding_rows(path: str, bindings: dict) -> Iterator[tuple]:
+    return ((path, "binding", k, str(t), str(value), None, None, None) for k, (t, value) in enumerate(bindings.items()))
+
+
+def _frames(rows: Iterator[tuple], at_once: int = 10_000) -> Iterator[pd.DataFrame]:
+    while some := list(islice(rows, at_once)):
+        yield pd.DataFrame(some, columns=[c.split()[0] for c in RECORDS.split(", ")])
+
+
 def _yaml_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Records of each YAML fact file; what can't be used keeps its stage, index, error and raw record (A2)."""
+    """Records of each YAML fact file, held whole."""
     import yaml
 
     loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-    for pdf in batches:
-        out: list[tuple] = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            try:
-                doc = yaml.load(bytes(content), Loader=loader)
-                if not isinstance(doc, dict):
-                    raise ValueError("not a mapping")
-            except Exception as e:  # one bad file doesn't stop the others
-                out.append((path, "file", 0, None, None, None, None, f"{type(e).__name__}: {e}"))
-                continue
-            meta = doc.get("metadata") or {}
-            out.append((path, "file", 0, meta.get("app_id"), meta.get("language"), None, json.dumps(meta, default=str, sort_keys=True), None))
-            for k, x in enumerate(doc.get("entities") or []):
-                ok = isinstance(x, dict) and x.get("id")
-                out.append((path, "entity", k, x.get("id"), x.get("type"), x.get("name"), json.dumps(x.get("source") or {}, default=str), None) if ok else (path, "entity", k, None, None, None, json.dumps(x, default=str), "missing id"))
-            for k, x in enumerate(doc.get("quads") or []):
-                lack = [n for n in ("subject", "predicate", "object") if not (isinstance(x, dict) and x.get(n))]
-                out.append((path, "fact", k, None, None, None, json.dumps(x, default=str), "missing " + ", ".join(lack)) if lack else (path, "fact", k, x["subject"], x["predicate"], str(x["object"]), json.dumps(x.get("context") or {}, default=str), None))
-            for k, x in enumerate(doc.get("notes") or []):
-                if isinstance(x, dict) and str(x.get("text") or "").strip():
-                    out.append((path, "note", k, x["text"], x.get("subject"), x.get("provenance"), None, None))
-            for k, (t, value) in enumerate((doc.get("bindings") or {}).items()):
-                out.append((path, "binding", k, str(t), str(value), None, None, None))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORDS.split(", ")])
+
+    def rows() -> Iterator[tuple]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    doc = yaml.load(bytes(content), Loader=loader)
+                    if not isinstance(doc, dict):
+                        raise ValueError("not a mapping")
+                except Exception as e:  # one bad file doesn't stop the others
+                    yield (path, "file", 0, None, None, None, None, f"{type(e).__name__}: {e}")
+                    continue
+                yield _file_row(path, doc.get("metadata") or {})
+                for section in LISTS:
+                    yield from _fact_rows(path, section, enumerate(doc.get(section) or []))
+                yield from _binding_rows(path, doc.get("bindings") or {})
+
+    return _frames(rows())
+
+
+#: Sections whose entries stand one a line below their head, and those that are one line.
+LISTS, MAPS = ("entities", "quads", "notes"), ("metadata", "summary", "bindings")
+
+
+def _line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of lines (path, head, at, line); kind ``odd`` for a line that isn't of the form."""
+
+    def one(path: str, head: str | None, at: int, line: str) -> list[tuple]:
+        odd = [(path, "odd", 0, None, None, None, None, None)]
+        if head is None or "\ufffd" in line:
+            return odd
+        if at < 0 and head not in MAPS:
+            return []
+        if at < 0:
+            line = line[len(head) + 1 :]
+        elif head in LISTS and line.startswith("- {"):
+            line = line[2:]
+        else:
+            return odd
+        try:
+            x = json.loads(line, parse_constant=str)
+        except (ValueError, RecursionError):
+            return odd
+        if at >= 0:
+            return list(_fact_rows(path, head, iter([(at, x)])))
+        return [_file_row(path, x)] if head == "metadata" else list(_binding_rows(path, x)) if head == "bindings" else []
+
+    return _frames(row for pdf in batches for path, head, at, line in zip(pdf["path"], pdf["head"].where(pdf["head"].notna(), None), pdf["at"], pdf["line"]) for row in one(path, head, at, line))
+
+
+def plain_path(path: str) -> str:
+    """A path that a reader takes as it is, signs of patterns included."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def fact_records(spark: SparkSession, source: str | list[str], **options) -> DataFrame:
+    """One row a record of the fact files in ``source``, staged.
+
+    A file of the form that ``sinks.write_quads`` gives, a section or an entry a line, is
+    split like any text: lines are numbered by block of the file and counted on over its
+    blocks, and each is parsed by itself.  Any other file goes through one task, whole.
+    """
+    read = lambda kind, of=source: spark.read.format(kind).options(**options).load(of)
+    files = sized(read("binaryFile").select("path", F.col("_metadata.file_path").alias("uri")), "fact-files")
+    head = F.coalesce(F.nullif(F.regexp_extract("value", f"^({'|'.join(LISTS)}):$", 1), F.lit("")), F.nullif(F.regexp_extract("value", f"^({'|'.join(MAPS)}): [{{]", 1), F.lit("")), F.nullif(F.regexp_extract("value", rf"^((?:{'|'.join(LISTS)}): \[\])$", 1), F.lit("")))
+    text = read("text").select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"), head.alias("own"))
+    text = stage(text, "fact-lines")
+    kinds = [*LISTS, *MAPS, *[f"{n}: []" for n in LISTS]]
+    counted = text.groupBy("uri", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"), *[F.min(F.when(F.col("own") == k, F.col("n"))).alias(f"at{j}") for j, k in enumerate(kinds)], F.count("own").alias("heads"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counted.withColumn("before", before)
+    whole = Window.partitionBy("uri")
+    place = F.array_compact(F.array(*[F.when(F.col(f"p{j}").isNotNull(), F.struct(F.col(f"p{j}").alias("p"), F.lit(k).alias("head"))) for j, k in enumerate(kinds)]))
+    blocks = blocks.select("uri", "block", "first", "before", F.sum("heads").over(whole).alias("heads"), *[F.min(F.col(f"at{j}") - F.col("first") + F.col("before")).over(whole).alias(f"p{j}") for j in range(len(kinds))])
+    # a head that comes twice, in either form, or a file without metadata
+    plain = (F.size(place) == F.col("heads")) & F.col(f"p{kinds.index('metadata')}").isNotNull()
+    for n in LISTS:
+        plain = plain & (F.col(f"p{kinds.index(n)}").isNull() | F.col(f"p{kinds.index(n + ': []')}").isNull())
+    blocks = blocks.select("uri", "block", (F.col("before") - F.col("first")).alias("shift"), plain.alias("plain"), place.alias("heads")).join(files, "uri")
+    blocks = sized(blocks, "fact-blocks")
+    mine = F.array_max(F.filter("heads", lambda h: h["p"] <= F.col("n") + F.col("shift")))
+    numbered = text.join(blocks.filter("plain"), ["uri", "block"]).withColumn("mine", mine).select("path", F.col("mine.head").alias("head"), (F.col("n") + F.col("shift") - F.col("mine.p") - 1).cast("int").alias("at"), "line")
+    records = stage(numbered.withColumn("at", F.coalesce("at", F.lit(0))).mapInPandas(_line_rows, RECORDS), "fact-records")
+    good = blocks.filter("plain").select("path").distinct().join(records.filter("kind = 'odd'").select(F.col("file").alias("path")).distinct(), "path", "left_anti")
+    odd = [r["path"] for r in files.join(good.hint("merge"), "path", "left_anti").select("path").collect()]  # names, as the driver's listing has them
+    if not odd:
+        return records
+    rest = spark.read.format("binaryFile").load([plain_path(p) for p in odd]).select("path", "content").mapInPandas(_yaml_rows, RECORDS)
+    return records.join(good.select(F.col("path").alias("file")).hint("merge"), "file", "left_semi").unionByName(stage(rest, "fact-records"))
 
 
 def scan_quads(spark: SparkSession, path: str) -> DataFrame:
     """A1, A2: one row a record of every ``.yaml`` or ``.yml`` file below ``path``; ``error`` marks what is in quarantine."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{yaml,yml}").load(path)
-    return files.select("path", "content").mapInPandas(_yaml_rows, RECORDS)
+    return fact_records(spark, path, recursiveFileLookup=True, pathGlobFilter="*.{yaml,yml}")
 
 
 def quarantine(records: DataFrame) -> tuple[DataFrame, DataFrame]:

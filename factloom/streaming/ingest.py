@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..sources.readers import RECORDS, _yaml_rows, facts_of_records, quarantine
+from ..sources.readers import fact_records, facts_of_records, plain_path, quarantine
 from ..sources.sinks import replace_app_slice
-from ..sources.staged import stage
+from ..sources.staged import sized
 
 
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str):
@@ -16,9 +16,12 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{yaml,yml}").load(source)
 
     def put(batch: DataFrame, _: int) -> None:
-        good, bad = quarantine(stage(batch.select("path", "content").mapInPandas(_yaml_rows, RECORDS), "onboarding"))  # parsed once
-        apps = good.filter("kind = 'file'").select("file", S.app_id("a", "file").alias("app_id"))
-        replace_app_slice(facts_of_records(good).join(apps.hint("merge"), "file"), f"{target}/facts")
+        paths = [r["path"] for r in batch.select("path").collect()]  # names, as the stream's own log has them
+        if not paths:
+            return
+        good, bad = quarantine(fact_records(spark, [plain_path(p) for p in paths]))  # parsed once
+        apps = sized(good.filter("kind = 'file'").select("file", S.app_id("a", "file").alias("app_id")), "applications")
+        replace_app_slice(facts_of_records(good).join(apps, "file"), f"{target}/facts")
         bad.select("file", "kind", "at", "error", F.col("extra").alias("raw")).write.mode("append").parquet(f"{target}/rejected")
 
-    return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.select("path").writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

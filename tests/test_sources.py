@@ -277,3 +277,24 @@ def test_files_nested_too_deep_are_left_out(spark, tmp_path):
     (tmp_path / "deep.json").write_text("[" * 200_000)
     (tmp_path / "good.json").write_text('{"unit": "u"}')
     assert [r.unit for r in readers.scan_requirements(spark, str(tmp_path)).collect()] == ["u"]
+
+
+def test_fact_files_are_split_by_lines(spark, tmp_path):
+    facts = spark.createDataFrame([("shop", k, f"Function:f{k}", "CALLS" if k % 7 else "", f"Table:é {k}", "python", "a.py", k, "ast", 0.5, True) for k in range(300)], FACTS)
+    out = str(tmp_path / "quads")
+    sinks.write_quads(facts, spark.createDataFrame([("shop", {"language": "python"})], "app_id string, metadata map<string,string>"), out)
+    for name, text in {"odd [1].yaml": "quads:\n- subject: s\n  predicate: p\n  object: o\n", "twice.yml": 'metadata: {"app_id": "x"}\nquads: []\nquads:\n- {"subject": "s", "predicate": "p", "object": "o"}\n', "cut.yaml": 'metadata: {"app_id": "x"}\nquads:\n- {"subject": \n'}.items():
+        (tmp_path / "quads" / name).write_text(text)
+    limits = {"spark.sql.sources.binaryFile.maxLength": "1000", "spark.sql.files.maxPartitionBytes": "4096"}  # the large file is no one's to hold
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, x in limits.items():
+            spark.conf.set(k, x)
+        rows = [(os.path.basename(r.file), r.kind, r.at, r.a, r.c, r.error) for r in readers.scan_quads(spark, out).collect()]
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    shop = sorted((r[2], r[3], r[4], r[5]) for r in rows if r[0] == "shop_quads.yaml" and r[1] == "fact")
+    assert shop == [(k, f"Function:f{k}", f"Table:é\u2028{k}", None) if k % 7 else (k, None, None, "missing predicate") for k in range(300)]
+    others = {(name.replace("%20", " "), kind): error for name, kind, _, _, _, error in rows if name != "shop_quads.yaml"}
+    assert others[("odd [1].yaml", "fact")] is None and others[("twice.yml", "fact")] is None and others[("cut.yaml", "file")]
