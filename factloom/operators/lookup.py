@@ -123,8 +123,13 @@ def requirement_lookup(units: DataFrame, requirements: DataFrame) -> DataFrame:
 
 
 def spec_inventory_join(requirements: DataFrame, functions: DataFrame) -> DataFrame:
-    """Matched rows by application; duplicate symbols count again."""
-    return requirements.join(functions, (requirements["app_id"] == functions["app_id"]) & (requirements["unit"] == functions["symbol"])).groupBy(requirements["app_id"]).agg(F.count("*").alias("matched"))
+    """Matched rows by application; duplicate symbols count again.
+
+    Both sides are counted by application and name first, so equal rows don't meet one by one.
+    """
+    asked = requirements.groupBy("app_id", F.col("unit").alias("symbol")).agg(F.count("*").alias("asked"))
+    have = functions.groupBy("app_id", "symbol").agg(F.count("*").alias("have"))
+    return asked.join(have.hint("merge"), ["app_id", "symbol"]).groupBy("app_id").agg(F.sum(F.col("asked") * F.col("have")).alias("matched"))
 
 
 def orphans(docs: DataFrame, apps: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, lookup, match, quality, resolve, text
+from factloom.operators import enrich, graph, lookup, match, quality, resolve, text
 from factloom.plans import q_enrich, q_lookup, views
 from factloom.sources import readers, sinks
 from factloom.streaming.ingest import ingest_stream
@@ -273,3 +273,13 @@ def test_a_part_of_the_staged_tables_can_be_dropped(spark):
     assert outer.count() == 3 and all(folder not in f for f in outer.inputFiles())
     with pytest.raises(Exception):
         spark.read.parquet(folder + "/*").count()
+
+
+def test_hot_keys_are_counted_before_they_meet(spark):
+    """10^10 pairs of equal rows."""
+    rows = spark.range(100_000)
+    got = lookup.spec_inventory_join(rows.selectExpr("'a' AS app_id", "CASE WHEN id % 10 <> 0 THEN 'u' END AS unit"), rows.selectExpr("'a' AS app_id", "'u' AS symbol"))
+    assert [tuple(r) for r in got.collect()] == [("a", 90_000 * 100_000)]
+    config = rows.selectExpr("'k' AS key", "'c' AS file", "concat('t', id % 2) AS table", "id % 2 = 0 AS is_write")
+    facts = enrich.config_sql_facts(config, rows.selectExpr("concat('f', id % 2) AS function", "'k' AS value"))
+    assert sorted(tuple(r) for r in facts.collect()) == sorted((f"f{k}", *x) for k in range(2) for x in (("WRITES_DATABASE", "Table:t0"), ("QUERIES_DATABASE", "Table:t1"), ("READS_FILE", "c")))
