@@ -96,11 +96,14 @@ def implementation_edges(facts: DataFrame) -> DataFrame:
 
 
 def config_sql_facts(config_sql: DataFrame, literals: DataFrame) -> DataFrame:
-    """``config_sql(key, file, table, is_write)`` meets ``literals(function, value)`` by key."""
-    rows = config_sql.join(literals, config_sql["key"] == literals["value"])
-    tables = rows.select(F.col("function").alias("subject"), F.when(F.col("is_write"), "WRITES_DATABASE").otherwise("QUERIES_DATABASE").alias("predicate"), F.concat(F.lit("Table:"), "table").alias("object"))
-    files = rows.select(F.col("function").alias("subject"), F.lit("READS_FILE").alias("predicate"), F.col("file").alias("object"))
-    return tables.unionByName(files).distinct()
+    """``config_sql(key, file, table, is_write)`` meets ``literals(function, value)`` by key.
+
+    A key's distinct facts meet the distinct functions that name it, so repeated rows don't multiply.
+    """
+    write = F.when(F.col("is_write"), "WRITES_DATABASE").otherwise("QUERIES_DATABASE")
+    said = config_sql.select("key", write.alias("predicate"), F.concat(F.lit("Table:"), "table").alias("object")).unionByName(config_sql.select("key", F.lit("READS_FILE").alias("predicate"), F.col("file").alias("object"))).distinct()
+    rows = literals.select(F.col("function").alias("subject"), F.col("value").alias("key")).distinct().join(sized(said, "config-facts"), "key")
+    return rows.select("subject", "predicate", "object").distinct()
 
 
 def competing_files(settings: DataFrame, chosen: DataFrame) -> DataFrame:
