@@ -26,23 +26,86 @@ KNOWN = ("EXTRACT", "LOAD", "MERGE", "PURGE", "EXECUTE", "TRANSFORM")
 PRODUCERS = ("EXTRACT", "MERGE", "TRANSFORM")
 
 
+def _yaml_json(text: str) -> str | None:
+    """JSON of one YAML document, written event by event, so that its values are never held as objects; NULL for what holds no mapping.
+
+    Anchors, tags, merged and repeated keys and deep nesting concern the document as a whole and are left to the loader.
+    """
+    import yaml
+
+    kind = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+    def whole() -> str | None:
+        doc = yaml.load(text, Loader=kind)
+        return json.dumps(doc, default=str) if isinstance(doc, dict) else None
+
+    loader, out = kind(text), bytearray()
+    open_: list[list] = []  # of each collection: keys so far, or None for a list; whether a value comes next; whether one was written
+    try:
+        loader.get_event()
+        if loader.check_event(yaml.StreamEndEvent):
+            return None
+        loader.get_event()
+        if not loader.check_event(yaml.MappingStartEvent):
+            return whole()
+        while True:
+            e = loader.get_event()
+            if isinstance(e, yaml.DocumentEndEvent):
+                return out.decode() if loader.check_event(yaml.StreamEndEvent) else whole()
+            if isinstance(e, (yaml.MappingEndEvent, yaml.SequenceEndEvent)):
+                out += b"]" if open_.pop()[0] is None else b"}"
+                continue
+            if isinstance(e, yaml.AliasEvent) or e.anchor is not None or e.tag is not None or len(open_) > 50:
+                return whole()
+            top = open_[-1] if open_ else None
+            key = top is not None and top[0] is not None and not top[1]
+            if top is not None:
+                if (key or top[0] is None) and top[2]:
+                    out += b", "
+                top[2] = True
+                if top[0] is not None:
+                    top[1] = not top[1]
+            if not isinstance(e, yaml.ScalarEvent):
+                if key:
+                    return whole()
+                mapping = isinstance(e, yaml.MappingStartEvent)
+                open_.append([set() if mapping else None, False, False])
+                out += b"{" if mapping else b"["
+                continue
+            tag = loader.resolve(yaml.ScalarNode, e.value, e.implicit)
+            if key and (tag != "tag:yaml.org,2002:str" or e.value in top[0]):
+                return whole()
+            value = e.value if tag == "tag:yaml.org,2002:str" else loader.construct_document(yaml.ScalarNode(tag, e.value, e.start_mark, e.end_mark))
+            out += json.dumps(value, default=str).encode()
+            if key:
+                top[0].add(e.value)
+                out += b": "
+    finally:
+        loader.dispose()
+
+
 def as_json(files: DataFrame) -> DataFrame:
     """(file, json) of ``files(file, text)`` in YAML or JSON; NULL for what is neither or holds no mapping."""
 
     def convert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
 
-        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-
         def one(text: str | None) -> str | None:
             try:
-                doc = yaml.load(text or "", Loader=loader)
-                return json.dumps(doc, default=str) if isinstance(doc, dict) else None
+                return _yaml_json(text or "")
             except (yaml.YAMLError, ValueError, RecursionError):
                 return None
 
         for pdf in frames:
-            yield pd.DataFrame({"file": pdf["file"], "json": [one(t) for t in pdf["text"]]})
+            some, size = [], 0
+            for file, text in zip(pdf["file"], pdf["text"]):
+                some.append((file, one(text)))
+                size += len(text or "")
+                if size > 1 << 24 or len(some) == 1000:
+                    yield pd.DataFrame(some, columns=["file", "json"])
+                    some, size = [], 0
+            if some:
+                yield pd.DataFrame(some, columns=["file", "json"])
 
     return files.select(F.col("file").cast("string").alias("file"), F.col("text").cast("string").alias("text")).mapInPandas(convert, "file string, json string")
 
@@ -86,6 +149,7 @@ def machine_states(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Without a name from a manifest the file's own name stands in.  Nesting (branches of
     Parallel, bodies of Map, ``inner``) is followed one level a round.
     """
+    docs = stage(docs, "documents")  # parsed once
     top = docs.withColumn("m", F.from_json("json", MACHINE)).filter("m.StartAt IS NOT NULL AND m.States IS NOT NULL").join(machine_names(docs).hint("merge"), "file", "left")
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
     top = stage(top.select("file", F.coalesce("machine", stem).alias("machine"), F.col("machine").isNotNull().alias("named"), "m"), "machines")
@@ -133,10 +197,10 @@ def wiring_entities(docs: DataFrame, states: tuple[DataFrame, DataFrame] | None
 
 
 def workflow_steps(docs: DataFrame) -> DataFrame:
-    """(file, pos, step, action, body) of the actions of workflow documents in ``docs(file, json)``."""
+    """(file, pos, step, action, body) of the actions of workflow documents in ``docs(file, json)``, staged: documents are parsed once."""
     rows = docs.select("file", F.posexplode(F.from_json("json", "actions array<string>")["actions"]).alias("pos", "body")).withColumn("action", F.get_json_object("body", "$.action")).filter("action IS NOT NULL")
     name = F.coalesce(F.nullif(F.get_json_object("body", "$.name"), F.lit("")), F.concat_ws("_", F.lower("action"), F.col("pos").cast("string")))
-    return rows.select("file", "pos", F.concat(F.lit("Step:"), "file", F.lit("::"), name).alias("step"), "action", "body")
+    return stage(rows.select("file", "pos", F.concat(F.lit("Step:"), "file", F.lit("::"), name).alias("step"), "action", "body"), "workflow-steps")
 
 
 def workflow_facts(steps: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import enrich, graph, lookup, match, quality, resolve, text
+from factloom.operators import declared, enrich, graph, lookup, match, quality, resolve, text
 from factloom.plans import q_enrich, q_lookup, views
 from factloom.sources import readers, sinks
 from factloom.streaming.ingest import ingest_stream
@@ -283,3 +283,23 @@ def test_hot_keys_are_counted_before_they_meet(spark):
     config = rows.selectExpr("'k' AS key", "'c' AS file", "concat('t', id % 2) AS table", "id % 2 = 0 AS is_write")
     facts = enrich.config_sql_facts(config, rows.selectExpr("concat('f', id % 2) AS function", "'k' AS value"))
     assert sorted(tuple(r) for r in facts.collect()) == sorted((f"f{k}", *x) for k in range(2) for x in (("WRITES_DATABASE", "Table:t0"), ("QUERIES_DATABASE", "Table:t1"), ("READS_FILE", "c")))
+
+
+def test_yaml_becomes_json_event_by_event(monkeypatch):
+    import tracemalloc
+
+    import yaml
+
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    for t in ("a: 1\nb: [1, 2.5, ~, yes, 2020-01-01, 'x', \"\\u00e9\"]\nc: {}\nd: []\ne:\n", "a: &x 1\nb: *x", "<<: {a: 1}\nb: 2", "a: 1\na: 2", "1: x\n~: y", "a: !!str 1", "- a", "", "a: .nan", "x: {y: {z: [[1], [{}]]}}\n---\n" [:-4]):
+        doc = yaml.load(t, Loader=loader)
+        assert declared._yaml_json(t) == (json.dumps(doc, default=str) if isinstance(doc, dict) else None)
+    for bad in ("a: [", "a: 1\n---\nb: 2", "a: ="):
+        with pytest.raises(yaml.YAMLError):
+            declared._yaml_json(bad)
+    large = "actions:\n" + "".join(f"- action: LOAD\n  name: s{k}\n  table: t{k % 4}\n" for k in range(20_000))
+    tracemalloc.start()
+    out = declared._yaml_json(large)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(json.loads(out)["actions"]) == 20_000 and peak < 8 * len(large)  # values as objects take over twenty times as much
