@@ -100,9 +100,9 @@ def capture_inventory(facts: DataFrame, families: dict[str, Sequence[str]] | Non
     return facts.withColumn("family", family).filter("family IS NOT NULL").select("family", "object").distinct().groupBy("family").agg(F.count("*").alias("n"), F.min("object").alias("first"), F.max("object").alias("last"), F.count_if(~S.has_token("object")).alias("readable"))
 
 
-def reach(walks: DataFrame, entries: DataFrame) -> DataFrame:
-    """Starts, average reach, starts that reach nothing."""
-    per = entries.select(F.col("node").alias("entry")).distinct().join(walks.groupBy("entry").agg(F.count("*").alias("n")), "entry", "left")
+def reach(sizes: DataFrame, entries: DataFrame) -> DataFrame:
+    """Starts, average reach, starts that reach nothing, of ``sizes(entry, members)``."""
+    per = entries.select("entry").distinct().join(sizes.select("entry", F.col("members").alias("n")).hint("merge"), "entry", "left")
     return per.agg(F.count("*").alias("starts"), F.avg(F.coalesce("n", F.lit(0))).alias("average"), F.count_if(F.col("n").isNull()).alias("nothing"))
 
 

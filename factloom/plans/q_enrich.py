@@ -269,9 +269,9 @@ def e10(v):
 
 @query("e11_reach", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS} SELECT count(*) AS starts, avg(n) AS average, count(*) FILTER (n = 0) AS nothing FROM (SELECT e.node, (SELECT count(*) FROM walks w WHERE w.entry = e.node) AS n FROM entry e) x")
 def e11(v):
-    f = v("facts")
-    e = G.entry_points(f)
-    return Q.reach(G.bfs(G.flow_edges(f), e), e)
+    g = G.flow(v("facts"))
+    starts = G.entries(g)
+    return Q.reach(G.sizes(G.spread(g.edges, starts)), starts)
 
 
 @query("e23_doc_completeness", "SELECT 'u' || p_partkey AS unit, list_sort(list_filter(['confidence mapping', 'consolidated requirements', 'function specification', 'input specification', 'output specification', 'system overview', 'traceability matrix', CASE WHEN p_size % 2 = 0 THEN 'user stories' END, CASE WHEN p_size % 3 = 0 THEN 'gap analysis' END], lambda x: x IS NOT NULL)) AS missing FROM part")

@@ -48,20 +48,23 @@ def h04(v):
 
 @query("h05_subsume", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS}, {DOOR}, {WIDE}, {HELD}, {ALIKE}, {SUBSUMED} SELECT entry FROM subsumed")
 def h05(v):
-    f = G.stage(v("facts"), "facts")
-    return G.subsume(G.stage(G.bfs(G.flow_edges(f), G.entry_points(f)), "walks"), G.doors(f))
+    g = G.flow(v("facts"))
+    starts = G.entries(g)
+    held = G.subsume(G.spread(g.edges, starts), starts.filter("door"))
+    return starts.join(held.hint("merge"), "entry", "left_semi").select(F.col("name").alias("entry"))
 
 
 @query("h06_classify", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS}, {KINDS} SELECT entry, members, depth, kind FROM kinds")
 def h06(v):
-    f = G.stage(v("facts"), "facts")
-    return G.classify(G.bfs(G.flow_edges(f), G.entry_points(f)), f)
+    g = G.flow(v("facts"))
+    starts = G.entries(g)
+    kinds = G.classify(G.spread(g.edges, starts), g)
+    return starts.join(kinds.hint("merge"), "entry").select(F.col("name").alias("entry"), "members", "depth", "kind")
 
 
 @query("h07_owner", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS}, {OWNER} SELECT entry, family FROM family")
 def h07(v):
-    f = G.stage(v("facts"), "facts")
-    return G.owner(G.bfs(G.flow_edges(f), G.entry_points(f)), v("entities"))
+    return G.owner(v("facts"), v("entities"))
 
 
 JOURNEYS = f"{FLOW}, {INDEG}, {ENTRY}, {WALKS}, {DOOR}, {WIDE}, {HELD}, {ALIKE}, {SUBSUMED}, {KINDS}, {OWNER}, journeys AS MATERIALIZED (SELECT k.entry, CASE WHEN kind = 'journey' AND k.entry NOT IN (SELECT entry FROM door) THEN 'unwired' ELSE kind END AS kind, members, depth, family FROM kinds k JOIN family USING (entry) WHERE k.entry NOT IN (SELECT entry FROM subsumed))"
@@ -92,8 +95,7 @@ def h09b(v):
 
 @query("h10_longest_chain", f"WITH RECURSIVE {FLOW}, {INDEG}, {ENTRY}, {WALKS}, top AS (SELECT entry, node, hop FROM walks ORDER BY hop DESC, entry, node LIMIT 1), back AS (SELECT entry, node, hop FROM top UNION ALL SELECT b.entry, (SELECT min(f.src) FROM flow f JOIN (SELECT entry, node, hop FROM walks UNION ALL SELECT node, node, 0 FROM entry) w ON w.entry = b.entry AND w.node = f.src AND w.hop = b.hop - 1 WHERE f.dst = b.node), b.hop - 1 FROM back b WHERE b.hop > 0) SELECT hop AS step, node FROM back")
 def h10(v):
-    f = G.stage(v("facts"), "facts")
-    return G.longest_chain(G.stage(G.bfs(G.flow_edges(f), G.entry_points(f)), "walks"))
+    return G.chain(v("facts"))
 
 
 @query("h11_dead_ends", f"WITH {FLOW}, n AS (SELECT subject AS node FROM facts UNION SELECT object FROM facts) SELECT node, kind FROM (SELECT DISTINCT object AS node, 'target' AS kind FROM facts WHERE predicate IN ('CALLS', 'QUERIES_DATABASE') UNION ALL SELECT node, 'named' FROM n WHERE node LIKE 'APIEndpoint:%' OR node LIKE 'S3Object:%' OR node LIKE 'Module:%') x WHERE node NOT IN (SELECT src FROM flow)")
