@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..functions import scalars as S
 from ..operators import lookup as L
 from ..operators import resolve as R
+from ..sources.staged import stage
 from .q_graph import _in
 from .registry import query
 
@@ -111,7 +112,7 @@ def d11(v):
 
 @query("d12_coverage_gap", "SELECT type, name FROM entities WHERE type <> 'Method' AND name NOT LIKE 'ord.%7' AND name NOT LIKE 'ord.%1' AND NOT (type = 'Function' AND name LIKE 'supp.%')")
 def d12(v):
-    e = v("entities").select("type", "name")
+    e = stage(v("entities").select("type", "name"), "entities")  # read five times
     named = e.filter("name LIKE 'ord.%7'").select("name").union(e.filter("name LIKE 'ord.%1'").select(F.concat("type", F.lit(":"), "name"))).union(e.limit(1).select(F.lit("Journey:x")))
     chains = e.filter("name LIKE 'supp.%'").select(F.lit("Journey:x").alias("chain"), F.concat("type", F.lit(":"), "name").alias("member"))
     return L.coverage_gap(e, named, ("Method",), chains)
