@@ -1,5 +1,8 @@
 """Steps whose cost must follow the input: how they are planned, and that they give what plain loops give."""
 
+import random
+
+from factloom.operators import match
 from factloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -9,5 +12,23 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_batches_of_keys_longer_than_a_transfer_equal_a_plain_fold(spark):
+    r = random.Random(3)
+    rows = [(1, k, r.randrange(1, 900)) for k in range(25_000)] + [(k, p, 7000) for k in (2, 3) for p in range(3)] + [(4, 0, None), (4, 1, 5)]
+    r.shuffle(rows)
+    df = match.batch(spark.createDataFrame(rows, "doc_id long, pos int, size int"), 25, 12_000)
+    want, last = {}, None
+    for key, pos, size in sorted(rows, key=lambda x: x[:2]):
+        if key != last:
+            last, n, chars, number = key, 0, 0, 0
+        size = float("nan") if size is None else size
+        if n and (n >= 25 or chars + size > 12_000):
+            n, chars, number = 0, 0, number + 1
+        n, chars = n + 1, chars + size
+        want[key, pos] = number
+    assert {(x["doc_id"], x["pos"]): x["batch"] for x in df.collect()} == want
+    assert "FlatMapGroups" not in plan(df)  # a call a key, each key as a whole
+
+
 def test_coverage_gap_reads_the_entities_once(spark):
     assert "l_orderkey" not in plan(catalog.QUERIES["d12_coverage_gap"](spark, SF))
