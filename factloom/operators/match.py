@@ -314,8 +314,8 @@ def approved_examples(examples: DataFrame, unit: str, n: int = 2) -> DataFrame:
     return examples.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-#: Queries and vectors of one task.
-QUERIES, VECTORS = 4096, 32_768
+#: Queries and vectors of one task, and the vectors that meet its queries at a time.
+QUERIES, VECTORS, SLICE = 4096, 32_768, 512
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -337,16 +337,17 @@ def _nearest(k: int):
     """The ``k`` nearest of a part of the vectors to each query of a block, by cosine to nine places, then id."""
 
     def matrix(table: pa.Table) -> np.ndarray:
-        return unit_rows(np.array(table["e"].to_pylist(), np.float64).reshape(table.num_rows, -1))
+        return unit_rows(table["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1))
 
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         ids, best = queries["vec_id"].to_numpy(), []
         if queries.num_rows:
             q = matrix(queries)
-            for at in range(0, vectors.num_rows, 4096):
-                part = vectors.slice(at, 4096)
+            for at in range(0, vectors.num_rows, SLICE):
+                part = vectors.slice(at, SLICE)
                 own = part["vec_id"].to_numpy()
-                s = np.round(matrix(part) @ q.T, 9)
+                s = matrix(part) @ q.T
+                np.round(s, 9, out=s)
                 s[own[:, None] == ids[None, :]] = -np.inf
                 least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(len(ids), -np.inf)
                 row, col = np.nonzero((s >= least) & (s > -np.inf))

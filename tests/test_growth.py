@@ -1,6 +1,10 @@
 """Steps whose cost must follow the input: how they are planned, and that they give what plain loops give."""
 
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from factloom.operators import match
 from factloom.plans import catalog
@@ -30,5 +34,16 @@ def test_batches_of_keys_longer_than_a_transfer_equal_a_plain_fold(spark):
     assert "FlatMapGroups" not in plan(df)  # a call a key, each key as a whole
 
 
+def test_a_block_of_queries_needs_little_memory():
+    r = np.random.default_rng(1)
+    rows = lambda n, at: pa.table({"vec_id": pa.array(np.arange(at, at + n)), "e": pa.FixedSizeListArray.from_arrays(r.normal(size=n * 8), 8).cast(pa.list_(pa.float64()))})
+    queries, vectors = rows(match.QUERIES, 0), rows(4096, 10_000)
+    tracemalloc.start()
+    match._nearest(5)(queries, vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000  # was over 400 MB: all scores of 4,096 vectors, three times
+
+
 def test_coverage_gap_reads_the_entities_once(spark):
     assert "l_orderkey" not in plan(catalog.QUERIES["d12_coverage_gap"](spark, SF))
