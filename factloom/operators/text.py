@@ -257,9 +257,11 @@ def parse_features(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     scenario's Examples tables, the header first.
     """
     t = F.col("t")
-    ln = lines(files).withColumn("t", strip("line")).filter((t != "") & ~t.rlike("^(#|\"\"\"|''')"))
+    width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ln = lines(files.repartition(width, "file")).withColumn("t", strip("line")).filter((t != "") & ~t.rlike("^(#|\"\"\"|''')"))
     title = strip(F.regexp_replace(t, "^[^:]+:", ""))
-    kind = F.when(t.rlike(_SCENARIO), "scenario").when(t.rlike(_BACKGROUND), "background").when(t.rlike(_FEATURE), "feature")
+    ln = ln.withColumn("kind", F.when(F.contains(t, F.lit(":")), F.when(t.rlike(_SCENARIO), "scenario").when(t.rlike(_BACKGROUND), "background").when(t.rlike(_FEATURE), "feature")))
+    kind = F.col("kind")
     head = F.when(kind.isNotNull(), F.struct(F.col("pos").alias("at"), kind.alias("kind"), title.alias("name"), t.rlike(r"(?i)outline").alias("outline")))
     rows = carry_forward(carry_forward(ln, F.when(kind == "feature", title), "feature"), head, "head")
     rows = carry_forward(rows, F.when(kind == "background", F.col("pos")), "since").withColumn("since", F.coalesce("since", F.lit(-1)))
@@ -268,21 +270,21 @@ def parse_features(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     steps = rows.filter(t.rlike(_STEP)).select("file", "pos", "since", mine.alias("mine"), F.col("head.at").alias("at"), F.when(word == "*", "Step").otherwise(F.initcap(word)).alias("keyword"), strip(F.regexp_extract(t, _STEP, 2)).alias("text"))
     named = rows.filter((kind == "background") & (title != "")).select("file", "pos", "since", F.lit(False).alias("mine"), F.col("pos").alias("at"), F.lit("Background").alias("keyword"), title.alias("text"))
     block = F.when(t.rlike(_EXAMPLES), F.lit(True)).when(~F.startswith(t, F.lit("|")), F.lit(False))
-    shown = carry_forward(rows, block, "in_examples").filter(F.col("in_examples") & F.startswith(t, F.lit("|")) & mine)
     cells = F.transform(F.split(F.regexp_replace(t, r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x))
-    shown = shown.select("file", F.col("head.at").alias("at"), "pos", cells.alias("cells")).filter(~F.forall("cells", lambda x: x.rlike("^[-:]*$")))
-    shown = shown.groupBy("file", "at").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "cells"))), lambda x: x["cells"]).alias("examples"))
     # a tag counts if no scenario is open before it and only tags, steps and Examples headings lie between it and the next one
-    scene, own = kind == "scenario", Window.partitionBy("file").orderBy("pos")
-    ahead = F.last(F.when(scene, F.col("pos")), ignorenulls=True).over(Window.partitionBy("file").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
-    broken = F.last(F.when(~F.startswith(t, F.lit("@")) & ~t.rlike(_STEP) & ~t.rlike(_EXAMPLES) & ~F.coalesce(scene, F.lit(False)), F.col("pos")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumns({"ahead": ahead, "broken": broken})
-    limits = marked.filter(F.col("pos") == F.col("ahead")).select("file", "ahead", F.col("broken").alias("after"))
-    tags = marked.filter(F.startswith(t, F.lit("@")) & ~mine).select("file", "pos", "ahead", F.regexp_extract(t, r"^@([\w-]+)", 1).alias("tag")).filter("tag <> ''")
-    tags = tags.join(limits.hint("merge"), ["file", "ahead"]).filter("after IS NULL OR pos > after").groupBy("file", F.col("ahead").alias("at")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"]).alias("tags"))
-    scenarios = rows.filter(scene).select("file", "feature", F.coalesce(F.nullif(title, F.lit("")), F.lit("Unnamed scenario")).alias("scenario"), F.col("pos").alias("at"), "head.outline", "since")
-    none = F.array().cast("array<string>")
-    scenarios = scenarios.join(tags.hint("merge"), ["file", "at"], "left").join(shown.hint("merge"), ["file", "at"], "left").withColumns({"tags": F.coalesce("tags", none), "examples": F.coalesce("examples", F.array().cast("array<array<string>>"))})
+    scene, tagged, own = F.coalesce(kind == "scenario", F.lit(False)), F.startswith(t, F.lit("@")), Window.partitionBy("file").orderBy("pos")
+    broken = F.last(F.when(~scene & ~tagged & ~t.rlike(_STEP) & ~t.rlike(_EXAMPLES), F.col("pos")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    every = carry_forward(rows, block, "in_examples").withColumns({"broken": broken, "scene": scene, "tagged": tagged & ~mine, "shown": F.coalesce(F.col("in_examples") & F.startswith(t, F.lit("|")) & mine, F.lit(False))}).filter("scene OR tagged OR shown")
+    ahead = F.min(F.when(F.col("scene"), F.col("pos"))).over(own.rowsBetween(0, Window.unboundedFollowing))
+    # a scenario with its tags and Examples rows is one group; of tags the group's scenario has the last break before it
+    every = every.withColumn("at", F.when(F.col("scene"), F.col("pos")).when(F.col("tagged"), ahead).otherwise(F.col("head.at"))).filter("at IS NOT NULL")
+    scenario = F.struct("feature", F.coalesce(F.nullif(title, F.lit("")), F.lit("Unnamed scenario")).alias("scenario"), F.col("head.outline").alias("outline"), "since", F.col("broken").alias("after"))
+    marks = F.collect_list(F.when(F.col("tagged"), F.struct("pos", F.regexp_extract(t, r"^@([\w-]+)", 1).alias("tag"))))
+    table = F.collect_list(F.when(F.col("shown"), F.struct("pos", cells.alias("cells"))))
+    found = every.groupBy("file", "at").agg(F.max(F.when(F.col("scene"), scenario)).alias("s"), marks.alias("marks"), table.alias("table"))
+    kept = F.filter(F.sort_array("marks"), lambda x: (x["tag"] != "") & (F.col("s.after").isNull() | (x["pos"] > F.col("s.after"))))
+    told = F.filter(F.sort_array("table"), lambda x: ~F.forall(x["cells"], lambda c: c.rlike("^[-:]*$")))
+    scenarios = found.select("file", "s.feature", "s.scenario", "at", "s.outline", "s.since", F.transform(kept, lambda x: x["tag"]).alias("tags"), F.transform(told, lambda x: x["cells"]).alias("examples"))
     shared = steps.filter(~F.col("mine")).unionByName(named).select("file", "since", F.col("pos").alias("bpos"), "keyword", "text")
     before = scenarios.select("file", "at", "since").join(shared.hint("merge"), ["file", "since"]).filter("bpos < at").select("file", "at", F.col("bpos").alias("pos"), "keyword", "text", F.lit(True).alias("background"))
     mine = steps.filter("mine").select("file", "at", "pos", "keyword", "text", F.lit(False).alias("background"))

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from factloom.operators import match
+from factloom.operators import match, text
 from factloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +47,11 @@ def test_a_block_of_queries_needs_little_memory():
 
 def test_coverage_gap_reads_the_entities_once(spark):
     assert "l_orderkey" not in plan(catalog.QUERIES["d12_coverage_gap"](spark, SF))
+
+
+def test_scenarios_meet_their_tags_and_tables_without_joins(spark):
+    body = "Feature: f\n@a\n@b\nScenario: s\n  Given x\nExamples:\n | p | q |\n |---|---|\n | 1 | 2 |\nBackground:\n@lost\nRule\n@kept\nScenario:\n  Then y\n@none\n"
+    df = text.parse_features(spark.createDataFrame([(1, body), (2, "Scenario: t"), (3, "@x\n")], "file long, text string"))[0]
+    got = sorted((r["file"], r["feature"], r["scenario"], r["at"], r["outline"], list(r["tags"]), [list(x) for x in r["examples"]]) for r in df.collect())
+    assert got == [(1, "f", "Unnamed scenario", 13, False, ["kept"], []), (1, "f", "s", 3, False, ["a", "b"], [["p", "q"], ["1", "2"]]), (2, None, "t", 0, False, [], [])]
+    assert "Join" not in plan(df)
