@@ -68,7 +68,7 @@ def a13(v):
 def a03(v):
     files = v("requirement_files")
     path = _new(files, "requirement-files")
-    sinks.write_files(files.select("name", F.lit(0).alias("pos"), "line"), path, ".json")
+    sinks.put_files(files.select("name", F.lit(0).alias("pos"), "line"), path, ".json")
     docs = readers.scan_requirements(files.sparkSession, path)
     return docs.select("unit", "title", "requirement_backed", "confidence", F.col("sections")["Business Rules"].alias("rules"), F.col("feedback_ids")[0].alias("feedback"), "source_hash")
 

@@ -160,6 +160,21 @@ def _text(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def _small_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """The same, staged, of many small files: opening one counts for ``OPEN`` bytes, not for Spark's 4 MB, so that a task reads hundreds."""
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, OPEN)
+    try:
+        return stage(_text(spark, root, glob), "small-files")
+    finally:
+        spark.conf.set(key, before)
+
+
+#: What the opening of a file costs, in bytes that are read meanwhile.
+OPEN = 1 << 16
+
+
 def scan_requirements(spark: SparkSession, root: str) -> DataFrame:
     """A3: documents with a unit; bad JSON drops out; confidence stays NULL; source_hash of the JSON with sorted keys."""
     schema = "path string, unit string, title string, requirement_backed boolean, confidence double, sections map<string,string>, section_provenance map<string,string>, feedback_ids array<long>, source_hash string"
@@ -178,7 +193,7 @@ def scan_requirements(spark: SparkSession, root: str) -> DataFrame:
                     rows.append((path, d["unit"], d.get("title"), bool(d.get("requirement_backed", False)), d.get("confidence"), as_map(d.get("sections")), as_map(d.get("section_provenance")), d.get("feedback_ids") or [], digest))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("path s", "unit s", "title s", "requirement_backed b", "confidence d", "sections m", "section_provenance m", "feedback_ids a", "source_hash s")])
 
-    return _text(spark, root, "*.json").mapInPandas(run, schema)
+    return _small_files(spark, root, "*.json").mapInPandas(run, schema)
 
 
 def scan_requirement_docs(spark: SparkSession, roots: list[str]) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from urllib.parse import unquote
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import latest
+from .staged import stage
 
 
 def replace_app_slice(df: DataFrame, path: str) -> None:
@@ -57,39 +59,91 @@ def write_graph_csv(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     put(edges, {"~id": "id", "~from": "src", "~to": "dst", "~label": "label"}, ("id",), "edges")
 
 
-def write_files(rows: DataFrame, path: str, extension: str) -> list[str]:
-    """One text file a name of ``rows(name, pos, line)``, lines in order of ``pos``; returns the paths.
-
-    Spark writes and commits below a folder beside ``path`` first, so a failed task leaves no
-    file; then each file is moved to its name, over an earlier one.  Names that are alike but for
-    signs that a file can't have are refused.  A file goes through one
-    task, line by line.  Rows are dealt by a hash of the name: a shuffle on the name itself
-    is left out where all parts of a union are dealt by it, and the parts then stay apart.
+def _files(path: str):
+    """File system of a path as Hadoop qualifies it, and the path in it."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), re.sub("^file:/+", "/", path)) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+
+
+def _write_names(aside: str):
+    """Writes rows (name, line) that come name by name below ``aside``; gives each name with what its file is called there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _files(aside)
+        attempt, at, out = uuid.uuid4().hex, None, None
+        for b in batches:
+            names, lines, made = b.column("name").to_pylist(), b.column("line").to_pylist(), []
+            for name, own in groupby(range(len(names)), names.__getitem__):
+                if name != at or out is None:
+                    if out is not None:
+                        out.close()
+                    at, part = name, uuid.uuid4().hex
+                    out = files.open_output_stream(f"{root}/{attempt}-{part}", compression=None)
+                    made.append((name, f"{attempt}-{part}", re.sub(r"[^\w.-]+", "_", name)))
+                out.write("".join(f"{lines[k] or ''}\n" for k in own).encode())
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*made)], ["name", "part", "file"])
+        if out is not None:
+            out.close()
+
+    return run
+
+
+def _move(aside: str, target: str, extension: str):
+    """Moves files to their names, over earlier ones; one that a task before this one moved already stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (files, source), (_, root) = _files(aside), _files(target)
+        for b in batches:
+            for part, file in zip(b.column("part").to_pylist(), b.column("file").to_pylist()):
+                start, to, sums = files.get_file_info([f"{source}/{part}", f"{root}/{file}{extension}", f"{root}/.{file}{extension}.crc"])
+                if not start.is_file and to.is_file:
+                    continue
+                if sums.is_file:  # of an earlier file
+                    files.delete_file(sums.path)
+                if to.is_file and files.type_name != "local":
+                    files.delete_file(to.path)
+                files.move(start.path, to.path)
+            yield b.select(["file"])
+
+    return run
+
+
+def put_files(rows: DataFrame, path: str, extension: str) -> DataFrame:
+    """One text file a name of ``rows(name, pos, line)``, lines in order of ``pos``; returns ``file``, their names without ``extension``.
+
+    Tasks write below a folder beside ``path`` first, so a failed one leaves no file; then
+    tasks move the files to their names, over earlier ones.  The driver sees neither.  Names that
+    are alike but for signs that a file can't have are refused before any is moved.  A file
+    goes through one task, line by line, by ``pyarrow.fs``: files of Spark's own writer are
+    committed and moved one by one on the driver.  Rows are dealt by a hash of the name: a
+    shuffle on the name itself is left out where all parts of a union are dealt by it, and
+    the parts then stay apart.
     """
     spark = rows.sparkSession
-    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    dealt = rows.withColumn("_hash", F.xxhash64("name")).repartition("_hash").sortWithinPartitions("name", "pos")
-    dealt.select("name", "line").write.partitionBy("name").options(lineSep="\n", maxRecordsPerFile=0).text(aside)
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root, target = jvm.Path(aside), jvm.Path(path)
+    root, target = jvm.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}"), jvm.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(target)
-    made: dict[str, list] = {}
-    for status in fs.globStatus(jvm.Path(f"{aside}/name=*/part-*")) or []:
-        name = re.sub(r"[^\w.-]+", "_", unquote(status.getPath().getParent().getName().split("=", 1)[1]))
-        made.setdefault(name, []).append(status.getPath())
-    if twice := sorted(name for name, parts in made.items() if len(parts) > 1)[:5]:
+    fs.mkdirs(root)
+    aside, to = fs.makeQualified(root).toString(), fs.makeQualified(target).toString()
+    name = F.coalesce(F.nullif(F.col("name").cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    dealt = rows.withColumn("name", name).withColumn("_hash", F.xxhash64("name")).repartition("_hash").sortWithinPartitions("name", "pos")
+    try:
+        made = stage(dealt.select("name", "line").mapInArrow(_write_names(aside), "name string, part string, file string"), "written-files")
+        twice = made.groupBy("file").agg(F.count("*").alias("n")).filter("n > 1").orderBy("file").limit(5)
+        if shared := [r["file"] for r in twice.collect()]:
+            raise OSError(f"names that would share a file: {shared}")
+        return stage(made.mapInArrow(_move(aside, to, extension), "file string"), "moved-files")
+    finally:
         fs.delete(root, True)
-        raise OSError(f"names that would share a file: {twice}")
-    out = []
-    for name, (part,) in made.items():
-        to = jvm.Path(target, name + extension)
-        fs.delete(to, False)
-        if not fs.rename(part, to):
-            raise OSError(f"{to} could not be written")
-        out.append(to.toString())
-    fs.delete(root, True)
-    return sorted(out)
+
+
+def write_files(rows: DataFrame, path: str, extension: str) -> list[str]:
+    """``put_files`` for some names: returns the paths."""
+    target = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toString()
+    return sorted(f"{target}/{r['file']}{extension}" for r in put_files(rows, path, extension).collect())
 
 
 _CONTEXT = "named_struct('source_language', language, 'file_path', file_path, 'line_start', line, 'extraction_method', extraction_method, 'confidence', confidence, 'resolved', resolved)"

@@ -1,5 +1,7 @@
 """Steps whose cost must follow the input: how they are planned, and that they give what plain loops give."""
 
+import json
+import os
 import random
 import tracemalloc
 
@@ -8,6 +10,7 @@ import pyarrow as pa
 
 from factloom.operators import match, text
 from factloom.plans import catalog
+from factloom.sources import readers, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +58,26 @@ def test_scenarios_meet_their_tags_and_tables_without_joins(spark):
     got = sorted((r["file"], r["feature"], r["scenario"], r["at"], r["outline"], list(r["tags"]), [list(x) for x in r["examples"]]) for r in df.collect())
     assert got == [(1, "f", "Unnamed scenario", 13, False, ["kept"], []), (1, "f", "s", 3, False, ["a", "b"], [["p", "q"], ["1", "2"]]), (2, None, "t", 0, False, [], [])]
     assert "Join" not in plan(df)
+
+
+def test_many_small_files_take_few_tasks_and_nothing_of_the_driver(spark, tmp_path):
+    n, path = 300, f"file://{tmp_path}/out"
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "u é_7.json").write_text("earlier")
+    (tmp_path / "out" / ".u_é_7.json.crc").write_bytes(b"crc of an earlier file")
+    (tmp_path / "out" / "u_é_7.json").write_text("earlier")
+    lines = spark.range(n).selectExpr("concat('u é/', id) AS name", """explode(array(struct(2 AS pos, '"title": null}' AS line), struct(1 AS pos, null AS line), struct(0 AS pos, concat('{"unit": "', id, '",') AS line))) AS x""")
+    made = sinks.put_files(lines.select("name", "x.pos", "x.line"), path, ".json")
+    assert sorted(r["file"] for r in made.collect()) == sorted(f"u_é_{k}" for k in range(n))
+    assert os.listdir(tmp_path) == ["out"] and len(os.listdir(tmp_path / "out")) == n + 1  # no sums, nothing left aside
+    assert (tmp_path / "out" / "u_é_7.json").read_text() == '{"unit": "7",\n\n"title": null}\n'
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        docs = readers.scan_requirements(spark, path)
+        assert docs.rdd.getNumPartitions() < n // 4  # was one a file
+        assert sorted(r["unit"] for r in docs.collect()) == sorted(map(str, range(n)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before[1]
+    assert json.loads((tmp_path / "out" / "u_é_299.json").read_text())["unit"] == "299"
