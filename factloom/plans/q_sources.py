@@ -78,8 +78,8 @@ def a04(v):
     s = v("supplier")
     delivered, generated = _new(s, "delivered"), _new(s, "generated")
     readme = s.groupBy().agg(F.count("*").cast("string").alias("line")).select(F.lit("ReadMe").alias("name"), F.lit(0).alias("pos"), "line")
-    sinks.write_files(s.filter("s_suppkey % 3 = 0").selectExpr("concat('Doc', s_suppkey) AS name", "0 AS pos", "concat('delivered ', s_name) AS line").unionByName(readme), delivered, ".md")
-    sinks.write_files(s.selectExpr("concat('doc', s_suppkey) AS name", "0 AS pos", "concat('generated ', s_name) AS line").unionByName(readme), generated, ".md")
+    sinks.put_files(s.filter("s_suppkey % 3 = 0").selectExpr("concat('Doc', s_suppkey) AS name", "0 AS pos", "concat('delivered ', s_name) AS line").unionByName(readme), delivered, ".md")
+    sinks.put_files(s.selectExpr("concat('doc', s_suppkey) AS name", "0 AS pos", "concat('generated ', s_name) AS line").unionByName(readme), generated, ".md")
     return readers.scan_requirement_docs(s.sparkSession, [delivered, generated]).select("name", "root", "text")
 
 

@@ -200,7 +200,7 @@ def scan_requirement_docs(spark: SparkSession, roots: list[str]) -> DataFrame:
     """A4: ``.json`` and ``.md`` documents, no readme; the first root wins for equal names in any case."""
     out = None
     for k, root in enumerate(roots):
-        part = _text(spark, root, "*.{json,md}").withColumn("root", F.lit(k))
+        part = _small_files(spark, root, "*.{json,md}").withColumn("root", F.lit(k))
         out = part if out is None else out.unionByName(part)
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     return latest(out.withColumn("name", name).filter(~F.startswith("name", F.lit("readme"))), ["name"], ["root", "path"])
