@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,15 +90,21 @@ def fingerprint(values: Column, salt: str) -> Column:
     return F.left(F.sha2(F.concat(F.lit(salt), F.array_join(F.sort_array(F.collect_list(values)), "")), 256), F.lit(32))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once a row, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def normalize(c: str | Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(_c(c))), "[_-]+", " "), r"\s+", " ")
+    """Lower case, trimmed; each run of white space, ``_`` and ``-`` is a blank.  A pattern is matched only where blanks follow each other."""
+    blanks = F.translate(F.trim(F.lower(_c(c))), "_-\t\n\x0b\f\r", " " * 7)
+    return _once(blanks, lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " +", " ")).otherwise(t))
 
 
 def detect(c: str | Column, phrases: Sequence[tuple[str, Sequence[str]]] = vocab.ACTION_PHRASES) -> Column:
     """Sorted labels with any phrase in the normalised text."""
-    text = normalize(c)
-    hits = [F.when(_any(text, words), F.lit(label)) for label, words in phrases]
-    return F.sort_array(F.array_compact(F.array(*hits)))
+    hits = lambda text: F.array(*[F.when(_any(text, words), F.lit(label)) for label, words in phrases])
+    return F.sort_array(F.array_compact(_once(normalize(c), hits)))
 
 
 def _any(text: Column, words: Sequence[str]) -> Column:
@@ -117,29 +123,31 @@ def _hints(text: Column, words: Sequence[str]) -> Column:
 
 def intent(c: str | Column, positive: Sequence[str] = vocab.POSITIVE, negative: Sequence[str] = vocab.NEGATIVE) -> Column:
     """The kind with strictly more distinct hints; neutral on a tie."""
-    text = normalize(c)
-    bad, good = _hints(text, negative), _hints(text, positive)
-    return F.when(bad > good, "negative").when(good > bad, "positive").otherwise("neutral")
+    lead = _once(normalize(c), lambda text: _hints(text, positive) - _hints(text, negative))
+    return _once(lead, lambda n: F.when(n < 0, "negative").when(n > 0, "positive").otherwise("neutral"))
 
 
 def stage(columns: Sequence[str | Column], phrases: Sequence[tuple[str, Sequence[str]]] = vocab.STAGE_PHRASES) -> Column:
     """First stage by priority in the first column that has any, else ``general``."""
-    found = []
-    for c in columns:
-        text = normalize(c)
+
+    def first(text: Column) -> Column:
         hit = F.lit(None).cast("string")
         for label, words in reversed(phrases):
             hit = F.when(_any(text, words), F.lit(label)).otherwise(hit)
-        found.append(hit)
-    return F.coalesce(*found, F.lit("general"))
+        return hit
+
+    return F.coalesce(*[_once(normalize(c), first) for c in columns], F.lit("general"))
 
 
 def outcomes(keyword: str | Column, text: str | Column) -> Column:
     """Outcome labels of one step; empty unless it is a Then, And or But."""
-    actions, norm = detect(text), normalize(text)
-    expect = F.when(F.contains(norm, F.lit("should")) | F.contains(norm, F.lit("must")), F.transform(actions, lambda a: F.concat(F.lit("expect_"), a))).otherwise(F.array().cast("array<string>"))
-    extra = F.array_compact(F.array(F.when(F.contains(norm, F.lit("not")) & F.contains(norm, F.lit("continue")), "expect_stop"), F.when(F.contains(norm, F.lit("notified")) | F.contains(norm, F.lit("notify")), "expect_notify")))
-    return F.when(_c(keyword).isin("Then", "And", "But"), F.sort_array(F.array_distinct(F.concat(actions, expect, extra)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    expected = lambda norm: F.contains(norm, F.lit("should")) | F.contains(norm, F.lit("must"))
+    extra = lambda norm: F.array_compact(F.array(F.when(F.contains(norm, F.lit("not")) & F.contains(norm, F.lit("continue")), "expect_stop"), F.when(F.contains(norm, F.lit("notified")) | F.contains(norm, F.lit("notify")), "expect_notify")))
+    said = _once(normalize(text), lambda norm: F.struct(expected(norm).alias("expected"), extra(norm).alias("extra")))
+    both = F.struct(detect(text).alias("actions"), said.alias("said"))
+    every = _once(both, lambda x: F.concat(x["actions"], F.when(x["said"]["expected"], F.transform(x["actions"], lambda a: F.concat(F.lit("expect_"), a))).otherwise(none), x["said"]["extra"]))
+    return F.when(_c(keyword).isin("Then", "And", "But"), F.sort_array(F.array_distinct(every))).otherwise(none)
 
 
 def overlap(a: str | Column, b: str | Column) -> Column:

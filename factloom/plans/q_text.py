@@ -42,7 +42,9 @@ _SAID = "CASE WHEN pos % 2 = 0 THEN w ELSE coalesce(lag(w) OVER (PARTITION BY do
 
 
 def _sections(v):
-    rows = v("doc_lines").select("doc_id", "pos", F.expr(_SECTION).alias("section"), F.expr(_WORD.format(all="")).alias("w")).withColumn("said", F.expr(_SAID))
+    # the same as _WORD: what to keep is found some five times as fast as what to drop
+    word = F.trim(F.array_join(F.regexp_extract_all("line", F.lit("([A-Za-z0-9 ]+)"), F.lit(1)), ""))
+    rows = v("doc_lines").select("doc_id", "pos", F.expr(_SECTION).alias("section"), word.alias("w")).withColumn("said", F.expr(_SAID))
     item = "CASE pos % 5 WHEN 0 THEN concat(pos + 1, '. Given ', w, ' when x then y', CASE WHEN pos % 3 = 0 THEN ' (negative path)' ELSE '' END) WHEN 1 THEN concat('- The system shall ', CASE WHEN pos % 4 = 2 THEN 'enforce the rule 3 ' ELSE '' END, said, ' z') WHEN 2 THEN concat('- Gap: ', w, ' z') WHEN 3 THEN concat('| f', pos % 7, ' | ', w, ' q | n/a |') ELSE CASE WHEN pos % 10 = 4 THEN concat('### US-', pos, ': ', w) ELSE '- plain' END END"
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), "\n")
     return rows.withColumn("item", F.expr(item)).groupBy(F.col("doc_id").alias("file"), "section").agg(F.min("pos").alias("at"), F.concat(F.lit("| Function | Does | Not |\n|---|:--|---|\n"), body).alias("body"))

@@ -3,11 +3,13 @@
 import json
 import os
 import random
+import re
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
+from factloom.functions import scalars as S
 from factloom.operators import match, text
 from factloom.plans import catalog
 from factloom.sources import readers, sinks
@@ -81,3 +83,14 @@ def test_many_small_files_take_few_tasks_and_nothing_of_the_driver(spark, tmp_pa
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
     assert spark.conf.get("spark.sql.files.openCostInBytes") == before[1]
     assert json.loads((tmp_path / "out" / "u_é_299.json").read_text())["unit"] == "299"
+
+
+def test_phrases_are_looked_for_in_a_text_that_is_normalised_once(spark):
+    odd = ["", " ", " A_b--c ", "_no", "No_", "x\t\n\x0b\f\r y", "a _ - b\n", "É_\u00a0-Z", "no  retry__not continue, must", None]
+    df = spark.createDataFrame([(t, "Then") for t in odd], "t string, k string")
+    want = [None if t is None else re.sub("[ \t\n\x0b\f\r]+", " ", re.sub("[_-]+", " ", t.lower().strip(" "))) for t in odd]
+    assert [r[0] for r in df.select(S.normalize("t")).collect()] == want
+    for c, most in ((S.detect("t"), 1), (S.intent("t"), 1), (S.stage(["t"]), 1), (S.outcomes("k", "t"), 2)):
+        assert df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= most  # was once a phrase
+    got = df.select(S.detect("t"), S.intent("t"), S.stage(["t"]), S.outcomes("k", "t")).collect()
+    assert [tuple(x) for x in got[-2:]] == [(["retry"], "negative", "general", ["expect_retry", "expect_stop", "retry"]), ([], "neutral", "general", [])]
